@@ -5,20 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import line_dedup
+from barloom.llm import line_dedup, mixing, packing, tokens
+
+#: Tokenizer files are named here and read where they are.
+TOKENIZERS = "/opt/tokenizers"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op4_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.store_tokens(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", 2)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = line_dedup.dedup_lines(docs)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
-QUERIES = {"op5_line_dedup": op5_line_dedup}
+QUERIES = {
+    "op2_source_mix": op2_source_mix,
+    "op4_token_orc": op4_token_orc,
+    "op5_line_dedup": op5_line_dedup,
+    "op7_packing": op7_packing,
+}
 
 ORACLES = {
     "op5_line_dedup": r"""
