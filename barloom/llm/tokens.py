@@ -1,7 +1,7 @@
 """Public tokenizers inside tasks, and token ids in ORC files.
 
-Texts are cut before each run of white space that follows a word. No pre-token of the tokenizers
-used here spans such a cut, so the ids of a text are the ids of its parts joined; parts repeat,
+Texts are cut before each run of white space that follows a word, and between a letter or digit
+and a full stop or comma. No pre-token of the tokenizers used here spans such a cut, so the ids of a text are the ids of its parts joined; parts repeat,
 so a worker keeps the ids of those it has met (a bounded number).
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -21,43 +22,74 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import NO_ID, shared_folder
 
-#: Parts whose ids a worker keeps; then it starts anew.
-MEMO_PARTS = 300_000
+#: Parts whose ids a worker keeps; later ones are encoded each time.
+MEMO_PARTS = 800_000
 #: Longer parts are encoded each time.
 MEMO_CHARS = 48
 #: Bytes of text handled at once in a worker.
 STEP_BYTES = 4 << 20
-_PART = re.compile(r"\s*\S+|\s+")
+#: A word up to a full stop or comma, or what else stands up to white space, with the white space before it.
+_PART = re.compile(r"\s*[^\s.,]*[A-Za-z0-9](?=[.,])|\s*\S+|\s+")
 #: White space to Python's re, but not to the tokenizers.
 _ODD = re.compile("[\x1c-\x1f]")
 
 
-class PartEncoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes."""
+def byte_letters() -> dict[int, str]:
+    """The visible letter that stands for each byte in byte-level vocabularies: printable ones for themselves."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    return dict(zip(plain + sorted(set(range(256)) - set(plain)), map(chr, [*plain, *range(256, 512)]), strict=False))
+
+
+_BYTE_LETTERS = byte_letters()
+
+
+class PartEncoder(dict):
+    """Ids of whole texts as little-endian unsigned 32-bit bytes; holds those of the parts it has met."""
 
     def __init__(self, path: str) -> None:
+        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
-
-    def _fresh(self, parts: list[str]) -> dict[str, bytes]:
-        ids = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        return {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(parts, ids, strict=True)}
+        self.model = self.tokenizer.model
+        self.lowers = "Lowercase" in str(self.tokenizer.normalizer)
+
+    def _word(self, part: str) -> bytes | None:
+        """Ids of a part that is one pre-token and normal already, straight from the tokenizer's model."""
+        word = part[1:] if part[:1] == " " else part
+        if not word.isalpha():
+            return None
+        if self.lowers:
+            if word != word.lower() or not unicodedata.is_normalized("NFC", word):
+                return None
+            part = word
+        return np.array([t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(_BYTE_LETTERS))], "<u4").tobytes()
+
+    def _ids(self, parts: list[str]) -> list[bytes]:
+        ids = [self._word(p) for p in parts]
+        rest = [i for i, x in enumerate(ids) if x is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([parts[i] for i in rest], add_special_tokens=False), strict=True):
+            ids[i] = np.array(e.ids, "<u4").tobytes()
+        return ids
+
+    def _parts(self, text: str) -> list[str]:
+        if _ODD.search(text):
+            return [text]
+        if self.lowers and text.isascii() and "<|" not in text:  # as the tokenizer does; special tokens are spared
+            text = text.lower()
+        return _PART.findall(text)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [[t] if _ODD.search(t) else _PART.findall(t) for t in texts]
-        new = set().union(*cut) - self.memo.keys()
-        if not new:
-            return [b"".join(map(self.memo.__getitem__, parts)) for parts in cut]
-        if len(self.memo) + len(new) > MEMO_PARTS:
-            self.memo = {}
-            new = set().union(*cut)
-        fresh = self._fresh(list(new))
-        self.memo |= {p: ids for p, ids in fresh.items() if len(p) <= MEMO_CHARS}
-        known = self.memo | fresh if any(len(p) > MEMO_CHARS for p in fresh) else self.memo
-        return [b"".join(map(known.__getitem__, parts)) for parts in cut]
+        cut = [self._parts(t) for t in texts]
+        new = list({p for parts in cut for p in parts if p not in self})
+        self.update(zip(new, self._ids(new), strict=True))
+        out = [b"".join(map(self.__getitem__, parts)) for parts in cut]
+        room = MEMO_PARTS - (len(self) - len(new))
+        for i, p in enumerate(new):
+            if i >= room or len(p) > MEMO_CHARS:
+                del self[p]
+        return out
 
 
 @lru_cache(maxsize=4)
