@@ -14,12 +14,11 @@ Which n-grams are frequent is read from a table of fixed size, counted over all
 the same for everyone, so any content gives the same links; it only moves work.
 
 Candidates are verified on the sets themselves. Posting lists of rare n-grams are shorter than
-``rare``. In a longer list every set is compared with one centre, which joins the sets of a group
-of copies whatever its size; lists of one component are done. Of the others the short ones are
-closed by comparing sets of different components, and the long ones get centre after centre: a
-centre is done once compared with all, and sets of its component stay only where the triangle
-inequality of the Jaccard distance leaves a link with a far set possible. So large groups cost
-rounds of linear work, and no link between components is lost.
+``rare``. In a longer list every set is first compared with one centre, which joins a group of
+copies whatever its size by as many comparisons as it has members. Lists of one component are
+done; in the others only sets of different components are compared, and of these only the pairs
+that sizes, frequent n-grams and the triangle inequality leave possible. No link is given up: what
+is skipped can't be one, or lies within a component.
 
 Defined cases: a null, empty or blank text has the empty set and links with nothing; a text of
 fewer words than n is one n-gram; a null id is kept and never names a component unless all ids of
@@ -40,8 +39,8 @@ from barloom.llm.common import WordHasher, bitmap_hits, components, fixed_bitmap
 
 #: A posting list of this many sets makes an n-gram frequent.
 RARE = 16
-#: Of the longer lists, those of at most this many sets are closed at once after the first round.
-SHORT = 128
+#: Longer posting lists are dealt into blocks of this many sets.
+BLOCK = 1000
 #: At most so many n-grams are frequent; beyond, the limit RARE doubles. Bounds what is sent to all.
 FREQUENT_MOST = 1 << 20
 #: The table of frequent n-grams has 2**TABLE_BITS bytes.
@@ -337,53 +336,36 @@ def merged(labels: DataFrame, links: DataFrame) -> DataFrame:
     return keep(labels.join(new.hint("rebalance"), "component", "left").select("set_id", F.coalesce("now", "component").alias("component")), "labels")
 
 
-def live(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """The lists that hold sets of two components or more, with each set's component and the list's length."""
+def centred(postings: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links of every list's sets with one centre, and the lists with each set's distance to it."""
+    # the centre: the set with most frequent n-grams for its size
+    centres = postings.groupBy("key").agg(F.min(F.struct(-F.floor(F.col("f") * 16 / F.col("n")), "set_id", "n")).alias("c"))
+    star = keep(postings.join(centres.select("key", F.col("c.set_id").alias("b"), F.col("c.n").alias("nb")).hint("rebalance"), "key"), "centres")
+    pairs = star.where("set_id <> b").select(F.col("set_id").alias("a"), "b", F.col("n").alias("na"), "nb").distinct()
+    known = keep(overlaps(pairs, sets), "distances")
+    far = known.select(F.col("a").alias("set_id"), "b", (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("dist"))
+    lists = star.join(far, ["set_id", "b"], "left").select("key", "set_id", "n", "f", F.coalesce("dist", F.lit(0.0)).alias("dist"))
+    return known.where(linked(percent)).select("a", "b"), lists
+
+
+def closing(lists: DataFrame, labels: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links between sets of one list and different components.
+
+    Only lists of two components or more count, and in them only pairs that sizes, frequent
+    n-grams and the triangle inequality of the Jaccard distance to the list's centre leave
+    possible. Long lists are dealt into blocks, each compared with the whole list in a task of its own.
+    """
     lists = lists.join(labels.hint("rebalance"), "set_id")
     mixed = lists.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("length")).where("low < high")
-    return keep(lists.join(mixed.select("key", "length").hint("rebalance"), "key"), "lists")
-
-
-def links_of_lists(postings: DataFrame, sets: DataFrame, labels: DataFrame, percent: int, short: int = SHORT) -> DataFrame:
-    """labels after all links between sets of one posting list."""
-    limit, own = 1 - percent / 100, ["key", "set_id", "n", "f"]
-    a = [F.col(c) for c in own]
-
-    def closing(lists: DataFrame) -> DataFrame:
-        left = lists.select(a[0], a[1].alias("a"), a[2].alias("na"), a[3].alias("fa"), F.col("component").alias("ca"))
-        right = lists.select(a[0], a[1].alias("b"), a[2].alias("nb"), a[3].alias("fb"), F.col("component").alias("cb"))
-        pairs = left.join(right, "key").where(F.col("a") < F.col("b")).where(F.col("ca") != F.col("cb")).where(may_link(percent))
-        return overlaps(pairs.select("a", "b", "na", "nb").distinct(), sets).where(linked(percent)).select("a", "b")
-
-    # first every list's sets with one centre, the one with most frequent n-grams for its size
-    centres = postings.groupBy("key").agg(F.min(F.struct(-F.floor(F.col("f") * 16 / F.col("n")), "set_id", "n", "f")).alias("c"))
-    centres = centres.select("key", F.col("c.set_id").alias("b"), F.col("c.n").alias("nb"), F.col("c.f").alias("fb"))
-    star = postings.select(a[0], a[1].alias("a"), a[2].alias("na"), a[3].alias("fa")).join(centres.hint("rebalance"), "key").where("a <> b").where(may_link(percent))
-    labels = merged(labels, overlaps(star.select("a", "b", "na", "nb").distinct(), sets).where(linked(percent)).select("a", "b"))
-    lists = live(postings.select(*own), labels)
-    labels = merged(labels, closing(lists.where(F.col("length") <= short)))
-    lists = live(lists.where(F.col("length") > short).select(*own), labels).withColumn("last", F.lit(None).cast("long"))
-    while not lists.isEmpty():
-        # a centre outside the component of the last one, which is compared with all and then done
-        pick = lists.groupBy("key").agg(F.min(F.struct(F.coalesce(F.col("component") == F.col("last"), F.lit(False)), "set_id", "n", "component")).alias("c"))
-        pick = pick.select("key", F.col("c.set_id").alias("b"), F.col("c.n").alias("nb"), F.col("c.component").alias("cb"))
-        todo = keep(lists.drop("last").join(pick.hint("rebalance"), "key").where("set_id <> b"), "todo")
-        pairs = todo.select(F.col("set_id").alias("a"), "b", F.col("n").alias("na"), "nb").distinct()
-        known = keep(overlaps(pairs, sets).withColumn("dist", 1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).withColumn("link", linked(percent)), "distances")
-        labels = merged(labels, known.where("link").select("a", "b"))
-        now = todo.drop("component", "length", "cb").join(known.select(F.col("a").alias("set_id"), "b", "dist"), ["set_id", "b"])
-        now = now.join(labels.hint("rebalance"), "set_id").join(labels.toDF("b", "last").hint("rebalance"), "b")
-        far = now.where(F.col("component") != F.col("last")).groupBy("key").agg(F.min("dist").alias("lo"), F.max("dist").alias("hi"))
-        # of the centre's component, only sets whose distance to it leaves a link with a far one possible
-        left = now.join(far.hint("rebalance"), "key").where((F.col("component") != F.col("last")) | ((F.col("dist") >= F.col("lo") - limit - 1e-9) & (F.col("dist") <= F.col("hi") + limit + 1e-9)))
-        left = keep(left.select(*own, "last"), "left")
-        lists = live(left, labels)
-        labels = merged(labels, closing(lists.where(F.col("length") <= short)))
-        lists = live(lists.where(F.col("length") > short).drop("component", "length"), labels)
-    return labels
-
-
-def join_components(docs: DataFrame, n: int = 5, percent: int = 75, rare: int = RARE, short: int = SHORT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    lists = keep(lists.join(mixed.select("key", F.ceil(F.col("length") / block).cast("int").alias("blocks")).hint("rebalance"), "key"), "lists")
+    left = lists.select("key", F.pmod(F.xxhash64("set_id"), "blocks").cast("int").alias("block"), F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("f").alias("fa"), F.col("dist").alias("da"), F.col("component").alias("ca"))
+    right = lists.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("f").alias("fb"), F.col("dist").alias("db"), F.col("component").alias("cb"))
+    near = F.abs(F.col("da") - F.col("db")) <= 1 - percent / 100 + 1e-9
+    pairs = left.join(right, ["key", "block"]).where(F.col("a") < F.col("b")).where(F.col("ca") != F.col("cb")).where(may_link(percent)).where(near)
+    return overlaps(pairs.select("a", "b", "na", "nb").distinct(), sets).where(linked(percent)).select("a", "b")
+
+
+def join_components(docs: DataFrame, n: int = 5, percent: int = 75, rare: int = RARE, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = keep(describe(docs, n), "described")
@@ -393,8 +375,9 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 75, rare: int =
     wanted = keep(singles.select("a").union(singles.select("b")).union(postings.select("set_id")).toDF("set_id").distinct(), "wanted")
     sets = fetch_sets(docs.select("text"), n, wanted)
     labels = keep(wanted.select("set_id", F.col("set_id").alias("component")), "labels")
-    labels = merged(labels, verified(singles, sets, percent).where(linked(percent)).select("a", "b"))
-    parts = links_of_lists(postings, sets, labels, percent, short)
+    near, lists = centred(postings, sets, percent)
+    labels = merged(labels, verified(singles, sets, percent).where(linked(percent)).select("a", "b").union(near))
+    parts = merged(labels, closing(lists, labels, sets, percent, block))
 
     first = rows.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("first"))
     named = first.join(parts, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
