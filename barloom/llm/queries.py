@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import line_dedup, mixing, ngram_join, packing, tokens
+from barloom.llm import line_dedup, mixing, ngram_join, packing, tokens, vector_dedup
 
 #: Tokenizer files are named here and read where they are.
 TOKENIZERS = "/opt/tokenizers"
@@ -38,12 +38,17 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_source_mix": op2_source_mix,
     "op4_token_orc": op4_token_orc,
     "op5_line_dedup": op5_line_dedup,
     "op7_packing": op7_packing,
+    "op9_vector_dedup": op9_vector_dedup,
 }
 
 ORACLES = {
