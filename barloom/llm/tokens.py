@@ -1,8 +1,8 @@
 """Public tokenizers inside tasks, and token ids in ORC files.
 
-Texts are cut before each run of white space that follows a word, and between a letter or digit
-and a full stop or comma. No pre-token of the tokenizers used here spans such a cut, so the ids of a text are the ids of its parts joined; parts repeat,
-so a worker keeps the ids of those it has met (a bounded number).
+Texts are cut where white space follows a word. No pre-token of the tokenizers used here spans such
+a cut, so the ids of a text are the ids of its words joined; words repeat, so a worker keeps the ids
+of those it has met (a bounded number).
 """
 
 from __future__ import annotations
@@ -28,10 +28,10 @@ MEMO_PARTS = 800_000
 MEMO_CHARS = 48
 #: Bytes of text handled at once in a worker.
 STEP_BYTES = 4 << 20
-#: A word up to a full stop or comma, or what else stands up to white space, with the white space before it.
-_PART = re.compile(r"\s*[^\s.,]*[A-Za-z0-9](?=[.,])|\s*\S+|\s+")
-#: White space to Python's re, but not to the tokenizers.
+#: White space to Python, but not to the tokenizers.
 _ODD = re.compile("[\x1c-\x1f]")
+#: White space other than single blanks and line ends between words; texts that have it are encoded whole.
+_UNEVEN = re.compile(r"[^\S \n]|[ \n][ \n]|^[ \n]|[ \n]\Z")
 
 
 def byte_letters() -> dict[int, str]:
@@ -41,6 +41,8 @@ def byte_letters() -> dict[int, str]:
 
 
 _BYTE_LETTERS = byte_letters()
+#: Marks a text's first word; texts that hold it are encoded whole.
+_FIRST = "\0"
 
 
 class PartEncoder(dict):
@@ -55,41 +57,40 @@ class PartEncoder(dict):
         self.model = self.tokenizer.model
         self.lowers = "Lowercase" in str(self.tokenizer.normalizer)
 
-    def _word(self, part: str) -> bytes | None:
-        """Ids of a part that is one pre-token and normal already, straight from the tokenizer's model."""
-        word = part[1:] if part[:1] == " " else part
-        if not word.isalpha():
-            return None
-        if self.lowers:
-            if word != word.lower() or not unicodedata.is_normalized("NFC", word):
-                return None
-            part = word
-        return np.array([t.id for t in self.model.tokenize(part.encode().decode("latin-1").translate(_BYTE_LETTERS))], "<u4").tobytes()
-
-    def _ids(self, parts: list[str]) -> list[bytes]:
-        ids = [self._word(p) for p in parts]
-        rest = [i for i, x in enumerate(ids) if x is None]
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([parts[i] for i in rest], add_special_tokens=False), strict=True):
-            ids[i] = np.array(e.ids, "<u4").tobytes()
+    def _whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _fresh(self, part: str) -> bytes:
+        """A plain word goes straight to the tokenizer's model; one full stop or comma after it is a token of its own."""
+        word = part[1:] if part[:1] in ("\n", _FIRST) else part
+        if word[-1:] in (".", ",") and word[-2:-1].isalnum() and part[:-1] not in ("\n", _FIRST):
+            return self[part[:-1]] + self[_FIRST + word[-1]]
+        if word.isalpha() and (not self.lowers or (word == word.lower() and unicodedata.is_normalized("NFC", word))):
+            lead = "" if self.lowers or word is not part else " "
+            ids = np.array([t.id for t in self.model.tokenize((lead + word).encode().decode("latin-1").translate(_BYTE_LETTERS))], "<u4").tobytes()
+            return self[_FIRST + "\n"] + ids if part[0] == "\n" else ids
+        return self._whole(part if part[:1] == "\n" else part[1:] if part[:1] == _FIRST else part if self.lowers else " " + part)
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self._fresh(part)
+        if len(part) <= MEMO_CHARS and len(self) < MEMO_PARTS:
+            self[part] = ids
         return ids
 
-    def _parts(self, text: str) -> list[str]:
-        if _ODD.search(text):
-            return [text]
-        if self.lowers and text.isascii() and "<|" not in text:  # as the tokenizer does; special tokens are spared
-            text = text.lower()
-        return _PART.findall(text)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self._parts(t) for t in texts]
-        new = list({p for parts in cut for p in parts if p not in self})
-        self.update(zip(new, self._ids(new), strict=True))
-        out = [b"".join(map(self.__getitem__, parts)) for parts in cut]
-        room = MEMO_PARTS - (len(self) - len(new))
-        for i, p in enumerate(new):
-            if i >= room or len(p) > MEMO_CHARS:
-                del self[p]
-        return out
+    def encode(self, text: str) -> bytes:
+        """Words are keys; to byte-level vocabularies a key stands for the word after a blank, and marks
+        a word after a line end by that and the text's first word by _FIRST."""
+        if _FIRST in text:
+            return self._whole(text)
+        if self.lowers:
+            if _ODD.search(text):
+                return self._whole(text)
+            if text.isascii() and "<|" not in text:  # as the tokenizer does; special tokens are spared
+                text = text.lower()
+            return b"".join(map(self.__getitem__, text.split()))
+        if _UNEVEN.search(text) or not text:
+            return self._whole(text)
+        return b"".join(map(self.__getitem__, (_FIRST + text.replace("\n", " \n")).split(" ")))
 
 
 @lru_cache(maxsize=4)
@@ -114,7 +115,7 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, column: s
     tokenizer = encoder(path)
     for batch in batches:
         for part in steps(batch, column):
-            yield part, [ids + end for ids in tokenizer.encode([t or "" for t in part.column(column).to_pylist()])]
+            yield part, [tokenizer.encode(t or "") + end for t in part.column(column).to_pylist()]
 
 
 def write_token_orc(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
