@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import line_dedup, mixing, ngram_join, packing, tokens, vector_dedup
+from barloom.llm import line_dedup, matroska, mixing, ngram_join, packing, tokens, vector_dedup
 
 #: Tokenizer files are named here and read where they are.
 TOKENIZERS = "/opt/tokenizers"
@@ -38,6 +38,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op8_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matroska.read_back(matroska.store_texts(table(spark, sf_dir, "documents")))
+
+
 def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
@@ -48,6 +52,7 @@ QUERIES = {
     "op4_token_orc": op4_token_orc,
     "op5_line_dedup": op5_line_dedup,
     "op7_packing": op7_packing,
+    "op8_matroska": op8_matroska,
     "op9_vector_dedup": op9_vector_dedup,
 }
 
