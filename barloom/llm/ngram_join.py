@@ -4,14 +4,14 @@ A document is the set of hashes of its n-grams; equal sets are one node from the
 n-grams have one order, rare ones first. Two sets that overlap enough share an n-gram among the
 first few of both (their prefixes), so only prefixes are indexed:
 
-* rare n-grams (in fewer than ``rare`` sets) one by one;
+* rare n-grams (in fewer than ``rare`` sets) one by one, those of one set before those of more;
 * frequent ones as pairs. They are dealt into g parts by hash and a prefix is longer by g, so two
   similar sets share g + 1 of its n-grams, hence a rare one or two of one part. g follows the
   set's size (a power of two); a set is indexed for its own size and, where a similar set may be
   of the next, for that too. Pairs are few: g parts of about five n-grams each.
 
-Which n-grams are frequent is read from a table of fixed size, counted over all documents. It is
-the same for everyone, so any content gives the same links; it only moves work.
+An n-gram's class, the doublings of its count, is read from a table of fixed size, counted over all
+documents. It is the same for everyone, so any content gives the same links; it only moves work.
 
 Candidates are verified on the sets themselves. Posting lists of rare n-grams are shorter than
 ``rare``. In a longer list every set is first compared with one centre, which joins a group of
@@ -37,14 +37,14 @@ from pyspark.sql import functions as F
 
 from barloom.llm.common import WordHasher, bitmap_hits, components, fixed_bitmap, keep, mix64, pack, shards, squeeze, text_chunks, unpack, unsqueeze
 
-#: A posting list of this many sets makes an n-gram frequent.
+#: An n-gram in this many sets or more is frequent (a power of two).
 RARE = 16
 #: Longer posting lists are dealt into blocks of this many sets.
 BLOCK = 1000
-#: At most so many n-grams are frequent; beyond, the limit RARE doubles. Bounds what is sent to all.
-FREQUENT_MOST = 1 << 20
-#: The table of frequent n-grams has 2**TABLE_BITS bytes.
-TABLE_BITS = 24
+#: The table of n-grams' classes has 2**TABLE_BITS bytes and is sent to all.
+TABLE_BITS = 25
+#: At most so many n-grams have a class above 0; beyond, all limits double until that holds.
+CLASSED_MOST = 1 << 24
 #: Bits of the map of candidate sets.
 MAP_BITS = 26
 #: N-grams a task gathers before it writes them out.
@@ -102,10 +102,11 @@ def describe(docs: DataFrame, n: int) -> DataFrame:
     return docs.mapInArrow(rows, "doc_id long, set_id long, n_shingles long")
 
 
-def frequent_table(docs: DataFrame, n: int, rare: int) -> np.ndarray:
-    """A byte for each of 2**TABLE_BITS places of hashes: 0, or the class of its most frequent n-gram.
+def class_table(docs: DataFrame, n: int):
+    """A byte for each of 2**TABLE_BITS places of hashes: the doublings of the count of its most frequent n-gram.
 
-    Tasks send counts of n-grams cut to 32 bits within a group, once for each set they meet.
+    Tasks send counts of n-grams cut to 40 bits, once for each set they meet; every group covers a
+    range of hashes and gives its part of the table. 0 stands for n-grams of one set.
     """
     spark, groups = docs.sparkSession, shards(docs.sparkSession)
 
@@ -142,40 +143,43 @@ def frequent_table(docs: DataFrame, n: int, rare: int) -> np.ndarray:
     def count(t: pa.Table) -> pa.Table:
         grams = np.concatenate([unpack(b) for b in t["grams"].to_pylist()])
         more = [unsqueeze(b, np.uint64) for b in t["more"].to_pylist()]
-        extra = np.concatenate([m[: len(m) // 2] for m in more]), np.concatenate([m[len(m) // 2 :] for m in more]).astype(np.int64)
         names, counts = np.unique(grams, return_counts=True)
-        np.add.at(counts, np.searchsorted(names, extra[0]), extra[1])
-        many = counts >= rare
-        return pa.table({"gram": pa.array((names[many] << np.uint64(24)).view(np.int64)), "n": pa.array(counts[many])})
+        np.add.at(counts, np.searchsorted(names, np.concatenate([m[: len(m) // 2] for m in more])), np.concatenate([m[len(m) // 2 :] for m in more]).astype(np.int64))
+        names, counts = names[counts > 1], counts[counts > 1]
+        kind = np.log2(counts).astype(np.uint8)
+        place = (names >> np.uint64(40 - TABLE_BITS)).astype(np.int64)
+        first = int(place.min(initial=(1 << TABLE_BITS) - 1))
+        part = np.zeros(int(place.max(initial=first)) - first + 1, np.uint8)
+        np.maximum.at(part, place - first, kind)
+        return pa.table({"first": [first], "part": [squeeze(part)], "kinds": [np.bincount(kind, minlength=64).tolist()]})
 
     blobs = docs.mapInArrow(gather, "grp int, grams binary, more binary")
-    often = keep(blobs.groupBy("grp").applyInArrow(count, "gram long, n long"), "frequent")
-    doublings = often.select(F.floor(F.log2(F.col("n") / rare)).cast("int").alias("k")).groupBy("k").count().collect()  # 60 rows at most
+    parts = blobs.groupBy("grp").applyInArrow(count, "first long, part binary, kinds array<long>").toArrow()  # the table in parts
+    table, kinds = np.zeros(1 << TABLE_BITS, np.uint8), np.zeros(64, np.int64)
+    for first, part, k in zip(parts["first"].to_pylist(), parts["part"].to_pylist(), parts["kinds"].to_pylist(), strict=True):
+        part = unsqueeze(part, np.uint8)
+        np.maximum(table[first : first + len(part)], part, out=table[first : first + len(part)])
+        kinds += np.array(k)
     least = 0
-    while sum(r["count"] for r in doublings if r["k"] >= least) > FREQUENT_MOST:
+    while kinds[least + 1 :].sum() > CLASSED_MOST:
         least += 1
-    place = F.shiftrightunsigned("gram", 64 - TABLE_BITS).cast("int").alias("place")
-    kind = F.least(F.floor(F.log2(F.col("n") / rare)) - least + 1, F.lit(60)).cast("int")
-    rows = often.where(F.floor(F.log2(F.col("n") / rare)) >= least).groupBy(place).agg(F.max(kind).alias("kind")).toArrow()  # FREQUENT_MOST rows at most
-    table = np.zeros(1 << TABLE_BITS, np.uint8)
-    table[rows["place"].to_numpy()] = rows["kind"].to_numpy()
-    return spark.sparkContext.broadcast(table)
+    return spark.sparkContext.broadcast(np.maximum(table, least) - np.uint8(least))
 
 
-def prefixes(grams: np.ndarray, table: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(single n-grams, pair keys) that index a set."""
+def prefixes(grams: np.ndarray, table: np.ndarray, percent: int, often: int) -> tuple[np.ndarray, np.ndarray]:
+    """(single n-grams, pair keys) that index a set; n-grams of the class `often` and above are frequent."""
     size = len(grams)
     base = size - least_overlap(size, percent) + 1
     kind = table[(grams >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
-    if np.count_nonzero(kind == 0) >= base:  # the prefix holds rare n-grams only
-        return grams[kind == 0][:base], grams[:0]
-    order = np.lexsort((grams, kind))
+    order = np.argsort((kind.astype(np.uint64) << np.uint64(58)) | (grams >> np.uint64(6)), kind="stable")
+    if kind[order[base - 1]] < often:  # the prefix holds rare n-grams only
+        return grams[order[:base]], grams[:0]
     levels = {level_parts(size, percent), level_parts(max(size, size * 100 // percent), percent)}
     prefix = grams[order[: base + max(levels)]]
     inside = kind[order[: base + max(levels)]]
     pairs = []
     for parts in levels:
-        frequent = prefix[: base + parts][inside[: base + parts] > 0]
+        frequent = prefix[: base + parts][inside[: base + parts] >= often]
         part = mix64(frequent + np.uint64(parts)) % np.uint64(parts)
         by = np.lexsort((frequent, part))
         frequent, part = frequent[by], part[by]
@@ -184,10 +188,10 @@ def prefixes(grams: np.ndarray, table: np.ndarray, percent: int) -> tuple[np.nda
             if not same.any():
                 break
             pairs.append(mix64(mix64(frequent[:-step][same]) + frequent[step:][same] + np.uint64(parts)))
-    return prefix[:base][inside[:base] == 0], np.unique(np.concatenate(pairs)) if pairs else grams[:0]
+    return prefix[:base][inside[:base] < often], np.unique(np.concatenate(pairs)) if pairs else grams[:0]
 
 
-def rare_candidates(docs: DataFrame, n: int, percent: int, table) -> DataFrame:
+def rare_candidates(docs: DataFrame, n: int, percent: int, table, often: int) -> DataFrame:
     """Distinct pairs (a, b), a < b, of sets that share a rare n-gram in their prefixes."""
     groups = shards(docs.sparkSession)
 
@@ -195,6 +199,7 @@ def rare_candidates(docs: DataFrame, n: int, percent: int, table) -> DataFrame:
         seen: set[int] = set()
         held: list[np.ndarray] = []
         names: list[int] = []
+        total: list[int] = []
 
         def flush():
             grams = np.concatenate(held)
@@ -203,12 +208,12 @@ def rare_candidates(docs: DataFrame, n: int, percent: int, table) -> DataFrame:
             grams, owner = grams[order], owner[order]
             group = (grams >> np.uint64(32)) * np.uint64(groups) >> np.uint64(32)
             cut = np.searchsorted(group, np.arange(1, groups, dtype=np.uint64))
-            sets = np.array(names, np.int64)
+            sets, sizes = np.array(names, np.int64), np.array(total, np.int64)
             out = []
             for g, (x, o) in enumerate(zip(np.split(grams, cut), np.split(owner, cut), strict=True)):
                 if len(x):
                     used, o = np.unique(o, return_inverse=True)
-                    out.append((g, pack(x), squeeze(o.astype(np.uint32).view(np.uint8).reshape(-1, 4).T), squeeze(sets[used])))
+                    out.append((g, pack(x), squeeze(o.astype(np.uint32).view(np.uint8).reshape(-1, 4).T), squeeze(np.stack([sets[used], sizes[used]]))))
             return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary(), pa.binary()))], ["grp", "grams", "owner", "sets"])
 
         size = 0
@@ -217,39 +222,43 @@ def rare_candidates(docs: DataFrame, n: int, percent: int, table) -> DataFrame:
                 if len(s) and (name := set_id(s)) not in seen:
                     if len(seen) < 200_000:
                         seen.add(name)
-                    single = prefixes(s, table.value, percent)[0]
+                    single = prefixes(s, table.value, percent, often)[0]
                     if len(single):
                         held.append(single)
                         names.append(name)
+                        total.append(len(s))
                         size += len(single)
                         if size >= GATHER:
                             yield flush()
-                            held, names, size = [], [], 0
+                            held, names, total, size = [], [], [], 0
         if held:
             yield flush()
 
     def meet(t: pa.Table) -> pa.Table:
-        grams, sets = [], []
+        grams, sets, sizes = [], [], []
         for g, o, s in zip(t["grams"].to_pylist(), t["owner"].to_pylist(), t["sets"].to_pylist(), strict=True):
             grams.append(unpack(g))
             owner = np.ascontiguousarray(unsqueeze(o, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
-            sets.append(unsqueeze(s, np.int64)[owner])
-        grams, sets = np.concatenate(grams), np.concatenate(sets)
+            both = unsqueeze(s, np.int64).reshape(2, -1)[:, owner]
+            sets.append(both[0])
+            sizes.append(both[1])
+        grams, sets, sizes = np.concatenate(grams), np.concatenate(sets), np.concatenate(sizes)
         order = np.argsort(grams, kind="stable")
-        grams, sets = grams[order], sets[order]
+        grams, sets, sizes = grams[order], sets[order], sizes[order]
         again = np.concatenate([[False], grams[1:] == grams[:-1], [False]])
         shared = again[:-1] | again[1:]
-        grams, sets = grams[shared], sets[shared]
+        grams, sets, sizes = grams[shared], sets[shared], sizes[shared]
         order = np.lexsort((sets, grams))
-        grams, sets = grams[order], sets[order]
+        grams, sets, sizes = grams[order], sets[order], sizes[order]
         first = np.concatenate([[True], (grams[1:] != grams[:-1]) | (sets[1:] != sets[:-1])])[: len(grams)]
-        grams, sets = grams[first], sets[first]
+        grams, sets, sizes = grams[first], sets[first], sizes[first]
         found = []
         step = 1
         while step < len(grams):
             near = grams[step:] == grams[:-step]
             if not near.any():
                 break
+            near &= 100 * np.minimum(sizes[step:], sizes[:-step]) >= percent * np.maximum(sizes[step:], sizes[:-step])
             found.append(np.unique(np.stack([sets[:-step][near], sets[step:][near]], axis=1), axis=0))
             step += 1
         pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
@@ -259,7 +268,7 @@ def rare_candidates(docs: DataFrame, n: int, percent: int, table) -> DataFrame:
     return blobs.groupBy("grp").applyInArrow(meet, "a long, b long").distinct()
 
 
-def frequent_postings(docs: DataFrame, n: int, percent: int, table) -> DataFrame:
+def frequent_postings(docs: DataFrame, n: int, percent: int, table, often: int) -> DataFrame:
     """(key, set_id, n, f) of the pair keys that two sets or more have; f: the frequent n-grams of a set."""
 
     def rows(batches):
@@ -270,7 +279,7 @@ def frequent_postings(docs: DataFrame, n: int, percent: int, table) -> DataFrame
                 if len(s) and (name := set_id(s)) not in seen:
                     if len(seen) < 200_000:
                         seen.add(name)
-                    single, pairs = prefixes(s, table.value, percent)
+                    single, pairs = prefixes(s, table.value, percent, often)
                     if len(pairs):
                         keys.append(pairs)
                         names.append(name)
@@ -369,9 +378,9 @@ def join_components(docs: DataFrame, n: int = 5, percent: int = 75, rare: int =
     """(doc_id, n_shingles, component_id) of every row of docs."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     rows = keep(describe(docs, n), "described")
-    table = frequent_table(docs.select("text"), n, rare)
-    singles = keep(rare_candidates(docs.select("text"), n, percent, table), "candidates")
-    postings = keep(frequent_postings(docs.select("text"), n, percent, table), "shared")
+    table, often = class_table(docs.select("text"), n), rare.bit_length() - 1
+    singles = keep(rare_candidates(docs.select("text"), n, percent, table, often), "candidates")
+    postings = keep(frequent_postings(docs.select("text"), n, percent, table, often), "shared")
     wanted = keep(singles.select("a").union(singles.select("b")).union(postings.select("set_id")).toDF("set_id").distinct(), "wanted")
     sets = fetch_sets(docs.select("text"), n, wanted)
     labels = keep(wanted.select("set_id", F.col("set_id").alias("component")), "labels")
