@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import line_dedup, matroska, mixing, ngram_join, packing, tokens, vector_dedup
+from barloom.llm import line_dedup, matroska, mixing, ngram_join, packing, tokens, toxicity, vector_dedup
 
 #: Tokenizer files are named here and read where they are.
 TOKENIZERS = "/opt/tokenizers"
@@ -28,6 +28,12 @@ def op4_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.store_tokens(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", 2)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
@@ -51,6 +57,7 @@ QUERIES = {
     "op2_source_mix": op2_source_mix,
     "op4_token_orc": op4_token_orc,
     "op5_line_dedup": op5_line_dedup,
+    "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
     "op8_matroska": op8_matroska,
     "op9_vector_dedup": op9_vector_dedup,
