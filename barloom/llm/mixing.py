@@ -52,11 +52,11 @@ def targets(sources: DataFrame, weights: Sequence[int], most: float) -> DataFram
     return rows.withColumn("target", F.least(F.lit(most) * F.col("source_size"), F.lit(level) * F.col("weight")).cast("double")).drop("weight")
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep_cols: Sequence[str] = ()) -> DataFrame:
-    """(doc_id, size, source_size, target, copies, taken) of every document, with keep_cols as they are."""
-    extra = [F.col(c) for c in keep_cols]
+def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_row: bool = False) -> DataFrame:
+    """(doc_id, size, source_size, target, copies, taken) of every document, and its whole row as a struct if asked for."""
+    extra = [F.struct(*docs.columns).alias("row")] if with_row else []
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), F.monotonically_increasing_id().alias("tie"), *extra)
-    if not keep_cols:
+    if not with_row:
         rows = keep(rows, "sizes")
     sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
@@ -90,4 +90,4 @@ def mix(docs: DataFrame, weights: Sequence[int] = (1, 2, 3), most: int = 3, seed
     closing = keep(spare.groupBy("source").agg(F.min(F.struct(F.abs(F.col("gap") - F.col("size")).alias("miss"), "rank", "tie")).alias("one")).select(F.col("source").alias("s"), F.col("one.tie").alias("last_in")), "closing")
     out = out.join(closing, F.col("source").eqNullSafe(F.col("s")), "left")
     out = out.withColumn("copies", F.col("copies") + F.coalesce((F.col("tie") == F.col("last_in")).cast("long"), F.lit(0)))
-    return out.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *keep_cols)
+    return out.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *(["row"] if with_row else []))

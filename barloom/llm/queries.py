@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm import line_dedup, matroska, mixing, ngram_join, packing, tokens, toxicity, vector_dedup
+from barloom.llm import backoff, line_dedup, matroska, mixing, ngram_join, packing, surrogates, tokens, toxicity, vector_dedup
 
 #: Tokenizer files are named here and read where they are.
 TOKENIZERS = "/opt/tokenizers"
@@ -24,6 +24,11 @@ def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.replace_private(docs, "barloom")
+
+
 def op4_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.store_tokens(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", 2)
 
@@ -52,15 +57,21 @@ def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op10_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_ngram_join": op1_ngram_join,
     "op2_source_mix": op2_source_mix,
+    "op3_pii_surrogates": op3_pii_surrogates,
     "op4_token_orc": op4_token_orc,
     "op5_line_dedup": op5_line_dedup,
     "op6_toxicity": op6_toxicity,
     "op7_packing": op7_packing,
     "op8_matroska": op8_matroska,
     "op9_vector_dedup": op9_vector_dedup,
+    "op10_backoff": op10_backoff,
 }
 
 ORACLES = {
