@@ -17,7 +17,7 @@ Candidates are verified on the sets themselves. Posting lists of rare n-grams ar
 ``rare``. In a longer list every set is first compared with one centre, which joins a group of
 copies whatever its size by as many comparisons as it has members. Lists of one component are
 done; in the others only sets of different components are compared, and of these only the pairs
-that sizes, frequent n-grams and the triangle inequality leave possible. No link is given up: what
+that sizes, frequent n-grams, parity sketches and the triangle inequality leave possible. No link is given up: what
 is skipped can't be one, or lies within a component.
 
 Defined cases: a null, empty or blank text has the empty set and links with nothing; a text of
@@ -45,6 +45,8 @@ BLOCK = 1000
 TABLE_BITS = 25
 #: At most so many n-grams have a class above 0; beyond, all limits double until that holds.
 CLASSED_MOST = 1 << 24
+#: 64-bit words of a set's parity sketch.
+SKETCH = [f"s{i}" for i in range(8)]
 #: Bits of the map of candidate sets.
 MAP_BITS = 26
 #: N-grams a task gathers before it writes them out.
@@ -79,6 +81,16 @@ def set_id(grams: np.ndarray) -> int:
     return v - (1 << 64) if v >> 63 else v
 
 
+def sketch_of(grams: np.ndarray) -> np.ndarray:
+    """For each of 512 places, whether an odd number of the set's n-grams falls there.
+
+    Places where two sketches differ are at most as many as n-grams of one set only, which bounds
+    the overlap of two sets from above.
+    """
+    odd = np.bincount((grams & np.uint64(511)).astype(np.int64), minlength=512).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64)
+
+
 def least_overlap(size: int, percent: int) -> int:
     """The fewest n-grams that a set of this size shares with any set linked to it."""
     return -(-percent * size // 100)
@@ -269,12 +281,12 @@ def rare_candidates(docs: DataFrame, n: int, percent: int, table, often: int) ->
 
 
 def frequent_postings(docs: DataFrame, n: int, percent: int, table, often: int) -> DataFrame:
-    """(key, set_id, n, f) of the pair keys that two sets or more have; f: the frequent n-grams of a set."""
+    """(key, set_id, n, f, sketch) of the pair keys that two sets or more have; f: the frequent n-grams of a set."""
 
     def rows(batches):
         seen: set[int] = set()
         for _, sets in sets_of(batches, n):
-            keys, names, sizes = [], [], []
+            keys, names, sizes, sketches = [], [], [], []
             for s in sets:
                 if len(s) and (name := set_id(s)) not in seen:
                     if len(seen) < 200_000:
@@ -284,13 +296,14 @@ def frequent_postings(docs: DataFrame, n: int, percent: int, table, often: int)
                         keys.append(pairs)
                         names.append(name)
                         sizes.append((len(s), len(s) - len(single)))
+                        sketches.append(sketch_of(s))
             if keys:
                 each = [len(k) for k in keys]
                 n_f = np.repeat(np.array(sizes, np.int32), each, axis=0)
-                columns = [np.concatenate(keys).view(np.int64), np.repeat(np.array(names, np.int64), each), n_f[:, 0], n_f[:, 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["key", "set_id", "n", "f"])
+                columns = [np.concatenate(keys).view(np.int64), np.repeat(np.array(names, np.int64), each), n_f[:, 0], n_f[:, 1], *np.repeat(np.stack(sketches), each, axis=0).T]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], ["key", "set_id", "n", "f", *SKETCH])
 
-    postings = keep(docs.mapInArrow(rows, "key long, set_id long, n int, f int"), "postings")
+    postings = keep(docs.mapInArrow(rows, "key long, set_id long, n int, f int, " + ", ".join(f"{c} long" for c in SKETCH)), "postings")
     shared = postings.groupBy("key").agg(F.min("set_id").alias("low"), F.max("set_id").alias("high")).where("low < high").select("key")
     return postings.join(shared.hint("rebalance"), "key").distinct()
 
@@ -353,7 +366,7 @@ def centred(postings: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFra
     pairs = star.where("set_id <> b").select(F.col("set_id").alias("a"), "b", F.col("n").alias("na"), "nb").distinct()
     known = keep(overlaps(pairs, sets), "distances")
     far = known.select(F.col("a").alias("set_id"), "b", (1 - F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).alias("dist"))
-    lists = star.join(far, ["set_id", "b"], "left").select("key", "set_id", "n", "f", F.coalesce("dist", F.lit(0.0)).alias("dist"))
+    lists = star.join(far, ["set_id", "b"], "left").select("key", "set_id", "n", "f", *SKETCH, F.coalesce("dist", F.lit(0.0)).alias("dist"))
     return known.where(linked(percent)).select("a", "b"), lists
 
 
@@ -361,16 +374,19 @@ def closing(lists: DataFrame, labels: DataFrame, sets: DataFrame, percent: int,
     """Links between sets of one list and different components.
 
     Only lists of two components or more count, and in them only pairs that sizes, frequent
-    n-grams and the triangle inequality of the Jaccard distance to the list's centre leave
-    possible. Long lists are dealt into blocks, each compared with the whole list in a task of its own.
+    n-grams, sketches and the triangle inequality of the Jaccard distance to the list's centre
+    leave possible. Long lists are dealt into blocks, each compared with the whole list in a task of its own.
     """
     lists = lists.join(labels.hint("rebalance"), "set_id")
     mixed = lists.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("length")).where("low < high")
     lists = keep(lists.join(mixed.select("key", F.ceil(F.col("length") / block).cast("int").alias("blocks")).hint("rebalance"), "key"), "lists")
-    left = lists.select("key", F.pmod(F.xxhash64("set_id"), "blocks").cast("int").alias("block"), F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("f").alias("fa"), F.col("dist").alias("da"), F.col("component").alias("ca"))
-    right = lists.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("f").alias("fb"), F.col("dist").alias("db"), F.col("component").alias("cb"))
+    left = lists.select("key", F.pmod(F.xxhash64("set_id"), "blocks").cast("int").alias("block"), F.col("set_id").alias("a"), F.col("n").alias("na"), F.col("f").alias("fa"), F.col("dist").alias("da"), F.col("component").alias("ca"), *[F.col(c).alias("a" + c) for c in SKETCH])
+    right = lists.select("key", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("set_id").alias("b"), F.col("n").alias("nb"), F.col("f").alias("fb"), F.col("dist").alias("db"), F.col("component").alias("cb"), *[F.col(c).alias("b" + c) for c in SKETCH])
     near = F.abs(F.col("da") - F.col("db")) <= 1 - percent / 100 + 1e-9
-    pairs = left.join(right, ["key", "block"]).where(F.col("a") < F.col("b")).where(F.col("ca") != F.col("cb")).where(may_link(percent)).where(near)
+    apart = sum((F.bit_count(F.col("a" + c).bitwiseXOR(F.col("b" + c))) for c in SKETCH), F.lit(0))
+    # twice the overlap is at most both sizes less the places apart
+    alike = (100 + percent) * (F.col("na") + F.col("nb") - apart) >= 2 * percent * (F.col("na") + F.col("nb"))
+    pairs = left.join(right, ["key", "block"]).where(F.col("a") < F.col("b")).where(F.col("ca") != F.col("cb")).where(may_link(percent)).where(near).where(alike)
     return overlaps(pairs.select("a", "b", "na", "nb").distinct(), sets).where(linked(percent)).select("a", "b")
 
 
