@@ -59,6 +59,14 @@ def require_higher_multiple(lower: str, higher: str) -> int:
     return times
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df computed once for the several plans that start from it: in the cluster's checkpoint folder, else cached."""
+    spark = df.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return df.checkpoint()
+    return df.persist()
+
+
 def identity(*columns: str | Column) -> Column:
     """A content id: SHA-256 of the canonical JSON of natural keys."""
     return F.sha2(F.to_json(F.struct(*columns)), 256)

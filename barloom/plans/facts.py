@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.functions.core import settled
 from barloom.operators import context, displacement, liquidity, outcomes, ranges, signals, structure
 from barloom.plans.config import Config
 from barloom.sources import candles
@@ -21,7 +22,7 @@ def bar_facts(bars: DataFrame, cfg: Config) -> DataFrame:
 
 def signal_facts(bars: DataFrame, higher: dict[str, DataFrame], registry: DataFrame, cfg: Config) -> DataFrame:
     """bar_facts with sweeps, higher-timeframe context, scores, signals, labels and outcomes; higher: bars by timeframe."""
-    facts = bar_facts(bars, cfg)
+    facts = settled(bar_facts(bars, cfg))
     facts = liquidity.add_sweep_context(facts, liquidity.pools(facts, cfg), cfg)
     facts = context.add_confluence(facts, {tf: structure_facts(b, cfg) for tf, b in higher.items()})
     facts = context.add_registry(facts, registry, cfg.registry_mode)
