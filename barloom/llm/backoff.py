@@ -30,6 +30,8 @@ from barloom.llm.common import WordHasher, keep, mix64, pack, shards, squeeze, t
 #: Bytes of text in a chunk (or one document).
 CHUNK = 6 << 20
 ALPHA = 0.4
+#: Parts of the table for each shuffle partition; a part is held by one task at a time.
+PARTS = 4
 
 
 def chunks(docs: DataFrame) -> DataFrame:
@@ -152,7 +154,7 @@ def summed(words: np.ndarray, sizes: np.ndarray, totals: np.ndarray, everything:
 def score_documents(docs: DataFrame, order: int = 3, alpha: float = ALPHA) -> DataFrame:
     """(doc_id, n_words, log_score, mean_log_score) of every row of docs(doc_id, text)."""
     parts = keep(chunks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "chunks")
-    groups = shards(docs.sparkSession)
+    groups = PARTS * shards(docs.sparkSession)
 
     def sizes_of(batches):
         for b in batches:
