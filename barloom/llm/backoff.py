@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import math
 import pickle
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ PARTS = 4
 
 
 def chunks(docs: DataFrame) -> DataFrame:
-    """(chunk, blob): ids, words' hashes and words per document of some documents each.
+    """(chunk, blob): ids and compressed texts of some documents each.
 
     A chunk is named by its partition and place there, which reruns of a task repeat.
     """
@@ -43,35 +44,42 @@ def chunks(docs: DataFrame) -> DataFrame:
     def rows(batches):
         from pyspark import TaskContext
 
-        part, hasher = TaskContext.get().partitionId(), WordHasher()
-        state = {"n": 0, "size": 0, "ids": [], "words": [], "sizes": []}
+        part, n = TaskContext.get().partitionId(), 0
+        ids: list = []
+        texts: list[tuple[bytes, np.ndarray]] = []
 
         def flush():
-            blob = (np.concatenate(state["sizes"]), squeeze(np.concatenate(state["words"]).view(np.uint8).reshape(-1, 8).T), state["ids"])
-            state["n"] += 1
-            out = pa.RecordBatch.from_arrays([pa.array([part << 32 | state["n"]], pa.int64()), pa.array([pickle.dumps(blob)], pa.binary())], ["chunk", "blob"])
-            state.update(size=0, ids=[], words=[], sizes=[])
-            return out
+            return pa.RecordBatch.from_arrays([pa.array([part << 32 | n], pa.int64()), pa.array([pickle.dumps((ids, texts))], pa.binary())], ["chunk", "blob"])
 
+        size = 0
         for batch in batches:
             for i, j, data, offsets in text_chunks(batch.column("text")):
-                words, bounds = hasher.hashes(data, offsets)
-                state["ids"] += batch.column("doc_id")[i:j].to_pylist()
-                state["words"].append(words)
-                state["sizes"].append(np.diff(bounds))
-                state["size"] += len(data)
-                if state["size"] >= CHUNK:
+                ids += batch.column("doc_id")[i:j].to_pylist()
+                texts.append((squeeze(data), offsets))
+                size += len(data)
+                if size >= CHUNK:
                     yield flush()
-        if state["ids"]:
+                    n, size, ids, texts = n + 1, 0, [], []
+        if ids:
             yield flush()
 
     return docs.mapInArrow(rows, "chunk long, blob binary")
 
 
+@lru_cache(maxsize=1)
+def hasher() -> WordHasher:
+    return WordHasher()
+
+
 def opened(blob: bytes) -> tuple[list, np.ndarray, np.ndarray]:
-    """(ids, words, words per document)."""
-    sizes, words, ids = pickle.loads(blob)
-    return ids, np.ascontiguousarray(unsqueeze(words, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), sizes
+    """(ids, hashes of the words, words per document)."""
+    ids, texts = pickle.loads(blob)
+    words, sizes = [np.zeros(0, np.uint64)], []
+    for data, offsets in texts:
+        found, bounds = hasher().hashes(unsqueeze(data, np.uint8), offsets)
+        words.append(found)
+        sizes.append(np.diff(bounds))
+    return ids, np.concatenate(words), np.concatenate(sizes)
 
 
 def grams_of(words: np.ndarray, sizes: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -158,7 +166,7 @@ def score_documents(docs: DataFrame, order: int = 3, alpha: float = ALPHA) -> Da
 
     def sizes_of(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([int(pickle.loads(x)[0].sum()) for x in b.column("blob").to_pylist()], pa.int64())], ["n"])
+            yield pa.RecordBatch.from_arrays([pa.array([int(opened(x)[2].sum()) for x in b.column("blob").to_pylist()], pa.int64())], ["n"])
 
     everything = parts.select("blob").mapInArrow(sizes_of, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     totals = answered(asked(parts, order, groups))
