@@ -39,12 +39,21 @@ def words_of(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def grams_of(words: list[str], step: int = 10_000) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the words' 3- to 5-byte n-grams, with marks at both ends, and where each word's begin."""
-    raw = [b"<" + w.strip(CUT).encode() + b">" if w.strip(CUT) else b"<" + w.encode() + b">" for w in words]
+    parts, sizes = [np.zeros(0, np.int32)], [np.zeros(1, np.int64)]
+    for i in range(0, len(words), step):
+        buckets, counts = some_grams(words[i : i + step])
+        parts.append(buckets)
+        sizes.append(counts)
+    return np.concatenate(parts), np.cumsum(np.concatenate(sizes))
+
+
+def some_grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The same for a few words: buckets, and how many each word has."""
+    raw = [b"<" + (w.strip(CUT) or w).encode() + b">" for w in words]
     data = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint64)
-    sizes = np.array([len(r) for r in raw])
-    owner = np.repeat(np.arange(len(raw)), sizes)
+    owner = np.repeat(np.arange(len(raw)), [len(r) for r in raw])
     who, what = [], []
     for n in (3, 4, 5):
         if len(data) < n:
@@ -54,10 +63,9 @@ def grams_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             code = code * np.uint64(0x100000001B3) + data[k : len(data) - n + 1 + k]
         inside = owner[: len(code)] == owner[n - 1 :]
         who.append(owner[: len(code)][inside])
-        what.append(((code ^ (code >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 15))[inside].astype(np.int64))
+        what.append(((code ^ (code >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - 15))[inside].astype(np.int32))
     who, what = np.concatenate(who), np.concatenate(what)
-    order = np.argsort(who, kind="stable")
-    return what[order], np.searchsorted(who[order], np.arange(len(raw) + 1))
+    return what[np.argsort(who, kind="stable")], np.bincount(who, minlength=len(raw))
 
 
 def windows_of(n: int) -> list[int]:
@@ -82,8 +90,13 @@ class Inputs:
 
     def rows(self, p: dict, encoded) -> np.ndarray:
         known, grams, bounds, best = encoded
-        mean = np.add.reduceat(p["grams"][grams], bounds[:-1]) / np.diff(bounds)[:, None]
-        return np.concatenate([p["words"][known], mean, best[:, None]], axis=1).astype(np.float32)
+        out = np.empty((len(known), WORD + GRAM + 1), np.float32)
+        for i in range(0, len(known), 10_000):
+            j = min(i + 10_000, len(known))
+            at = bounds[i : j + 1]
+            mean = np.add.reduceat(p["grams"][grams[at[0] : at[-1]]], at[:-1] - at[0]) / np.diff(at)[:, None]
+            out[i:j] = np.concatenate([p["words"][known[i:j]], mean, best[i:j, None]], axis=1)
+        return out
 
 
 def layer(projected: np.ndarray, mask: np.ndarray, u: np.ndarray, keep: bool = False):
@@ -153,7 +166,7 @@ def framed(index: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     """([time, row] word indexes, mask, document of each window)."""
     starts = [windows_of(len(x)) for x in index]
     owner = np.repeat(np.arange(len(index)), [len(s) for s in starts])
-    flat = np.concatenate([*index, np.zeros(WINDOW, np.int64)])
+    flat = np.concatenate([*index, np.zeros(WINDOW, np.int64)]).astype(np.int32)
     base = np.concatenate([[0], np.cumsum([len(x) for x in index])])
     first = np.concatenate([np.array(s) + base[i] for i, s in enumerate(starts)])
     size = np.minimum(base[owner + 1] - first, WINDOW)
@@ -221,11 +234,10 @@ def train(texts: list[str], labels: list[int], passes: int = 6, seed: int = 3) -
     if len(y) == 0 or y.min() == y.max():
         return float(y.mean()) if len(y) else 0.0
     rng = np.random.default_rng(seed)
-    docs = [words_of(t) for t in texts]
-    every = sorted({w for d in docs for w in d})
-    number = {w: i for i, w in enumerate(every)}
     share = float(y.mean())
-    index = [np.array([number[w] for w in d], np.int64) for d in docs]
+    number: dict[str, int] = {}
+    index = [np.array([number.setdefault(w, len(number)) for w in words_of(t)], np.int64) for t in texts]
+    every = list(number)
     bare = sorted({w.strip(CUT) for w in every})
     place = {w: i for i, w in enumerate(bare)}
     to_bare = np.array([place[w.strip(CUT)] for w in every] or [0])
