@@ -184,8 +184,7 @@ prim as (select symbol, 'level' as kind, kind as name, price::double as low, pri
   union all select symbol, 'zone', 'block_' || blk, blo::double, bhi::double from facts where blk is not null
   union all select symbol, 'marker', 'sweep_' || side, case side when 'buy_side' then bh else bl end::double, case side when 'buy_side' then bh else bl end::double from pools where status = 'swept'
   union all select symbol, 'marker', 'displacement_' || disp, close::double, close::double from facts where disp is not null)"""
-RULES = """,
-e1 as (select symbol, i, close::double as c, abs(close::double - lag(close::double) over (partition by symbol order by i)) as x from f)"""
+EXTREME = "case side when 'buy_side' then bh else bl end"
 
 ORACLES = {
     "bars_15m": q(B15, f"select {BAR} from f"),
@@ -217,12 +216,12 @@ from (select symbol, epoch(timestamp '2024-02-01') - epoch(max(closed_at)) as a
     "structure_rows": q(ST, f"""select symbol, i as bar_index, 'bullish' as direction, eu as event, {r6('ph', 'level')} from st where eu is not null
 union all select symbol, i, 'bearish', ed, {r6('pl', 'level')} from st where ed is not null"""),
     "pools": q(ST + POOLS, f"select symbol, side, {r6('price')}, created as created_index, touched as touched_index, members, kind, coalesce(breach, -1)::bigint as breach_index, status, coalesce(reason, '-') as reason from pools"),
-    "sweeps": q(ST + POOLS, f"select symbol, side, breach as breach_index, {r6('price')}, {r6(chr(99) + 'ase side when ' + repr('buy_side') + ' then bh else bl end', 'extreme')} from pools where status = 'swept'"),
+    "sweeps": q(ST + POOLS, f"select symbol, side, breach as breach_index, {r6('price')}, {r6(EXTREME, 'extreme')} from pools where status = 'swept'"),
     "active_pools": q(ST + POOLS, "select symbol, side, count(*) as n, round(max(price)::double, 6) as top from pools where created <= 500 and (breach is null or breach > 500) group by 1, 2"),
     "pool_log": q(ST + POOLS, f"select series_key, status, count(*) as n from (select {KEY}, 'active' as status from touches union all select {KEY}, status from pools where status <> 'active') group by 1, 2"),
     "sweep_context": q(ST + POOLS + SWEPT, """, c as (select x.symbol, x.i, last_value(case when w.symbol is not null then x.i end ignore nulls) over (partition by x.symbol order by x.i rows between unbounded preceding and 1 preceding) as si
  from f x left join swept w on w.symbol = x.symbol and w.i = x.i)
-select c.symbol, c.i as bar_index, case when si is null or c.i - si > 20 then 'none' when w.b and w.l then 'after_both' when w.b then 'after_buy_side' else 'after_sell_side' end as sweep_context from c left join swept w on w.symbol = c.symbol and w.i = c.si""".replace(", c as", "\n, c as", 1)),
+select c.symbol, c.i as bar_index, case when si is null or c.i - si > 20 then 'none' when w.b and w.l then 'after_both' when w.b then 'after_buy_side' else 'after_sell_side' end as sweep_context from c left join swept w on w.symbol = c.symbol and w.i = c.si"""),
     "atr": q(ALL, f"select symbol, i as bar_index, {r6('tr')}, round(ptr::double / 14, 6) as prior_atr from facts"),
     "displacement": q(ALL, f"select symbol, i as bar_index, disp as displacement, {r6('body')}, {r6('span')} from facts where disp is not null"),
     "fvg": q(ALL, f"select symbol, i as bar_index, gap, {r6('glo', 'gap_low')}, {r6('ghi', 'gap_high')}, gdisp as gap_displaced from facts where gap is not null"),
