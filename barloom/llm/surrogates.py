@@ -1,7 +1,7 @@
 """Keyed surrogates for personal data, as DataFrame operations.
 
 Mentions are found by one pattern, reduced to the entity behind them (digits of a number, lower
-case of an address, a surname), and every distinct entity of the corpus gets one surrogate from
+case of an address or a name's word), and every distinct entity of the corpus gets one surrogate from
 a keyed digest: so a person, card or address keeps one stand-in in all documents and all ways of
 writing it. Surrogates keep the kind and the form: digits stay digits with their punctuation, letters stay in
 their script and case, card numbers keep their first digit and a valid check digit, phone numbers
@@ -9,6 +9,10 @@ their country code, addresses a valid form in ranges that no one owns, given nam
 and script. Entities that would share a surrogate, or be given another entity of the corpus, draw again until none
 does. Texts are rebuilt from what lies between mentions, so a surrogate is never read again.
 
+A name is a title or a given name of the table, with what initials, particles and capitalised
+words follow on it; every such word but titles and particles is replaced. The words of a
+document's names are mentions wherever else they stand in that document.
+
 Defined cases: a null text stays null with no mentions; a null id is kept; repeated rows are
 treated alike; other columns pass through, but one named like the count is replaced; an empty
 table gives an empty table.
@@ -16,21 +20,25 @@ table gives an empty table.
 
 from __future__ import annotations
 
+import csv
 import hashlib
+from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.llm.common import NO_ID, keep
 
-# Given names by script and gender, titles before surnames.
-GIVEN = {
-    ("latin", "f"): "Alice Anna Barbara Carmen Charlotte Claire Elena Elizabeth Emma Hannah Isabel Julia Laura Lucia Maria Marie Mary Patricia Sarah Sophie",
-    ("latin", "m"): "Antonio Carlos Charles David Daniel Hans James Jean John Joseph Lukas Michael Miguel Paul Peter Pierre Robert Stefan Thomas William",
-    ("cyrillic", "f"): "Анна Галина Елена Ирина Мария Наталья Ольга Светлана Татьяна Юлия",
-    ("cyrillic", "m"): "Александр Алексей Андрей Дмитрий Иван Михаил Николай Павел Сергей Юрий",
-}
+with (Path(__file__).parent / "given_names.csv").open(encoding="utf-8", newline="") as _file:
+    #: Given names by script and gender.
+    GIVEN = {(r["script"], r["gender"]): r["names"] for r in csv.DictReader(_file)}
+#: The most rows a table of given names may have: it becomes one pattern and is sent to all.
+MOST_GIVEN = 100_000
 TITLES = "Mr Mrs Ms Dr Herr Frau"
+PARTICLES = "von van der den de del della di da dos du la le ter zu zum bin ibn al el"
+#: Capitalised at the start of a sentence, and no one's name.
+NO_NAMES = "The And Of For In On At To Is Was It She We They You But Or With By From This That Und Die Das Der Ist Mit Et Elle Les Des Los Las Que"
 LATIN, CYRILLIC = "abcdefghijklmnopqrstuvwxyz", "абвгдежзийклмнопрстуфхцчшщыэюя"
 
 EMAIL = r"[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
@@ -38,9 +46,43 @@ IP = r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\
 CARD = r"(?<![\w.-])\d{4}(?:[ -]?\d{4}){3}(?![\w-])"
 SSN = r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"
 PHONE = r"(?<![\w.])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<![\w.])\(?\d{3}\)?[ .-]\d{3}[ .-]\d{4}(?!\w)"
-NAMES = "|".join(" ".join(GIVEN.values()).split())
-NAME = rf"(?<!\p{{L}})(?:(?:{'|'.join(TITLES.split())})\.? |(?:{NAMES}) )\p{{Lu}}\p{{Ll}}+(?!\p{{L}})"
-ANY = "|".join((EMAIL, IP, CARD, SSN, PHONE, NAME))
+PRIVATE = "|".join((EMAIL, IP, CARD, SSN, PHONE))
+LETTER, BLANKS, SPACES = r"[\p{L}\p{M}]", r"[\s\p{Z}]+", r"[ \t\p{Zs}]+"
+# A word of a name, whole: capitals inside, after hyphens and apostrophes; not the 's behind it, not the start of an address.
+WORD = (
+    rf"(?!(?:{'|'.join(NO_NAMES.split())})(?!{LETTER}))(?>(?:\p{{Lu}}['’](?=\p{{Lu}}{LETTER}))?\p{{Lu}}{LETTER}*(?:[-‐‑]\p{{L}}{LETTER}*|['’](?:\p{{Lu}}{LETTER}+|{LETTER}{{3,}}))*)"
+    rf"(?!{LETTER})(?![A-Za-z0-9._%+-]*@)"
+)
+LONG = rf"(?=\p{{L}}['’]?{LETTER}){WORD}"
+INITIAL = r"(?:(?:\p{Lu}\.){2,4}|\p{Lu}\.?)"
+ALONE = rf"(?<!{LETTER}){LONG}"
+#: A mention's words; what else it holds are blanks.
+TOKEN = r"[dl]['’](?=\p{Lu})|[^\s\p{Z}]+"
+
+
+def any_of(words: list[str]) -> str:
+    """One pattern of many words that looks at each of their letters once."""
+    tree: dict = {}
+    for w in words:
+        at = tree
+        for c in w:
+            at = at.setdefault(c, {})
+        at[""] = {}
+
+    def walk(at: dict) -> str:
+        parts = [("" if c.isalnum() else "\\") + c + walk(below) for c, below in sorted(at.items()) if c]
+        return "" if not parts else (parts[0] if len(parts) == 1 and "" not in at else f"(?:{'|'.join(parts)})" + ("?" if "" in at else ""))
+
+    return walk(tree)
+
+
+def name_pattern(given: list[str]) -> str:
+    """Title or given name, more given names and initials over any blanks, then words and particles; further words on the same line."""
+    titles = "|".join(t for w in TITLES.split() for t in (w, w.upper()))
+    first = rf"{any_of([x for g in given for x in (g, g.upper())])}(?:-\p{{Lu}}{LETTER}*)*"
+    link = rf"(?:(?:{'|'.join(PARTICLES.split())}){BLANKS})*(?:[dl]['’])?"
+    more = rf"(?:{INITIAL}{SPACES})?(?:(?:{'|'.join(PARTICLES.split())}){SPACES})*(?:[dl]['’])?"
+    return rf"(?<!{LETTER})(?:(?:(?:{titles})\.?{BLANKS})+|{first}{BLANKS})(?:(?:{first}|{INITIAL}){BLANKS})*{link}{LONG}(?:{SPACES}{more}{LONG})*"
 
 
 def kind_of(mention: Column) -> Column:
@@ -50,10 +92,15 @@ def kind_of(mention: Column) -> Column:
     return kinds.otherwise("name")
 
 
+def bare(word: Column) -> Column:
+    """A name's word whatever its case and apostrophe."""
+    return F.lower(F.translate(word, "’‐‑", "'--"))
+
+
 def entity_of(kind: Column, mention: Column) -> Column:
     """What mentions of one entity have in common."""
     digits = F.regexp_replace(mention, r"\D", "")
-    return F.when(kind == "email", F.lower(mention)).when(kind == "ip", mention).when(kind == "name", F.element_at(F.split(mention, " "), -1)).otherwise(digits)
+    return F.when(kind == "email", F.lower(mention)).when(kind == "ip", mention).when(kind == "name", bare(mention)).otherwise(digits)
 
 
 def draw(seed: Column, at: Column, size: int) -> Column:
@@ -68,7 +115,7 @@ def disguised(value: Column, seed: Column) -> Column:
         for letters in (LATIN, CYRILLIC):
             new = F.substring(F.lit(letters), draw(seed, i, len(letters)) + 1, F.lit(1))
             out = out.when(F.lit(letters).contains(c), new).when(F.lit(letters.upper()).contains(c), F.upper(new))
-        return out.otherwise(c)
+        return out.when(c.rlike(r"\p{L}"), F.substring(F.lit(LATIN), draw(seed, i, len(LATIN)) + 1, F.lit(1))).otherwise(c)
 
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
@@ -113,42 +160,113 @@ def assign(entities: DataFrame, key: str, rounds: int = 200) -> DataFrame:
     raise RuntimeError("surrogates are used up")
 
 
-def given_names(key: str) -> dict[str, str]:
-    """Each given name's stand-in: the next of its gender and script in a keyed order."""
-    out = {}
-    for names in GIVEN.values():
-        order = sorted(names.split(), key=lambda n: hashlib.sha256(f"{key}\n{n}".encode()).digest())
-        out |= dict(zip(order, order[1:] + order[:1], strict=True))
+def given_names(key: str, given: dict[tuple[str, str], str] = GIVEN) -> dict[str, str]:
+    """Each given name's stand-in: the next of its gender and script in a keyed order.
+
+    A name of both genders keeps the first one's stand-in.
+    """
+    out: dict[str, str] = {}
+    for names in given.values():
+        order = sorted(set(names.split()), key=lambda n: hashlib.sha256(f"{key}\n{n}".encode()).digest())
+        out = dict(zip(order, order[1:] + order[:1], strict=True)) | out
     return out
 
 
-def written(kind: Column, mention: Column, surrogate: Column, given: Column) -> Column:
+def in_case_of(word: Column, new: Column) -> Column:
+    """new with capitals where word has them; all capitals stay so."""
+    shouted = (F.char_length(word) > 1) & (F.upper(word) == word)
+    letters = F.transform(F.split(new, ""), lambda c, i: F.when(F.substring(word, i + 1, F.lit(1)).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c))
+    return F.when(shouted, F.upper(new)).otherwise(F.array_join(letters, ""))
+
+
+def other_initial(initial: Column, key: str) -> Column:
+    """Another letter of the script, the same one for the same letter."""
+
+    def one(c):
+        out = F.lit(None).cast("string")
+        for letters in (CYRILLIC, LATIN):
+            at = F.instr(F.lit(letters.upper()), c) if letters is CYRILLIC else F.greatest(F.instr(F.lit(letters.upper()), c), F.lit(1))
+            out = F.coalesce(out, F.when(at > 0, F.substring(F.lit(letters.upper()), F.pmod(at + draw(F.sha2(F.concat_ws("\n", F.lit(key), c), 256), F.lit("i"), len(letters) - 1), F.lit(len(letters))) + 1, F.lit(1))))
+        return F.when(c == ".", c).otherwise(out)
+
+    return F.array_join(F.transform(F.split(initial, ""), one), "")
+
+
+def written(kind: Column, mention: Column, surrogate: Column) -> Column:
     """The surrogate in the mention's own form."""
-    before = F.element_at(F.split(mention, " "), 1)
     digits = F.array_join(
         F.transform(F.split(mention, ""), lambda c, i: F.when(c.rlike("[0-9]"), F.substring(surrogate, F.char_length(F.regexp_replace(F.substring(mention, F.lit(1), i + 1), r"\D", "")), F.lit(1))).otherwise(c)), ""
     )
-    name = F.concat_ws(" ", F.coalesce(F.try_element_at(given, before), before), surrogate)
-    return F.when(kind == "name", name).when(kind.isin("email", "ip"), surrogate).otherwise(digits)
+    return F.when(kind.isin("email", "ip"), surrogate).otherwise(digits)
+
+
+def replaced(text: Column, pattern: str, forms: Column, rest=lambda piece: F.struct(piece.alias("text"), F.lit(0).alias("n"))) -> Column:
+    """(text, n): every match that has a form in its place, what lies between as rest gives it, and how many there were."""
+    parts = F.arrays_zip(F.split(text, pattern, -1).alias("between"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("match"))
+    parts = F.transform(parts, lambda p: F.struct(rest(p["between"]).alias("b"), p["match"].alias("match"), F.try_element_at(forms, p["match"]).alias("form")))
+    new = F.array_join(F.transform(parts, lambda p: F.concat(p["b"]["text"], F.coalesce(p["form"], p["match"], F.lit("")))), "")
+    n = F.aggregate(parts, F.lit(0), lambda a, p: a + p["b"]["n"] + F.when(p["form"].isNotNull(), 1).otherwise(0))
+    return F.struct(new.alias("text"), n.alias("n"))
 
 
-def replace_private(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_mentions") -> DataFrame:
-    """All rows and columns of docs with the text rewritten, plus the number of mentions replaced."""
-    found = F.regexp_extract_all(F.col(text_col), F.lit(ANY), F.lit(0))
-    mentions = docs.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("d"), F.xxhash64(text_col).alias("th"), F.explode(F.array_distinct(found)).alias("mention"))
+def replace_private(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_mentions", given: DataFrame | None = None) -> DataFrame:
+    """All rows and columns of docs with the text rewritten, plus the number of mentions replaced.
+
+    given: a table (script, gender, names) of given names with blanks between them, GIVEN without one.
+    """
+    table = GIVEN
+    if given is not None:
+        rows = given.select("script", "gender", "names").limit(MOST_GIVEN + 1).collect()
+        table = {}
+        for r in rows:
+            table[r.script, r.gender] = f"{table.get((r.script, r.gender), '')} {r.names}".strip()
+    stand_ins = given_names(key, table)
+    if len(stand_ins) > MOST_GIVEN or (given is not None and len(rows) > MOST_GIVEN):
+        raise ValueError(f"more than {MOST_GIVEN} given names")
+    name = name_pattern(sorted(stand_ins))
+    pattern = f"{PRIVATE}|{name}"
+    spark = docs.sparkSession
+    stand_in = F.broadcast(spark.createDataFrame(pa.table({"entity": [n.lower() for n in stand_ins], "stand_in": list(stand_ins.values())})).dropDuplicates(["entity"]))  # at most MOST_GIVEN rows
+
+    text = F.col(text_col)
+    whole = F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))), lambda m: F.struct(m.alias("mention"), F.lit(True).alias("whole")))
+    words = F.array_distinct(F.flatten(F.transform(F.split(text, pattern, -1), lambda b: F.regexp_extract_all(b, F.lit(ALONE), F.lit(0)))))
+    words = F.when(text.rlike(name), F.transform(words, lambda w: F.struct(w.alias("mention"), F.lit(False).alias("whole")))).otherwise(F.array().cast("array<struct<mention:string,whole:boolean>>"))
+    mentions = docs.select(F.coalesce(F.col(id_col), F.lit(NO_ID)).alias("d"), F.xxhash64(text_col).alias("th"), F.explode(F.concat(whole, words)).alias("m")).select("d", "th", "m.*")
     mentions = keep(mentions.distinct(), "mentions")
-    kinds = mentions.select("mention").distinct().withColumn("kind", kind_of(F.col("mention"))).withColumn("entity", entity_of(F.col("kind"), F.col("mention")))
-    kinds = keep(kinds, "kinds")
-    chosen = assign(kinds.select("kind", "entity").distinct(), key)
-    given = F.create_map(*[F.lit(x) for pair in given_names(key).items() for x in pair])
-    forms = kinds.join(chosen, ["kind", "entity"]).select("mention", written(F.col("kind"), F.col("mention"), F.col("surrogate"), given).alias("form"))
-    forms = mentions.join(forms.hint("rebalance"), "mention").groupBy("d", "th").agg(F.map_from_entries(F.collect_list(F.struct("mention", "form"))).alias("forms"))
+    kinds = mentions.where("whole").select("mention").distinct().withColumn("kind", kind_of(F.col("mention")))
+    kinds = keep(kinds.withColumn("entity", F.when(F.col("kind") != "name", entity_of(F.col("kind"), F.col("mention")))), "kinds")
+
+    # The words of names, and the words of the same documents that are among them.
+    parts = kinds.where("kind = 'name'").select("mention", F.posexplode(F.regexp_extract_all("mention", F.lit(TOKEN), F.lit(0))).alias("pos", "word"))
+    plain = F.regexp_replace("word", r"\.$", "")
+    role = F.when(plain.isin([t for w in TITLES.split() for t in (w, w.upper())]), "title").when(F.col("word").rlike(rf"^{INITIAL}$"), "initial").when(F.col("word").rlike(r"^\p{Ll}"), "particle").otherwise("name")
+    parts = keep(parts.withColumn("role", role).withColumn("entity", F.when(F.col("role") == "name", bare(F.col("word")))), "parts")
+    known = mentions.where("whole").join(parts.where("role = 'name'").select("mention", "entity"), "mention").select("d", "th", "entity").distinct()
+    again = mentions.where("not whole").withColumn("entity", bare(F.col("mention"))).join(known, ["d", "th", "entity"]).select("d", "th", "mention", "entity")
+    again = keep(again, "again")
+
+    names = parts.where("role = 'name'").select("word", "entity").union(again.select(F.col("mention").alias("word"), "entity")).distinct().join(stand_in, "entity", "left")
+    names = keep(names, "names")
+    chosen = assign(kinds.where("kind <> 'name'").select("kind", "entity").union(names.where("stand_in IS NULL").select(F.lit("name").alias("kind"), "entity")).distinct(), key)
+    drawn = chosen.where("kind = 'name'").select("entity", "surrogate")
+    shouted = F.when((F.char_length("word") > 1) & (F.upper("word") == F.col("word")), F.upper("stand_in")).otherwise(F.col("stand_in"))
+    names = keep(names.join(drawn, "entity", "left").select("word", F.coalesce(shouted, in_case_of(F.col("word"), F.col("surrogate"))).alias("form")), "forms")
+
+    plain_forms = kinds.where("kind <> 'name'").join(chosen, ["kind", "entity"]).select("mention", written(F.col("kind"), F.col("mention"), F.col("surrogate")).alias("form"))
+    new = F.when(F.col("role") == "initial", other_initial(F.col("word"), key)).otherwise(F.coalesce("form", "word"))
+    listed = parts.join(names.withColumn("role", F.lit("name")), ["word", "role"], "left").groupBy("mention").agg(F.array_sort(F.collect_list(F.struct("pos", new.alias("form")))).alias("new"))  # the words of one mention
+    listed = listed.select("mention", F.array_join(F.transform(F.arrays_zip(F.split("mention", TOKEN, -1).alias("between"), "new"), lambda p: F.concat(p["between"], F.coalesce(p["new"]["form"], F.lit("")))), "").alias("form"))
+    forms = mentions.where("whole").select("d", "th", "mention").join(plain_forms.union(listed).hint("rebalance"), "mention")
+    forms = forms.select("d", "th", F.lit(True).alias("whole"), "mention", "form").union(again.withColumnRenamed("mention", "word").join(names.hint("rebalance"), "word").select("d", "th", F.lit(False), "word", "form"))
+    one = F.struct("mention", "form")
+    forms = forms.groupBy("d", "th").agg(F.map_from_entries(F.collect_list(F.when(F.col("whole"), one))).alias("forms"), F.map_from_entries(F.collect_list(F.when(~F.col("whole"), one))).alias("alone"))
 
     row = F.struct(*[docs[c] for c in docs.columns])
     both = docs.select(row.alias("row"), F.coalesce(docs[id_col], F.lit(NO_ID)).alias("d"), F.xxhash64(docs[text_col]).alias("th")).join(forms, ["d", "th"], "left")
     text = F.col("row").getField(text_col)
-    both = both.withColumn("found", F.when(F.col("forms").isNotNull(), F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
-    parts = F.arrays_zip(F.split(text, ANY, -1).alias("between"), F.transform("found", lambda m: F.try_element_at("forms", m)).alias("form"))
-    new = F.array_join(F.transform(parts, lambda p: F.concat(p["between"], F.coalesce(p["form"], F.lit("")))), "")
-    out = [(F.when(F.col("forms").isNull(), text).otherwise(new) if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns if c != count_col]
-    return both.select(*out, F.coalesce(F.size("found"), F.lit(0)).cast("long").alias(count_col))
+    simple = replaced(text, pattern, F.col("forms"))
+    nested = replaced(text, pattern, F.col("forms"), lambda piece: replaced(piece, ALONE, F.col("alone")))
+    both = both.withColumn("new", F.when(F.col("forms").isNotNull(), F.when(F.size("alone") > 0, nested).otherwise(simple)))
+    out = [(F.when(F.col("forms").isNull(), text).otherwise(F.col("new.text")) if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns if c != count_col]
+    return both.select(*out, F.coalesce("new.n", F.lit(0)).cast("long").alias(count_col))

@@ -289,6 +289,24 @@ def test_surrogates(spark):
     assert surrogates.replace_private(df.where("false"), "key").count() == 0
 
 
+def test_surrogates_of_whole_names(spark):
+    text = [
+        "Mr. John Smith and Dr. Anna Smith met. Smith's house; SMITH left. John stayed.", "John Paul Smith, Anna Smith-Jones, John O'Brien, Mary McDonald's, Michael B. Jordan, ANNA SMITH.", "John\nSmith\u00a0and Emily Johnson; Johnson\n\nThe end of Herr Dr. van der Berg. Mail Anna Quux@x.org",
+        "Smith and Johnson make things here, The Berg too.", "Mary The end. Jean-Paul Sartre, Anna d'Artagnan and Ludwig van Beethoven: Beethoven. Dr. Παπαδόπουλος, Dr. Müller",
+    ]
+    df = spark.createDataFrame(list(enumerate(text)), "doc_id long, text string")
+    got = {r.doc_id: r for r in surrogates.replace_private(df, "key").collect()}
+    for i, gone in enumerate(["John Anna Smith SMITH", "John Paul Anna Smith Jones Brien Mary McDonald Michael B. Jordan ANNA SMITH", "John Smith Emily Johnson Berg Quux", "", "Jean Paul Sartre Artagnan Ludwig Beethoven Παπαδόπουλος Müller"]):
+        for word in gone.split():
+            assert not re.search(rf"(?<!\w){word}(?!\w)", got[i].text), (word, got[i].text)
+    assert got[3].text == text[3] and got[3].n_mentions == 0 and got[4].text.startswith("Mary The end. ")
+    a, b, c, d = re.match(r"Mr\. \w+ (\w+) and Dr\. \w+ (\w+) met\. (\w+)'s house; (\w+) left\.", got[0].text).groups()
+    assert a == b == c and d == a.upper() and got[0].n_mentions == 5
+    assert re.search(r"\w+\n" + a + "\u00a0and", got[2].text) and got[1].text.endswith(f" {d}.") and " The end of Herr Dr. van der " in got[2].text.replace("\n", " ")
+    table = spark.createDataFrame([("latin", "f", "Zuleika Xanthippe")], "script string, gender string, names string")
+    assert "Zuleika" not in surrogates.replace_private(spark.createDataFrame([(1, "Zuleika Dobson")], "doc_id long, text string"), "key", given=table).first().text
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     words = [f"word{i}" for i in range(30)]
