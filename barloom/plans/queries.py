@@ -119,7 +119,8 @@ def sweeps(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def active_pools(spark: SparkSession, sf: str) -> DataFrame:
-    return liquidity.active_at(liquidity.pools(structured(spark, sf), CFG), 500).groupBy("symbol", "side").agg(F.count("*").alias("n"), F.round(F.max(F.col("price").cast("double")), 6).alias("top"))
+    """Pools that are active after each series' own last bar."""
+    return liquidity.pools(structured(spark, sf), CFG).where("status = 'active'").groupBy("symbol", "side").agg(F.count("*").alias("n"), F.round(F.max(F.col("price").cast("double")), 6).alias("top"))
 
 
 def banded_pools(spark: SparkSession, sf: str) -> DataFrame:

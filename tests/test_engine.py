@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from barloom.functions.core import first_hit, require_higher_multiple
 from barloom.operators import context, liquidity, outcomes, structure
 from barloom.plans import facts as P
+from barloom.plans import queries
 from barloom.plans import reports as R
 from barloom.plans.config import Config
 from barloom.sources import candles, quality
@@ -52,6 +53,19 @@ def test_liquidity_fixture(spark):
     assert swept == {("buy_side", 9, 16.0, 17.0, "equal_highs"), ("sell_side", 10, 9.0, 8.0, "equal_lows")}
 
 
+def test_active_pools_are_those_after_the_last_bar(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(i, START + timedelta(minutes=15 * i), kind, 100.0 + rng.randrange(40)) for kind, n in (("click", 700), ("view", 90)) for i in range(n)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {(r.symbol, r.side): (r.n, r.top) for r in queries.active_pools(spark, str(tmp_path)).collect()}
+    life = liquidity.pools(queries.structured(spark, str(tmp_path)), queries.CFG).where("breach_index IS NULL").collect()
+    want = {}
+    for r in life:
+        n, top = want.get((r.symbol, r.side), (0, 0.0))
+        want[r.symbol, r.side] = (n + 1, max(top, float(r.price)))
+    assert got == want and any(r.created_index > 500 for r in life)
+
+
 def test_bands_of_zero_are_exact_pools(spark):
     f = P.structure_facts(make(spark, noise(1)), Config()).persist()
     cols = ["side", "price", "breach_index", "created_index", "touched_index", "members"]
