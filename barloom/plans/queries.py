@@ -286,34 +286,47 @@ def walk_forward_plan(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def walked(spark: SparkSession, sf: str) -> DataFrame:
-    """Longs on breaks of structure within each window, by the window's own bars only."""
-    w = R.window_bars(P.event_bars(spark, sf, "15m"), CFG)
-    f = P.structure_facts(w, CFG).transform(outcomes.add_outcomes, CFG)
-    return f.where("event_up IS NOT NULL")
+    """The BUY signals of each window, by the whole chain over the window's own bars; regimes are those of the whole series."""
+    b = P.event_bars(spark, sf, "15m")
+    higher = {tf: P.event_bars(spark, sf, tf) for tf in CFG.higher}
+    f = P.signal_facts(R.window_bars(b, CFG), higher, registry(spark), CFG).where("signal = 'BUY_SIGNAL'")
+    regimes = b.transform(outcomes.add_regime, CFG).select(F.col("series_key").alias("parent_key"), "opened_at", "regime")
+    f = f.drop("regime").join(regimes, ["parent_key", "opened_at"], "left")
+    return f.withColumn("month", F.date_format("opened_at", "yyyy-MM"))
+
+
+def walk_segments(spark: SparkSession, sf: str) -> DataFrame:
+    return R.segments(walked(spark, sf), CFG, "symbol", "window_id")
 
 
 def walk_forward(spark: SparkSession, sf: str) -> DataFrame:
-    cfg = Config(minimum_finalized=1)
-    return stats(R.segments(walked(spark, sf), cfg, "symbol", "window_id"), "symbol", "window_id", "segment")
+    return stats(walk_segments(spark, sf), "symbol", "window_id", "segment")
 
 
 def stability(spark: SparkSession, sf: str) -> DataFrame:
-    cfg = Config(minimum_finalized=1)
-    out = R.stability(R.segments(walked(spark, sf), cfg, "symbol", "window_id"), cfg, "symbol")
+    out = R.stability(walk_segments(spark, sf), CFG, "symbol")
     return out.select("symbol", "windows", "sampled", "positive", "negative", d("win_spread"), "status")
 
 
 def degradation(spark: SparkSession, sf: str) -> DataFrame:
-    cfg = Config(minimum_finalized=1)
-    return R.degradation(R.segments(walked(spark, sf), cfg, "symbol", "window_id"), cfg, "symbol", "window_id").select("symbol", "window_id", d("win_rate_change"), F.round("avg_return_change", 5).alias("avg_return_change"), "both")
+    return R.degradation(walk_segments(spark, sf), CFG, "symbol", "window_id").select("symbol", "window_id", d("win_rate_change"), F.round("avg_return_change", 5).alias("avg_return_change"), "both")
+
+
+def validated(spark: SparkSession, sf: str) -> DataFrame:
+    return walked(spark, sf).where(F.col("bar_index") >= CFG.development_bars)
+
+
+def out_of_sample(spark: SparkSession, sf: str) -> DataFrame:
+    dims = {"symbol": "symbol", "timeframe": "timeframe", "combination": "combination", "month": "month", "regime": "regime"}
+    return stats(R.buckets(validated(spark, sf), dims, CFG), "dimension", "group", "sufficient")
 
 
 def cells(spark: SparkSession, sf: str) -> DataFrame:
-    return stats(R.cells(published(spark, sf), CFG), "dimension", "group", "pattern").drop("avg_return")
+    return stats(R.cells(validated(spark, sf), CFG), "dimension", "group", "pattern").drop("avg_return")
 
 
 def findings(spark: SparkSession, sf: str) -> DataFrame:
-    return R.findings(R.cells(published(spark, sf), CFG)).select("dimension", "group", "finalized", d("win_rate"))
+    return R.findings(R.cells(validated(spark, sf), CFG)).select("dimension", "group", "finalized", d("win_rate"))
 
 
 def compare_variants(spark: SparkSession, sf: str) -> DataFrame:
@@ -354,7 +367,7 @@ def fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 NAMES = (
     bars_orders, candle_audit, candle_conflicts, latest_n_bars, gaps, intervals, freshness, condition_rollup, swings, trend, structure_events, structure_rows, pools, sweeps, active_pools, banded_pools, pool_log, sweep_context,
     atr, displacement, fvg, order_blocks, dealing_range, pd_class, pd_arrays, retracement, structure_shift, breakers, mitigations, mtf_confluence, htf_evidence, registry_status, scores, eligibility, signals, outcome_rows, outcome_running,
-    outcome_log, ema_rsi, volume_ratio, attribution, performance, performance_ranks, monthly_review, regimes, walk_forward_plan, walk_forward, stability, degradation, cells, findings, compare_variants, threshold_grid,
+    outcome_log, ema_rsi, volume_ratio, attribution, performance, performance_ranks, monthly_review, regimes, walk_forward_plan, walk_forward, stability, degradation, out_of_sample, cells, findings, compare_variants, threshold_grid,
     chart_primitives, price_domain, ledger_stats, fingerprints,
 )
 QUERIES = {"bars_15m": bars("15m"), "bars_1h": bars("1h"), **{f.__name__: f for f in NAMES}}
