@@ -72,15 +72,14 @@ def cut(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) -> Dat
     """The pieces of every document, with checksums of their ids."""
 
     def pieces(batches):
-        for part, ids in encoded(batches, tokenizer_path, end_id):
-            rows: list[list[int]] = [[] for _ in range(5)]
-            for i, x in enumerate(ids):
-                n = len(x) // 4
-                for a in range(0, n, capacity):
-                    for column, v in zip(rows, (i, a, min(capacity, n - a), zlib.crc32(x[4 * a : 4 * (a + capacity)]), n), strict=True):
-                        column.append(v)
-            arrays = [part.column("doc_id").take(pa.array(rows[0], pa.int64())), *(pa.array(np.array(r, np.int64)) for r in rows[1:])]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        for part, ids, sizes in encoded(batches, tokenizer_path, end_id):
+            cuts = -(-sizes // capacity)
+            row = np.repeat(np.arange(len(sizes)), cuts)
+            start = (np.arange(len(row)) - np.repeat(np.cumsum(cuts) - cuts, cuts)) * capacity
+            length = np.minimum(capacity, sizes[row] - start)
+            at = (np.cumsum(sizes) - sizes)[row] + start
+            crc = [zlib.crc32(ids[a : a + n]) for a, n in zip(at.tolist(), length.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(pa.array(row)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(sizes[row])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pieces, PIECES)
 

@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -123,14 +124,21 @@ def test_mix(docs, empty):
     assert mixing.mix(empty).count() == 0
 
 
-ODD = ["a.b,c d... \"foo\". don't. it's, x́.  é, \x1c! <|endoftext|>. <|ENDOFTEXT|> A.  b　,c  ", "  .lead", "É.é 12.5,3 1,000.\r\n\r\nA\t.b . , '.s 's.", "İ I. ΑΣ. ΟΔΟΣ, x", "a\nb\nc. d, .,\n. ,\nx", "", ".", "\n", "x <|endoftext|>,\n<|endoftext|> y", "\0a b", "é\nÉ ñ, ß. ǅ ª", "١٢ ² x²,"]
+ODD = ["a.b,c d... \"foo\". don't. it's, x́.  é, \x1c! <|endoftext|>. <|ENDOFTEXT|> A.  b　,c  ", "  .lead", "É.é 12.5,3 1,000.\r\n\r\nA\t.b . , '.s 's.", "İ I. ΑΣ. ΟΔΟΣ, x", "İ.", "x İ,", "İz İ, y", "a\nb\nc. d, .,\n. ,\nx", "", ".", "\n", "x <|endoftext|>,\n<|endoftext|> y", "\0a b", "é\nÉ ñ, ß. ǅ ª", "١٢ ² x²,"]
 
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_parts_encode_like_whole_texts(name):
     e = tokens.encoder(f"{TOKENIZERS}/{name}")
-    for t in ODD + [r[1] or "" for r in corpus()]:
-        assert e.encode(t) == np.array(e.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    rng = random.Random(11)
+    bits = [*"abeIKs'tm.,!-\"019 \n\t", "  ", "\n\n", "<|endoftext|>", "<|", *"İΣςéЖй½²١中ก…“’ªǅKÅĳﬁ\u0301\u0306\u0307\u200b\u2009\u3000\x1c\x85\0", "'s", "'RE", "😀", "\r\n", "Stra", " . ", " ,"]
+    kinds = [(32, 127), (0x80, 0x530), (0x300, 0x370), (0x530, 0x3100)]
+    texts = ["".join(rng.choice(bits) if rng.random() < 0.8 else chr(rng.randrange(*rng.choice(kinds))) for _ in range(rng.randrange(14))) for _ in range(20_000)]
+    texts = [None, *ODD, *(r[1] for r in corpus()), *texts]
+    ids, sizes = e.encode(pa.array(texts))
+    ends = np.cumsum(sizes)
+    for t, n, end in zip(texts, sizes, ends, strict=True):
+        assert ids[end - n : end].tolist() == e.tokenizer.encode(t or "", add_special_tokens=False).ids, t
 
 
 def plain_ids(name, end):
@@ -146,9 +154,36 @@ def test_token_orc(spark, docs, empty, tmp_path):
     ids = [1 << 62 if g[1] is None else g[1] for g in got]
     assert ids == sorted(ids)
     assert tokens.store_tokens(empty, f"{TOKENIZERS}/word_bpe_49k.json", 2).count() == 0
-    tokens.write_token_orc(docs, f"{tmp_path}/orc", f"{TOKENIZERS}/word_bpe_49k.json", 2)
-    one = tokens.read_token_orc(spark, f"{tmp_path}/orc").where("doc_id = 7")
-    assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,7)]" in one._jdf.queryExecution().explainString(one._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")) if hasattr(one, "_jvm") else one.count() == 1
+
+
+def test_token_orc_of_one_id(spark, tmp_path):
+    """Rows of one id with other texts: start is where the file holds them."""
+    df = spark.createDataFrame([(i // 4, f"{'ab'[i % 2]} word {i % 4} " * (i % 4)) for i in range(60)], "doc_id long, text string").repartition(4)
+    path = f"{tmp_path}/orc"
+    tokens.write_token_orc(df, path, f"{TOKENIZERS}/word_bpe_49k.json", 2)
+    held = tokens.read_token_orc(spark, path).orderBy("shard", "place").collect()
+    at, want = 0, []
+    for r in held:
+        want.append((r.doc_id, at, r.n_tokens, zlib.crc32(np.array(r.tokens, "<u4").tobytes())))
+        at += len(r.tokens)
+    assert sorted(want) == sorted(tuple(r) for r in tokens.token_index(tokens.read_token_orc(spark, path)).collect())
+    assert [r.doc_id for r in held] == sorted(r.doc_id for r in held)
+
+
+def test_token_orc_prunes(spark, tmp_path):
+    """A filter on ids reaches the scan, and row groups that can't hold them aren't read."""
+    path = f"{tmp_path}/orc"
+    tokens.write_token_orc(spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text")), path, f"{TOKENIZERS}/word_bpe_49k.json", 2)
+    one = tokens.read_token_orc(spark, path).where("doc_id = 7001")
+    assert one.count() == 1 and len(one.collect()) == 1
+    plan = one._jdf.queryExecution().executedPlan()
+    assert "EqualTo(doc_id,7001)" in plan.toString()
+    leaves = plan.collectLeaves()
+    assert 1 <= sum(leaves.apply(i).metrics().apply("numOutputRows").value() for i in range(leaves.size())) <= 2_000
+    from pyarrow import orc
+
+    files = [orc.ORCFile(str(f)) for f in sorted((tmp_path / "orc").glob("*.orc"))]
+    assert sum(f.nrows for f in files) == 20_000 and all(f.nstripes for f in files) and all(f.row_index_stride == 2_000 and str(f.compression).upper() == "ZSTD" for f in files)
 
 
 def test_packing(docs, empty):
