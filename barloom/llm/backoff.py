@@ -1,184 +1,225 @@
-"""Stupid-backoff scores of documents against the counts of all other documents.
+"""Stupid-backoff scores of documents, computed relationally.
 
-The n-gram table is partitioned by hash. Documents travel as chunks of bounded size; a chunk sends
-each part its distinct n-grams with counts, the part adds up all chunks' counts and answers with
-the sums in the order in which that chunk asked, and the chunk joins the answers back to its
-n-grams and sums the logarithms document by document. A frequent n-gram is one entry a chunk.
+Texts are exploded into n-grams, each a context (the words before) and a word. Count tables of pairs
+and of contexts are grouped from them, joined back on (context, word) and on context, and the
+logarithms are summed per document: S(w | u v) = c(u v w) / c(u v) if the n-gram was seen, else
+alpha S(w | v), and at last c(w) / N.
 
-Counts leave the document itself out, or every n-gram would have been seen: with c the count less
-the document's own, S(w | u v) = c(u v w) / c(u v) where both are above 0, else alpha S(w | v), and
-at last c(w) / N, with one half for a word no other document has. N leaves the document out, too.
-N-grams are 56-bit hashes of their words' hashes; A-Z count as a-z.
+`score_documents` scores a corpus by its own counts. There every n-gram has been seen, so the first
+order - 1 words of a document come to c(u v) / N, as the counts between cancel, and only two
+count tables are needed: n-grams are dealt by the hash of their context, both tables are grouped and
+joined where the n-grams lie, and one more shuffle sums up documents. The n-grams are handled in
+`rounds` parts by their context's hash, one after another, and shuffle files are freed in between, so
+they take a fraction of the disk. Contexts above a thousandth of all words are
+left out of that and go by plain joins on (context, word), whose hot keys Spark splits.
 
-Defined cases: a null, empty or blank text has no words and a null mean; the only document with
-words has every word unseen and N = 1; repeated rows are documents of their own, so they are each
-other's evidence; a null id is kept; other columns are ignored; an empty table gives an empty table.
+`score_against` scores documents by the counts of another corpus and backs off where it must.
+
+Words are hashed to 64 bits, A-Z as a-z; n-grams mix their words' hashes.
+
+Defined cases: a null, empty or blank text has no words, a score of 0 and a null mean; texts of
+fewer than order - 1 words score the count of the whole text by N; repeated rows count as often as
+they stand and score alike; a null id is kept; other columns are ignored; an empty table gives an
+empty table. In `score_against` a word that the corpus lacks counts one half.
 """
 
 from __future__ import annotations
 
 import math
-import pickle
-from functools import lru_cache
+from collections.abc import Iterator
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import WordHasher, keep, mix64, pack, shards, squeeze, text_chunks, unpack, unsqueeze
+from barloom.llm.common import WordHasher, keep, mix64, shards, text_chunks
 
-#: Bytes of text in a chunk (or one document).
-CHUNK = 6 << 20
 ALPHA = 0.4
-#: Parts of the table for each shuffle partition; a part is held by one task at a time.
-PARTS = 4
+#: N-grams of a round in one partition.
+ROWS = 2_000_000
+#: Stand for no word: a document's first context, and the end behind its last one. Words are even.
+FIRST, END = 1, 3
 
 
-def chunks(docs: DataFrame) -> DataFrame:
-    """(chunk, blob): ids and compressed texts of some documents each.
+@lru_cache(maxsize=1)
+def hasher() -> WordHasher:
+    return WordHasher()
 
-    A chunk is named by its partition and place there, which reruns of a task repeat.
-    """
 
-    def rows(batches):
-        from pyspark import TaskContext
+def grams_of(words: np.ndarray, sizes: np.ndarray, order: int) -> list[np.ndarray]:
+    """For 1 to order: the hash of the n-gram that ends at each word; the first n - 1 of a text are of no use."""
+    out, gram = [], mix64(words)
+    for n in range(1, order + 1):
+        if n > 1:
+            gram = mix64(np.concatenate([gram[:1], gram[:-1]]) * np.uint64(0x9E3779B97F4A7C15) + words + np.uint64(n))
+        out.append(gram)
+    return out
 
-        part, n = TaskContext.get().partitionId(), 0
-        ids: list = []
-        texts: list[tuple[bytes, np.ndarray]] = []
 
-        def flush():
-            return pa.RecordBatch.from_arrays([pa.array([part << 32 | n], pa.int64()), pa.array([pickle.dumps((ids, texts))], pa.binary())], ["chunk", "blob"])
+def read(batches: Iterator[pa.RecordBatch], order: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """(rows, words in each, words' hashes, places in their texts, n-grams) of slices of a few megabytes."""
+    for batch in batches:
+        for i, j, data, offsets in text_chunks(batch.column("text")):
+            words, bounds = hasher().hashes(data, offsets)
+            sizes = np.diff(bounds)
+            place = np.arange(len(words)) - np.repeat(bounds[:-1], sizes)
+            yield batch.slice(i, j - i), sizes, words & ~np.uint64(1), place, grams_of(words, sizes, order)
 
-        size = 0
-        for batch in batches:
-            for i, j, data, offsets in text_chunks(batch.column("text")):
-                ids += batch.column("doc_id")[i:j].to_pylist()
-                texts.append((squeeze(data), offsets))
-                size += len(data)
-                if size >= CHUNK:
-                    yield flush()
-                    n, size, ids, texts = n + 1, 0, [], []
-        if ids:
-            yield flush()
 
-    return docs.mapInArrow(rows, "chunk long, blob binary")
+def counted(keys: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(places, counts): where each different row of columns stands first, in order, and how often it stands."""
+    for c in columns:
+        keys = mix64(keys * np.uint64(0x9E3779B97F4A7C15) ^ c)
+    _, at, n = np.unique(keys, return_index=True, return_counts=True)
+    back = np.argsort(at)
+    return at[back], n[back]
 
 
-@lru_cache(maxsize=1)
-def hasher() -> WordHasher:
-    return WordHasher()
+def rows_of(names: str, *arrays) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64) if isinstance(a, np.ndarray) and a.dtype == np.uint64 else a) for a in arrays], names.split())
 
 
-def opened(blob: bytes) -> tuple[list, np.ndarray, np.ndarray]:
-    """(ids, hashes of the words, words per document)."""
-    ids, texts = pickle.loads(blob)
-    words, sizes = [np.zeros(0, np.uint64)], []
-    for data, offsets in texts:
-        found, bounds = hasher().hashes(unsqueeze(data, np.uint8), offsets)
-        words.append(found)
-        sizes.append(np.diff(bounds))
-    return ids, np.concatenate(words), np.concatenate(sizes)
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, d, text); d names a text."""
+    text = F.coalesce("text", F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("d"), text.alias("text"))
 
 
-def grams_of(words: np.ndarray, sizes: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For 1 to order: the n-gram that ends at each word (56 bits), and which words end one."""
-    place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    out, gram = [], mix64(words)
-    for n in range(1, order + 1):
-        if n > 1:
-            gram = mix64(np.concatenate([gram[:1], gram[:-1]]) * np.uint64(0x9E3779B97F4A7C15) + words + np.uint64(n))
-        out.append(((mix64(gram) >> np.uint64(8)) if n == 1 else gram >> np.uint64(8), place >= n - 1))
-    return out
+def sized(texts: DataFrame, order: int, share: int) -> DataFrame:
+    """Rows (doc_id, d, n_words) of all documents, and rows (ctx, n) of contexts that are frequent in a slice: at most 2 * share of each."""
 
+    def rows(batches):
+        for part, sizes, _, place, grams in read(batches, order):
+            none = pa.nulls(len(sizes), pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("d"), pa.array(sizes), none, none], ["doc_id", "d", "n_words", "ctx", "n"])
+            ctx, n = np.unique(grams[order - 2][place >= order - 2], return_counts=True)
+            many = n * 2 * share > len(place)
+            if many.any():
+                none = pa.nulls(int(many.sum()), pa.int64())
+                yield pa.RecordBatch.from_arrays([none, none, none, pa.array(ctx[many].view(np.int64)), pa.array(n[many])], ["doc_id", "d", "n_words", "ctx", "n"])
 
-def distinct_of(grams: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    return np.unique(np.concatenate([g[ok] for g, ok in grams]), return_counts=True)
+    return texts.mapInArrow(rows, "doc_id long, d long, n_words long, ctx long, n long")
 
 
-def edges_of(groups: int) -> np.ndarray:
-    """Where the parts of the table begin; the first is not named."""
-    return np.array([(1 << 56) * g // groups for g in range(1, groups)], np.uint64)
+def exploded(texts: DataFrame, order: int, heavy: np.ndarray, rounds: int, part: int | None) -> DataFrame:
+    """(ctx, w, d, tf): the n-grams of every document with counts, for one part of the contexts or the frequent ones (None).
 
+    A document's first context comes once more with FIRST and no count, its last one with END.
+    """
 
-def asked(parts: DataFrame, order: int, groups: int) -> DataFrame:
-    """(grp, chunk, grams, counts): what each chunk sends each part of the table."""
+    def rows(batches):
+        for batch, sizes, words, place, grams in read(batches, order):
+            ctx = grams[order - 2]
+            doc = np.repeat(np.asarray(batch.column("d")).view(np.uint64), sizes)
+            last = np.zeros(len(words), bool)
+            last[np.cumsum(sizes)[sizes > 0] - 1] = True
+            i, first, end = np.flatnonzero(place >= order - 1), np.flatnonzero(place == order - 2), np.flatnonzero(last & (place >= order - 2))
+            c = np.concatenate([ctx[i - 1], ctx[first], ctx[end]])
+            w = np.concatenate([words[i], np.full(len(first), FIRST, np.uint64), np.full(len(end), END, np.uint64)])
+            d = np.concatenate([doc[i], doc[first], doc[end]])
+            often = np.isin(c, heavy)
+            mine = often if part is None else ~often & (c % np.uint64(rounds) == np.uint64(part))
+            c, w, d = c[mine], w[mine], d[mine]
+            at, tf = counted(d, c, w)
+            if len(at):
+                yield rows_of("ctx w d tf copies", c[at], w[at], d[at], np.where(w[at] == FIRST, 0, tf).astype(np.int32), np.where(w[at] == FIRST, tf, 1).astype(np.int32))
+
+    return texts.select("d", "text").mapInArrow(rows, "ctx long, w long, d long, tf int, copies int")
+
+
+def gains(rows: DataFrame, placed: bool) -> DataFrame:
+    """(d, s): the sum of each document's logarithms over these n-grams; placed: all n-grams of a context lie in one partition."""
+    pairs = rows.groupBy("ctx", "w").agg(F.sum("tf").alias("n"), F.count("d").alias("docs"))
+    contexts = pairs.groupBy("ctx").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs"))
+    if placed:
+        # what only one row has needs no table
+        pairs, contexts = pairs.where("docs > 1").hint("shuffle_hash"), contexts.where("docs > 1").hint("shuffle_hash")
+    else:
+        contexts = F.broadcast(contexts)  # 2 * share rows at most
+    found = rows.join(contexts.drop("docs"), "ctx", "left").join(pairs.drop("docs"), ["ctx", "w"], "left")
+    total, n = F.coalesce("total", F.col("tf").cast("long")), F.coalesce("n", F.col("tf").cast("long"))
+    gain = F.when(F.col("w") == FIRST, F.col("copies") * F.log(total)).when(F.col("w") == END, 0.0).otherwise(F.col("tf") * (F.log(n) - F.log(total)))
+    return found.select("d", gain.alias("s")).where("s <> 0").groupBy("d").agg(F.sum("s").alias("s"))
+
+
+def short_gains(texts: DataFrame, k: int) -> DataFrame:
+    """(d, s): log counts of whole texts of k words."""
 
     def rows(batches):
-        for b in batches:
-            for chunk, blob in zip(b.column("chunk").to_pylist(), b.column("blob").to_pylist(), strict=True):
-                _, words, sizes = opened(blob)
-                names, counts = distinct_of(grams_of(words, sizes, order))
-                cut = np.searchsorted(names, edges_of(groups))
-                out = [(g, chunk, pack(x), squeeze(c.astype("<u4"))) for g, (x, c) in enumerate(zip(np.split(names, cut), np.split(counts, cut), strict=True)) if len(x)]
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["grp", "chunk", "grams", "counts"])
-
-    return parts.mapInArrow(rows, "grp int, chunk long, grams binary, counts binary")
-
-
-def answered(requests: DataFrame) -> DataFrame:
-    """(chunk, grp, totals): the sums over all chunks, in each chunk's own order."""
-
-    def add(t: pa.Table) -> pa.Table:
-        grams = [unpack(b) for b in t["grams"].to_pylist()]
-        counts = np.concatenate([unsqueeze(b, "<u4") for b in t["counts"].to_pylist()]).astype(np.int64)
-        flat = np.concatenate(grams)
-        order = np.argsort(flat, kind="stable")
-        first = np.concatenate([[True], flat[order][1:] != flat[order][:-1]])
-        sums = np.add.reduceat(counts[order], np.flatnonzero(first))
-        back = np.empty(len(flat), np.int64)
-        back[order] = sums[np.cumsum(first) - 1]
-        ends = np.cumsum([len(g) for g in grams])
-        return pa.table({"chunk": t["chunk"], "grp": t["grp"], "totals": pa.array([squeeze(x.astype("<u8").view(np.uint8).reshape(-1, 8).T) for x in np.split(back, ends[:-1])], pa.binary())})
-
-    return requests.groupBy("grp").applyInArrow(add, "chunk long, grp int, totals binary")
-
-
-def summed(words: np.ndarray, sizes: np.ndarray, totals: np.ndarray, everything: int, order: int, alpha: float) -> np.ndarray:
-    """The sum of log scores of each document; totals: counts in the order of distinct_of."""
-    grams = grams_of(words, sizes, order)
-    names, _ = distinct_of(grams)
-    doc = np.repeat(np.arange(len(sizes)), sizes)
-    left = []
-    for g, ok in grams:
-        at = np.searchsorted(names, g)
-        own_key = at[ok] * len(sizes) + doc[ok]
-        keys, inverse, own = np.unique(own_key, return_inverse=True, return_counts=True)
-        count = np.zeros(len(g), np.int64)
-        count[ok] = totals[at[ok]] - own[inverse]
-        left.append(count)
-    rest = np.maximum(everything - np.repeat(sizes, sizes), 1)
-    score = np.log(np.maximum(left[0], 0.5) / rest)
-    for n in range(2, order + 1):
-        context = np.concatenate([[0], left[n - 2][:-1]])
-        ok = grams[n - 1][1]
-        seen = ok & (left[n - 1] > 0) & (context > 0)
-        score = np.where(seen, np.log(np.maximum(left[n - 1], 1) / np.maximum(context, 1)), np.where(ok, score + math.log(alpha), score))
-    return np.bincount(doc, weights=score, minlength=len(sizes))
-
-
-def score_documents(docs: DataFrame, order: int = 3, alpha: float = ALPHA) -> DataFrame:
-    """(doc_id, n_words, log_score, mean_log_score) of every row of docs(doc_id, text)."""
-    parts = keep(chunks(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), "chunks")
-    groups = PARTS * shards(docs.sparkSession)
-
-    def sizes_of(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([int(opened(x)[2].sum()) for x in b.column("blob").to_pylist()], pa.int64())], ["n"])
-
-    everything = parts.select("blob").mapInArrow(sizes_of, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    totals = answered(asked(parts, order, groups))
-
-    def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "n_words": pa.array([], pa.int64()), "log_score": pa.array([], pa.float64())})
-        ids, words, sizes = opened(left["blob"][0].as_py())
-        blobs = [b for _, b in sorted(zip(right["grp"].to_pylist(), right["totals"].to_pylist(), strict=True))]
-        counts = [np.ascontiguousarray(unsqueeze(b, np.uint8).reshape(8, -1).T).view("<u8").ravel() for b in blobs]
-        found = np.concatenate(counts).astype(np.int64) if counts else np.zeros(0, np.int64)
-        return pa.table({"doc_id": pa.array(ids, pa.int64()), "n_words": pa.array(sizes.astype(np.int64)), "log_score": pa.array(summed(words, sizes, found, everything, order, alpha))})
-
-    out = parts.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(join, "doc_id long, n_words long, log_score double")
+        for batch, sizes, _, place, grams in read(batches, k):
+            g, n = np.unique(grams[k - 1][place >= k - 1], return_counts=True)
+            ends = np.cumsum(sizes)[sizes == k] - 1
+            whole = pa.array(np.asarray(batch.column("d"))[sizes == k])
+            yield rows_of("g n d", np.concatenate([g, grams[k - 1][ends]]), np.concatenate([n, np.zeros(len(ends), np.int64)]), pa.concat_arrays([pa.nulls(len(g), pa.int64()), whole]))
+
+    found = texts.select("d", "text").mapInArrow(rows, "g long, n long, d long")
+    wanted = found.where("d IS NOT NULL").groupBy("g", "d").agg(F.count("*").alias("copies"))
+    counts = found.where("d IS NULL").groupBy("g").agg(F.sum("n").alias("n"))
+    return wanted.join(counts, "g").groupBy("d").agg(F.sum(F.col("copies") * F.log("n")).alias("s"))
+
+
+def finished(sizes: DataFrame, sums: list[DataFrame], shift: float) -> DataFrame:
+    """Documents with the sum of their parts' (d, s) less shift; equal texts share theirs."""
+    each = reduce(DataFrame.unionByName, [s.withColumn("copies", F.lit(0)) for s in sums], sizes.select("d", F.lit(0.0).alias("s"), F.lit(1).alias("copies")))
+    scores = keep(each.groupBy("d").agg((F.sum("s") / F.sum("copies")).alias("s")), "scores")
+    out = sizes.join(scores, "d").select("doc_id", "n_words", F.when(F.col("n_words") > 0, F.col("s") - shift).otherwise(F.lit(0.0)).alias("log_score"))
     return out.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
+
+
+def score_documents(docs: DataFrame, order: int = 3, rounds: int = 4, share: int = 1_000) -> DataFrame:
+    """(doc_id, n_words, log_score, mean_log_score) of every row of docs(doc_id, text) by the counts of all of them."""
+    if order < 2:
+        raise ValueError("order starts at 2")
+    texts = keyed(docs)
+    known = keep(sized(texts, order, share), "sizes")
+    sizes = known.where("d IS NOT NULL").select("doc_id", "d", "n_words")
+    everything = sizes.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    # counts of all slices add up to no more than everything, so 2 * share contexts at most are left
+    often = known.where("ctx IS NOT NULL").groupBy("ctx").agg(F.sum("n").alias("n")).where(F.col("n") * 2 * share > everything)
+    heavy = np.sort(often.select("ctx").toArrow()["ctx"].to_numpy().view(np.uint64))
+    parts = max(shards(docs.sparkSession), -(-everything // rounds // ROWS))
+    # the n-grams of a context lie together already, whatever else the keys of a join hold
+    together = {"spark.sql.requireAllClusterKeysForCoPartition": "false"}
+    sums = [keep(gains(exploded(texts, order, heavy, rounds, part).repartition(parts, "ctx"), True), "gains", together) for part in range(rounds)]
+    sums.append(keep(gains(exploded(texts, order, heavy, rounds, None), False), "gains"))
+    sums += [keep(short_gains(texts, k), "gains") for k in range(1, order - 1)]
+    return finished(sizes, sums, math.log(max(everything, 1)))
+
+
+def score_against(docs: DataFrame, corpus: DataFrame, order: int = 3, alpha: float = ALPHA) -> DataFrame:
+    """(doc_id, n_words, log_score, mean_log_score) of every row of docs by the counts of corpus, with backoff."""
+
+    def count_rows(batches):
+        for _, _, _, place, grams in read(batches, order):
+            for n, g in enumerate(grams):
+                names, counts = np.unique(g[place >= n], return_counts=True)
+                if len(names):
+                    yield rows_of("g n", names, counts)
+
+    names = ["d", "depth", *[f"{x}{n}" for n in range(1, order + 1) for x in ("g", "c")]]
+
+    def asked(batches):
+        """The n-grams that end at each word and those that end before it."""
+        for batch, sizes, _, place, grams in read(batches, order):
+            doc = np.repeat(np.asarray(batch.column("d")), sizes)
+            columns = [pa.array(doc), pa.array(np.minimum(place, order - 1))]
+            for n, g in enumerate(grams):
+                columns += [pa.array(g.view(np.int64), mask=place < n), pa.array(np.concatenate([g[:1], g[:-1]]).view(np.int64), mask=place < n + 1)]
+            yield pa.RecordBatch.from_arrays(columns, names)
+
+    counts = corpus.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(count_rows, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    counts = keep(counts, "counts")
+    everything = max(keep(sized(keyed(corpus.withColumn("doc_id", F.lit(0))), order, 1), "words").agg(F.sum("n_words")).first()[0] or 0, 1)
+    texts = keyed(docs)
+    rows = texts.select("d", "text").mapInArrow(asked, ", ".join(f"{n} long" for n in names)).groupBy(*names).agg(F.count("*").alias("tf"))
+    for name in names[2:-1]:
+        rows = rows.join(counts.select(F.col("g").alias(name), F.col("n").alias(f"n_{name}")), name, "left").drop(name)
+    score = F.log(F.coalesce(F.col("n_g1"), F.lit(0.5)) / everything)
+    for n in range(2, order + 1):
+        back = F.when(F.col("depth") >= n - 1, score + math.log(alpha)).otherwise(score)
+        score = F.when(F.col(f"n_g{n}").isNotNull(), F.log(F.col(f"n_g{n}") / F.col(f"n_c{n - 1}"))).otherwise(back)
+    sums = keep(rows.select("d", (F.col("tf") * score).alias("s")).groupBy("d").agg(F.sum("s").alias("s")), "gains")
+    sizes = keep(sized(texts, order, 1).where("d IS NOT NULL").select("doc_id", "d", "n_words"), "sizes")
+    return finished(sizes, [sums], 0.0)

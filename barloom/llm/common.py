@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +25,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BASE = np.uint64(0x9E3779B97F4A7C55)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+#: Bytes of a word from which it takes a cryptographic hash.
+LONG = 64
 #: Bytes hashed at once; bounds a worker's arrays to about 40 times this.
 CHUNK_BYTES = 2 << 20
 
@@ -39,11 +44,29 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends here, one copy of the work."""
-    path = shared_folder(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session with these settings for a while."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def keep(df: DataFrame, name: str, more: dict[str, str] | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: lineage ends here, one copy of the work.
+
+    Shuffle files of the job are freed at its end, as nothing reads them again. more: settings
+    that hold for this job alone.
+    """
+    spark, path = df.sparkSession, shared_folder(df.sparkSession, name)
+    with settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"} | (more or {})):
+        df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def shards(spark: SparkSession) -> int:
@@ -62,7 +85,8 @@ class WordHasher:
     """64-bit hashes of the words of many texts at once.
 
     A word is a run without BLANK bytes, A-Z lower-cased; its hash is a polynomial over its
-    bytes, read off running sums, then mixed.
+    bytes, read off running sums, then mixed. Modulo 2**64 such polynomials have long words of equal
+    hash for any base, so words of more than LONG bytes take a cryptographic hash instead.
     """
 
     def __init__(self) -> None:
@@ -99,6 +123,8 @@ class WordHasher:
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * self.up[:n], out=sums[1:])
         raw = (sums[ends] - sums[starts]) * self.down[starts]
+        for i in np.flatnonzero(ends - starts > LONG):
+            raw[i] = int.from_bytes(hashlib.blake2b(_LOWER[data[starts[i] : ends[i]]].tobytes(), digest_size=8).digest(), "little")
         return mix64(raw ^ ((ends - starts).astype(np.uint64) << np.uint64(40))), np.searchsorted(starts, offsets)
 
 

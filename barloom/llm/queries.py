@@ -58,7 +58,8 @@ def op9_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return backoff.score_documents(table(spark, sf_dir, "documents"))
+    out = backoff.score_documents(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
 
 
 QUERIES = {
@@ -86,5 +87,22 @@ marked as (select l.doc_id, l.i, l.line, d.keeper is not null and l.doc_id <> d.
 select doc_id, count(*)::bigint as n_lines, count(*) filter (where gone)::bigint as n_dropped,
        sha256(coalesce(string_agg(line, chr(10) order by i) filter (where not gone), '')) as kept_sha256
 from marked group by doc_id
+""",
+    "op10_backoff": r"""
+with words as (
+  select doc_id, list_transform(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'),
+                                lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as w from documents),
+places as (select doc_id, w, unnest(generate_series(1, len(w))) as i from words),
+grams as (select doc_id, i, case when i >= 3 then w[i - 2] end as u, case when i >= 2 then w[i - 1] end as v, w[i] as x from places),
+one as (select x, count(*) as c from grams group by x),
+two as (select v, x, count(*) as c from grams where i >= 2 group by v, x),
+three as (select u, v, x, count(*) as c from grams where i >= 3 group by u, v, x),
+summed as (
+  select g.doc_id, sum(case when i >= 3 then ln(three.c / before.c) when i = 2 then ln(two.c / first.c) else ln(one.c / (select count(*) from grams)) end) as s
+  from grams g left join one on one.x = g.x left join two on two.v = g.v and two.x = g.x left join three on three.u = g.u and three.v = g.v and three.x = g.x
+    left join two before on before.v = g.u and before.x = g.v left join one first on first.x = g.v
+  group by g.doc_id)
+select d.doc_id, len(w)::bigint as n_words, round(coalesce(s, 0), 4) as log_score, round(case when len(w) > 0 then s / len(w) end, 6) as mean_log_score
+from words d left join summed using (doc_id)
 """,
 }

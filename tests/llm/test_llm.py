@@ -277,31 +277,67 @@ def test_vectors(spark):
     assert vector_dedup.near_vectors(df.where("false")).count() == 0
 
 
-def test_backoff(docs, empty):
-    got = collections.Counter((r.doc_id, r.n_words, round(r.log_score, 6)) for r in backoff.score_documents(docs).collect())
-    rows = [(r[0], (r[1] or "").encode().lower().split()) for r in corpus()]
-    grams = lambda w: collections.Counter(tuple(w[j : j + n]) for n in (1, 2, 3) for j in range(len(w) - n + 1))
-    total = sum((grams(w) for _, w in rows), collections.Counter())
-    everything, want = sum(len(w) for _, w in rows), collections.Counter()
-    for i, w in rows:
-        own, score = grams(w), 0.0
+def plain_backoff(rows, corpus, order=3, alpha=0.4):
+    """(doc_id, n_words, log score) of rows by the counts of corpus."""
+    split = lambda t: (t or "").encode().lower().split()
+    total, everything = collections.Counter(), 0
+    for _, t in corpus:
+        w = split(t)
+        everything += len(w)
+        total.update(tuple(w[j : j + n]) for n in range(1, order + 1) for j in range(len(w) - n + 1))
+    out = []
+    for i, t in rows:
+        w, score = split(t), 0.0
         for j in range(len(w)):
             factor = 1.0
-            for n in (3, 2, 1):
-                if j < n - 1:
-                    continue
+            for n in range(min(order, j + 1), 0, -1):
                 g = tuple(w[j - n + 1 : j + 1])
-                c = total[g] - own[g]
                 if n == 1:
-                    score += math.log(factor * max(c, 0.5) / max(everything - len(w), 1))
-                elif c > 0 and total[g[:-1]] - own[g[:-1]] > 0:
-                    score += math.log(factor * c / (total[g[:-1]] - own[g[:-1]]))
+                    score += math.log(factor * max(total[g], 0.5) / max(everything, 1))
+                elif total[g]:
+                    score += math.log(factor * total[g] / total[g[:-1]])
                     break
                 else:
-                    factor *= 0.4
-        want[(i, len(w), round(score, 6))] += 1
-    assert sum((got & want).values()) >= len(rows) - 2  # the sixth decimal may round either way
-    assert backoff.score_documents(empty).count() == 0
+                    factor *= alpha
+        out.append((i, len(w), score))
+    return out
+
+
+def same_scores(got, want):
+    got, want = (sorted(x, key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2])) for x in (got, want))
+    assert [r[:2] for r in got] == [r[:2] for r in want]
+    assert np.allclose([r[2] for r in got], [r[2] for r in want], rtol=0, atol=1e-8)
+
+
+@pytest.mark.parametrize("options", [{}, {"rounds": 3, "share": 1}, {"order": 2, "share": 40}, {"order": 4, "rounds": 1, "share": 40}])
+def test_backoff(docs, empty, options):
+    rows = [(r[0], r[1]) for r in corpus()]
+    got = backoff.score_documents(docs, **options).collect()
+    same_scores([(r.doc_id, r.n_words, r.log_score) for r in got], plain_backoff(rows, rows, options.get("order", 3)))
+    assert all(r.mean_log_score is None if r.n_words == 0 else abs(r.mean_log_score * r.n_words - r.log_score) < 1e-8 for r in got)
+    if not options:
+        assert backoff.score_documents(empty).count() == 0
+    again = docs.unionByName(docs.where("doc_id < 9")).unionByName(docs.where("doc_id = 7"))
+    more = rows + [r for r in rows if r[0] is not None and r[0] < 9] + [r for r in rows if r[0] == 7]
+    if options.get("share") == 40:
+        same_scores([(r.doc_id, r.n_words, r.log_score) for r in backoff.score_documents(again, **options).collect()], plain_backoff(more, more, options["order"]))
+
+
+def test_backoff_against_another_corpus(docs, empty):
+    rows = [(r[0], r[1]) for r in corpus()]
+    other = [r for r in rows if r[0] is None or r[0] % 3]
+    got = backoff.score_against(docs, docs.where("doc_id IS NULL OR doc_id % 3 <> 0")).collect()
+    same_scores([(r.doc_id, r.n_words, r.log_score) for r in got], plain_backoff(rows, other))
+    same_scores([(r.doc_id, r.n_words, r.log_score) for r in backoff.score_against(docs, empty).collect()], plain_backoff(rows, []))
+
+
+def test_long_words_of_equal_polynomials_differ():
+    word, other = "a", "b"
+    for _ in range(11):
+        word, other = word + other, other + word  # Thue-Morse: equal modulo 2**64 for any base
+    data = f"{word} {other} {word.upper()}".encode()
+    hashes, bounds = backoff.hasher().hashes(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    assert bounds.tolist() == [0, 3] and hashes[0] == hashes[2] != hashes[1]
 
 
 def test_surrogates(spark):
