@@ -91,7 +91,7 @@ def sized(texts: DataFrame, order: int, share: int) -> DataFrame:
     """Rows (doc_id, d, n_words) of all documents, and rows (ctx, n) of contexts that are frequent in a slice: at most 2 * share of each."""
 
     def rows(batches):
-        for part, sizes, _, place, grams in read(batches, order):
+        for part, sizes, _, place, grams in read(batches, max(order - 1, 1)):
             none = pa.nulls(len(sizes), pa.int64())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("d"), pa.array(sizes), none, none], ["doc_id", "d", "n_words", "ctx", "n"])
             ctx, n = np.unique(grams[order - 2][place >= order - 2], return_counts=True)
@@ -106,42 +106,50 @@ def sized(texts: DataFrame, order: int, share: int) -> DataFrame:
 def exploded(texts: DataFrame, order: int, heavy: np.ndarray, rounds: int, part: int | None) -> DataFrame:
     """(ctx, w, d, tf): the n-grams of every document with counts, for one part of the contexts or the frequent ones (None).
 
-    A document's first context comes once more with FIRST and no count, its last one with END.
+    A document's first context comes once more with FIRST, which isn't counted, its last one with END.
     """
 
     def rows(batches):
-        for batch, sizes, words, place, grams in read(batches, order):
+        for batch, sizes, words, place, grams in read(batches, order - 1):
             ctx = grams[order - 2]
+            often = np.isin(ctx, heavy)
+            mine = (often if part is None else ~often & (ctx % np.uint64(rounds) == np.uint64(part))) & (place >= order - 2)
+            last = np.zeros(len(words) + 1, bool)
+            last[np.cumsum(sizes)] = True
+            # the place of each context's last word, and what comes behind it
+            at, first = np.flatnonzero(mine), np.flatnonzero(mine & (place == order - 2))
+            behind = np.where(last[at + 1], np.uint64(END), np.concatenate([words, [np.uint64(END)]])[at + 1])
             doc = np.repeat(np.asarray(batch.column("d")).view(np.uint64), sizes)
-            last = np.zeros(len(words), bool)
-            last[np.cumsum(sizes)[sizes > 0] - 1] = True
-            i, first, end = np.flatnonzero(place >= order - 1), np.flatnonzero(place == order - 2), np.flatnonzero(last & (place >= order - 2))
-            c = np.concatenate([ctx[i - 1], ctx[first], ctx[end]])
-            w = np.concatenate([words[i], np.full(len(first), FIRST, np.uint64), np.full(len(end), END, np.uint64)])
-            d = np.concatenate([doc[i], doc[first], doc[end]])
-            often = np.isin(c, heavy)
-            mine = often if part is None else ~often & (c % np.uint64(rounds) == np.uint64(part))
-            c, w, d = c[mine], w[mine], d[mine]
+            at = np.concatenate([at, first])
+            c, w, d = ctx[at], np.concatenate([behind, np.full(len(first), FIRST, np.uint64)]), doc[at]
             at, tf = counted(d, c, w)
             if len(at):
-                yield rows_of("ctx w d tf copies", c[at], w[at], d[at], np.where(w[at] == FIRST, 0, tf).astype(np.int32), np.where(w[at] == FIRST, tf, 1).astype(np.int32))
+                yield rows_of("ctx w d tf", c[at], w[at], d[at], tf.astype(np.int32))
 
-    return texts.select("d", "text").mapInArrow(rows, "ctx long, w long, d long, tf int, copies int")
+    return texts.select("d", "text").mapInArrow(rows, "ctx long, w long, d long, tf int")
 
 
-def gains(rows: DataFrame, placed: bool) -> DataFrame:
-    """(d, s): the sum of each document's logarithms over these n-grams; placed: all n-grams of a context lie in one partition."""
-    pairs = rows.groupBy("ctx", "w").agg(F.sum("tf").alias("n"), F.count("d").alias("docs"))
-    contexts = pairs.groupBy("ctx").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs"))
-    if placed:
-        # what only one row has needs no table
-        pairs, contexts = pairs.where("docs > 1").hint("shuffle_hash"), contexts.where("docs > 1").hint("shuffle_hash")
-    else:
-        contexts = F.broadcast(contexts)  # 2 * share rows at most
-    found = rows.join(contexts.drop("docs"), "ctx", "left").join(pairs.drop("docs"), ["ctx", "w"], "left")
-    total, n = F.coalesce("total", F.col("tf").cast("long")), F.coalesce("n", F.col("tf").cast("long"))
-    gain = F.when(F.col("w") == FIRST, F.col("copies") * F.log(total)).when(F.col("w") == END, 0.0).otherwise(F.col("tf") * (F.log(n) - F.log(total)))
-    return found.select("d", gain.alias("s")).where("s <> 0").groupBy("d").agg(F.sum("s").alias("s"))
+#: The sum of each document's logarithms over its n-grams. The n-grams are asked for several times
+#: but computed and shuffled once: to the planner the filter has no fixed result, so it shares them.
+GAINS = f"""
+WITH grams AS (SELECT {{deal}} ctx, w, d, tf FROM {{rows}} WHERE spark_partition_id() >= 0),
+pairs AS (SELECT ctx, w, sum(if(w = {FIRST}, 0, tf)) AS n, count(*) AS parts FROM grams GROUP BY ctx, w),
+contexts AS (SELECT ctx, sum(if(w = {FIRST}, 0, tf)) AS total, count(*) AS parts FROM grams GROUP BY ctx)
+SELECT {{hints}} d, sum(CASE g.w WHEN {FIRST} THEN tf * ln(coalesce(total, tf)) WHEN {END} THEN 0 ELSE tf * (ln(coalesce(n, tf)) - ln(coalesce(total, tf))) END) AS s
+FROM grams g LEFT JOIN contexts c ON c.ctx = g.ctx AND c.parts > 1 LEFT JOIN pairs p ON p.ctx = g.ctx AND p.w = g.w AND p.parts > 1
+GROUP BY d
+"""
+
+
+def gains(rows: DataFrame, parts: int) -> DataFrame:
+    """(d, s) of rows(ctx, w, d, tf); in `parts` partitions by the hash of their context, or (0) by plain joins, whose hot keys Spark splits.
+
+    What stands in one row alone needs no table: its count is its own.
+    """
+    deal = f"/*+ REPARTITION({parts}, ctx) */" if parts else ""
+    # frequent contexts are 2 * share rows at most
+    hints = "/*+ SHUFFLE_HASH(c), SHUFFLE_HASH(p) */" if parts else "/*+ BROADCAST(c) */"
+    return rows.sparkSession.sql(GAINS.format(deal=deal, hints=hints, rows="{rows}"), rows=rows)
 
 
 def short_gains(texts: DataFrame, k: int) -> DataFrame:
@@ -168,7 +176,7 @@ def finished(sizes: DataFrame, sums: list[DataFrame], shift: float) -> DataFrame
     return out.withColumn("mean_log_score", F.when(F.col("n_words") > 0, F.col("log_score") / F.col("n_words")))
 
 
-def score_documents(docs: DataFrame, order: int = 3, rounds: int = 4, share: int = 1_000) -> DataFrame:
+def score_documents(docs: DataFrame, order: int = 3, rounds: int = 3, share: int = 1_000) -> DataFrame:
     """(doc_id, n_words, log_score, mean_log_score) of every row of docs(doc_id, text) by the counts of all of them."""
     if order < 2:
         raise ValueError("order starts at 2")
@@ -182,8 +190,8 @@ def score_documents(docs: DataFrame, order: int = 3, rounds: int = 4, share: int
     parts = max(shards(docs.sparkSession), -(-everything // rounds // ROWS))
     # the n-grams of a context lie together already, whatever else the keys of a join hold
     together = {"spark.sql.requireAllClusterKeysForCoPartition": "false"}
-    sums = [keep(gains(exploded(texts, order, heavy, rounds, part).repartition(parts, "ctx"), True), "gains", together) for part in range(rounds)]
-    sums.append(keep(gains(exploded(texts, order, heavy, rounds, None), False), "gains"))
+    sums = [keep(gains(exploded(texts, order, heavy, rounds, part), parts), "gains", together) for part in range(rounds)]
+    sums.append(keep(gains(exploded(texts, order, heavy, rounds, None), 0), "gains"))
     sums += [keep(short_gains(texts, k), "gains") for k in range(1, order - 1)]
     return finished(sizes, sums, math.log(max(everything, 1)))
 
