@@ -99,10 +99,18 @@ def first_hit(zones: DataFrame, bars: DataFrame, value: str, above: bool, block:
 
 
 def first_overlap(zones: DataFrame, bars: DataFrame, block: int = 64) -> DataFrame:
-    """(zone_id, hit_index): the first bar after start_index that reaches inside (low, high), ends excluded."""
-    bars = bars.select("series_key", F.col("bar_index").alias("i"), F.col("high").alias("bh"), F.col("low").alias("bl"), F.floor(F.col("bar_index") / block).alias("block"))
-    sums = bars.groupBy("series_key", "block").agg(F.max("bh").alias("top"), F.min("bl").alias("bottom"))
+    """(zone_id, hit_index): the first bar after start_index that reaches inside (zone_low, zone_high), ends excluded.
+
+    Zones with a column known_at only meet bars that open at that time or later.
+    """
+    late = "known_at" in zones.columns
+    bars = bars.select("series_key", F.col("bar_index").alias("i"), F.col("high").alias("bh"), F.col("low").alias("bl"), *(["opened_at"] if late else []), F.floor(F.col("bar_index") / block).alias("block"))
+    sums = bars.groupBy("series_key", "block").agg(F.max("bh").alias("top"), F.min("bl").alias("bottom"), *([F.max("opened_at").alias("newest")] if late else []))
     near = zones.join(sums, "series_key").where((F.col("block") >= F.floor(F.col("start_index") / block)) & (F.col("top") > F.col("zone_low")) & (F.col("bottom") < F.col("zone_high")))
-    hits = near.select("series_key", "block", "zone_id", "start_index", "zone_low", "zone_high").join(bars, ["series_key", "block"])
+    if late:
+        near = near.where("newest >= known_at")
+    hits = near.select("series_key", "block", "zone_id", "start_index", "zone_low", "zone_high", *(["known_at"] if late else [])).join(bars, ["series_key", "block"])
     hits = hits.where((F.col("i") > F.col("start_index")) & (F.col("bh") > F.col("zone_low")) & (F.col("bl") < F.col("zone_high")))
+    if late:
+        hits = hits.where("opened_at >= known_at")
     return hits.groupBy("zone_id").agg(F.min("i").alias("hit_index"))

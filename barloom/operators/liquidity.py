@@ -91,9 +91,15 @@ def pools(facts: DataFrame, cfg: Config) -> DataFrame:
 def pool_log(facts: DataFrame, cfg: Config) -> DataFrame:
     """The pools' change log: an active version for each touch, one closing version."""
     life = pools(facts, cfg)
-    first = touches(facts).join(life.select("series_key", "side", "lower", "upper", "created_index", "touched_index"), ["series_key", "side"]).where("price BETWEEN lower AND upper AND confirm BETWEEN created_index AND touched_index")
-    one = first.select("series_key", "side", "created_index", F.col("confirm").alias("bar_index"), F.lit("active").alias("status"))
-    two = life.where("status <> 'active'").select("series_key", "side", "created_index", F.col("breach_index").alias("bar_index"), "status")
+    band = ["price", "lower", "upper"]
+    pool = life.select("series_key", "symbol", "side", *band, "created_index", "touched_index")
+    if cfg.pool_tolerance_bps:
+        seen = touches(facts).select("series_key", "side", F.col("price").alias("at"), "confirm").join(pool, ["series_key", "side"]).where("at BETWEEN lower AND upper")
+    else:
+        seen = touches(facts).select("series_key", "side", "price", "confirm").join(pool, ["series_key", "side", "price"])
+    seen = seen.where("confirm BETWEEN created_index AND touched_index")
+    one = seen.select("series_key", "symbol", "side", *band, "created_index", F.col("confirm").alias("bar_index"), F.lit("active").alias("status"))
+    two = life.where("status <> 'active'").select("series_key", "symbol", "side", *band, "created_index", F.col("breach_index").alias("bar_index"), "status")
     return one.unionByName(two)
 
 
@@ -136,12 +142,12 @@ def breakers(facts: DataFrame) -> DataFrame:
 
 
 def mitigations(facts: DataFrame) -> DataFrame:
-    """The first later bar that reaches inside each order block, unless a breaker of it came before; with the overlap."""
+    """The first later bar that reaches inside each order block and opened when that was known, unless a breaker of it came before; with the overlap."""
     blocks = published_blocks(facts)
-    hits = first_overlap(blocks.withColumn("start_index", F.col("published_index")), facts)
+    hits = first_overlap(blocks.withColumns({"start_index": F.col("published_index"), "known_at": F.col("block_known_at")}), facts)
     broken = breakers(facts).where("breaker IS NOT NULL").select("zone_id", F.col("hit_index").alias("broken_index"))
     out = blocks.join(hits, "zone_id").join(broken, "zone_id", "left").where("broken_index IS NULL OR broken_index > hit_index")
-    bars = facts.select("series_key", F.col("bar_index").alias("hit_index"), F.col("high").alias("h"), F.col("low").alias("l"), F.col("opened_at").alias("hit_opened_at"))
-    out = out.join(bars, ["series_key", "hit_index"]).where("block_known_at <= hit_opened_at")
+    bars = facts.select("series_key", F.col("bar_index").alias("hit_index"), F.col("high").alias("h"), F.col("low").alias("l"))
+    out = out.join(bars, ["series_key", "hit_index"])
     low, high = F.greatest("zone_low", "l"), F.least("zone_high", "h")
     return out.select("series_key", "symbol", "zone_id", "published_index", "direction", "hit_index", low.alias("overlap_low"), high.alias("overlap_high"), (high - low).alias("overlap_size"))

@@ -32,6 +32,31 @@ def classify(price: Column, cfg: Config) -> Column:
     return out.when((price >= middle - half) & (price <= middle + half), "EQUILIBRIUM").when(price < middle, "DISCOUNT").otherwise("PREMIUM")
 
 
+def annotated(facts: DataFrame, life: DataFrame, log: DataFrame, cfg: Config) -> DataFrame:
+    """Arrays that are published on each bar, with where their bounds and representative price lie in its range.
+
+    (kind, low, high, price): versions of pools by their band and first price, sweeps by their
+    extreme, displacements by their close, gaps and order blocks by their bounds and midpoint.
+    """
+
+    def array(kind: str, there: Column, low: str, high: str, price: Column) -> Column:
+        return F.when(there, F.struct(F.lit(kind).alias("kind"), F.col(low).alias("low"), F.col(high).alias("high"), price.cast("decimal(20,9)").alias("price")))
+
+    middle = lambda a, b: (F.col(a) + F.col(b)) / 2
+    own = F.array(
+        array("displacement", F.col("displacement").isNotNull(), "close", "close", F.col("close")),
+        array("fvg", F.col("gap").isNotNull(), "gap_low", "gap_high", middle("gap_low", "gap_high")),
+        array("order_block", F.col("block").isNotNull(), "block_low", "block_high", middle("block_low", "block_high")),
+    )
+    keys, bounds = ["series_key", "symbol", "bar_index"], ["range_low", "range_high"]
+    out = facts.select(*keys, *bounds, F.explode(F.filter(own, lambda z: z.isNotNull())).alias("z")).select(*keys, *bounds, "z.*")
+    pool = log.select("series_key", "bar_index", F.lit("liquidity_pool").alias("kind"), F.col("lower").alias("low"), F.col("upper").alias("high"), F.col("price").cast("decimal(20,9)").alias("price"))
+    swept = life.where("status = 'swept'").select("series_key", F.col("breach_index").alias("bar_index"), F.lit("sweep").alias("kind"), F.col("extreme").alias("low"), F.col("extreme").alias("high"), F.col("extreme").cast("decimal(20,9)").alias("price"))
+    out = out.unionByName(facts.select(*keys, *bounds).join(pool.unionByName(swept), ["series_key", "bar_index"]).select(*out.columns))
+    classes = {f"{c}_class": classify(F.col(c), cfg) for c in ("low", "high", "price")}
+    return out.withColumns(classes).drop(*bounds)
+
+
 def add_premium_discount(df: DataFrame, cfg: Config) -> DataFrame:
     return df.withColumn("pd_class", classify(F.col("close"), cfg))
 

@@ -8,63 +8,86 @@ from pyspark.sql import functions as F
 from barloom.functions.core import identity
 from barloom.plans.config import Config
 
-# Points of each component.
+# Points of each component, and the reason given for it.
 MTF = {"BULLISH": 15, "BEARISH": 15, "NEUTRAL": 8, "MIXED": 5, "INSUFFICIENT_CONTEXT": 0}
 PD = {"DISCOUNT": 8, "EQUILIBRIUM": 5, "PREMIUM": 3, "OUTSIDE_RANGE": 1, "INSUFFICIENT_CONTEXT": 0}
 OTE = {"INSIDE_OTE": 7, "BELOW_OTE": 3, "ABOVE_OTE": 3, "INSUFFICIENT_CONTEXT": 0}
 HALAL, DISPLACEMENT, SWEEP, GAP, BLOCK = 10, 12, 10, 8, 10
+MTF_SAID = {"BULLISH": "mtf_directional", "BEARISH": "mtf_directional", "NEUTRAL": "mtf_neutral", "MIXED": "mtf_mixed"}
+PD_SAID = {"DISCOUNT": "pd_discount", "EQUILIBRIUM": "pd_equilibrium", "PREMIUM": "pd_premium", "OUTSIDE_RANGE": "pd_outside_range"}
+OTE_SAID = {"INSIDE_OTE": "ote_inside", "BELOW_OTE": "ote_below", "ABOVE_OTE": "ote_above"}
+COMPONENTS = 11
 
 
-def points(column: Column, table: dict[str, int]) -> Column:
+def by_value(column: Column, table: dict[str, object], other: object) -> Column:
     out = F
-    for value, n in table.items():
-        out = out.when(column == value, n)
-    return out.otherwise(0)
+    for value, x in table.items():
+        out = out.when(column == value, x)
+    return out.otherwise(other)
 
 
 def add_scores(df: DataFrame, cfg: Config) -> DataFrame:
-    """score_<component>, score and passed; nothing scores for symbols that are not listed."""
+    """score_<component>, score, passed and score_reasons, one reason for each of the eleven components in order.
+
+    Nothing scores for symbols that are not listed; structure shifts, breakers and mitigations have a weight but never score.
+    """
     ok = F.col("status") == "HALAL"
     parts = {
-        "halal": F.lit(HALAL), "mtf": points(F.col("confluence"), MTF), "displacement": F.when(F.col("displacement").isNotNull(), DISPLACEMENT).otherwise(0),
+        "halal": F.lit(HALAL), "mtf": by_value(F.col("confluence"), MTF, 0), "displacement": F.when(F.col("displacement").isNotNull(), DISPLACEMENT).otherwise(0),
         "sweep": F.when(F.col("sweeps").isNotNull(), SWEEP).otherwise(0), "fvg": F.when(F.col("gap").isNotNull(), GAP).otherwise(0),
-        "order_block": F.when(F.col("block").isNotNull(), BLOCK).otherwise(0), "pd": points(F.col("pd_class"), PD), "ote": points(F.col("ote_position"), OTE),
+        "order_block": F.when(F.col("block").isNotNull(), BLOCK).otherwise(0), "pd": by_value(F.col("pd_class"), PD, 0), "ote": by_value(F.col("ote_position"), OTE, 0),
     }
     out = df.withColumns({f"score_{k}": F.when(ok, v).otherwise(0) for k, v in parts.items()})
-    # structure shifts, breakers and mitigations have a weight but never score
     total = sum((F.col(f"score_{k}") for k in parts), F.lit(0))
-    reasons = F.filter(F.array(
-        F.lit("halal_status"), F.concat(F.lit("mtf_"), F.lower("confluence")), F.when(F.col("displacement").isNotNull(), "displacement_present"), F.when(F.col("sweeps").isNotNull(), "sweep_present"),
-        F.when(F.col("gap").isNotNull(), "fvg_present"), F.when(F.col("block").isNotNull(), "order_block_present"), F.concat(F.lit("pd_"), F.lower("pd_class")), F.concat(F.lit("ote_"), F.lower(F.regexp_replace("ote_position", "_OTE", ""))),
-    ), lambda r: r.isNotNull())
-    gate = F.array(F.when(F.col("status") == "HARAM", "gated_haram").otherwise("gated_unknown"))
+    missing = F.lit("missing_evidence")
+
+    def there(column: str, reason: str) -> Column:
+        return F.when(F.col(column).isNotNull(), reason).otherwise(missing)
+
+    reasons = F.array(
+        F.lit("halal_status"), by_value(F.col("confluence"), MTF_SAID, "mtf_insufficient"), missing, there("displacement", "displacement_present"), there("sweeps", "sweep_present"), there("gap", "fvg_present"),
+        there("block", "order_block_present"), missing, missing, by_value(F.col("pd_class"), PD_SAID, "pd_insufficient"), by_value(F.col("ote_position"), OTE_SAID, "ote_insufficient"),
+    )
+    gate = F.array_repeat(F.when(F.col("status") == "HARAM", "gated_haram").otherwise("gated_unknown"), COMPONENTS)
     return out.withColumn("score", total).withColumn("score_reasons", F.when(ok, reasons).otherwise(gate)).withColumn("passed", ok & (F.col("score") >= cfg.score_threshold))
 
 
 def add_votes(df: DataFrame) -> DataFrame:
-    """votes (source, bias), bias and eligible."""
+    """votes (source, bias, reason), bias, eligibility and its reasons.
 
-    def side(c: Column) -> Column:
-        return F.when(F.lower(c) == "bullish", "LONG_BIAS").when(F.lower(c) == "bearish", "SHORT_BIAS")
+    A vote without a bias abstains and says why. A mixed higher timeframe or votes on both sides
+    leave the bias NEUTRAL; symbols that are not listed are NEUTRAL with one reason.
+    """
 
-    def vote(source: str, bias: Column) -> Column:
-        return F.when(bias.isNotNull(), F.struct(F.lit(source).alias("source"), bias.alias("bias")))
+    def vote(source: str, *cases: tuple[Column, str | None, str], other: str | None = None) -> Column:
+        out = F
+        for test, bias, reason in cases:
+            out = out.when(test, F.struct(F.lit(source).alias("source"), F.lit(bias).cast("string").alias("bias"), F.lit(reason).alias("reason")))
+        return out.otherwise(F.struct(F.lit(source).alias("source"), F.lit(None).cast("string").alias("bias"), F.lit(other).alias("reason"))) if other else out
 
-    inside = F.when(F.col("ote_position") == "INSIDE_OTE", side(F.col("range_direction")))
+    long, short = "LONG_BIAS", "SHORT_BIAS"
+    mtf, trend, block = F.col("confluence"), F.col("trend"), F.col("block")
+    inside = F.col("ote_position") == "INSIDE_OTE"
     votes = F.filter(F.array(
-        vote("mtf", side(F.col("confluence"))), vote("trend", side(F.col("trend"))), vote("structure", F.when(F.col("event_up").isNotNull(), "LONG_BIAS")),
-        vote("structure", F.when(F.col("event_down").isNotNull(), "SHORT_BIAS")), vote("order_block", side(F.col("block"))), vote("ote", inside),
+        vote("mtf", (mtf == "BULLISH", long, "mtf_long"), (mtf == "BEARISH", short, "mtf_short"), (mtf == "MIXED", None, "mtf_mixed"), (mtf == "NEUTRAL", None, "mtf_neutral"), other="mtf_insufficient"),
+        vote("structure", (~F.coalesce("ready", F.lit(False)), None, "structure_unready"), (trend == "bullish", long, "structure_long"), (trend == "bearish", short, "structure_short"), other="structure_ranging"),
+        vote("structure_event", (F.col("event_up").isNotNull(), long, "structure_event_long")), vote("structure_event", (F.col("event_down").isNotNull(), short, "structure_event_short")),
+        vote("order_block", (block == "bullish", long, "order_block_long"), (block == "bearish", short, "order_block_short"), other="order_block_missing"),
+        vote("ote", (inside & (F.col("range_direction") == "bullish"), long, "ote_long"), (inside & (F.col("range_direction") == "bearish"), short, "ote_short"), other="ote_missing"),
+        *[vote(k, (F.lit(True), None, f"{k}_missing")) for k in ("mss", "breaker", "mitigation")],
     ), lambda v: v.isNotNull())
     out = df.withColumn("votes", votes)
-    long = F.exists("votes", lambda v: v["bias"] == "LONG_BIAS")
-    short = F.exists("votes", lambda v: v["bias"] == "SHORT_BIAS")
-    bias = F.when((F.col("confluence") == "MIXED") | (long & short), "NEUTRAL").when(long, "LONG_BIAS").when(short, "SHORT_BIAS").otherwise("NEUTRAL")
-    out = out.withColumn("bias", bias)
-    state = F.when(F.col("status") == "HARAM", "BLOCKED_HARAM").when(F.col("status") == "UNKNOWN", "BLOCKED_UNKNOWN").when(F.col("passed"), "ELIGIBLE").otherwise("INELIGIBLE")
-    head = F.when(F.col("status") == "HARAM", "haram_asset").when(F.col("status") == "UNKNOWN", "unknown_asset").otherwise("halal_asset")
-    tail = F.when(F.col("passed"), "sqs_threshold_passed").otherwise("sqs_below_threshold")
-    said = F.transform("votes", lambda v: F.concat_ws("_", v["source"], F.lower(v["bias"])))
-    return out.withColumn("eligibility", state).withColumn("eligibility_reasons", F.array_distinct(F.concat(F.array(head), said, F.array(tail))))
+    listed = F.col("status") == "HALAL"
+    said = F.transform("votes", lambda v: F.coalesce(v["bias"], F.lit("")))
+    up, down = F.array_contains(said, long), F.array_contains(said, short)
+    mixed = F.col("confluence") == "MIXED"
+    bias = F.when(~listed | mixed | (up & down), "NEUTRAL").when(up, long).when(down, short).otherwise("NEUTRAL")
+    out = out.withColumn("bias", bias).withColumn("eligibility", F.when(listed & F.col("passed"), "ELIGIBLE").otherwise("NOT_ELIGIBLE"))
+    gate = F.array(F.when(F.col("status") == "HARAM", "gated_haram").otherwise("gated_unknown"))
+    head = F.array(F.when(F.col("passed"), "halal_and_threshold").otherwise("threshold_not_met"))
+    closing = F.when(F.col("bias") != "NEUTRAL", F.array().cast("array<string>")).when(mixed | (up & down), F.array(F.lit("conflicting_evidence"))).otherwise(F.array(F.lit("no_directional_evidence")))
+    reasons = F.array_distinct(F.concat(head, F.transform("votes", lambda v: v["reason"]), closing))
+    return out.withColumn("eligibility_reasons", F.when(listed, reasons).otherwise(gate))
 
 
 def add_signals(df: DataFrame, cfg: Config) -> DataFrame:

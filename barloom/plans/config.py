@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 
 @dataclass(frozen=True)
 class Config:
+    # Names apart, the defaults of the methods.
     fractal_length: int = 5
     pool_tolerance_bps: float = 0.0
     atr_period: int = 14
@@ -40,11 +41,12 @@ class Config:
     validation_bars: int = 25
     step_bars: int = 25
     stable_win_rate: float = 0.5
+    minimum_windows: int = 3
+    maximum_win_rate_spread: float = 0.5
     cell_minimum: int = 20
     strong_win_rate: float = 0.60
     weak_win_rate: float = 0.40
     compare_minimum: int = 30
-    extra: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         if self.fractal_length < 3 or self.fractal_length % 2 == 0:

@@ -120,7 +120,7 @@ z2 as (select *, si is not null and i - si <= 20 as after_sweep, case when statu
 z3 as (select *, status = 'HALAL' and score >= 30 as passed,
   (confluence = 'BULLISH')::int + (trend = 'bullish')::int + (eu is not null)::int + coalesce((blk = 'bullish')::int, 0) + (opos = 'INSIDE_OTE' and rdir = 'bullish')::int as longs,
   (confluence = 'BEARISH')::int + (trend = 'bearish')::int + (ed is not null)::int + coalesce((blk = 'bearish')::int, 0) + (opos = 'INSIDE_OTE' and rdir = 'bearish')::int as shorts from z2),
-z4 as (select *, case when confluence = 'MIXED' or (longs > 0 and shorts > 0) then 'NEUTRAL' when longs > 0 then 'LONG_BIAS' when shorts > 0 then 'SHORT_BIAS' else 'NEUTRAL' end as bias from z3),
+z4 as (select *, case when status <> 'HALAL' or confluence = 'MIXED' or (longs > 0 and shorts > 0) then 'NEUTRAL' when longs > 0 then 'LONG_BIAS' when shorts > 0 then 'SHORT_BIAS' else 'NEUTRAL' end as bias from z3),
 z5 as (select *, case when not passed then 'NO_SIGNAL' when bias = 'SHORT_BIAS' then 'BEARISH_AVOID' when bias = 'LONG_BIAS' then 'BUY_SIGNAL' else 'NO_SIGNAL' end as cand from z4),
 z6 as (select *, cand = 'BUY_SIGNAL' and row_number() over (partition by symbol, cand, bias, c1, c4, case when olo is not null then rlo end, case when olo is not null then rhi end, case when olo is not null then rcf end,
   case when blk is not null then i end, case when gap is not null then i end, case when disp is not null then i end order by i) > 1 as again from z5),
@@ -170,13 +170,23 @@ def zone_class(x: str) -> str:
 
 WINDOWS = B15.replace("f as (", "f0 as (", 1) + """,
 plan as (select symbol, unnest(generate_series(0, (n - 75) // 25)) as window_id from (select symbol, count(*) as n from f0 group by 1) where n >= 75),
-f as (select p.window_id, x.symbol || '#' || p.window_id as sw, x.* exclude (i), x.i - p.window_id * 25 as i from plan p join f0 x on x.symbol = p.symbol and x.i between p.window_id * 25 and p.window_id * 25 + 74)"""
-WALKED = WINDOWS + structure(part="sw") + """,
-o as (select sw, i, case when fc is null then 'OPEN' when fc > close then 'WIN' when fc < close then 'LOSS' else 'FLAT' end as outcome, (fc::double - close::double) / close::double as fr
-  from (select sw, i, close, lead(close, 10) over (partition by sw order by i) as fc from f)),
-wk as (select st.symbol, st.window_id, case when st.i < 50 then 'development' else 'validation' end as segment, o.outcome, o.fr from st join o on o.sw = st.sw and o.i = st.i where st.eu is not null)"""
+f as (select x.symbol || '#' || p.window_id as symbol, x.symbol as parent, p.window_id, x.* exclude (i, symbol), x.i - p.window_id * 25 as i from plan p join f0 x on x.symbol = p.symbol and x.i between p.window_id * 25 and p.window_id * 25 + 74)"""
+# every window is a symbol of its own; higher bars, the listing and regimes are those of its parent
+WINDOWED = (structure() + FACTS + SCORED).replace("x.symbol = f.symbol and x.closed_at", "x.symbol = f.parent and x.closed_at").replace("on x.symbol = j.symbol and x.i = j.cur", "on x.symbol = split_part(j.symbol, '#', 1) and x.i = j.cur").replace("case when x.symbol in ('click'", "case when x.parent in ('click'")
+WALKED = WINDOWS + WINDOWED + REGIME.replace(" as net from f)", " as net from f0)") + f""",
+ow as (select symbol, i, close::double as c, lead(close, 10) {PART})::double as fc, max(high) {PART} rows between 1 following and 10 following)::double as mx, min(low) {PART} rows between 1 following and 10 following)::double as mn from f),
+wk as (select g.parent as symbol, g.window_id, g.i, '15m' as timeframe, strftime(g.opened_at, '%Y-%m') as month, case when g.labels = '' then 'no_labels' else g.labels end as combination, r.regime, case when g.i < 50 then 'development' else 'validation' end as segment,
+  case when fc is null then 'OPEN' when fc > c then 'WIN' when fc < c then 'LOSS' else 'FLAT' end as outcome, (fc - c) / c as fr, (mx - c) / c as mfe, (mn - c) / c as mae
+  from sig g join ow on ow.symbol = g.symbol and ow.i = g.i join regime r on r.symbol = g.parent and r.i = g.i + g.window_id * 25 where g.signal = 'BUY_SIGNAL'),
+val as (select * from wk where segment = 'validation')"""
+DONE = "filter (where outcome <> 'OPEN')"
 SEGMENTS = WALKED + f""",
-seg as (select symbol, window_id, segment, {STATS}, avg(fr) filter (where outcome <> 'OPEN') as ar, count(*) filter (where outcome = 'WIN')::double / nullif(count(*) filter (where outcome <> 'OPEN'), 0) as wr from wk group by 1, 2, 3)"""
+sg as (select symbol, window_id, segment, {STATS}, avg(fr) {DONE} as ar, avg(mfe) {DONE} as amfe, avg(mae) {DONE} as amae, count(*) filter (where outcome = 'WIN')::double / nullif(count(*) {DONE}, 0) as wr from wk group by 1, 2, 3),
+seg as (select p.symbol, p.window_id, k.segment, {", ".join(f"coalesce({c}, 0) as {c}" for c in ("total", "open", "win", "loss", "flat", "finalized"))}, win_rate, ar, amfe, amae, wr
+  from plan p cross join (values ('development'), ('validation')) k(segment) left join sg on sg.symbol = p.symbol and sg.window_id = p.window_id and sg.segment = k.segment)"""
+CHANGES = SEGMENTS + """,
+ch as (select symbol, window_id, max(wr) filter (where segment = 'validation') - max(wr) filter (where segment = 'development') as dw, max(ar) filter (where segment = 'validation') - max(ar) filter (where segment = 'development') as da,
+  coalesce(max(finalized) filter (where segment = 'validation') >= 10 and max(finalized) filter (where segment = 'development') >= 10, false) as sure from seg group by 1, 2)"""
 ORDERS = bars("1 day", source="select o_orderpriority as symbol, o_orderdate as ts, o_orderkey as tie, o_totalprice::decimal(18,8) as px from orders")
 PRIMITIVES = ALL + POOLS + """,
 prim as (select symbol, 'level' as kind, kind as name, price::double as low, price::double as high from pools
@@ -184,6 +194,8 @@ prim as (select symbol, 'level' as kind, kind as name, price::double as low, pri
   union all select symbol, 'zone', 'block_' || blk, blo::double, bhi::double from facts where blk is not null
   union all select symbol, 'marker', 'sweep_' || side, case side when 'buy_side' then bh else bl end::double, case side when 'buy_side' then bh else bl end::double from pools where status = 'swept'
   union all select symbol, 'marker', 'displacement_' || disp, close::double, close::double from facts where disp is not null)"""
+VERSIONS = """select t.symbol, t.side, t.price, p.created, t.confirm as i, 'active' as status from touches t join pools p on p.symbol = t.symbol and p.side = t.side and p.price = t.price and t.confirm between p.created and p.touched
+ union all select symbol, side, price, created, breach, status from pools where status <> 'active'"""
 EXTREME = "case side when 'buy_side' then bh else bl end"
 
 ORACLES = {
@@ -217,8 +229,8 @@ from (select symbol, epoch(timestamp '2024-02-01') - epoch(max(closed_at)) as a
 union all select symbol, i, 'bearish', ed, {r6('pl', 'level')} from st where ed is not null"""),
     "pools": q(ST + POOLS, f"select symbol, side, {r6('price')}, created as created_index, touched as touched_index, members, kind, coalesce(breach, -1)::bigint as breach_index, status, coalesce(reason, '-') as reason from pools"),
     "sweeps": q(ST + POOLS, f"select symbol, side, breach as breach_index, {r6('price')}, {r6(EXTREME, 'extreme')} from pools where status = 'swept'"),
-    "active_pools": q(ST + POOLS, "select symbol, side, count(*) as n, round(max(price)::double, 6) as top from pools where created <= 500 and (breach is null or breach > 500) group by 1, 2"),
-    "pool_log": q(ST + POOLS, f"select series_key, status, count(*) as n from (select {KEY}, 'active' as status from touches union all select {KEY}, status from pools where status <> 'active') group by 1, 2"),
+    "active_pools": q(ST + POOLS, "select symbol, side, count(*) as n, round(max(price)::double, 6) as top from pools where breach is null group by 1, 2"),
+    "pool_log": q(ST + POOLS, f"select symbol, side, {r6('price')}, created as created_index, i as bar_index, status from ({VERSIONS})"),
     "sweep_context": q(ST + POOLS + SWEPT, """, c as (select x.symbol, x.i, last_value(case when w.symbol is not null then x.i end ignore nulls) over (partition by x.symbol order by x.i rows between unbounded preceding and 1 preceding) as si
  from f x left join swept w on w.symbol = x.symbol and w.i = x.i)
 select c.symbol, c.i as bar_index, case when si is null or c.i - si > 20 then 'none' when w.b and w.l then 'after_both' when w.b then 'after_buy_side' else 'after_sell_side' end as sweep_context from c left join swept w on w.symbol = c.symbol and w.i = c.si"""),
@@ -228,22 +240,33 @@ select c.symbol, c.i as bar_index, case when si is null or c.i - si > 20 then 'n
     "order_blocks": q(ALL, f"select symbol, i as bar_index, blk as block, {r6('blo', 'block_low')}, {r6('bhi', 'block_high')}, bi as block_index from facts where blk is not null"),
     "dealing_range": q(ALL, f"select symbol, i as bar_index, rst as range_status, {r6('rlo', 'range_low')}, {r6('rhi', 'range_high')}, coalesce(rdir, '-') as range_direction, coalesce(rcf, -1)::bigint as range_confirm from facts"),
     "pd_class": q(ALL, "select symbol, pd as pd_class, count(*) as n, sum(i)::bigint as indexes from facts group by 1, 2"),
-    "pd_arrays": q(ALL, f"""select symbol, bar_index, kind, {zone_class('a')} as low_class, {zone_class('b')} as high_class from (select symbol, i as bar_index, 'fvg' as kind, glo as a, ghi as b, rlo, rhi from facts where gap is not null
- union all select symbol, i, 'order_block', blo, bhi, rlo, rhi from facts where blk is not null union all select symbol, i, 'displacement', low, high, rlo, rhi from facts where disp is not null)"""),
+    "pd_arrays": q(ALL + POOLS, f"""select symbol, bar_index, kind, {r6('a', 'low')}, {r6('b', 'high')}, {r6('m', 'price')}, {zone_class('a')} as low_class, {zone_class('b')} as high_class, {zone_class('m')} as price_class from (
+ select symbol, i as bar_index, 'fvg' as kind, glo as a, ghi as b, (glo + ghi) * 0.5 as m, rlo, rhi from facts where gap is not null
+ union all select symbol, i, 'order_block', blo, bhi, (blo + bhi) * 0.5, rlo, rhi from facts where blk is not null union all select symbol, i, 'displacement', close, close, close, rlo, rhi from facts where disp is not null
+ union all select v.symbol, v.i, 'liquidity_pool', v.price, v.price, v.price, x.rlo, x.rhi from ({VERSIONS}) v join facts x on x.symbol = v.symbol and x.i = v.i
+ union all select p.symbol, p.breach, 'sweep', {EXTREME}, {EXTREME}, {EXTREME}, x.rlo, x.rhi from pools p join facts x on x.symbol = p.symbol and x.i = p.breach where p.status = 'swept')"""),
     "retracement": q(ALL, f"select symbol, i as bar_index, {r6('olo', 'ote_low')}, {r6('ohi', 'ote_high')}, opos as ote_position from facts"),
     "structure_shift": q(ALL, f"select symbol, i as bar_index, shift, round((case shift when 'bullish' then plh else pll end)::double, 6) as shift_level from facts where shift is not null"),
     "breakers": q(ALL + BROKEN, "select symbol, pub as published_index, blk as direction, h as hit_index, rejection, case when rejection = '-' then case blk when 'bullish' then 'bearish' else 'bullish' end else '-' end as breaker from broken"),
-    "mitigations": q(ALL + BROKEN, """, m as (select b.symbol, b.pub, min(x.i) as h from blocks b join facts x on x.symbol = b.symbol and x.i > b.pub and x.high > b.blo and x.low < b.bhi group by 1, 2)
+    "mitigations": q(ALL + BROKEN, """, m as (select b.symbol, b.pub, min(x.i) as h from blocks b join facts x on x.symbol = b.symbol and x.i > b.pub and x.high > b.blo and x.low < b.bhi and x.opened_at >= b.bknown group by 1, 2)
 select b.symbol, b.pub as published_index, b.blk as direction, m.h as hit_index, round(greatest(b.blo, x.low)::double, 6) as overlap_low, round(least(b.bhi, x.high)::double, 6) as overlap_high,
  round((least(b.bhi, x.high) - greatest(b.blo, x.low))::double, 6) as overlap_size from blocks b join m on m.symbol = b.symbol and m.pub = b.pub join facts x on x.symbol = b.symbol and x.i = m.h
- where not exists (select 1 from broken k where k.symbol = b.symbol and k.pub = b.pub and k.rejection = '-' and k.h <= m.h) and b.bknown <= x.opened_at"""),
+ where not exists (select 1 from broken k where k.symbol = b.symbol and k.pub = b.pub and k.rejection = '-' and k.h <= m.h)"""),
     "mtf_confluence": q(B15 + CONFLUENCE, "select symbol, i as bar_index, d1 as direction_1h, d4 as direction_4h, coalesce(c1, -1)::bigint as cursor_1h, coalesce(c4, -1)::bigint as cursor_4h, confluence from conf"),
     "htf_evidence": q(B1H + "," + bars("4 hours", "h4") + structure("h4"), """, j as (select f.symbol, f.i, max(x.i) as cur from f join h4f x on x.symbol = f.symbol and x.closed_at <= f.opened_at group by 1, 2)
 select j.symbol, j.i as bar_index, count(*) as n, max(e.i) as newest from j join h4st e on e.symbol = j.symbol and e.i <= j.cur and (e.eu is not null or e.ed is not null) group by 1, 2"""),
     "registry_status": q(B4H, """select symbol, case when symbol in ('click', 'view', 'purchase') then 'HALAL' else 'UNKNOWN' end as status, case when symbol in ('click', 'view', 'purchase') then 'listed_in_allow_list' else 'absent_from_allow_list' end as status_reason, count(*) as n from f group by 1, 2, 3"""),
-    "scores": q(ALL + SCORED, """select symbol, i as bar_index, score::bigint as score, passed, case when status <> 'HALAL' then 'gated_unknown' else concat_ws(',', 'halal_status', 'mtf_' || lower(confluence), case when disp is not null then 'displacement_present' end,
- case when swept then 'sweep_present' end, case when gap is not null then 'fvg_present' end, case when blk is not null then 'order_block_present' end, 'pd_' || lower(pd), 'ote_' || lower(replace(opos, '_OTE', ''))) end as score_reasons from sig"""),
-    "eligibility": q(ALL + SCORED, "select symbol, i as bar_index, bias, case when status = 'UNKNOWN' then 'BLOCKED_UNKNOWN' when passed then 'ELIGIBLE' else 'INELIGIBLE' end as eligibility, (longs + shorts)::bigint as n_votes from sig"),
+    "scores": q(ALL + SCORED, """select symbol, i as bar_index, score::bigint as score, passed, case when status <> 'HALAL' then rtrim(repeat('gated_unknown,', 11), ',') else concat_ws(',', 'halal_status',
+ case when confluence in ('BULLISH', 'BEARISH') then 'mtf_directional' when confluence = 'INSUFFICIENT_CONTEXT' then 'mtf_insufficient' else 'mtf_' || lower(confluence) end, 'missing_evidence', case when disp is not null then 'displacement_present' else 'missing_evidence' end,
+ case when swept then 'sweep_present' else 'missing_evidence' end, case when gap is not null then 'fvg_present' else 'missing_evidence' end, case when blk is not null then 'order_block_present' else 'missing_evidence' end, 'missing_evidence', 'missing_evidence',
+ case when pd = 'INSUFFICIENT_CONTEXT' then 'pd_insufficient' else 'pd_' || lower(pd) end, case when opos = 'INSUFFICIENT_CONTEXT' then 'ote_insufficient' else 'ote_' || lower(replace(opos, '_OTE', '')) end) end as score_reasons from sig"""),
+    "eligibility": q(ALL + SCORED, """select symbol, i as bar_index, bias, case when status = 'HALAL' and passed then 'ELIGIBLE' else 'NOT_ELIGIBLE' end as eligibility, (longs + shorts)::bigint as n_votes,
+ case when status <> 'HALAL' then 'gated_unknown' else concat_ws(',', case when passed then 'halal_and_threshold' else 'threshold_not_met' end,
+ case confluence when 'BULLISH' then 'mtf_long' when 'BEARISH' then 'mtf_short' when 'MIXED' then 'mtf_mixed' when 'NEUTRAL' then 'mtf_neutral' else 'mtf_insufficient' end,
+ case when not ready then 'structure_unready' when trend = 'bullish' then 'structure_long' when trend = 'bearish' then 'structure_short' else 'structure_ranging' end,
+ case when eu is not null then 'structure_event_long' end, case when ed is not null then 'structure_event_short' end, case blk when 'bullish' then 'order_block_long' when 'bearish' then 'order_block_short' else 'order_block_missing' end,
+ case when opos = 'INSIDE_OTE' and rdir = 'bullish' then 'ote_long' when opos = 'INSIDE_OTE' and rdir = 'bearish' then 'ote_short' else 'ote_missing' end, 'mss_missing', 'breaker_missing', 'mitigation_missing',
+ case when bias <> 'NEUTRAL' then null when confluence = 'MIXED' or (longs > 0 and shorts > 0) then 'conflicting_evidence' else 'no_directional_evidence' end) end as eligibility_reasons from sig"""),
     "signals": q(ALL + SCORED, """select symbol, i as bar_index, signal, case when again then 'duplicate_setup' when signal = 'BUY_SIGNAL' then concat_ws(',', 'halal_asset', 'sqs_threshold_passed', 'long_bias', case when confluence = 'BULLISH' then 'mtf_alignment' end,
  case when disp = 'bullish' then 'bullish_displacement' end, case when pd = 'DISCOUNT' then 'discount_context' end, case when opos = 'INSIDE_OTE' then 'ote_context' end)
  when signal = 'BEARISH_AVOID' then 'halal_asset,sqs_threshold_passed,bearish_spot_avoid' when status <> 'HALAL' then 'not_halal' when not passed then 'sqs_below_threshold' when bias = 'NEUTRAL' then 'neutral_bias' else 'missing_required_evidence' end as reasons from sig"""),
@@ -271,14 +294,17 @@ select month, coalesce(lag(month) over (order by month), '-') as previous, total
     "regimes": q(B15 + REGIME, f"select symbol, i as bar_index, {r6('er', 'efficiency')}, {r6('vr', 'volatility')}, coalesce(regime, '-') as regime from regime"),
     "walk_forward_plan": q(WINDOWS, f"select {KEY}, window_id, window_id * 25 as first, window_id * 25 + 50 as split, window_id * 25 + 74 as last from plan"),
     "walk_forward": q(SEGMENTS, "select symbol, window_id, segment, total, open, win, loss, flat, finalized, win_rate, round(ar, 5) as avg_return from seg"),
-    "stability": q(SEGMENTS, """select symbol, count(*) as windows, count(*) filter (where finalized >= 1) as sampled, count(*) filter (where finalized >= 1 and ar > 0) as positive, count(*) filter (where finalized >= 1 and ar < 0) as negative,
- case when count(*) filter (where finalized >= 1) > 1 then round(max(wr) - min(wr), 6) end as win_spread,
- case when count(*) filter (where finalized >= 1) = 0 then 'UNDERSAMPLED' when count(*) filter (where finalized >= 1 and wr >= 0.5 and ar >= 0) = count(*) filter (where finalized >= 1) then 'STABLE' else 'WEAK' end as status from seg where segment = 'validation' group by 1"""),
-    "degradation": q(SEGMENTS, """select symbol, window_id, round(max(wr) filter (where segment = 'validation') - max(wr) filter (where segment = 'development'), 6) as win_rate_change,
- round(max(ar) filter (where segment = 'validation') - max(ar) filter (where segment = 'development'), 5) as avg_return_change,
- coalesce(max(finalized) filter (where segment = 'validation') >= 1 and max(finalized) filter (where segment = 'development') >= 1, false) as both from seg group by 1, 2"""),
-    "cells": q(ALL + PUBLISHED, dimensions(CELLS, "pub", f"{CELL}, {STATS}")),
-    "findings": q(ALL + PUBLISHED, f'select dimension, "group", finalized, win_rate from ({dimensions(CELLS, "pub", f"{CELL}, {STATS}")}) where pattern = \'LOSER\''),
+    "stability": q(SEGMENTS, """select symbol, count(*) as windows, count(*) filter (where ok) as sampled, count(*) filter (where ok and ar > 0) as positive, count(*) filter (where ok and ar < 0) as negative,
+ case when count(*) filter (where ok) > 1 then round(max(wr) filter (where ok) - min(wr) filter (where ok), 5) end as win_spread, case when count(*) filter (where ok) > 1 then round(max(ar) filter (where ok) - min(ar) filter (where ok), 5) end as return_spread,
+ case when count(*) filter (where ok) > 1 then round(max(amfe) filter (where ok) - min(amfe) filter (where ok), 5) end as mfe_spread, case when count(*) filter (where ok) > 1 then round(max(amae) filter (where ok) - min(amae) filter (where ok), 5) end as mae_spread,
+ coalesce(arg_min(window_id, struct_pack(a := -ar, b := window_id)) filter (where ok), -1)::bigint as best, coalesce(arg_min(window_id, struct_pack(a := ar, b := window_id)) filter (where ok), -1)::bigint as worst,
+ case when count(*) filter (where ok) < 3 then 'UNDERSAMPLED' when count(*) filter (where ok and wr >= 0.5 and ar >= 0) = count(*) filter (where ok) and max(wr) filter (where ok) - min(wr) filter (where ok) <= 0.5 then 'STABLE' else 'WEAK' end as status
+ from (select *, finalized >= 10 as ok from seg where segment = 'validation') group by 1"""),
+    "degradation": q(CHANGES, "select symbol, window_id, round(dw, 6) as win_rate_change, round(da, 5) as avg_return_change, sure as \"both\" from ch"),
+    "degradation_summary": q(CHANGES, "select symbol, count(*) as windows, count(*) filter (where sure) as comparable, round(avg(dw) filter (where sure), 5) as mean_win_rate_change, round(avg(da) filter (where sure), 5) as mean_avg_return_change from ch group by 1"),
+    "out_of_sample": q(WALKED, dimensions({"symbol": "symbol", "timeframe": "timeframe", "combination": "combination", "month": "month", "regime": "regime"}, "val", f"{SUFFICIENT}, {STATS}, {RETURN}")),
+    "cells": q(WALKED, dimensions(CELLS, "val", f"{CELL}, {STATS}")),
+    "findings": q(WALKED, f'select dimension, "group", finalized, win_rate from ({dimensions(CELLS, "val", f"{CELL}, {STATS}")}) where pattern = \'LOSER\''),
     "compare_variants": q(ST + OUTCOMES + REGIME, """, x as (select st.symbol, st.eu, o.outcome, r.regime from st join o2 o on o.symbol = st.symbol and o.i = st.i join regime r on r.symbol = st.symbol and r.i = st.i where st.eu is not null),
  y as (select 'overall' as dimension, 'all' as "group", outcome, regime from x union all select 'symbol', symbol, outcome, regime from x union all select 'event', eu, outcome, regime from x),
  g as (select dimension, "group", count(*) filter (where outcome <> 'OPEN') as a, count(*) filter (where outcome <> 'OPEN' and regime = 'TRENDING') as b, count(*) filter (where outcome = 'WIN')::double as aw, count(*) filter (where outcome = 'WIN' and regime = 'TRENDING')::double as bw from y group by 1, 2)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.operators import context, liquidity, outcomes, structure
+from barloom.operators import context, liquidity, outcomes, ranges, structure
 from barloom.plans import facts as P
 from barloom.plans import reports as R
 from barloom.plans.config import Config
@@ -128,7 +128,7 @@ def banded_pools(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pool_log(spark: SparkSession, sf: str) -> DataFrame:
-    return liquidity.pool_log(structured(spark, sf), CFG).groupBy("series_key", "status").agg(F.count("*").alias("n"))
+    return liquidity.pool_log(structured(spark, sf), CFG).select("symbol", "side", d("price"), "created_index", "bar_index", "status")
 
 
 def sweep_context(spark: SparkSession, sf: str) -> DataFrame:
@@ -161,17 +161,10 @@ def pd_class(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def pd_arrays(spark: SparkSession, sf: str) -> DataFrame:
-    """Gaps, order blocks and displacements of a bar by where their two ends lie in its range."""
-    from barloom.operators.ranges import classify
-
+    """Arrays published on each bar by where their ends and representative price lie in its range."""
     f = bar_facts(spark, sf)
-    kinds = F.array(
-        F.when(F.col("gap").isNotNull(), F.struct(F.lit("fvg").alias("kind"), F.col("gap_low").alias("a"), F.col("gap_high").alias("b"))),
-        F.when(F.col("block").isNotNull(), F.struct(F.lit("order_block").alias("kind"), F.col("block_low").alias("a"), F.col("block_high").alias("b"))),
-        F.when(F.col("displacement").isNotNull(), F.struct(F.lit("displacement").alias("kind"), F.col("low").alias("a"), F.col("high").alias("b"))),
-    )
-    out = f.withColumn("z", F.explode(F.filter(kinds, lambda k: k.isNotNull())))
-    return out.select("symbol", "bar_index", F.col("z.kind").alias("kind"), classify(F.col("z.a"), CFG).alias("low_class"), classify(F.col("z.b"), CFG).alias("high_class"))
+    out = ranges.annotated(f, liquidity.pools(f, CFG), liquidity.pool_log(f, CFG), CFG)
+    return out.select("symbol", "bar_index", "kind", d("low"), d("high"), d("price"), "low_class", "high_class", "price_class")
 
 
 def retracement(spark: SparkSession, sf: str) -> DataFrame:
@@ -219,7 +212,7 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def eligibility(spark: SparkSession, sf: str) -> DataFrame:
-    return full(spark, sf).select("symbol", "bar_index", "bias", "eligibility", F.size("votes").cast("long").alias("n_votes"))
+    return full(spark, sf).select("symbol", "bar_index", "bias", "eligibility", F.size(F.filter("votes", lambda v: v["bias"].isNotNull())).cast("long").alias("n_votes"), F.array_join("eligibility_reasons", ",").alias("eligibility_reasons"))
 
 
 def signals(spark: SparkSession, sf: str) -> DataFrame:
@@ -296,7 +289,8 @@ def walked(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def walk_segments(spark: SparkSession, sf: str) -> DataFrame:
-    return R.segments(walked(spark, sf), CFG, "symbol", "window_id")
+    plan = R.window_plan(P.event_bars(spark, sf, "15m"), CFG).withColumn("symbol", F.element_at(F.split("series_key", ":"), 1))
+    return R.segments(walked(spark, sf), plan, CFG, "symbol", "window_id")
 
 
 def walk_forward(spark: SparkSession, sf: str) -> DataFrame:
@@ -305,11 +299,21 @@ def walk_forward(spark: SparkSession, sf: str) -> DataFrame:
 
 def stability(spark: SparkSession, sf: str) -> DataFrame:
     out = R.stability(walk_segments(spark, sf), CFG, "symbol")
-    return out.select("symbol", "windows", "sampled", "positive", "negative", d("win_spread"), "status")
+    spreads = [F.round(f"{k}_spread", 5).alias(f"{k}_spread") for k in ("win", "return", "mfe", "mae")]
+    return out.select("symbol", "windows", "sampled", "positive", "negative", *spreads, known("best"), known("worst"), "status")
+
+
+def walk_changes(spark: SparkSession, sf: str) -> DataFrame:
+    return R.degradation(walk_segments(spark, sf), CFG, "symbol", "window_id")
 
 
 def degradation(spark: SparkSession, sf: str) -> DataFrame:
-    return R.degradation(walk_segments(spark, sf), CFG, "symbol", "window_id").select("symbol", "window_id", d("win_rate_change"), F.round("avg_return_change", 5).alias("avg_return_change"), "both")
+    return walk_changes(spark, sf).select("symbol", "window_id", d("win_rate_change"), F.round("avg_return_change", 5).alias("avg_return_change"), "both")
+
+
+def degradation_summary(spark: SparkSession, sf: str) -> DataFrame:
+    out = R.degradation_summary(walk_changes(spark, sf), "symbol")
+    return out.select("symbol", "windows", "comparable", F.round("mean_win_rate_change", 5).alias("mean_win_rate_change"), F.round("mean_avg_return_change", 5).alias("mean_avg_return_change"))
 
 
 def validated(spark: SparkSession, sf: str) -> DataFrame:
@@ -367,7 +371,7 @@ def fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 NAMES = (
     bars_orders, candle_audit, candle_conflicts, latest_n_bars, gaps, intervals, freshness, condition_rollup, swings, trend, structure_events, structure_rows, pools, sweeps, active_pools, banded_pools, pool_log, sweep_context,
     atr, displacement, fvg, order_blocks, dealing_range, pd_class, pd_arrays, retracement, structure_shift, breakers, mitigations, mtf_confluence, htf_evidence, registry_status, scores, eligibility, signals, outcome_rows, outcome_running,
-    outcome_log, ema_rsi, volume_ratio, attribution, performance, performance_ranks, monthly_review, regimes, walk_forward_plan, walk_forward, stability, degradation, out_of_sample, cells, findings, compare_variants, threshold_grid,
+    outcome_log, ema_rsi, volume_ratio, attribution, performance, performance_ranks, monthly_review, regimes, walk_forward_plan, walk_forward, stability, degradation, degradation_summary, out_of_sample, cells, findings, compare_variants, threshold_grid,
     chart_primitives, price_domain, ledger_stats, fingerprints,
 )
 QUERIES = {"bars_15m": bars("15m"), "bars_1h": bars("1h"), **{f.__name__: f for f in NAMES}}

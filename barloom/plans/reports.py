@@ -83,10 +83,15 @@ def window_bars(bars: DataFrame, cfg: Config) -> DataFrame:
     return held.withColumn("bar_index", F.col("bar_index") - F.col("first")).drop("first", "split", "last")
 
 
-def segments(rows: DataFrame, cfg: Config, *keys: str) -> DataFrame:
-    """Aggregates by window and segment; the status looks at validation."""
+SEGMENTS = ("development", "validation")
+COUNTS = ("total", "open", "win", "loss", "flat", "finalized")
+
+
+def segments(rows: DataFrame, plan: DataFrame, cfg: Config, *keys: str) -> DataFrame:
+    """Aggregates by window and segment of every planned window, with signals or none; the status looks at validation."""
     kind = F.when(F.col("bar_index") < cfg.development_bars, "development").otherwise("validation")
-    out = rows.withColumn("segment", kind).groupBy(*keys, "segment").agg(*outcome_aggregates())
+    seen = rows.withColumn("segment", kind).groupBy(*keys, "segment").agg(*outcome_aggregates())
+    out = plan.select(*keys, F.explode(F.array(*map(F.lit, SEGMENTS))).alias("segment")).join(seen, [*keys, "segment"], "left").fillna(0, list(COUNTS))
     status = F.when(F.col("finalized") < cfg.minimum_finalized, "UNDERSAMPLED").when((F.col("win_rate") >= cfg.stable_win_rate) & (F.col("avg_return") >= 0), "STABLE").otherwise("WEAK")
     return out.withColumn("status", F.when(F.col("segment") == "validation", status))
 
@@ -94,23 +99,32 @@ def segments(rows: DataFrame, cfg: Config, *keys: str) -> DataFrame:
 def degradation(parts: DataFrame, cfg: Config, *keys: str) -> DataFrame:
     """Validation less development of each window."""
     pick = lambda segment, c: F.max(F.when(F.col("segment") == segment, F.col(c)))
-    out = parts.groupBy(*keys).agg(*[pick(s, c).alias(f"{s[0]}_{c}") for s in ("development", "validation") for c in ("win_rate", "avg_return", "finalized")])
+    out = parts.groupBy(*keys).agg(*[pick(s, c).alias(f"{s[0]}_{c}") for s in SEGMENTS for c in ("win_rate", "avg_return", "finalized")])
     both = (F.col("d_finalized") >= cfg.minimum_finalized) & (F.col("v_finalized") >= cfg.minimum_finalized)
     return out.select(*keys, (F.col("v_win_rate") - F.col("d_win_rate")).alias("win_rate_change"), (F.col("v_avg_return") - F.col("d_avg_return")).alias("avg_return_change"), F.coalesce(both, F.lit(False)).alias("both"))
 
 
+def degradation_summary(changes: DataFrame, *keys: str) -> DataFrame:
+    """Mean changes over the windows whose two segments are sufficient."""
+    mean = lambda c: F.avg(F.when(F.col("both"), F.col(c))).alias(f"mean_{c}")
+    return changes.groupBy(*keys).agg(F.count("*").alias("windows"), F.count_if("both").alias("comparable"), mean("win_rate_change"), mean("avg_return_change"))
+
+
 def stability(parts: DataFrame, cfg: Config, *keys: str) -> DataFrame:
-    """Over validation segments: counts, spreads, best and worst window, overall status."""
+    """Over validation segments: counts, spreads, best and worst window (the first of equals), overall status."""
     rows = parts.where("segment = 'validation'")
     done = F.col("finalized") >= cfg.minimum_finalized
+    values = {"win": "win_rate", "return": "avg_return", "mfe": "avg_mfe", "mae": "avg_mae"}
     out = rows.groupBy(*keys).agg(
         F.count("*").alias("windows"), F.count_if(done).alias("sampled"), F.count_if(done & (F.col("avg_return") > 0)).alias("positive"), F.count_if(done & (F.col("avg_return") < 0)).alias("negative"),
-        F.max(F.when(done, F.col("win_rate"))).alias("hi_win"), F.min(F.when(done, F.col("win_rate"))).alias("lo_win"), F.max(F.when(done, F.col("avg_return"))).alias("hi_ret"), F.min(F.when(done, F.col("avg_return"))).alias("lo_ret"),
+        *[(F.max(F.when(done, F.col(c))) - F.min(F.when(done, F.col(c)))).alias(f"{k}_spread") for k, c in values.items()],
+        F.min(F.when(done, F.struct(-F.col("avg_return"), "window_id"))).alias("b"), F.min(F.when(done, F.struct("avg_return", "window_id"))).alias("w"),
         F.count_if(F.col("status") == "STABLE").alias("stable"),
     )
-    many = F.col("sampled") > 1
-    status = F.when(F.col("sampled") == 0, "UNDERSAMPLED").when(F.col("stable") == F.col("sampled"), "STABLE").otherwise("WEAK")
-    return out.select(*keys, "windows", "sampled", "positive", "negative", F.when(many, F.col("hi_win") - F.col("lo_win")).alias("win_spread"), F.when(many, F.col("hi_ret") - F.col("lo_ret")).alias("return_spread"), status.alias("status"))
+    out = out.withColumns({f"{k}_spread": F.when(F.col("sampled") > 1, F.col(f"{k}_spread")) for k in values})
+    calm = (F.col("stable") == F.col("sampled")) & (F.col("win_spread").isNull() | (F.col("win_spread") <= cfg.maximum_win_rate_spread))
+    status = F.when(F.col("sampled") < cfg.minimum_windows, "UNDERSAMPLED").when(calm, "STABLE").otherwise("WEAK")
+    return out.select(*keys, "windows", "sampled", "positive", "negative", *[f"{k}_spread" for k in values], F.col("b.window_id").alias("best"), F.col("w.window_id").alias("worst"), status.alias("status"))
 
 
 def cells(rows: DataFrame, cfg: Config) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions.core import first_hit, require_higher_multiple
-from barloom.operators import context, liquidity, outcomes, structure
+from barloom.operators import context, liquidity, outcomes, signals, structure
 from barloom.plans import facts as P
 from barloom.plans import queries
 from barloom.plans import reports as R
@@ -16,6 +16,7 @@ from barloom.sources import candles, quality
 from barloom.streaming.bars import FACTS, Series, stream_facts
 
 START = datetime(2024, 1, 1)
+# Candles and the events expected of them, as the methods define them.
 STRUCTURE = "10,11,9,10 15,16,14,15 12,13,11,12 18,19,17,18 14,15,13,14 16,17,15,16 20,21,19,20 17,18,16,17 12,13,11,12 16,17,15,16 10,11,9,10 14,15,13,14 8,9,7,8 18,19,17,18"
 LIQUIDITY = "10,11,9,10 15,16,14,15 12,13,11,12 15,16,14,15 12,13,11,12 12,13,9,10 12,13,11,12 10,13,9,10 12,13,11,12 12,17,11,12 12,13,8,12 12,13,10,12"
 
@@ -110,6 +111,70 @@ def test_breakers_and_mitigations_bar_by_bar(spark):
     assert {r.published_index: r.hit_index for r in liquidity.mitigations(f).collect()} == {k: v for k, v in want_m.items() if k not in early}
 
 
+def test_mitigation_waits_until_the_block_is_known(spark):
+    """A late arrival doesn't lose the mitigation: the first bar that opens when the block is known counts."""
+    rows = [(0, 10, 12, 9, "bullish", 9.0, 12.0), (1, 20, 21, 10, None, None, None), (2, 20, 22, 19, None, None, None), (3, 20, 21, 11, None, None, None)]
+    at = lambda i: START + timedelta(minutes=15 * i)
+    data = [("k", "S", i, at(i), at(i + (2 if i == 0 else 1)), float(c), float(c), float(h), float(lo), None, None, None, b, x, y) for i, c, h, lo, b, x, y in rows]
+    f = spark.createDataFrame(data, "series_key string, symbol string, bar_index long, opened_at timestamp, available_at timestamp, close double, prev_close double, high double, low double, displacement string, shift string, open double, block string, block_low double, block_high double")
+    assert [(r.hit_index, r.overlap_low, r.overlap_high) for r in liquidity.mitigations(f).collect()] == [(3, 11.0, 12.0)]
+
+
+def frame(spark, *rows):
+    """Facts of single bars; what isn't named has nothing to say."""
+    base = {"status": "HALAL", "confluence": "INSUFFICIENT_CONTEXT", "ready": False, "trend": "ranging", "event_up": None, "event_down": None, "displacement": None, "sweeps": None, "gap": None, "block": None, "pd_class": "INSUFFICIENT_CONTEXT", "ote_position": "INSUFFICIENT_CONTEXT", "range_direction": None}
+    schema = ", ".join(f"{k} {'boolean' if k == 'ready' else 'array<string>' if k == 'sweeps' else 'string'}" for k in base) + ", n int"
+    df = spark.createDataFrame([(*(base | r).values(), i) for i, r in enumerate(rows)], schema)
+    return df.transform(signals.add_scores, Config()).transform(signals.add_votes).orderBy("n").collect()
+
+
+def test_scores_and_reasons(spark):
+    a, b, c, d, e = frame(spark, {}, {"confluence": "BULLISH"}, {"status": "UNKNOWN", "confluence": "BULLISH"}, {"status": "HARAM"}, {"confluence": "MIXED", "displacement": "bullish", "sweeps": ["buy_side"], "gap": "bullish", "block": "bearish", "pd_class": "DISCOUNT", "ote_position": "INSIDE_OTE", "range_direction": "bullish", "ready": True})
+    assert (a.score, b.score, c.score, d.score, e.score) == (10, 25, 0, 0, 70)
+    none = "missing_evidence"
+    assert a.score_reasons == ["halal_status", "mtf_insufficient", none, none, none, none, none, none, none, "pd_insufficient", "ote_insufficient"]
+    assert b.score_reasons[1] == "mtf_directional" and c.score_reasons == ["gated_unknown"] * 11 and d.score_reasons == ["gated_haram"] * 11
+    assert e.score_reasons == ["halal_status", "mtf_mixed", none, "displacement_present", "sweep_present", "fvg_present", "order_block_present", none, none, "pd_discount", "ote_inside"]
+
+
+def test_votes_and_eligibility(spark):
+    a, b, c, d, e, f, g = frame(spark, {}, {"confluence": "BULLISH"}, {"status": "UNKNOWN", "confluence": "BULLISH"}, {"status": "HARAM", "confluence": "BEARISH"}, {"confluence": "BULLISH", "block": "bearish", "ready": True, "trend": "bullish"}, {"confluence": "MIXED", "event_up": "BOS"}, {"event_down": "BOS", "ote_position": "INSIDE_OTE", "range_direction": "bearish", "ready": True})
+    assert {r.eligibility for r in (a, b, c, d, e, f, g)} == {"NOT_ELIGIBLE"}
+    assert [r.bias for r in (a, b, c, d, e, f, g)] == ["NEUTRAL", "LONG_BIAS", "NEUTRAL", "NEUTRAL", "NEUTRAL", "NEUTRAL", "SHORT_BIAS"]
+    tail = ["mss_missing", "breaker_missing", "mitigation_missing"]
+    assert a.eligibility_reasons == ["threshold_not_met", "mtf_insufficient", "structure_unready", "order_block_missing", "ote_missing", *tail, "no_directional_evidence"]
+    assert b.eligibility_reasons == ["threshold_not_met", "mtf_long", "structure_unready", "order_block_missing", "ote_missing", *tail]
+    assert c.eligibility_reasons == ["gated_unknown"] and d.eligibility_reasons == ["gated_haram"]
+    assert e.eligibility_reasons == ["threshold_not_met", "mtf_long", "structure_long", "order_block_short", "ote_missing", *tail, "conflicting_evidence"]
+    assert f.eligibility_reasons[-1] == "conflicting_evidence" and "structure_event_long" in f.eligibility_reasons
+    assert g.eligibility_reasons[:4] == ["threshold_not_met", "mtf_insufficient", "structure_ranging", "structure_event_short"]
+    assert [v.source for v in g.votes] == ["mtf", "structure", "structure_event", "order_block", "ote", "mss", "breaker", "mitigation"]
+
+
+def segment(window, name, finalized, win_rate, ret, status=None):
+    return ("S", window, name, finalized, win_rate, ret, 0.1 * window, -0.1, status)
+
+
+def test_stability_and_degradation(spark):
+    schema = "symbol string, window_id long, segment string, finalized long, win_rate double, avg_return double, avg_mfe double, avg_mae double, status string"
+    cfg = Config()
+
+    def judged(*rows):
+        return R.stability(spark.createDataFrame([segment(i, "validation", *r) for i, r in enumerate(rows)], schema), cfg, "symbol").first()
+
+    good = (10, 0.6, 0.1, "STABLE")
+    assert judged(good, good).status == "UNDERSAMPLED" and judged(good, good, good).status == "STABLE"
+    assert judged(good, good, (10, 1.0, 0.3, "STABLE"), (3, 0.0, -1.0, "UNDERSAMPLED")).status == "STABLE"
+    wide = judged((10, 0.5, 0.1, "STABLE"), (10, 0.5, 0.1, "STABLE"), (12, 1.0, 0.1, "STABLE"), (12, 0.4, -0.2, "WEAK"))
+    assert wide.status == "WEAK" and abs(wide.win_spread - 0.6) < 1e-9 and (wide.best, wide.worst, wide.positive, wide.negative) == (0, 3, 3, 1) and abs(wide.mfe_spread - 0.3) < 1e-9 and wide.mae_spread == 0
+    # every segment holds, but they lie too far apart
+    far = R.stability(spark.createDataFrame([segment(i, "validation", 10, w, 0.1, "STABLE") for i, w in enumerate((0.5, 0.7, 1.0))], schema), Config(maximum_win_rate_spread=0.4), "symbol").first()
+    assert far.status == "WEAK"
+    rows = [segment(0, "development", 10, 0.5, 0.2), segment(0, "validation", 10, 0.7, 0.1), segment(1, "development", 10, 0.6, 0.2), segment(1, "validation", 20, 0.4, 0.3), segment(2, "development", 2, 0.0, 0.0), segment(2, "validation", 20, 1.0, 0.9)]
+    out = R.degradation_summary(R.degradation(spark.createDataFrame(rows, schema), cfg, "symbol", "window_id"), "symbol").first()
+    assert (out.windows, out.comparable) == (3, 2) and abs(out.mean_win_rate_change) < 1e-9 and abs(out.mean_avg_return_change) < 1e-9
+
+
 def test_higher_bar_is_known_from_its_close(spark):
     low = make(spark, noise(4, 20))
     high = make(spark, noise(6, 3), 60, "1h").withColumn("trend", F.lit("bullish")).withColumn("ready", F.lit(True))
