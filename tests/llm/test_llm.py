@@ -122,6 +122,41 @@ def test_mix(docs, empty):
         taken[round(r.target, 6)] += r.taken
     assert all(abs(v - k * each[k]) <= 60 * each[k] for k, v in taken.items())
     assert mixing.mix(empty).count() == 0
+    held = mixing.mix(docs.repartition(5, "text"), with_row=True).collect()
+    assert sorted(map(str, ((r.doc_id, r["size"], r.target, r.taken) for r in held))) == sorted(map(str, ((r.doc_id, r["size"], r.target, r.taken) for r in rows)))
+    assert all(r.doc_id == r.row.doc_id for r in held)
+
+
+def test_mix_draws_by_inclusion_probability(spark):
+    """Many sources alike are as many draws: frequencies follow the probabilities, sample sizes are fixed."""
+    n, sizes = 400, [1, 2, 3, 4, 5, 6, 8, 10, 12, 40]
+    df = spark.createDataFrame([(100 * s + k, f"s{s:04}", "w " * size) for s in range(n) for k, size in enumerate(sizes)], "doc_id long, source string, text string")
+    out = mixing.mix(df, weights=(1, 3), closing=0)
+    seen, members = collections.Counter(), collections.Counter()
+    for r in out.collect():
+        ratio = r.target / r.source_size
+        assert r.copies - math.floor(ratio + 1e-12) in (0, 1)
+        seen[round(ratio, 6), r["size"]] += r.copies - math.floor(ratio + 1e-12)
+        members[r.doc_id // 100] += r.copies - math.floor(ratio + 1e-12)
+    for ratio in {k[0] for k in seen}:
+        room, certain = (ratio - math.floor(ratio + 1e-12)) * sum(sizes), set()
+        while True:
+            unit = (room - sum(certain)) / sum(x * x for x in sizes if x not in certain)
+            over = {x for x in sizes if x not in certain and unit * x > 1}
+            if not over:
+                break
+            certain |= over
+        want = {x: 1.0 if x in certain else unit * x for x in sizes}
+        for x in sizes:
+            assert abs(seen[ratio, x] / (n / 2) - want[x]) < 0.12, (ratio, x)
+        assert {members[s] for s in range(n) if (s % 2 == 1) == (ratio > 1)} == {round(sum(want.values()))}
+
+
+def test_mix_comes_near_its_targets(spark):
+    rng = random.Random(8)
+    df = spark.createDataFrame([(i, f"s{i % 4}", "w " * int(rng.paretovariate(1.1) * 20)) for i in range(2000)], "doc_id long, source string, text string")
+    got = mixing.mix(df).groupBy("target", "source_size").agg(F.sum("taken").alias("taken")).collect()
+    assert len(got) == 4 and all(abs(r.taken - r.target) <= 0.01 * r.target for r in got)
 
 
 ODD = ["a.b,c d... \"foo\". don't. it's, x́.  é, \x1c! <|endoftext|>. <|ENDOFTEXT|> A.  b　,c  ", "  .lead", "É.é 12.5,3 1,000.\r\n\r\nA\t.b . , '.s 's.", "İ I. ΑΣ. ΟΔΟΣ, x", "İ.", "x İ,", "İz İ, y", "a\nb\nc. d, .,\n. ,\nx", "", ".", "\n", "x <|endoftext|>,\n<|endoftext|> y", "\0a b", "é\nÉ ñ, ß. ǅ ª", "١٢ ² x²,"]
