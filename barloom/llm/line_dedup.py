@@ -2,7 +2,8 @@
 
 Lines travel as (document, position, 128-bit hash of the normalised line), never as text. The
 hash table is reduced with min/max of the document id, which Spark combines before the shuffle,
-so a line of millions of documents costs one row per task there.
+so a line of millions of documents costs one row per task there. Lines meet the table by hash; the
+most frequent ones by hash and salt, with the table's row copied to every salt.
 
 Defined cases: a null or empty text is one empty line; a null id stands for one document after
 all others; repeated rows of one id are one document; other columns pass through unchanged,
@@ -14,8 +15,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import BLANK, NO_ID
+from barloom.llm.common import BLANK, NO_ID, keep
 
+#: A line is hot above this share of all repeats (1 / HEAVY); tasks that a hot line is dealt to.
+HEAVY, SALTS = 1_000, 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -38,12 +41,19 @@ def repeated_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, id_c
     )
     lines = lines.withColumn("key", line_key(F.col("line"))).where(F.char_length("key") >= min_chars)
     lines = lines.select("d", "th", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
-    seen = lines.groupBy("h1", "h2")
-    if min_docs == 2:
-        common = seen.agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first < last")
+    if min_docs == 2:  # two ids differ where the least and the greatest do, which needs no distinct
+        common = lines.groupBy("h1", "h2").agg(F.min("d").alias("first"), F.max("d").alias("last"), F.count("*").alias("n")).where("first < last")
     else:
-        common = lines.select("h1", "h2", "d").distinct().groupBy("h1", "h2").agg(F.min("d").alias("first"), F.count("*").alias("n")).where(F.col("n") >= min_docs)
-    return lines.join(common.select("h1", "h2", "first"), ["h1", "h2"]).where("d > first").select("d", "th", "pos")
+        common = lines.groupBy("h1", "h2", "d").agg(F.count("*").alias("n")).groupBy("h1", "h2").agg(F.min("d").alias("first"), F.count("*").alias("docs"), F.sum("n").alias("n")).where(F.col("docs") >= min_docs)
+    common = keep(common.select("h1", "h2", "first", "n"), "lines")
+    # lines with more than a thousandth of all repeats, a thousand at most, are dealt to many tasks
+    total = common.agg(F.sum("n")).first()[0] or 0
+    heavy = F.col("n") * HEAVY > total
+    spread = F.broadcast(common.where(heavy).select("h1", "h2", F.lit(True).alias("hot")))
+    salts = [F.lit(i).cast("long") for i in range(SALTS)]
+    lines = lines.join(spread, ["h1", "h2"], "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("d", "pos"), F.lit(SALTS))).otherwise(salts[0]))
+    common = common.select("h1", "h2", "first", F.explode(F.when(heavy, F.array(*salts)).otherwise(F.array(salts[0]))).alias("salt"))
+    return lines.join(common, ["h1", "h2", "salt"]).where("d > first").select("d", "th", "pos")
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = 10, min_docs: int = 2, id_col: str = "doc_id", text_col: str = "text", suffix: str = "") -> DataFrame:
