@@ -2,11 +2,14 @@
 
 The reader walks EBML elements with their variable-length ids and sizes, down through segment,
 tracks, clusters, block groups and cues, undoes the three kinds of lacing, and gives each packet's
-track, time and byte range in the file. The writer stores 8-bit PCM in laced blocks with cues.
-
-Defined cases: null media has no packets and a null error; media that is cut short or not Matroska
-gives the packets before the fault and an error text; an empty text is one frame of blanks; other
-columns pass through; empty tables stay empty.
+track, time and byte range in the file; frames of a lace follow one another by their track's default
+duration. The writer stores 8-bit PCM in laced blocks with cues. A block of a group is a key frame
+unless the group names another block that it refers to.
+
+Defined cases: null media is one row without a packet and a null error; media that is cut short or
+not Matroska gives the packets before the fault and an error text, one row at least; an empty text
+is one frame of blanks; other columns pass through, but one named like a column of the table is
+replaced; a null id is kept, repeated rows are read each; empty tables stay empty.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ import struct
 import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,7 +30,8 @@ from barloom.llm.tokens import steps
 EBML, DOC_TYPE, SEGMENT, INFO, SCALE, DURATION = 0x1A45DFA3, 0x4282, 0x18538067, 0x1549A966, 0x2AD7B1, 0x4489
 TRACKS, TRACK, NUMBER, UID, KIND, CODEC = 0x1654AE6B, 0xAE, 0xD7, 0x73C5, 0x83, 0x86
 AUDIO, RATE, CHANNELS, DEPTH = 0xE1, 0xB5, 0x9F, 0x6264
-CLUSTER, TIME, SIMPLE, GROUP, BLOCK = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1
+CLUSTER, TIME, SIMPLE, GROUP, BLOCK, REFERENCE = 0x1F43B675, 0xE7, 0xA3, 0xA0, 0xA1, 0xFB
+FRAME_TIME = 0x23E383
 CUES, CUE, CUE_TIME, CUE_PLACE, CUE_TRACK, CUE_CLUSTER = 0x1C53BB6B, 0xBB, 0xB3, 0xB7, 0xF7, 0xF1
 NESTED = {SEGMENT, TRACKS, TRACK, CLUSTER, GROUP, CUES, CUE, CUE_PLACE, INFO}
 #: Elements that end a cluster or segment of unknown size.
@@ -85,7 +90,7 @@ def parse(data: bytes) -> dict:
     scale, base, segment, cue = 1_000_000, 0, 0, [0, 0, 0]
     ends = [len(data)]
     ids = [0]
-    at = 0
+    at, group = 0, None
     try:
         if number(data, 0, True)[0] != EBML:
             raise ValueError("not EBML")
@@ -110,6 +115,8 @@ def parse(data: bytes) -> dict:
                     out["clusters"].append(first)
                 elif name == TRACK:
                     out["tracks"].append({})
+                elif name == GROUP:
+                    group = None
                 ends.append(end)
                 ids.append(name)
                 continue
@@ -119,13 +126,16 @@ def parse(data: bytes) -> dict:
                 (step,) = struct.unpack(">h", data[body : body + 2])
                 flags = data[body + 2]
                 frames = laces(data, body + 3, end, flags >> 1 & 3)
-                ms = (base + step) * scale // 1_000_000
-                out["packets"] += [(track, ms, s, n, bool(flags & 0x80)) for s, n in frames]
+                each = next((t.get(FRAME_TIME, 0) for t in out["tracks"] if t.get(NUMBER) == track), 0)
+                group = len(out["packets"])
+                out["packets"] += [(track, ((base + step) * scale + i * each) // 1_000_000, s, n, name == BLOCK or bool(flags & 0x80)) for i, (s, n) in enumerate(frames)]
+            elif name == REFERENCE and group is not None:
+                out["packets"][group:] = [(*p[:4], False) for p in out["packets"][group:]]
             elif name == TIME:
                 base = int.from_bytes(value, "big")
             elif name == SCALE:
                 scale = int.from_bytes(value, "big")
-            elif name in (NUMBER, KIND):
+            elif name in (NUMBER, KIND, FRAME_TIME):
                 out["tracks"][-1][name] = int.from_bytes(value, "big")
             elif name == CODEC:
                 out["tracks"][-1][name] = value.decode("ascii", "replace")
@@ -153,7 +163,7 @@ def write_pcm(payload: bytes) -> bytes:
     if not payload or len(payload) % FRAME:
         raise ValueError(f"{len(payload)} bytes are no whole frames of {FRAME}")
     audio = element(AUDIO, element(RATE, struct.pack(">d", HERTZ)) + whole(CHANNELS, 1) + whole(DEPTH, 8))
-    track = element(TRACK, whole(NUMBER, 1) + whole(UID, 1) + whole(KIND, 2) + element(CODEC, b"A_PCM/INT/LIT") + audio)
+    track = element(TRACK, whole(NUMBER, 1) + whole(UID, 1) + whole(KIND, 2) + whole(FRAME_TIME, FRAME * 1_000_000_000 // HERTZ) + element(CODEC, b"A_PCM/INT/LIT") + audio)
     parts = [element(INFO, whole(SCALE, 1_000_000)), element(TRACKS, track)]
     size, cues = sum(map(len, parts)), []
     step = FRAME * LACED
@@ -185,18 +195,31 @@ def store_texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(rows, "doc_id long, n_bytes long, media binary")
 
 
-PACKET = "array<struct<track:int,ms:bigint,start:bigint,length:bigint,key:boolean>>"
+TABLES = {"packets": ("track int, ms long, start long, length long, key boolean", 5), "cues": ("ms long, track int, start long", 3)}
+
+
+def listed(media: DataFrame, column: str, what: str) -> DataFrame:
+    fields, n = TABLES[what]
+    names = [f.split()[0] for f in fields.split(", ")]
+
+    @F.pandas_udf(f"struct<rows:array<struct<{', '.join(f.replace(' ', ':') for f in fields.split(', '))}>>,error:string>")
+    def table(files: pd.Series) -> pd.DataFrame:
+        found = [None if b is None else parse(bytes(b)) for b in files]
+        return pd.DataFrame({"rows": [None if f is None else [dict(zip(names, p, strict=True)) for p in f[what]] for f in found], "error": [f and f["error"] for f in found]})
+
+    others = [c for c in media.columns if c not in (column, "error", *names)]
+    out = media.select(*others, table(column).alias("found")).select(*others, F.explode_outer("found.rows").alias("row"), F.col("found.error").alias("error"))
+    return out.select(*others, "row.*", "error")
 
 
 def packets(media: DataFrame, column: str = "media") -> DataFrame:
-    """A row for each packet, with all columns but the media; start and length are bytes of the file."""
+    """A row for each packet, with all columns but the media, and the file's error; start and length are bytes of the file."""
+    return listed(media, column, "packets")
 
-    @F.pandas_udf(PACKET)
-    def table(files):
-        return files.map(lambda b: None if b is None else [dict(zip(("track", "ms", "start", "length", "key"), p, strict=True)) for p in parse(bytes(b))["packets"]])
 
-    others = [c for c in media.columns if c != column]
-    return media.select(*others, F.explode(table(column)).alias("packet")).select(*others, "packet.*")
+def cues(media: DataFrame, column: str = "media") -> DataFrame:
+    """A row for each cue: the time and track to seek, and the byte at which its cluster starts."""
+    return listed(media, column, "cues")
 
 
 def features(samples: np.ndarray, found: dict) -> str:
@@ -208,22 +231,24 @@ def features(samples: np.ndarray, found: dict) -> str:
 
 
 def read_back(media: DataFrame) -> DataFrame:
-    """Digests of what the stored files hold, their packets put together again."""
+    """Digests of what the stored files hold, their packets put together again; of a damaged file only its error and its own digest."""
+
+    def row(raw: bytes | None) -> tuple:
+        if raw is None:
+            return (None,) * 7
+        found = parse(raw)
+        stored = (len(raw), hashlib.sha256(raw).hexdigest())
+        if found["error"]:
+            return None, None, None, *stored, None, found["error"]
+        payload = b"".join(raw[s : s + n] for _, _, s, n, _ in found["packets"])
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), *stored, features(np.frombuffer(payload, np.uint8), found), None
+
+    types = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "error": pa.string()}
 
     def rows(batches):
         for b in batches:
-            columns: list[list] = [[] for _ in range(6)]
-            for raw in b.column("media").to_pylist():
-                found = parse(raw)
-                if found["error"]:
-                    raise ValueError(found["error"])
-                payload = b"".join(raw[s : s + n] for _, _, s, n, _ in found["packets"])
-                values = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(raw), hashlib.sha256(raw).hexdigest(), features(np.frombuffer(payload, np.uint8), found))
-                for c, v in zip(columns, values, strict=True):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("n_bytes"), *(pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True))],
-                ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
-            )
-
-    return media.mapInArrow(rows, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+            columns = zip(*map(row, b.column("media").to_pylist()), strict=True) if b.num_rows else [()] * len(types)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *(pa.array(c, t) for c, t in zip(columns, types.values(), strict=True))], ["doc_id", "n_bytes", *types])
+
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string"
+    return media.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("n_bytes").cast("long").alias("n_bytes"), "media").mapInArrow(rows, schema)

@@ -47,8 +47,9 @@ def empty(docs):
     return docs.where("false")
 
 
-def test_lines(docs, empty):
-    got = collections.Counter((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(docs).collect())
+@pytest.mark.parametrize("least", [2, 3])
+def test_lines(docs, empty, least):
+    got = collections.Counter((r.doc_id, r.text, r.n_lines, r.n_dropped) for r in line_dedup.dedup_lines(docs, min_docs=least).collect())
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     key = lambda s: s.strip(" \t\n\x0b\x0c\r").translate(low)
     big = 1 << 62
@@ -57,7 +58,7 @@ def test_lines(docs, empty):
     for i, lines in rows:
         for line in lines:
             seen[key(line)].add(big if i is None else i)
-    first = {k: min(v) for k, v in seen.items() if len(v) > 1 and len(k) >= 10}
+    first = {k: min(v) for k, v in seen.items() if len(v) >= least and len(k) >= 10}
     want = collections.Counter()
     for i, lines in rows:
         kept = [x for x in lines if first.get(key(x), big if i is None else i) == (big if i is None else i)]
@@ -266,8 +267,25 @@ def test_matroska(spark, docs, empty):
         want[(i, hashlib.sha256(raw + b" " * (max(192, -(-len(raw) // 192) * 192) - len(raw))).hexdigest())] += 1
     assert by == want
     table = matroska.packets(matroska.store_texts(docs.where("doc_id = 122"))).collect()
-    assert len(table) == -(-50_002 // 192) and table[1].ms == 0 and table[-1].ms > 6000
+    assert len(table) == -(-50_002 // 192) and table[0].ms == 0 and table[-1].ms > 6000
+    assert all(b.ms - a.ms == 24 for a, b in zip(table, table[1:], strict=False)) and all(r.error is None and r.key for r in table)
+    found = matroska.cues(matroska.store_texts(docs.where("doc_id = 122"))).collect()
+    assert [r.ms for r in found] == [r.ms for r in table[:: 32 * 16]] and all(r.track == 1 for r in found)
     assert matroska.read_back(matroska.store_texts(empty)).count() == 0
+    for r in matroska.read_back(matroska.store_texts(docs)).where("doc_id = 121").collect():  # an empty text: a frame of blanks
+        assert (r.n_bytes, r.payload_bytes, r.tail_crc32) == (0, 192, zlib.crc32(b" " * 16))
+        assert r.feature == f"packets=1;clusters=1;cues=1;last_ms=0;sum={-96 * 192};energy={96 * 96 * 192};peak=96;crossings=0"
+
+
+def test_matroska_of_odd_media(spark):
+    good = matroska.write_pcm(b"x" * 384)
+    df = spark.createDataFrame([(1, 384, bytearray(good), "a"), (2, 0, None, "b"), (None, 384, bytearray(good[:-100]), "c"), (4, 1, bytearray(b"no media"), "d")], "doc_id long, n_bytes long, media binary, track string")
+    rows = {r.n_bytes * 10 + (r.doc_id or 0): r for r in matroska.read_back(df).collect()}
+    assert rows[3841].payload_sha256 == hashlib.sha256(b"x" * 384).hexdigest() and rows[3841].media_sha256 == hashlib.sha256(good).hexdigest() and rows[3841].error is None
+    assert rows[2].payload_bytes is None and rows[2].error is None and rows[3840].error and rows[14].error == "no number at byte 0" or rows[14].error
+    table = matroska.packets(df).collect()
+    assert [(r.track, r.ms, r.length) for r in table if r.doc_id == 1] == [(1, 0, 192), (1, 24, 192)]
+    assert [(r.track, r.error) for r in table if r.doc_id == 2] == [(None, None)] and all(r.error for r in table if r.doc_id in (None, 4))
 
 
 def test_lacing_kinds():
