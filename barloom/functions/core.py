@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -11,8 +13,8 @@ TIMEFRAMES = {
     "1s": 1, "1m": 60, "3m": 180, "5m": 300, "15m": 900, "30m": 1800, "1h": 3600, "2h": 7200, "4h": 14400,
     "6h": 21600, "8h": 28800, "12h": 43200, "1d": 86400, "3d": 259200, "1w": 604800,
 }
-#: Bars of a block in first-hit joins.
-BLOCK = 256
+#: Nodes of a block in first-hit joins, and levels of blocks.
+BLOCK, LEVELS = 256, 3
 
 
 def series() -> WindowSpec:
@@ -79,38 +81,74 @@ def dataset_fingerprint(df: DataFrame, key: str = "series_key") -> DataFrame:
     return parts.select(key, "n", F.sha2(F.concat_ws(":", "n", "low", "high", "total"), 256).alias("fingerprint"))
 
 
-def first_hit(zones: DataFrame, bars: DataFrame, value: str, above: bool, block: int = BLOCK) -> DataFrame:
-    """(zone_id, hit_index): the first bar after start_index whose value is strictly beyond bound.
+def _first(zones: DataFrame, bars: DataFrame, extremes: dict[str, tuple[str, str]], test: Callable[[Column], Column], block: int, levels: int) -> DataFrame:
+    """zones with c0, the first bar after start_index that passes test, and c1: the first block that seems to hold one.
 
-    zones: series_key, zone_id, start_index, bound. Bars are summed up in blocks: a zone looks at
-    the rest of its own block, then finds the first later block whose extreme is beyond, and looks
-    there, so it never meets all bars of its series.
+    Bars lie in blocks, blocks in blocks of blocks, up to the last level, which holds all that is
+    left. A zone looks at what comes after it in its own block, then in the block of that block,
+    and so on, and goes down again where it finds a node. So it meets a few blocks, whatever the
+    length of its series, and every step is an equality join of one row for each zone. Nodes hold
+    extremes (name: (column of bars, max or min)), which must pass test wherever a bar below does.
+    """
+    peak = {"max": F.array_max, "min": F.array_min}
+    nodes = bars.select("series_key", F.col("bar_index").cast("long").alias("i"), *[F.col(c).alias(n) for n, (c, _) in extremes.items()])
+    chunks = []
+    for k in range(levels):
+        parent = F.floor(F.col("i") / block).cast("long") if k < levels - 1 else F.lit(0).cast("long")
+        items = F.sort_array(F.collect_list(F.struct("i", *extremes)))  # a block's worth of nodes
+        chunks.append(nodes.groupBy("series_key", parent.alias("node")).agg(items.alias("items")))
+        nodes = chunks[-1].select("series_key", F.col("node").alias("i"), *[peak[m](F.col(f"items.{n}")).alias(n) for n, (_, m) in extremes.items()])
+
+    def look(z: DataFrame, k: int, wanted: Column, node: Column, after: Column) -> DataFrame:
+        # zones that don't look get a key of their own that no chunk has, so that they don't meet in one task
+        z = z.withColumn("node", F.when(wanted, node).otherwise(-1 - F.col("start_index")).cast("long")).join(chunks[k], ["series_key", "node"], "left")
+        found = F.get(F.filter("items", lambda x: (x["i"] > after) & test(x)), 0)["i"]
+        return z.withColumn(f"c{k}", F.coalesce(F.col(f"c{k}"), found)).drop("node", "items")
+
+    out = zones.withColumns({f"c{k}": F.lit(None).cast("long") for k in range(levels)})
+    nothing = F.lit(True)
+    for k in range(levels):
+        node = F.floor(F.col("start_index") / block ** (k + 1)) if k < levels - 1 else F.lit(0)
+        out = look(out, k, nothing, node, F.floor(F.col("start_index") / block**k))
+        nothing = nothing & F.col(f"c{k}").isNull()
+    for k in reversed(range(levels - 1)):
+        out = look(out, k, F.col(f"c{k}").isNull() & F.col(f"c{k + 1}").isNotNull(), F.col(f"c{k + 1}"), F.lit(-1))
+    return out.withColumn("c1", F.coalesce(*[F.col(f"c{k}") for k in range(1, levels)])).drop(*[f"c{k}" for k in range(2, levels)])
+
+
+def first_hit(zones: DataFrame, bars: DataFrame, over: str, under: str, block: int = BLOCK, levels: int = LEVELS) -> DataFrame:
+    """(zone_id, hit_index): the first bar after start_index whose over is above bound or, for zones that aren't above, whose under is below it.
+
+    zones: series_key, zone_id, start_index, bound, above.
     """
-    beyond = (lambda x: x > F.col("bound")) if above else (lambda x: x < F.col("bound"))
-    bars = bars.select("series_key", F.col("bar_index").alias("i"), F.col(value).alias("v"), F.floor(F.col("bar_index") / block).alias("block"))
-    zones = zones.select("series_key", "zone_id", "start_index", "bound", F.floor(F.col("start_index") / block).alias("own"))
-    near = zones.join(bars.withColumnRenamed("block", "own"), ["series_key", "own"]).where((F.col("i") > F.col("start_index")) & beyond(F.col("v")))
-    near = near.groupBy("zone_id").agg(F.min("i").alias("hit_index"))
-    extremes = bars.groupBy("series_key", "block").agg((F.max if above else F.min)("v").alias("extreme"))
-    rest = zones.join(near, "zone_id", "left_anti").join(extremes, "series_key").where((F.col("block") > F.col("own")) & beyond(F.col("extreme")))
-    rest = rest.groupBy("series_key", "zone_id", "bound").agg(F.min("block").alias("block"))
-    far = rest.join(bars, ["series_key", "block"]).where(beyond(F.col("v"))).groupBy("zone_id").agg(F.min("i").alias("hit_index"))
-    return near.unionByName(far)
-
-
-def first_overlap(zones: DataFrame, bars: DataFrame, block: int = 64) -> DataFrame:
+    zones = zones.select("series_key", "zone_id", "start_index", "bound", "above")
+    test = lambda x: F.when(F.col("above"), x["top"] > F.col("bound")).otherwise(x["bottom"] < F.col("bound"))
+    out = _first(zones, bars, {"top": (over, "max"), "bottom": (under, "min")}, test, block, levels)
+    return out.where("c0 IS NOT NULL").select("zone_id", F.col("c0").alias("hit_index"))
+
+
+def first_overlap(zones: DataFrame, bars: DataFrame, block: int = BLOCK, levels: int = LEVELS) -> DataFrame:
     """(zone_id, hit_index): the first bar after start_index that reaches inside (zone_low, zone_high), ends excluded.
 
-    Zones with a column known_at only meet bars that open at that time or later.
+    Zones with a column known_at only meet bars that open at that time or later. A block that
+    reaches across a zone may hold no bar that does, where the price jumps over it; such zones
+    meet all later blocks.
     """
     late = "known_at" in zones.columns
-    bars = bars.select("series_key", F.col("bar_index").alias("i"), F.col("high").alias("bh"), F.col("low").alias("bl"), *(["opened_at"] if late else []), F.floor(F.col("bar_index") / block).alias("block"))
-    sums = bars.groupBy("series_key", "block").agg(F.max("bh").alias("top"), F.min("bl").alias("bottom"), *([F.max("opened_at").alias("newest")] if late else []))
-    near = zones.join(sums, "series_key").where((F.col("block") >= F.floor(F.col("start_index") / block)) & (F.col("top") > F.col("zone_low")) & (F.col("bottom") < F.col("zone_high")))
-    if late:
-        near = near.where("newest >= known_at")
-    hits = near.select("series_key", "block", "zone_id", "start_index", "zone_low", "zone_high", *(["known_at"] if late else [])).join(bars, ["series_key", "block"])
-    hits = hits.where((F.col("i") > F.col("start_index")) & (F.col("bh") > F.col("zone_low")) & (F.col("bl") < F.col("zone_high")))
-    if late:
-        hits = hits.where("opened_at >= known_at")
-    return hits.groupBy("zone_id").agg(F.min("i").alias("hit_index"))
+    zones = zones.select("series_key", "zone_id", "start_index", "zone_low", "zone_high", *(["known_at"] if late else []))
+    extremes = {"top": ("high", "max"), "bottom": ("low", "min"), **({"newest": ("opened_at", "max")} if late else {})}
+
+    def inside(x: Column) -> Column:
+        within = (x["top"] > F.col("zone_low")) & (x["bottom"] < F.col("zone_high"))
+        return within & (x["newest"] >= F.col("known_at")) if late else within
+
+    found = _first(zones, bars, extremes, inside, block, levels)
+    hits = found.where("c0 IS NOT NULL").select("zone_id", F.col("c0").alias("hit_index"))
+    unsure = found.where("c0 IS NULL AND c1 IS NOT NULL").select(*zones.columns)
+    nodes = bars.select("series_key", F.col("bar_index").cast("long").alias("i"), *[F.col(c).alias(n) for n, (c, _) in extremes.items()], F.floor(F.col("bar_index") / block).alias("block"))
+    pick = {"max": F.max, "min": F.min}
+    sums = nodes.groupBy("series_key", "block").agg(*[pick[m](n).alias(n) for n, (_, m) in extremes.items()])
+    row = F.struct(*extremes)
+    near = unsure.join(sums.select("series_key", "block", row.alias("b")), "series_key").where((F.col("block") >= F.floor(F.col("start_index") / block)) & inside(F.col("b"))).drop("b")
+    rest = near.join(nodes.select("series_key", "block", "i", row.alias("b")), ["series_key", "block"]).where((F.col("i") > F.col("start_index")) & inside(F.col("b")))
+    return hits.unionByName(rest.groupBy("zone_id").agg(F.min("i").alias("hit_index")))

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 from barloom.functions.core import ffill_prev, first_hit, first_overlap
 from barloom.plans.config import Config
 
-SIDES = (("buy_side", "high", "high"), ("sell_side", "low", "low"))
-
 
 def touches(facts: DataFrame) -> DataFrame:
     """Every confirmed swing: series_key, symbol, side, price, confirm, known_at."""
@@ -25,11 +23,8 @@ def touches(facts: DataFrame) -> DataFrame:
 def exact_pools(facts: DataFrame) -> DataFrame:
     """Pools without tolerance: swings of one price with no breach between them."""
     swings = touches(facts).withColumn("zone_id", F.concat_ws("|", "series_key", "side", "confirm"))
-    hits = None
-    for side, value, _ in SIDES:
-        zones = swings.where(F.col("side") == side).select("series_key", "zone_id", F.col("confirm").alias("start_index"), F.col("price").alias("bound"))
-        found = first_hit(zones, facts, value, side == "buy_side")
-        hits = found if hits is None else hits.unionByName(found)
+    zones = swings.select("series_key", "zone_id", F.col("confirm").alias("start_index"), F.col("price").alias("bound"), (F.col("side") == "buy_side").alias("above"))
+    hits = first_hit(zones, facts, "high", "low")
     swings = swings.join(hits, "zone_id", "left")
     return swings.groupBy("series_key", "symbol", "side", "price", F.col("hit_index").alias("breach_index")).agg(
         F.min("confirm").alias("created_index"), F.max("confirm").alias("touched_index"), F.count("*").alias("members"), F.max_by("known_at", "confirm").alias("known_at")
@@ -126,9 +121,9 @@ def published_blocks(facts: DataFrame) -> DataFrame:
 def breakers(facts: DataFrame) -> DataFrame:
     """The first close through each order block, and why it is or isn't a breaker of the other direction."""
     blocks = published_blocks(facts)
-    down = blocks.where("direction = 'bullish'").select("series_key", "zone_id", F.col("published_index").alias("start_index"), F.col("zone_low").alias("bound"))
-    up = blocks.where("direction = 'bearish'").select("series_key", "zone_id", F.col("published_index").alias("start_index"), F.col("zone_high").alias("bound"))
-    hits = first_hit(down, facts, "close", False).unionByName(first_hit(up, facts, "close", True))
+    bearish = F.col("direction") == "bearish"
+    zones = blocks.select("series_key", "zone_id", F.col("published_index").alias("start_index"), F.when(bearish, F.col("zone_high")).otherwise(F.col("zone_low")).alias("bound"), bearish.alias("above"))
+    hits = first_hit(zones, facts, "close", "close")
     bars = facts.select("series_key", F.col("bar_index").alias("hit_index"), F.col("opened_at").alias("hit_opened_at"), F.col("prev_close").alias("hit_prev"), F.col("displacement").alias("hit_displacement"), F.col("shift").alias("hit_shift"))
     out = blocks.join(hits, "zone_id").join(bars, ["series_key", "hit_index"])
     other = F.when(F.col("direction") == "bullish", "bearish").otherwise("bullish")

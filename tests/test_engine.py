@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.functions.core import first_hit, require_higher_multiple
+from barloom.functions.core import first_hit, first_overlap, require_higher_multiple
 from barloom.operators import context, liquidity, outcomes, signals, structure
 from barloom.plans import facts as P
 from barloom.plans import queries
@@ -82,13 +82,30 @@ def test_prefixes_do_not_change(spark, seed):
     assert full == cut
 
 
-def test_first_hit_across_blocks(spark):
-    bars = make(spark, noise(5))
-    zones = bars.select("series_key", F.col("bar_index").cast("string").alias("zone_id"), F.col("bar_index").alias("start_index"), F.col("high").alias("bound"))
-    got = {int(r.zone_id): r.hit_index for r in first_hit(zones, bars, "high", True, block=8).collect()}
-    highs = [r[1] for r in noise(5)]
-    want = {i: next(j for j in range(i + 1, len(highs)) if highs[j] > h) for i, h in enumerate(highs) if any(x > h for x in highs[i + 1 :])}
-    assert got == want
+@pytest.mark.parametrize(("block", "levels"), [(8, 3), (4, 3), (4, 2), (256, 3)])
+def test_first_hit_across_blocks(spark, block, levels):
+    rows = noise(5)
+    bars = make(spark, rows)
+    for value, above, at in (("high", True, 1), ("low", False, 2)):
+        zones = bars.select("series_key", F.col("bar_index").cast("string").alias("zone_id"), F.col("bar_index").alias("start_index"), F.col(value).alias("bound"), F.lit(above).alias("above"))
+        got = {int(r.zone_id): r.hit_index for r in first_hit(zones, bars, "high", "low", block=block, levels=levels).collect()}
+        v = [r[at] for r in rows]
+        beyond = [[j for j in range(i + 1, len(v)) if (v[j] > x if above else v[j] < x)] for i, x in enumerate(v)]
+        assert got == {i: js[0] for i, js in enumerate(beyond) if js}
+
+
+@pytest.mark.parametrize(("block", "levels"), [(4, 3), (8, 2)])
+def test_first_overlap_where_the_price_jumps_over_a_zone(spark, block, levels):
+    """Bars that jump over a zone leave blocks that reach across it without a hit."""
+    rng = random.Random(9)
+    rows = [(x, x + 1, x, x + 1) for x in (rng.choice((10, 20, 30, 40, 50)) + rng.randrange(3) for _ in range(150))]
+    bars = make(spark, rows)
+    zones = [("S:15m", str(i), i, float(lo), lo + 0.5) for i in range(0, 150, 3) for lo in (11, 16, 25, 32, 44)]
+    key = bars.first().series_key
+    df = spark.createDataFrame([(key, f"{z[1]}|{z[3]}", *z[2:]) for z in zones], "series_key string, zone_id string, start_index long, zone_low double, zone_high double")
+    got = {r.zone_id: r.hit_index for r in first_overlap(df, bars, block=block, levels=levels).collect()}
+    want = {f"{z[1]}|{z[3]}": next((j for j in range(z[2] + 1, 150) if rows[j][1] > z[3] and rows[j][2] < z[4]), None) for z in zones}
+    assert got == {k: v for k, v in want.items() if v is not None} and len(got) < len(want)
 
 
 def test_breakers_and_mitigations_bar_by_bar(spark):
