@@ -83,9 +83,9 @@ def pools(facts: DataFrame, cfg: Config) -> DataFrame:
     return out.withColumn("extreme", F.when(F.col("status") == "swept", F.when(buy, F.col("b_high")).otherwise(F.col("b_low")))).drop("b_open_at", "b_prev", "b_open", "b_high", "b_low", "b_close")
 
 
-def pool_log(facts: DataFrame, cfg: Config) -> DataFrame:
-    """The pools' change log: an active version for each touch, one closing version."""
-    life = pools(facts, cfg)
+def pool_log(facts: DataFrame, cfg: Config, life: DataFrame | None = None) -> DataFrame:
+    """The pools' change log: an active version for each touch, one closing version; life: pools of these facts, if at hand."""
+    life = pools(facts, cfg) if life is None else life
     band = ["price", "lower", "upper"]
     pool = life.select("series_key", "symbol", "side", *band, "created_index", "touched_index")
     if cfg.pool_tolerance_bps:
@@ -104,12 +104,13 @@ def active_at(life: DataFrame, at: int) -> DataFrame:
 
 
 def add_sweep_context(facts: DataFrame, life: DataFrame, cfg: Config) -> DataFrame:
-    """sweeps (sides on this bar), sweep_context of the newest earlier bar with sweeps within the lookback."""
+    """sweeps (sides on this bar), sweep_context and sweep_index of the newest earlier bar with sweeps within the lookback."""
     swept = life.where("status = 'swept'").groupBy("series_key", F.col("breach_index").alias("bar_index")).agg(F.array_sort(F.collect_set("side")).alias("sweeps"))  # two sides at most
     out = facts.join(swept, ["series_key", "bar_index"], "left")
     recent = ffill_prev(F.when(F.col("sweeps").isNotNull(), F.struct("bar_index", "sweeps")))
     out = out.withColumn("recent", recent)
-    out = out.withColumn("recent", F.when(F.col("bar_index") - F.col("recent.bar_index") <= cfg.sweep_lookback, F.col("recent.sweeps")))
+    out = out.withColumn("recent", F.when(F.col("bar_index") - F.col("recent.bar_index") <= cfg.sweep_lookback, F.col("recent")))
+    out = out.withColumns({"sweep_index": F.col("recent.bar_index"), "recent": F.col("recent.sweeps")})
     context = F.when(F.col("recent").isNull(), "none").when(F.size("recent") == 2, "after_both").when(F.col("recent")[0] == "buy_side", "after_buy_side").otherwise("after_sell_side")
     return out.withColumn("sweep_context", context).drop("recent")
 

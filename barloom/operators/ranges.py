@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,5 +86,39 @@ def add_shift(df: DataFrame) -> DataFrame:
     return out.withColumn("shift_level", F.when(F.col("shift").isNotNull(), F.col("level.price"))).drop("level")
 
 
+def shift_context(facts: DataFrame, life: DataFrame, log: DataFrame, cfg: Config) -> DataFrame:
+    """What each structure shift goes with, one row each: (relation, detail, low, high, ref_index, price_class).
+
+    displacement: its own; pool: the version published on its bar of the pool that holds the broken
+    level; swept_pool: pools of the sweeps before it; gap and order_block: those of its direction
+    published on its bar. price_class says where the representative price lies in the bar's range;
+    pools swept on earlier bars have none. facts come with sweep context.
+    """
+    bull = F.col("shift") == "bullish"
+    level = F.when(bull, F.col("prior_high")).otherwise(F.col("prior_low"))
+    side = F.when(bull, "buy_side").otherwise("sell_side")
+    keys, bounds = ["series_key", "symbol", "bar_index", "shift"], ["range_low", "range_high"]
+    s = facts.where("shift IS NOT NULL").withColumns({"level": level, "side": side})
+
+    def rows(df: DataFrame, relation: str, detail: str, low: str, high: str, ref: str, price: Column | None) -> DataFrame:
+        where = F.lit(None).cast("string") if price is None else classify(price, cfg)
+        return df.select(*keys, F.lit(relation).alias("relation"), F.col(detail).alias("detail"), F.col(low).alias("low"), F.col(high).alias("high"), F.col(ref).cast("long").alias("ref_index"), where.alias("price_class"))
+
+    middle = lambda a, b: (F.col(a) + F.col(b)) / 2
+    held = s.select(*keys, *bounds, "side", "level").join(log.select("series_key", "side", "bar_index", "price", "lower", "upper", "created_index", "status"), ["series_key", "side", "bar_index"])
+    held = held.where("level.price BETWEEN lower AND upper AND created_index <= level.confirm")  # bands may overlap: a swing joins the oldest
+    held = held.groupBy(*keys, *bounds).agg(F.min(F.struct("created_index", "status", "price", "lower", "upper")).alias("p")).select(*keys, *bounds, "p.*")
+    swept = life.where("status = 'swept'").select("series_key", F.col("breach_index").alias("sweep_index"), F.col("side").alias("swept_side"), "lower", "upper")
+    own = F.col("block") == F.col("shift") if not cfg.require_fvg else F.lit(False)  # else the block follows an earlier displacement
+    parts = [
+        rows(s, "displacement", "displacement", "close", "close", "bar_index", F.col("close")),
+        rows(held, "pool", "status", "lower", "upper", "created_index", F.col("price")),
+        rows(s.select(*keys, "sweep_index").join(swept, ["series_key", "sweep_index"]), "swept_pool", "swept_side", "lower", "upper", "sweep_index", None),
+        rows(s.where("gap = shift"), "gap", "gap", "gap_low", "gap_high", "bar_index", middle("gap_low", "gap_high")),
+        rows(s.where(own), "order_block", "block", "block_low", "block_high", "block_index", middle("block_low", "block_high")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def ranges(facts: DataFrame, cfg: Config) -> DataFrame:
     return facts.transform(add_range).transform(add_premium_discount, cfg).transform(add_retracement, cfg).transform(add_shift)

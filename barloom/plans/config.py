@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, replace
 
 
 @dataclass(frozen=True)
@@ -59,3 +59,16 @@ class Config:
             raise ValueError("steps are at least as long as validation")
         if min(self.atr_period, self.horizon, self.candidate_lookback, self.validation_bars, self.development_bars) < 1:
             raise ValueError("periods start at 1")
+
+
+def varied(cfg: Config, deltas: dict[str, tuple[object, object]]) -> Config:
+    """A candidate: cfg with settings changed, {name: (old, new)}; every old value must be the one that cfg has."""
+    if not deltas:
+        raise ValueError("a candidate changes at least one setting")
+    known = {f.name for f in fields(cfg)}
+    for name, (old, _) in deltas.items():
+        if name not in known:
+            raise ValueError(f"{name} is no setting")
+        if getattr(cfg, name) != old:
+            raise ValueError(f"{name} is {getattr(cfg, name)!r}, not {old!r}")
+    return replace(cfg, **{name: new for name, (_, new) in deltas.items()})

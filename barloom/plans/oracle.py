@@ -156,6 +156,13 @@ def dimensions(columns: dict[str, str], source: str, more: str) -> str:
     return "\nunion all ".join(parts)
 
 
+def variant(threshold: int) -> str:
+    """Win rates of the chain's signals at a score threshold."""
+    chain = ALL + PUBLISHED.replace("score >= 30", f"score >= {threshold}")
+    n, won = "count(*) filter (where outcome <> 'OPEN')", "count(*) filter (where outcome = 'WIN')"
+    return q(chain, dimensions({"symbol": "symbol", "month": "month", "combination": "combination"}, "pub", f"{n} as n, {won}::double / nullif({n}, 0) as wr"))
+
+
 BAR = f"symbol, i as bar_index, epoch(opened_at)::bigint as opened_at, {r6('open')}, {r6('high')}, {r6('low')}, {r6('close')}, {r6('volume')}"
 RAW = "select event_type as series_key, date_trunc('hour', ts) as hr, value from events"
 KEY = "symbol || ':15m:local:events:default' as series_key"
@@ -188,12 +195,20 @@ CHANGES = SEGMENTS + """,
 ch as (select symbol, window_id, max(wr) filter (where segment = 'validation') - max(wr) filter (where segment = 'development') as dw, max(ar) filter (where segment = 'validation') - max(ar) filter (where segment = 'development') as da,
   coalesce(max(finalized) filter (where segment = 'validation') >= 10 and max(finalized) filter (where segment = 'development') >= 10, false) as sure from seg group by 1, 2)"""
 ORDERS = bars("1 day", source="select o_orderpriority as symbol, o_orderdate as ts, o_orderkey as tie, o_totalprice::decimal(18,8) as px from orders")
-PRIMITIVES = ALL + POOLS + """,
-prim as (select symbol, 'level' as kind, kind as name, price::double as low, price::double as high from pools
-  union all select symbol, 'zone', 'gap_' || gap, glo::double, ghi::double from facts where gap is not null
-  union all select symbol, 'zone', 'block_' || blk, blo::double, bhi::double from facts where blk is not null
-  union all select symbol, 'marker', 'sweep_' || side, case side when 'buy_side' then bh else bl end::double, case side when 'buy_side' then bh else bl end::double from pools where status = 'swept'
-  union all select symbol, 'marker', 'displacement_' || disp, close::double, close::double from facts where disp is not null)"""
+PRIMITIVES = """,
+prim as (select symbol, 'level' as kind, case side when 'buy_side' then 'swing_high' else 'swing_low' end as name, created as i, price::double as low, price::double as high from pools
+  union all select symbol, 'zone', 'gap_' || gap, i, glo::double, ghi::double from facts where gap is not null
+  union all select symbol, 'zone', 'block_' || blk, bi, blo::double, bhi::double from facts where blk is not null
+  union all select symbol, 'marker', 'sweep_' || side, breach, case side when 'buy_side' then bh else bl end::double, case side when 'buy_side' then bh else bl end::double from pools where status = 'swept'
+  union all select symbol, 'marker', 'displacement_' || disp, i, close::double, close::double from facts where disp is not null
+  union all select symbol, 'zone', 'dealing_range', least(llc, lhc) - 2, rlo::double, rhi::double from facts where rcf = i
+  union all select symbol, 'level', 'equilibrium', i, (rlo + rhi)::double / 2, (rlo + rhi)::double / 2 from facts where rcf = i
+  union all select symbol, 'zone', 'retracement_' || rdir, i, olo::double, ohi::double from facts where rcf = i
+  union all select symbol, 'overlay', 'atr', i, ptr::double / 14, ptr::double / 14 from facts where ptr is not null)"""
+BOUGHT = """,
+drawn as (select * from prim union all select symbol, 'marker', 'buy_signal', i, close::double, close::double from sig where signal = 'BUY_SIGNAL'
+  union all select symbol, 'text', 'score ' || score, i, close::double, close::double from sig where signal = 'BUY_SIGNAL'
+  union all select g.symbol, 'marker', 'outcome_' || lower(o.outcome), g.i + 10, o.fc::double, o.fc::double from sig g join o2 o on o.symbol = g.symbol and o.i = g.i where g.signal = 'BUY_SIGNAL' and o.outcome <> 'OPEN')"""
 VERSIONS = """select t.symbol, t.side, t.price, p.created, t.confirm as i, 'active' as status from touches t join pools p on p.symbol = t.symbol and p.side = t.side and p.price = t.price and t.confirm between p.created and p.touched
  union all select symbol, side, price, created, breach, status from pools where status <> 'active'"""
 EXTREME = "case side when 'buy_side' then bh else bl end"
@@ -247,6 +262,14 @@ select c.symbol, c.i as bar_index, case when si is null or c.i - si > 20 then 'n
  union all select p.symbol, p.breach, 'sweep', {EXTREME}, {EXTREME}, {EXTREME}, x.rlo, x.rhi from pools p join facts x on x.symbol = p.symbol and x.i = p.breach where p.status = 'swept')"""),
     "retracement": q(ALL, f"select symbol, i as bar_index, {r6('olo', 'ote_low')}, {r6('ohi', 'ote_high')}, opos as ote_position from facts"),
     "structure_shift": q(ALL, f"select symbol, i as bar_index, shift, round((case shift when 'bullish' then plh else pll end)::double, 6) as shift_level from facts where shift is not null"),
+    "shift_context": q(ALL + POOLS + SWEPT, f""",
+c as (select x.*, last_value(case when w.symbol is not null then x.i end ignore nulls) over (partition by x.symbol order by x.i rows between unbounded preceding and 1 preceding) as si from facts x left join swept w on w.symbol = x.symbol and w.i = x.i),
+turns as (select *, case shift when 'bullish' then 'buy_side' else 'sell_side' end as lside, case shift when 'bullish' then ph else pl end as lprice, case shift when 'bullish' then phc else plc end as lconf from c where shift is not null)
+select symbol, i as bar_index, shift, 'displacement' as relation, disp as detail, {r6('close', 'low')}, {r6('close', 'high')}, i as ref_index, {zone_class('close')} as price_class from turns
+union all select s.symbol, s.i, shift, 'pool', v.status, {r6('v.price', 'low')}, {r6('v.price', 'high')}, v.created, {zone_class('v.price')} from turns s join ({VERSIONS}) v on v.symbol = s.symbol and v.i = s.i and v.side = s.lside and v.price = s.lprice and v.created <= s.lconf
+union all select s.symbol, s.i, shift, 'swept_pool', p.side, {r6('p.price', 'low')}, {r6('p.price', 'high')}, p.breach, '-' from turns s join pools p on p.symbol = s.symbol and p.status = 'swept' and p.breach = s.si where s.i - s.si <= 20
+union all select symbol, i, shift, 'gap', gap, {r6('glo')}, {r6('ghi')}, i, {zone_class('(glo + ghi) / 2')} from turns where gap = shift
+union all select symbol, i, shift, 'order_block', blk, {r6('blo')}, {r6('bhi')}, bi, {zone_class('(blo + bhi) / 2')} from turns where blk = shift"""),
     "breakers": q(ALL + BROKEN, "select symbol, pub as published_index, blk as direction, h as hit_index, rejection, case when rejection = '-' then case blk when 'bullish' then 'bearish' else 'bullish' end else '-' end as breaker from broken"),
     "mitigations": q(ALL + BROKEN, """, m as (select b.symbol, b.pub, min(x.i) as h from blocks b join facts x on x.symbol = b.symbol and x.i > b.pub and x.high > b.blo and x.low < b.bhi and x.opened_at >= b.bknown group by 1, 2)
 select b.symbol, b.pub as published_index, b.blk as direction, m.h as hit_index, round(greatest(b.blo, x.low)::double, 6) as overlap_low, round(least(b.bhi, x.high)::double, 6) as overlap_high,
@@ -305,14 +328,13 @@ select month, coalesce(lag(month) over (order by month), '-') as previous, total
     "out_of_sample": q(WALKED, dimensions({"symbol": "symbol", "timeframe": "timeframe", "combination": "combination", "month": "month", "regime": "regime"}, "val", f"{SUFFICIENT}, {STATS}, {RETURN}")),
     "cells": q(WALKED, dimensions(CELLS, "val", f"{CELL}, {STATS}")),
     "findings": q(WALKED, f'select dimension, "group", finalized, win_rate from ({dimensions(CELLS, "val", f"{CELL}, {STATS}")}) where pattern = \'LOSER\''),
-    "compare_variants": q(ST + OUTCOMES + REGIME, """, x as (select st.symbol, st.eu, o.outcome, r.regime from st join o2 o on o.symbol = st.symbol and o.i = st.i join regime r on r.symbol = st.symbol and r.i = st.i where st.eu is not null),
- y as (select 'overall' as dimension, 'all' as "group", outcome, regime from x union all select 'symbol', symbol, outcome, regime from x union all select 'event', eu, outcome, regime from x),
- g as (select dimension, "group", count(*) filter (where outcome <> 'OPEN') as a, count(*) filter (where outcome <> 'OPEN' and regime = 'TRENDING') as b, count(*) filter (where outcome = 'WIN')::double as aw, count(*) filter (where outcome = 'WIN' and regime = 'TRENDING')::double as bw from y group by 1, 2)
-select dimension, "group", a as base_sample, b as cand_sample, round(aw / nullif(a, 0), 6) as base, round(bw / nullif(b, 0), 6) as cand, round(bw / nullif(b, 0) - aw / nullif(a, 0), 6) as difference, a >= 30 and b >= 30 as conclusive from g"""),
+    "compare_variants": f"""with base as ({variant(30)}), cand as ({variant(45)})
+select dimension, "group", coalesce(a.n, 0) as base_sample, coalesce(b.n, 0) as cand_sample, round(a.wr, 6) as base, round(b.wr, 6) as cand, round(b.wr - a.wr, 6) as difference, coalesce(a.n, 0) >= 30 and coalesce(b.n, 0) >= 30 as conclusive
+from base a full join cand b using (dimension, "group")""",
     "threshold_grid": q(ALL + SCORED, """, v as (select * from (values ('low', 30), ('middle', 40), ('high', 50)) t(variant, threshold))
 select variant, symbol, count(*) as n from (select distinct variant, symbol, bias, c1, c4, case when olo is not null then rlo end as a, case when olo is not null then rhi end as b, case when olo is not null then rcf end as c,
  case when blk is not null then i end as d, case when gap is not null then i end as e, case when disp is not null then i end as g from sig join v on sig.score >= v.threshold where status = 'HALAL' and bias = 'LONG_BIAS') group by 1, 2"""),
-    "chart_primitives": q(PRIMITIVES, f"select {KEY}, kind, name, count(*) as n, round(min(low), 6) as low, round(max(high), 6) as high from prim group by symbol, kind, name"),
-    "price_domain": q(PRIMITIVES, f"select {KEY}, round(case when a = b then a - 1 else a end, 6) as low, round(case when a = b then b + 1 else b end, 6) as high from (select symbol, min(low) as a, max(high) as b from (select symbol, low::double as low, high::double as high from f union all select symbol, low, high from prim) group by 1)"),
+    "chart_primitives": q(ALL + SCORED + OUTCOMES + PRIMITIVES + BOUGHT, f"select {KEY}, kind, name, i as bar_index, {r6('low')}, {r6('high')} from drawn"),
+    "price_domain": q(ALL + POOLS + PRIMITIVES, f"select {KEY}, round(case when a = b then a - 1 else a end, 6) as low, round(case when a = b then b + 1 else b end, 6) as high from (select symbol, min(low) as a, max(high) as b from (select symbol, low::double as low, high::double as high from f union all select symbol, low, high from prim where kind <> 'overlay') group by 1)"),
     "ledger_stats": q(ALL + PUBLISHED, f"select 'all' as month, {STATS}, {RETURN} from pub\nunion all select month, {STATS}, {RETURN} from pub group by month"),
 }

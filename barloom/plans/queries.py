@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.functions.core import settled
 from barloom.operators import context, liquidity, outcomes, ranges, structure
 from barloom.plans import facts as P
 from barloom.plans import reports as R
-from barloom.plans.config import Config
+from barloom.plans.config import Config, varied
 from barloom.sources import candles, quality
 
 #: Low enough that signals are common: without higher timeframes of weeks few bars reach the default.
@@ -175,6 +176,13 @@ def structure_shift(spark: SparkSession, sf: str) -> DataFrame:
     return bar_facts(spark, sf).where("shift IS NOT NULL").select("symbol", "bar_index", "shift", d("shift_level"))
 
 
+def shift_context(spark: SparkSession, sf: str) -> DataFrame:
+    f = settled(bar_facts(spark, sf))
+    life = liquidity.pools(f, CFG)
+    out = ranges.shift_context(liquidity.add_sweep_context(f, life, CFG), life, liquidity.pool_log(f, CFG, life), CFG)
+    return out.select("symbol", "bar_index", "shift", "relation", "detail", d("low"), d("high"), "ref_index", F.coalesce("price_class", F.lit("-")).alias("price_class"))
+
+
 def breakers(spark: SparkSession, sf: str) -> DataFrame:
     return liquidity.breakers(bar_facts(spark, sf)).select("symbol", "published_index", "direction", "hit_index", F.coalesce("rejection", F.lit("-")).alias("rejection"), F.coalesce("breaker", F.lit("-")).alias("breaker"))
 
@@ -334,10 +342,10 @@ def findings(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def compare_variants(spark: SparkSession, sf: str) -> DataFrame:
-    """All breaks up against those in a trending regime."""
-    f = structured(spark, sf).transform(outcomes.add_outcomes, CFG).transform(outcomes.add_regime, CFG).where("event_up IS NOT NULL")
-    dims = {"symbol": "symbol", "event": "event_up"}
-    out = R.compare(R.buckets(f, dims, CFG), R.buckets(f.where("regime = 'TRENDING'"), dims, CFG), CFG)
+    """The signals of the settings against those of a candidate with a higher threshold, each by the whole chain."""
+    dims = {"symbol": "symbol", "month": "month", "combination": "combination"}
+    candidate = varied(CFG, {"score_threshold": (30, 45)})
+    out = R.compare(R.buckets(published(spark, sf), dims, CFG), R.buckets(published(spark, sf, candidate), dims, candidate), CFG)
     return out.where("metric = 'win_rate'").select("dimension", "group", "base_sample", "cand_sample", d("base"), d("cand"), d("difference"), "conclusive")
 
 
@@ -347,13 +355,13 @@ def threshold_grid(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def chart_primitives(spark: SparkSession, sf: str) -> DataFrame:
-    f = bar_facts(spark, sf)
-    return R.chart(f, liquidity.pools(f, CFG)).groupBy("series_key", "kind", "name").agg(F.count("*").alias("n"), F.round(F.min("low"), 6).alias("low"), F.round(F.max("high"), 6).alias("high"))
+    f = settled(full(spark, sf))
+    return R.chart(f, liquidity.pools(f, CFG), CFG).select("series_key", "kind", "name", "bar_index", d("low"), d("high"))
 
 
 def price_domain(spark: SparkSession, sf: str) -> DataFrame:
-    f = bar_facts(spark, sf)
-    return R.price_domain(f, R.chart(f, liquidity.pools(f, CFG))).select("series_key", d("low"), d("high"))
+    f = settled(bar_facts(spark, sf))
+    return R.price_domain(f, R.chart(f, liquidity.pools(f, CFG), CFG)).select("series_key", d("low"), d("high"))
 
 
 def ledger_stats(spark: SparkSession, sf: str) -> DataFrame:
@@ -370,7 +378,7 @@ def fingerprints(spark: SparkSession, sf: str) -> DataFrame:
 
 NAMES = (
     bars_orders, candle_audit, candle_conflicts, latest_n_bars, gaps, intervals, freshness, condition_rollup, swings, trend, structure_events, structure_rows, pools, sweeps, active_pools, banded_pools, pool_log, sweep_context,
-    atr, displacement, fvg, order_blocks, dealing_range, pd_class, pd_arrays, retracement, structure_shift, breakers, mitigations, mtf_confluence, htf_evidence, registry_status, scores, eligibility, signals, outcome_rows, outcome_running,
+    atr, displacement, fvg, order_blocks, dealing_range, pd_class, pd_arrays, retracement, structure_shift, shift_context, breakers, mitigations, mtf_confluence, htf_evidence, registry_status, scores, eligibility, signals, outcome_rows, outcome_running,
     outcome_log, ema_rsi, volume_ratio, attribution, performance, performance_ranks, monthly_review, regimes, walk_forward_plan, walk_forward, stability, degradation, degradation_summary, out_of_sample, cells, findings, compare_variants, threshold_grid,
     chart_primitives, price_domain, ledger_stats, fingerprints,
 )

@@ -169,26 +169,47 @@ def threshold_grid(facts: DataFrame, grid: DataFrame) -> DataFrame:
     return out.withColumn("nth", F.row_number().over(order)).where("nth = 1").drop("nth")
 
 
-def chart(facts: DataFrame, life: DataFrame) -> DataFrame:
-    """Primitives of a chart in one long table: lines, zones, markers and text."""
+def chart(facts: DataFrame, life: DataFrame, cfg: Config, indicators: DataFrame | None = None) -> DataFrame:
+    """Primitives of a chart in one long table: levels, zones, markers, text and overlays.
+
+    Signals, their scores and outcomes are drawn where facts hold them; indicators (series_key,
+    bar_index, ema_<period>) add overlays. A pool is one level, named as it was when it appeared.
+    """
     key = [F.col("series_key")]
 
-    def rows(df: DataFrame, kind: str, name: Column, at: Column, low: Column, high: Column) -> DataFrame:
-        return df.select(*key, F.lit(kind).alias("kind"), name.alias("name"), at.cast("long").alias("bar_index"), low.cast("double").alias("low"), high.cast("double").alias("high"))
+    def rows(df: DataFrame, kind: str, name: Column | str, at: Column, low: Column, high: Column) -> DataFrame:
+        return df.select(*key, F.lit(kind).alias("kind"), (F.lit(name) if isinstance(name, str) else name).alias("name"), at.cast("long").alias("bar_index"), low.cast("double").alias("low"), high.cast("double").alias("high"))
 
     at = F.col("bar_index")
     parts = [
-        rows(life, "level", F.col("kind"), F.col("created_index"), F.col("price"), F.col("price")),
+        rows(life, "level", F.when(F.col("side") == "buy_side", "swing_high").otherwise("swing_low"), F.col("created_index"), F.col("price"), F.col("price")),
         rows(facts.where("gap IS NOT NULL"), "zone", F.concat(F.lit("gap_"), "gap"), at, F.col("gap_low"), F.col("gap_high")),
-        rows(facts.where("block IS NOT NULL"), "zone", F.concat(F.lit("block_"), "block"), at, F.col("block_low"), F.col("block_high")),
+        rows(facts.where("block IS NOT NULL"), "zone", F.concat(F.lit("block_"), "block"), F.col("block_index"), F.col("block_low"), F.col("block_high")),
         rows(life.where("status = 'swept'"), "marker", F.concat(F.lit("sweep_"), "side"), F.col("breach_index"), F.col("extreme"), F.col("extreme")),
         rows(facts.where("displacement IS NOT NULL"), "marker", F.concat(F.lit("displacement_"), "displacement"), at, F.col("close"), F.col("close")),
     ]
+    fresh = facts.where("range_confirm = bar_index")  # ranges are drawn by the bar that confirms them
+    half = (F.col("range_low") + F.col("range_high")) / 2
+    parts += [
+        rows(fresh, "zone", "dealing_range", F.least("last_low.pivot", "last_high.pivot"), F.col("range_low"), F.col("range_high")),
+        rows(fresh, "level", "equilibrium", at, half, half),
+        rows(fresh, "zone", F.concat(F.lit("retracement_"), "range_direction"), at, F.col("ote_low"), F.col("ote_high")),
+        rows(facts.where("prior_tr IS NOT NULL"), "overlay", "atr", at, F.col("prior_tr").cast("double") / cfg.atr_period, F.col("prior_tr").cast("double") / cfg.atr_period),
+    ]
+    if "signal" in facts.columns:
+        bought = facts.where("signal = 'BUY_SIGNAL'")
+        parts.append(rows(bought, "marker", "buy_signal", at, F.col("close"), F.col("close")))
+        parts.append(rows(bought, "text", F.concat(F.lit("score "), F.col("score").cast("string")), at, F.col("close"), F.col("close")))
+        if "outcome" in facts.columns:
+            parts.append(rows(bought.where("outcome <> 'OPEN'"), "marker", F.concat(F.lit("outcome_"), F.lower("outcome")), at + cfg.horizon, F.col("final_close"), F.col("final_close")))
+    if indicators is not None:
+        parts += [rows(indicators.where(F.col(n).isNotNull()), "overlay", n, at, F.col(n), F.col(n)) for n in (f"ema_{p}" for p in cfg.ema_periods)]
     return reduce(DataFrame.unionByName, parts)
 
 
 def price_domain(facts: DataFrame, primitives: DataFrame) -> DataFrame:
-    """Lowest and highest price of each series' bars and primitives, one apart if they are equal."""
+    """Lowest and highest price of each series' bars and primitives, overlays and text apart; one apart if they are equal."""
+    primitives = primitives.where("kind NOT IN ('overlay', 'text')")
     both = facts.select("series_key", F.col("low").cast("double").alias("low"), F.col("high").cast("double").alias("high")).unionByName(primitives.select("series_key", "low", "high"))
     out = both.groupBy("series_key").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     flat = F.col("low") == F.col("high")

@@ -1,6 +1,7 @@
 """Candles and their facts on streams.
 
-Bars come from an event stream with a watermark, so late events beyond it are left out. Facts
+Bars come from an event stream with a watermark, so events beyond it are left out (Spark counts
+them in the query's progress, numRowsDroppedByWatermark). Facts
 follow bar by bar with keyed state of bounded size: the last few bars, the swings in force and the
 open outcomes of a series. Whatever the micro-batches, the rows are those of the batch plan.
 """
@@ -20,7 +21,7 @@ from barloom.plans.config import Config
 
 FACTS = (
     "series_key string, bar_index long, opened_at timestamp, close double, swing_high double, swing_low double, trend string, ready boolean, event_up string, event_down string, "
-    "missing_before long, finalized_index long, outcome string, htf_direction string"
+    "missing_before long, finalized_index long, outcome string, htf_direction string, ignored string"
 )
 
 
@@ -99,8 +100,9 @@ class Series:
 def stream_facts(bars: DataFrame, cfg: Config, seconds: int) -> DataFrame:
     """Facts of a stream of bars (series_key, opened_at, high, low, close), in append mode.
 
-    Rows of one micro-batch are taken in time order; a bar that isn't newer than the last of its
-    series is ignored. Optional columns higher_at and higher_direction carry a higher timeframe's
+    Rows of one micro-batch are taken in time order. A bar that isn't newer than the last of its
+    series changes nothing: it comes out without facts, ignored being "repeat" where it opens with
+    the last one and "late" where it is older, for split_ignored to tell apart. Optional columns higher_at and higher_direction carry a higher timeframe's
     closed bar, which later bars see.
     """
 
@@ -114,16 +116,29 @@ def stream_facts(bars: DataFrame, cfg: Config, seconds: int) -> DataFrame:
             if pd.isna(r.close):
                 continue
             fact = series.step(r.opened_at, float(r.high), float(r.low), float(r.close))
-            if fact is not None:
-                out.append({"series_key": key[0], **fact})
+            if fact is None:
+                why = "repeat" if r.opened_at == series.last_open else "late"
+                fact = {"opened_at": r.opened_at, "close": float(r.close), "ignored": why}
+            out.append({"series_key": key[0], **fact})
         state.update((pickle.dumps(series),))
         if out:
-            frame = pd.DataFrame(out)[[c.split()[0] for c in FACTS.split(", ")]]
-            yield frame.astype({"finalized_index": "Int64"})
+            frame = pd.DataFrame(out, columns=[c.split()[0] for c in FACTS.split(", ")])
+            longs = [c.split()[0] for c in FACTS.split(", ") if c.endswith(" long")]
+            yield frame.astype({**dict.fromkeys(longs, "Int64"), "ready": "boolean"})
 
     return bars.groupBy("series_key").applyInPandasWithState(step, FACTS, "series binary", "append", GroupStateTimeout.NoTimeout)
 
 
+def split_ignored(facts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(facts, bars that came late or again), for a sink of each."""
+    return facts.where("ignored IS NULL").drop("ignored"), facts.where("ignored IS NOT NULL").select("series_key", "opened_at", "close", "ignored")
+
+
+def late_counts(ignored: DataFrame) -> DataFrame:
+    """How many bars of each series came late or again, and the first and last of them."""
+    return ignored.groupBy("series_key", "ignored").agg(F.count("*").alias("n"), F.min("opened_at").alias("first"), F.max("opened_at").alias("last"))
+
+
 def publish_once(path: str):
     """A foreachBatch sink that writes each delivery_id once: a batch that is run again writes nothing new."""
 

@@ -7,13 +7,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.functions.core import first_hit, first_overlap, require_higher_multiple
-from barloom.operators import context, liquidity, outcomes, signals, structure
+from barloom.operators import context, liquidity, outcomes, ranges, signals, structure
 from barloom.plans import facts as P
 from barloom.plans import queries
 from barloom.plans import reports as R
-from barloom.plans.config import Config
+from barloom.plans.config import Config, varied
 from barloom.sources import candles, quality
-from barloom.streaming.bars import FACTS, Series, stream_facts
+from barloom.streaming.bars import FACTS, Series, late_counts, split_ignored, stream_facts
 
 START = datetime(2024, 1, 1)
 # Candles and the events expected of them, as the methods define them.
@@ -241,6 +241,53 @@ def test_gaps_and_rollup(spark):
     assert quality.overall(states).first().state == "DEGRADED"
 
 
+def test_candidates_declare_what_they_change():
+    cfg = Config()
+    assert varied(cfg, {"score_threshold": (75, 60), "horizon": (10, 5)}) == Config(score_threshold=60, horizon=5)
+    for deltas in ({}, {"speed": (1, 2)}, {"horizon": (9, 5)}, {"fractal_length": (5, 4)}):
+        with pytest.raises(ValueError):
+            varied(cfg, deltas)
+
+
+def test_shift_context_bar_by_bar(spark):
+    """Every shift has its displacement, and exactly the pools, gaps and blocks that a plain search finds."""
+    cfg = Config(fractal_length=3, min_range_atr=1.0, min_body_atr=0.5)
+    f = P.bar_facts(make(spark, noise(21, 500)), cfg).persist()
+    life = liquidity.pools(f, cfg).persist()
+    f = liquidity.add_sweep_context(f, life, cfg).persist()
+    got = {}
+    for r in ranges.shift_context(f, life, liquidity.pool_log(f, cfg, life), cfg).collect():
+        got.setdefault(r.bar_index, set()).add((r.relation, float(r.low), float(r.high), r.ref_index))
+    pools_ = life.collect()
+    want = {}
+    rows = {r.bar_index: r for r in f.collect()}
+    swept_at = {p.breach_index for p in pools_ if p.status == "swept"}
+    for i, r in rows.items():
+        if not r["shift"]:
+            continue
+        up = r["shift"] == "bullish"
+        level, side = (r.prior_high, "buy_side") if up else (r.prior_low, "sell_side")
+        out = {("displacement", float(r.close), float(r.close), i)}
+        out |= {("pool", float(p.lower), float(p.upper), p.created_index) for p in pools_ if p.side == side and p.price == level.price and p.created_index <= level.confirm <= p.touched_index and p.breach_index == i}
+        before = max((x for x in swept_at if i - cfg.sweep_lookback <= x < i), default=None)
+        out |= {("swept_pool", float(p.lower), float(p.upper), before) for p in pools_ if p.status == "swept" and p.breach_index == before}
+        out |= {("gap", float(r.gap_low), float(r.gap_high), i)} if r.gap == r["shift"] else set()
+        out |= {("order_block", float(r.block_low), float(r.block_high), r.block_index)} if r.block == r["shift"] else set()
+        want[i] = out
+    assert got == want and want and any(len(x) > 1 for x in want.values())
+
+
+def test_chart_draws_ranges_and_indicators(spark):
+    cfg = Config(fractal_length=3)
+    f = P.bar_facts(make(spark, noise(4)), cfg).persist()
+    shown = R.chart(f, liquidity.pools(f, cfg), cfg, outcomes.ema_rsi(f, cfg)).persist()
+    n = {(r.kind, r.name): r.n for r in shown.groupBy("kind", "name").agg(F.count("*").alias("n")).collect()}
+    ranges_ = f.where("range_confirm = bar_index").count()
+    assert ranges_ and n["zone", "dealing_range"] == n["level", "equilibrium"] == ranges_
+    assert n["overlay", "ema_20"] == f.where("bar_index >= 19").count() and n["overlay", "atr"] == f.where("prior_tr IS NOT NULL").count()
+    assert shown.where("kind = 'zone' AND low > high").count() == 0
+
+
 def test_window_plan(spark):
     bars = make(spark, noise(3, 130))
     cfg = Config()
@@ -273,7 +320,9 @@ def test_stream_equals_batch(spark, tmp_path):
         stream = spark.readStream.schema(narrow.schema).parquet(folder)
         sink = stream_facts(stream, cfg, 900).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
         sink.awaitTermination(60)
-    got = {r.bar_index: r for r in spark.read.schema(FACTS).parquet(str(tmp_path / "out")).collect()}
+    facts, ignored = split_ignored(spark.read.schema(FACTS).parquet(str(tmp_path / "out")))
+    assert {(r.ignored, r.n) for r in late_counts(ignored).collect()} == {("late", 4), ("repeat", 1)}
+    got = {r.bar_index: r for r in facts.collect()}
     assert sorted(got) == sorted(batch)
     for i, r in got.items():
         assert (r.trend, r.ready, r.event_up, r.event_down) == (batch[i].trend, batch[i].ready, batch[i].event_up, batch[i].event_down)
