@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -17,9 +19,22 @@ TIMEFRAMES = {
 BLOCK, LEVELS = 256, 3
 
 
+_KEYS: ContextVar[tuple[str, ...]] = ContextVar("window_keys", default=("series_key",))
+
+
+@contextmanager
+def windows_by(*keys: str) -> Iterator[None]:
+    """Layers that are built here have these keys of windows, not the series alone."""
+    token = _KEYS.set(keys)
+    try:
+        yield
+    finally:
+        _KEYS.reset(token)
+
+
 def series() -> WindowSpec:
     """The one window of all layers, so that they share an exchange and a sort."""
-    return Window.partitionBy("series_key").orderBy("bar_index")
+    return Window.partitionBy(*_KEYS.get()).orderBy("bar_index")
 
 
 def rows(start: int, end: int) -> WindowSpec:
@@ -74,11 +89,23 @@ def identity(*columns: str | Column) -> Column:
     return F.sha2(F.to_json(F.struct(*columns)), 256)
 
 
-def dataset_fingerprint(df: DataFrame, key: str = "series_key") -> DataFrame:
-    """One id per series over all its rows, in any order and by partial sums."""
-    h = F.xxhash64(*[c for c in df.columns if c != key])
-    parts = df.groupBy(key).agg(F.count("*").alias("n"), F.min(h).alias("low"), F.max(h).alias("high"), F.sum(h.cast("decimal(38,0)")).alias("total"))
-    return parts.select(key, "n", F.sha2(F.concat_ws(":", "n", "low", "high", "total"), 256).alias("fingerprint"))
+def dataset_fingerprint(df: DataFrame, key: str = "series_key", record: Column | None = None) -> DataFrame:
+    """(key, n, fingerprint): the sum modulo 2**256 of the SHA-256 of all canonical records of a series.
+
+    In any order and by partial sums; a record that is there twice counts twice. Without record, it is
+    the JSON of all other columns by name, nulls included.
+    """
+    if record is None:
+        record = F.to_json(F.struct(*sorted(c for c in df.columns if c != key)), {"ignoreNullFields": "false"})
+    digest = df.select(key, F.sha2(record, 256).alias("digest"))
+    limb = "decimal(38,0)"
+    parts = [F.sum(F.conv(F.substring("digest", 8 * k + 1, 8), 16, 10).cast(limb)).alias(f"part{k}") for k in range(8)]
+    out = digest.groupBy(key).agg(F.count("*").alias("n"), *parts).withColumn("over", F.lit(0).cast(limb))
+    unit = F.lit(1 << 32).cast(limb)
+    for k in reversed(range(8)):  # from the last 32 bits on, what exceeds them goes to those before
+        out = out.withColumn("whole", (F.col(f"part{k}") + F.col("over")).cast(limb)).withColumn(f"part{k}", F.col("whole") % unit)
+        out = out.withColumn("over", ((F.col("whole") - F.col(f"part{k}")) / unit).cast(limb))
+    return out.select(key, "n", F.concat(*[F.lpad(F.lower(F.hex(F.col(f"part{k}").cast("long"))), 8, "0") for k in range(8)]).alias("fingerprint"))
 
 
 def _first(zones: DataFrame, bars: DataFrame, extremes: dict[str, tuple[str, str]], test: Callable[[Column], Column], block: int, levels: int) -> DataFrame:

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.core import ffill_prev, first_hit, first_overlap
+from barloom.functions.core import first_hit, first_overlap, rows, settled
 from barloom.plans.config import Config
 
+#: Times that swings are split by time and by price before pools with a tolerance are walked.
+SPLITS = 3
+
 
 def touches(facts: DataFrame) -> DataFrame:
     """Every confirmed swing: series_key, symbol, side, price, confirm, known_at."""
@@ -31,40 +34,69 @@ def exact_pools(facts: DataFrame) -> DataFrame:
     ).withColumns({"lower": F.col("price"), "upper": F.col("price")})
 
 
+def apart(swings: DataFrame, rounds: int = SPLITS) -> DataFrame:
+    """swings with part: those of different parts can't be in one pool, whatever pools there are.
+
+    A swing's rectangle reaches from its bar to the breach of its own band, and across the band. Where
+    no rectangle reaches across a time, nothing is active; where none reaches across a price, no band
+    holds what lies beyond. Splitting by one shows more places to split by the other, so both alternate.
+    """
+    out = swings.withColumn("part", F.xxhash64("series_key", "side"))
+    whole = ["series_key", "side", "part"]
+    never = F.lit((1 << 62) - 1)
+    for _ in range(rounds):
+        for first, low, high, meets in (("confirm", F.col("confirm"), F.coalesce("hit_index", never), True), ("lower", F.col("lower"), F.col("upper"), False)):
+            earlier = Window.partitionBy(*whole).orderBy(first, "confirm").rowsBetween(Window.unboundedPreceding, -1)
+            reach = F.max(high).over(earlier)
+            # a pool that this bar breaches is gone when its swing looks for one; bands hold their ends
+            fresh = (low >= reach) if meets else (low > reach)
+            out = out.withColumn("fresh", F.coalesce(fresh, F.lit(False)).cast("int"))
+            out = out.withColumn("run", F.sum("fresh").over(Window.partitionBy(*whole).orderBy(first, "confirm"))).withColumn("part", F.xxhash64("part", "run")).drop("fresh", "run")
+    return out
+
+
+def heads(swings: DataFrame) -> DataFrame:
+    """(series_key, side, confirm, head): the swing that founded the pool which each swing joins or founds.
+
+    Swings of a part go by in order, and only its active pools are held.
+    """
+
+    def walk(batches):
+        last, active = None, []
+        for b in batches:
+            found = []
+            columns = [b.column(c).to_pylist() for c in ("series_key", "side", "part", "confirm", "price", "lower", "upper", "hit_index")]
+            for key, side, part, confirm, price, lower, upper, hit in zip(*columns, strict=True):
+                if (key, side, part) != last:
+                    last, active = (key, side, part), []
+                active = [p for p in active if p[3] is None or p[3] > confirm]
+                head = next((p[0] for p in active if p[1] <= price <= p[2]), None)
+                if head is None:
+                    head = confirm
+                    active.append((confirm, lower, upper, hit))
+                found.append(head)
+            yield pa.RecordBatch.from_arrays([b.column("series_key"), b.column("side"), b.column("confirm"), pa.array(found, pa.int64())], ["series_key", "side", "confirm", "head"])
+
+    rows = swings.select("series_key", "side", "part", "confirm", "price", "lower", "upper", "hit_index").repartition("series_key", "side", "part").sortWithinPartitions("series_key", "side", "part", "confirm")
+    return rows.mapInArrow(walk, "series_key string, side string, confirm long, head long")
+
+
 def banded_pools(facts: DataFrame, cfg: Config) -> DataFrame:
-    """Pools with tolerance: a swing joins the oldest active pool whose first band holds it; order matters, so series by series."""
-    rows = facts.select("series_key", "symbol", "bar_index", "available_at", F.col("high").cast("string").alias("h"), F.col("low").cast("string").alias("l"), F.col("swing_high.price").cast("string").alias("sh"), F.col("swing_low.price").cast("string").alias("sl"))
-    schema = "series_key string, symbol string, side string, price decimal(18,8), breach_index long, created_index long, touched_index long, members long, known_at timestamp, lower decimal(18,8), upper decimal(18,8)"
-    bps = str(cfg.pool_tolerance_bps)
-
-    def walk(t: pd.DataFrame) -> pd.DataFrame:
-        from decimal import ROUND_HALF_EVEN, Decimal
-
-        step, unit = Decimal(bps) / 10000, Decimal("0.00000001")
-        done, active = [], {"buy_side": [], "sell_side": []}
-        for r in t.sort_values("bar_index").itertuples():
-            for side, beyond in (("buy_side", lambda p, r=r: Decimal(r.h) > p["upper"]), ("sell_side", lambda p, r=r: Decimal(r.l) < p["lower"])):
-                for p in [p for p in active[side] if beyond(p)]:
-                    p["breach_index"] = r.bar_index
-                    active[side].remove(p)
-                text = r.sh if side == "buy_side" else r.sl
-                if text is not None and text == text:
-                    price = Decimal(text)
-                    pool = next((p for p in active[side] if p["lower"] <= price <= p["upper"]), None)
-                    if pool is None:
-                        band = price * step
-                        pool = {"series_key": r.series_key, "symbol": r.symbol, "side": side, "price": price, "breach_index": None, "created_index": r.bar_index, "members": 0,
-                                "lower": (price - band).quantize(unit, ROUND_HALF_EVEN), "upper": (price + band).quantize(unit, ROUND_HALF_EVEN)}
-                        active[side].append(pool)
-                        done.append(pool)
-                    pool["members"] += 1
-                    pool["touched_index"], pool["known_at"] = r.bar_index, r.available_at
-        names = [c.split()[0] for c in schema.split(", ") if not c[0].isdigit()]
-        out = pd.DataFrame(done, columns=names)
-        out["breach_index"] = out["breach_index"].astype("Int64")
-        return out
-
-    return rows.groupBy("series_key").applyInPandas(walk, schema)
+    """Pools with tolerance: a swing joins the oldest active pool whose first band holds it.
+
+    Which swing founds a pool depends on the pools before it, but only on those of its own part.
+    """
+    step = F.lit(str(cfg.pool_tolerance_bps)).cast("decimal(12,8)") * F.lit("0.0001").cast("decimal(4,4)")
+    band = F.col("price") * step
+    swings = touches(facts).withColumns({"lower": F.bround(F.col("price") - band, 8).cast("decimal(18,8)"), "upper": F.bround(F.col("price") + band, 8).cast("decimal(18,8)"), "confirm": F.col("confirm").cast("long")})
+    swings = swings.withColumn("zone_id", F.concat_ws("|", "series_key", "side", "confirm"))
+    zones = swings.select("series_key", "zone_id", F.col("confirm").alias("start_index"), F.when(F.col("side") == "buy_side", F.col("upper")).otherwise(F.col("lower")).alias("bound"), (F.col("side") == "buy_side").alias("above"))
+    swings = settled(apart(swings.join(first_hit(zones, facts, "high", "low"), "zone_id", "left").drop("zone_id")))
+    joined = swings.join(heads(swings), ["series_key", "side", "confirm"])
+    own = F.col("confirm") == F.col("head")
+    founder = F.max(F.when(own, F.struct("price", "hit_index", "lower", "upper")))
+    out = joined.groupBy("series_key", "symbol", "side", F.col("head").alias("created_index")).agg(founder.alias("f"), F.max("confirm").alias("touched_index"), F.count("*").alias("members"), F.max_by("known_at", "confirm").alias("known_at"))
+    return out.select("series_key", "symbol", "side", "f.price", F.col("f.hit_index").alias("breach_index"), "created_index", "touched_index", "members", "known_at", "f.lower", "f.upper")
 
 
 def pools(facts: DataFrame, cfg: Config) -> DataFrame:
@@ -104,12 +136,12 @@ def active_at(life: DataFrame, at: int) -> DataFrame:
 
 
 def add_sweep_context(facts: DataFrame, life: DataFrame, cfg: Config) -> DataFrame:
-    """sweeps (sides on this bar), sweep_context and sweep_index of the newest earlier bar with sweeps within the lookback."""
+    """sweeps (sides on this bar), sweep_context and sweep_index of the newest bar with sweeps within the lookback that was available when this one opened."""
     swept = life.where("status = 'swept'").groupBy("series_key", F.col("breach_index").alias("bar_index")).agg(F.array_sort(F.collect_set("side")).alias("sweeps"))  # two sides at most
     out = facts.join(swept, ["series_key", "bar_index"], "left")
-    recent = ffill_prev(F.when(F.col("sweeps").isNotNull(), F.struct("bar_index", "sweeps")))
-    out = out.withColumn("recent", recent)
-    out = out.withColumn("recent", F.when(F.col("bar_index") - F.col("recent.bar_index") <= cfg.sweep_lookback, F.col("recent")))
+    swept = F.when(F.col("sweeps").isNotNull(), F.struct("bar_index", "sweeps", "available_at"))
+    out = out.withColumn("recent", F.collect_list(swept).over(rows(-cfg.sweep_lookback, -1)))  # sweep_lookback at most
+    out = out.withColumn("recent", F.try_element_at(F.filter("recent", lambda s: s["available_at"] <= F.col("opened_at")), F.lit(-1)))
     out = out.withColumns({"sweep_index": F.col("recent.bar_index"), "recent": F.col("recent.sweeps")})
     context = F.when(F.col("recent").isNull(), "none").when(F.size("recent") == 2, "after_both").when(F.col("recent")[0] == "buy_side", "after_buy_side").otherwise("after_sell_side")
     return out.withColumn("sweep_context", context).drop("recent")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.functions.core import lag, rows, series
+from barloom.functions.chunks import KEYS, affine, place, within
+from barloom.functions.core import lag, rows, series, upto
 from barloom.plans.config import Config
 
+#: Bars of a chunk of recurrences: decays over as many stay within doubles.
+RECURRENCE = 256
+
 
 def add_outcomes(df: DataFrame, cfg: Config) -> DataFrame:
     """outcome, final_close, best and worst with their bars, and returns of a long entry at this bar's close."""
@@ -65,38 +68,36 @@ def add_volume_ratio(df: DataFrame, cfg: Config) -> DataFrame:
     return df.withColumn("volume_average", mean).withColumn("volume_ratio", F.try_divide(F.col("volume").cast("double"), F.col("volume_average")))
 
 
-def ema_rsi(bars: DataFrame, cfg: Config) -> DataFrame:
-    """ema_<p> and rsi of every bar; both are recurrences, so series by series."""
-    names = [f"ema_{p}" for p in cfg.ema_periods]
-    periods, n = cfg.ema_periods, cfg.rsi_period
-    schema = "series_key string, bar_index long, " + ", ".join(f"{c} double" for c in names) + ", rsi double"
-
-    def walk(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("bar_index")
-        close = t["close"].to_numpy(float)
-        out = {"series_key": t["series_key"], "bar_index": t["bar_index"]}
-        for name, p in zip(names, periods, strict=True):
-            values, last = [None] * len(close), None
-            for i, c in enumerate(close):
-                if i == p - 1:
-                    last = float(close[:p].mean())
-                elif i >= p:
-                    last = last + (c - last) * 2 / (p + 1)
-                values[i] = last
-            out[name] = values
-        rsi, gain, loss = [None] * len(close), 0.0, 0.0
-        for i in range(1, len(close)):
-            up, down = max(close[i] - close[i - 1], 0.0), max(close[i - 1] - close[i], 0.0)
-            if i <= n:
-                gain, loss = gain + up / n, loss + down / n
-            else:
-                gain, loss = (gain * (n - 1) + up) / n, (loss * (n - 1) + down) / n
-            if i >= n:
-                rsi[i] = 50.0 if gain == 0 and loss == 0 else 100.0 if loss == 0 else 100 - 100 / (1 + gain / loss)
-        out["rsi"] = rsi
-        return pd.DataFrame(out)
-
-    return bars.select("series_key", "bar_index", F.col("close").cast("double").alias("close")).groupBy("series_key").applyInPandas(walk, schema)
+def ema_rsi(bars: DataFrame, cfg: Config, size: int = RECURRENCE) -> DataFrame:
+    """ema_<p> and rsi of every bar.
+
+    Both are recurrences x -> a x + b with a = 1 while they fill and one decay afterwards. In a chunk
+    of `size` bars x is a running sum of the b, each grown by the decays before it, and decayed at
+    once; the state that a chunk starts with comes from the composed steps of the chunks before.
+    """
+    n, i = cfg.rsi_period, F.col("bar_index")
+    # name: (decay, first bar that decays, what the bar adds)
+    steps = {f"ema_{p}": ((p - 1) / (p + 1), p, F.when(i < p, F.col("close") / p).otherwise(F.col("close") * 2 / (p + 1))) for p in cfg.ema_periods}
+    steps |= {side: ((n - 1) / n, n + 1, F.coalesce(F.greatest(sign * F.col("change"), F.lit(0.0)) / n, F.lit(0.0))) for side, sign in (("gain", 1), ("loss", -1))}
+    carried = [name for name, (decay, _, _) in steps.items() if decay]  # without a decay left, the last bar is all
+
+    def decays(name: str) -> Column:
+        return F.pow(F.lit(steps[name][0]), F.greatest(F.lit(0), i - F.greatest(F.col("chunk") * size, F.lit(steps[name][1])) + 1))
+
+    def sums(df: DataFrame) -> DataFrame:
+        out = df.withColumn("change", F.col("close") - lag("close")).where(F.col("chunk") == place(size))
+        return out.withColumns({name: F.sum(add / decays(name)).over(upto()) if name in carried else add for name, (_, _, add) in steps.items()})
+
+    parts = within(bars.select("series_key", "bar_index", F.col("close").cast("double").alias("close")), size, 1, 0, sums)
+    out = parts
+    if carried:
+        ends = parts.groupBy(*KEYS).agg(*[F.max_by(F.struct(decays(name).alias("a"), (decays(name) * F.col(name)).alias("b")), "bar_index").alias(name) for name in carried])
+        starts = affine(ends, carried).withColumnsRenamed({name: f"start_{name}" for name in carried})
+        out = parts.join(starts, list(KEYS)).withColumns({name: decays(name) * (F.col(f"start_{name}") + F.col(name)) for name in carried})
+    emas = [F.when(i >= p - 1, F.col(f"ema_{p}")).alias(f"ema_{p}") for p in cfg.ema_periods]
+    flat = (F.col("gain") == 0) & (F.col("loss") == 0)
+    rsi = F.when(flat, 50.0).when(F.col("loss") == 0, 100.0).otherwise(100 - 100 / (1 + F.try_divide(F.col("gain"), F.col("loss"))))
+    return out.select("series_key", "bar_index", *emas, F.when(i >= n, rsi).alias("rsi"))
 
 
 def add_regime(df: DataFrame, cfg: Config) -> DataFrame:

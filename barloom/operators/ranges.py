@@ -13,7 +13,7 @@ from barloom.plans.config import Config
 
 
 def add_range(df: DataFrame) -> DataFrame:
-    """range_status, range_low, range_high, range_direction, range_confirm from the latest swings, this bar's included."""
+    """range_status, range_low, range_high, range_direction, range_confirm and range_known_at from the latest swings, this bar's included."""
     low, high = F.col("last_low"), F.col("last_high")
     status = F.when(low.isNull() | high.isNull(), "missing_swings").when(low["pivot"] == high["pivot"], "same_pivot").when(high["price"] <= low["price"], "nonpositive_span").otherwise("confirmed")
     out = df.withColumn("range_status", status)
@@ -22,6 +22,7 @@ def add_range(df: DataFrame) -> DataFrame:
         "range_low": F.when(ok, low["price"]), "range_high": F.when(ok, high["price"]),
         "range_direction": F.when(ok, F.when(low["pivot"] < high["pivot"], "bullish").otherwise("bearish")),
         "range_confirm": F.when(ok, F.greatest(low["confirm"], high["confirm"])),
+        "range_known_at": F.when(ok, F.greatest(low["known_at"], high["known_at"])),
     })
 
 
@@ -64,24 +65,28 @@ def add_premium_discount(df: DataFrame, cfg: Config) -> DataFrame:
 
 
 def add_retracement(df: DataFrame, cfg: Config) -> DataFrame:
-    """ote_low, ote_high and the position of the close; a range confirmed on this bar is no context yet."""
+    """ote_low, ote_high and the position of the close; a range confirmed on this bar, or not available when it opened, is no context yet."""
     span = F.col("range_high") - F.col("range_low")
     near, far = (ratio(r) for r in cfg.retracement)
     bull = F.col("range_direction") == "bullish"
     a = F.when(bull, F.col("range_high") - span * near).otherwise(F.col("range_low") + span * near)
     b = F.when(bull, F.col("range_high") - span * far).otherwise(F.col("range_low") + span * far)
-    known = F.col("range_confirm") < F.col("bar_index")
+    known = (F.col("range_confirm") < F.col("bar_index")) & (F.col("range_known_at") <= F.col("opened_at"))
     out = df.withColumn("ote_low", F.when(span.isNotNull(), F.least(a, b))).withColumn("ote_high", F.when(span.isNotNull(), F.greatest(a, b)))
     place = F.when(~F.coalesce(known, F.lit(False)), "INSUFFICIENT_CONTEXT").when(F.col("close") < F.col("ote_low"), "BELOW_OTE").when(F.col("close") > F.col("ote_high"), "ABOVE_OTE").otherwise("INSIDE_OTE")
     return out.withColumn("ote_position", place)
 
 
 def add_shift(df: DataFrame) -> DataFrame:
-    """shift and shift_level: a CHoCH in the direction of this bar's displacement against the trend before."""
+    """shift and shift_level: a CHoCH in the direction of this bar's displacement against the trend before.
+
+    The bar before and the level it breaks were available when this bar opened.
+    """
     level = F.when(F.col("displacement") == "bullish", lag("last_high")).otherwise(lag("last_low"))
     event = F.when(F.col("displacement") == "bullish", F.col("event_up")).otherwise(F.col("event_down"))
     out = df.withColumn("level", level)
     turns = F.col("prev_ready") & (F.col("prev_trend") != "ranging") & (F.col("displacement") != F.col("prev_trend")) & (event == "CHoCH") & F.col("level").isNotNull()
+    turns = turns & (lag("available_at") <= F.col("opened_at")) & (F.col("level.known_at") <= F.col("opened_at"))
     out = out.withColumn("shift", F.when(turns, F.col("displacement")))
     return out.withColumn("shift_level", F.when(F.col("shift").isNotNull(), F.col("level.price"))).drop("level")
 

@@ -23,6 +23,7 @@ class Config:
     block_nearest: bool = True
     block_structure: str = "bos_or_choch"
     require_fvg: bool = False
+    allow_doji: bool = False
     equilibrium_half_width: float = 0.0
     retracement: tuple[float, float] = (0.62, 0.79)
     higher: tuple[str, ...] = ("1h", "4h")
@@ -47,6 +48,8 @@ class Config:
     strong_win_rate: float = 0.60
     weak_win_rate: float = 0.40
     compare_minimum: int = 30
+    #: Bars of a chunk where series are long; None runs each series as a whole.
+    chunk_bars: int | None = None
 
     def __post_init__(self) -> None:
         if self.fractal_length < 3 or self.fractal_length % 2 == 0:
@@ -59,6 +62,8 @@ class Config:
             raise ValueError("steps are at least as long as validation")
         if min(self.atr_period, self.horizon, self.candidate_lookback, self.validation_bars, self.development_bars) < 1:
             raise ValueError("periods start at 1")
+        if self.chunk_bars is not None and self.chunk_bars < 1:
+            raise ValueError("chunks have one bar at least")
 
 
 def varied(cfg: Config, deltas: dict[str, tuple[object, object]]) -> Config:

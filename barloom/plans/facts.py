@@ -7,34 +7,40 @@ from pyspark.sql import functions as F
 
 from barloom.functions.core import settled
 from barloom.operators import context, displacement, liquidity, outcomes, ranges, signals, structure
+from barloom.plans import chunked
 from barloom.plans.config import Config
 from barloom.sources import candles
 
 
 def structure_facts(bars: DataFrame, cfg: Config) -> DataFrame:
-    return structure.structure(bars, cfg)
+    return chunked.structure_facts(bars, cfg) if cfg.chunk_bars else structure.structure(bars, cfg)
 
 
 def bar_facts(bars: DataFrame, cfg: Config) -> DataFrame:
     """Structure, displacement, gaps, order blocks, ranges, shifts and zones of every bar."""
+    if cfg.chunk_bars:
+        return chunked.bar_facts(bars, cfg)
     return structure_facts(bars, cfg).transform(displacement.displacement, cfg).transform(ranges.ranges, cfg)
 
 
 def signal_facts(bars: DataFrame, higher: dict[str, DataFrame], registry: DataFrame, cfg: Config) -> DataFrame:
     """bar_facts with sweeps, higher-timeframe context, scores, signals, labels and outcomes; higher: bars by timeframe."""
     facts = settled(bar_facts(bars, cfg))
-    facts = liquidity.add_sweep_context(facts, liquidity.pools(facts, cfg), cfg)
-    facts = context.add_confluence(facts, {tf: structure_facts(b, cfg) for tf, b in higher.items()})
+    life = liquidity.pools(facts, cfg)
+    facts = chunked.sweep_context(facts, life, cfg) if cfg.chunk_bars else liquidity.add_sweep_context(facts, life, cfg)
+    facts = context.add_confluence(facts, {tf: structure_facts(b, cfg) for tf, b in higher.items()}, cfg.chunk_bars)
     facts = context.add_registry(facts, registry, cfg.registry_mode)
     facts = signals.add_scores(facts, cfg).transform(signals.add_votes).transform(signals.add_signals, cfg).transform(signals.add_labels)
+    if cfg.chunk_bars:
+        return chunked.outcome_facts(facts, cfg)
     return facts.transform(outcomes.add_outcomes, cfg).transform(outcomes.add_regime, cfg)
 
 
-def event_bars(spark: SparkSession, sf_dir: str, timeframe: str) -> DataFrame:
-    """Candles of the events table: one symbol per event type, the value as the price."""
+def event_bars(spark: SparkSession, sf_dir: str, timeframe: str, chunk_bars: int | None = None) -> DataFrame:
+    """Candles of the events table: one symbol per event type, the value as the price; chunk_bars: bars numbered at once."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     bars = candles.bars_from_events(events, timeframe, F.col("event_type"), F.col("ts"), F.col("value"), F.lit(1), [F.col("event_id")])
-    return candles.as_series(bars, timeframe)
+    return candles.as_series(bars, timeframe, chunk_bars=chunk_bars)
 
 
 def order_bars(spark: SparkSession, sf_dir: str, timeframe: str) -> DataFrame:

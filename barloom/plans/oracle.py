@@ -42,6 +42,7 @@ FACTS = f""",
 d1 as (select *, case when pc is not null then greatest(high - low, abs(high - pc), abs(low - pc)) end as tr, abs(close - open) as body, high - low as span,
   case when close > open then 'bullish' when close < open then 'bearish' end as candle from st),
 d2 as (select *, case when count(tr) {PART} rows between 14 preceding and 1 preceding) = 14 then sum(tr) {PART} rows between 14 preceding and 1 preceding) end as ptr,
+  case when count(tr) {PART} rows between 13 preceding and current row) = 14 then sum(tr) {PART} rows between 13 preceding and current row) end as ntr,
   lag(high, 2) {PART}) as h1, lag(low, 2) {PART}) as l1 from d1),
 d3 as (select *, case when candle is not null and span > 0 and ptr > 0 and body * 14 >= ptr and span * 14 >= 1.5 * ptr
   and case when candle = 'bullish' then close - low >= 0.70 * span else close - low <= 0.30 * span end then candle end as disp from d2),
@@ -196,23 +197,47 @@ ch as (select symbol, window_id, max(wr) filter (where segment = 'validation') -
   coalesce(max(finalized) filter (where segment = 'validation') >= 10 and max(finalized) filter (where segment = 'development') >= 10, false) as sure from seg group by 1, 2)"""
 ORDERS = bars("1 day", source="select o_orderpriority as symbol, o_orderdate as ts, o_orderkey as tie, o_totalprice::decimal(18,8) as px from orders")
 PRIMITIVES = """,
-prim as (select symbol, 'level' as kind, case side when 'buy_side' then 'swing_high' else 'swing_low' end as name, created as i, price::double as low, price::double as high from pools
-  union all select symbol, 'zone', 'gap_' || gap, i, glo::double, ghi::double from facts where gap is not null
-  union all select symbol, 'zone', 'block_' || blk, bi, blo::double, bhi::double from facts where blk is not null
-  union all select symbol, 'marker', 'sweep_' || side, breach, case side when 'buy_side' then bh else bl end::double, case side when 'buy_side' then bh else bl end::double from pools where status = 'swept'
-  union all select symbol, 'marker', 'displacement_' || disp, i, close::double, close::double from facts where disp is not null
-  union all select symbol, 'zone', 'dealing_range', least(llc, lhc) - 2, rlo::double, rhi::double from facts where rcf = i
-  union all select symbol, 'level', 'equilibrium', i, (rlo + rhi)::double / 2, (rlo + rhi)::double / 2 from facts where rcf = i
-  union all select symbol, 'zone', 'retracement_' || rdir, i, olo::double, ohi::double from facts where rcf = i
-  union all select symbol, 'overlay', 'atr', i, ptr::double / 14, ptr::double / 14 from facts where ptr is not null)"""
+prim as (select symbol, 'level' as kind, case side when 'buy_side' then 'swing_high' else 'swing_low' end as name, created as i, price::double as low, price::double as high, null::bigint as e from pools
+  union all select symbol, 'zone', 'gap_' || gap, i, glo::double, ghi::double, null from facts where gap is not null
+  union all select symbol, 'zone', 'block_' || blk, bi, blo::double, bhi::double, null from facts where blk is not null
+  union all select symbol, 'marker', 'sweep_' || side, breach, case side when 'buy_side' then bh else bl end::double, case side when 'buy_side' then bh else bl end::double, null from pools where status = 'swept'
+  union all select symbol, 'marker', 'displacement_' || disp, i, close::double, close::double, null from facts where disp is not null
+  union all select symbol, 'zone', 'dealing_range', least(llc, lhc) - 2, rlo::double, rhi::double, greatest(llc, lhc) - 2 from facts where rcf = i
+  union all select symbol, 'level', 'equilibrium', i, (rlo + rhi)::double / 2, (rlo + rhi)::double / 2, null from facts where rcf = i
+  union all select symbol, 'zone', 'retracement_' || rdir, i, olo::double, ohi::double, null from facts where rcf = i
+  union all select symbol, 'overlay', 'atr', i, ntr::double / 14, ntr::double / 14, null from facts where ntr is not null)"""
 BOUGHT = """,
-drawn as (select * from prim union all select symbol, 'marker', 'buy_signal', i, close::double, close::double from sig where signal = 'BUY_SIGNAL'
-  union all select symbol, 'text', 'score ' || score, i, close::double, close::double from sig where signal = 'BUY_SIGNAL'
-  union all select g.symbol, 'marker', 'outcome_' || lower(o.outcome), g.i + 10, o.fc::double, o.fc::double from sig g join o2 o on o.symbol = g.symbol and o.i = g.i where g.signal = 'BUY_SIGNAL' and o.outcome <> 'OPEN')"""
+drawn as (select * from prim union all select symbol, 'marker', 'buy_signal', i, close::double, close::double, null from sig where signal = 'BUY_SIGNAL'
+  union all select symbol, 'text', 'score ' || score, i, close::double, close::double, null from sig where signal = 'BUY_SIGNAL'
+  union all select g.symbol, 'marker', 'outcome_' || lower(o.outcome), g.i + 10, o.fc::double, o.fc::double, null from sig g join o2 o on o.symbol = g.symbol and o.i = g.i where g.signal = 'BUY_SIGNAL' and o.outcome <> 'OPEN'
+  union all select symbol, 'overlay', 'ema_20', i, e20, e20, null from r where e20 is not null union all select symbol, 'overlay', 'ema_50', i, e50, e50, null from r where e50 is not null)"""
 VERSIONS = """select t.symbol, t.side, t.price, p.created, t.confirm as i, 'active' as status from touches t join pools p on p.symbol = t.symbol and p.side = t.side and p.price = t.price and t.confirm between p.created and p.touched
  union all select symbol, side, price, created, breach, status from pools where status <> 'active'"""
 EXTREME = "case side when 'buy_side' then bh else bl end"
 
+EMA = f""", z as (select symbol, i, close::double as c, close::double - lag(close::double) {PART}) as ch from f),
+ sd as (select symbol, avg(c) filter (where i < 20) as a20, avg(c) filter (where i < 50) as a50, sum(greatest(ch, 0)) filter (where i between 1 and 14) / 14 as g, sum(greatest(-ch, 0)) filter (where i between 1 and 14) / 14 as l from z group by 1),
+ r as (select z.symbol, z.i, null::double as e20, null::double as e50, null::double as g, null::double as l from z where i = 0
+  union all select z.symbol, z.i, case when z.i = 19 then sd.a20 when z.i > 19 then r.e20 + (z.c - r.e20) * 2 / 21 end, case when z.i = 49 then sd.a50 when z.i > 49 then r.e50 + (z.c - r.e50) * 2 / 51 end,
+  case when z.i = 14 then sd.g when z.i > 14 then (r.g * 13 + greatest(z.ch, 0)) / 14 end, case when z.i = 14 then sd.l when z.i > 14 then (r.l * 13 + greatest(-z.ch, 0)) / 14 end
+  from r join z on z.symbol = r.symbol and z.i = r.i + 1 join sd on sd.symbol = r.symbol)"""
+
+
+def recursive(sql: str) -> str:
+    return "with recursive" + sql.removeprefix("with")
+
+
+#: What each bar of the first chain publishes, by kind, and its running sums.
+EVIDENCE = """,
+version as (select symbol, i, count(*) as n from (""" + VERSIONS + """) group by 1, 2),
+sweep as (select symbol, breach as i, count(*) as n from pools where status = 'swept' group by 1, 2),
+new as (select c.symbol, c.i, c.closed_at, (c.sh is not null)::int + (c.sl is not null)::int as swing, coalesce(v.n, 0) as liquidity_pool, coalesce(w.n, 0) as sweep, (c.disp is not null)::int as displacement,
+  (c.gap is not null)::int as fvg, (c.blk is not null)::int as order_block, coalesce(c.rcf = c.i, false)::int as dealing_range
+  from facts c left join version v on v.symbol = c.symbol and v.i = c.i left join sweep w on w.symbol = c.symbol and w.i = c.i),
+total as (select symbol, i, closed_at, """ + ", ".join(f"sum({c}) {NOW_ON} as {n}" for c, n in [*((c, c) for c in ("swing", "liquidity_pool", "sweep", "displacement", "fvg", "order_block", "dealing_range")), ("liquidity_pool + sweep + displacement + fvg + order_block", "pd_array"), ("dealing_range", "equilibrium"), ("dealing_range", "ote_zone")]) + """ from new)"""
+KINDS = ("swing", "liquidity_pool", "sweep", "displacement", "fvg", "order_block", "pd_array", "dealing_range", "equilibrium", "ote_zone")
+LATEST = ("structure_context", "pd_snapshot", "ote_observation", "ote_snapshot")
+
 ORACLES = {
     "bars_15m": q(B15, f"select {BAR} from f"),
     "bars_1h": q(B1H, f"select {BAR} from f"),
@@ -245,11 +270,21 @@ union all select symbol, i, 'bearish', ed, {r6('pl', 'level')} from st where ed
     "pools": q(ST + POOLS, f"select symbol, side, {r6('price')}, created as created_index, touched as touched_index, members, kind, coalesce(breach, -1)::bigint as breach_index, status, coalesce(reason, '-') as reason from pools"),
     "sweeps": q(ST + POOLS, f"select symbol, side, breach as breach_index, {r6('price')}, {r6(EXTREME, 'extreme')} from pools where status = 'swept'"),
     "active_pools": q(ST + POOLS, "select symbol, side, count(*) as n, round(max(price)::double, 6) as top from pools where breach is null group by 1, 2"),
+    "banded_pools": recursive(q(ST + TOUCHES, """, band as (select *, round_even(price - price * 0.005, 8)::decimal(18,8) as lo, round_even(price + price * 0.005, 8)::decimal(18,8) as up, row_number() over (partition by symbol, side order by confirm) as k from touches),
+ t as (select b.symbol, b.side, b.k, b.confirm, b.price, b.lo, b.up, min(f.i) as br from band b left join f on f.symbol = b.symbol and f.i > b.confirm and case b.side when 'buy_side' then f.high > b.up else f.low < b.lo end group by all),
+ w as (select distinct symbol, side, 0::bigint as k, []::struct(c bigint, lo decimal(18,8), up decimal(18,8), br bigint)[] as act, null::bigint as confirm, null::bigint as head from t
+  union all select symbol, side, k, case when j is null then list_append(live, {'c': confirm, 'lo': lo, 'up': up, 'br': br}) else live end, confirm, coalesce(j.c, confirm)
+  from (select *, list_filter(live, lambda x: price between x.lo and x.up)[1] as j from (select t.*, list_filter(w.act, lambda x: x.br is null or x.br > t.confirm) as live from w join t on t.symbol = w.symbol and t.side = w.side and t.k = w.k + 1))),
+ p as (select w.symbol, w.side, w.head as created, max(w.confirm) as touched, count(*) as members from w where head is not null group by 1, 2, 3),
+ g as (select p.*, t.price, t.lo, t.up, t.br from p join t on t.symbol = p.symbol and t.side = p.side and t.confirm = p.created),
+ judged as (select g.*, case when br is null then 'active' when (select closed_at from f where f.symbol = g.symbol and f.i = g.touched) > s.opened_at or (side = 'buy_side' and (greatest(s.pc, s.open) > up or s.close >= lo)) or (side = 'sell_side' and (least(s.pc, s.open) < lo or s.close <= up)) then 'invalidated' else 'swept' end as status
+  from g left join s on s.symbol = g.symbol and s.i = g.br)
+select symbol, side, round(lo::double, 6) as lower, round(up::double, 6) as upper, created as created_index, touched as touched_index, members, case when members > 1 then case side when 'buy_side' then 'equal_highs' else 'equal_lows' end else case side when 'buy_side' then 'swing_high' else 'swing_low' end end as kind, coalesce(br, -1)::bigint as breach_index, status from judged""".replace("{'c': confirm, 'lo': lo, 'up': up, 'br': br}", "struct_pack(c := confirm, lo := lo, up := up, br := br)"))),
     "pool_log": q(ST + POOLS, f"select symbol, side, {r6('price')}, created as created_index, i as bar_index, status from ({VERSIONS})"),
     "sweep_context": q(ST + POOLS + SWEPT, """, c as (select x.symbol, x.i, last_value(case when w.symbol is not null then x.i end ignore nulls) over (partition by x.symbol order by x.i rows between unbounded preceding and 1 preceding) as si
  from f x left join swept w on w.symbol = x.symbol and w.i = x.i)
 select c.symbol, c.i as bar_index, case when si is null or c.i - si > 20 then 'none' when w.b and w.l then 'after_both' when w.b then 'after_buy_side' else 'after_sell_side' end as sweep_context from c left join swept w on w.symbol = c.symbol and w.i = c.si"""),
-    "atr": q(ALL, f"select symbol, i as bar_index, {r6('tr')}, round(ptr::double / 14, 6) as prior_atr from facts"),
+    "atr": q(ALL, f"select symbol, i as bar_index, {r6('tr')}, round(ptr::double / 14, 6) as prior_atr, round(ntr::double / 14, 6) as atr from facts"),
     "displacement": q(ALL, f"select symbol, i as bar_index, disp as displacement, {r6('body')}, {r6('span')} from facts where disp is not null"),
     "fvg": q(ALL, f"select symbol, i as bar_index, gap, {r6('glo', 'gap_low')}, {r6('ghi', 'gap_high')}, gdisp as gap_displaced from facts where gap is not null"),
     "order_blocks": q(ALL, f"select symbol, i as bar_index, blk as block, {r6('blo', 'block_low')}, {r6('bhi', 'block_high')}, bi as block_index from facts where blk is not null"),
@@ -276,8 +311,8 @@ select b.symbol, b.pub as published_index, b.blk as direction, m.h as hit_index,
  round((least(b.bhi, x.high) - greatest(b.blo, x.low))::double, 6) as overlap_size from blocks b join m on m.symbol = b.symbol and m.pub = b.pub join facts x on x.symbol = b.symbol and x.i = m.h
  where not exists (select 1 from broken k where k.symbol = b.symbol and k.pub = b.pub and k.rejection = '-' and k.h <= m.h)"""),
     "mtf_confluence": q(B15 + CONFLUENCE, "select symbol, i as bar_index, d1 as direction_1h, d4 as direction_4h, coalesce(c1, -1)::bigint as cursor_1h, coalesce(c4, -1)::bigint as cursor_4h, confluence from conf"),
-    "htf_evidence": q(B1H + "," + bars("4 hours", "h4") + structure("h4"), """, j as (select f.symbol, f.i, max(x.i) as cur from f join h4f x on x.symbol = f.symbol and x.closed_at <= f.opened_at group by 1, 2)
-select j.symbol, j.i as bar_index, count(*) as n, max(e.i) as newest from j join h4st e on e.symbol = j.symbol and e.i <= j.cur and (e.eu is not null or e.ed is not null) group by 1, 2"""),
+    "htf_evidence": q(B4H + structure() + FACTS + POOLS + EVIDENCE + "," + bars("1 hour", "p"), f""", j as (select p.symbol, p.i, max(t.i) as cur from pf p left join total t on t.symbol = p.symbol and t.closed_at <= p.opened_at group by 1, 2)
+select j.symbol, j.i as bar_index, coalesce(j.cur, -1)::bigint as cursor_4h, {", ".join(f"coalesce(t.{k}, 0)::bigint as {k}" for k in KINDS)}, {", ".join(f"(j.cur is not null)::bigint as {k}" for k in LATEST)} from j left join total t on t.symbol = j.symbol and t.i = j.cur"""),
     "registry_status": q(B4H, """select symbol, case when symbol in ('click', 'view', 'purchase') then 'HALAL' else 'UNKNOWN' end as status, case when symbol in ('click', 'view', 'purchase') then 'listed_in_allow_list' else 'absent_from_allow_list' end as status_reason, count(*) as n from f group by 1, 2, 3"""),
     "scores": q(ALL + SCORED, """select symbol, i as bar_index, score::bigint as score, passed, case when status <> 'HALAL' then rtrim(repeat('gated_unknown,', 11), ',') else concat_ws(',', 'halal_status',
  case when confluence in ('BULLISH', 'BEARISH') then 'mtf_directional' when confluence = 'INSUFFICIENT_CONTEXT' then 'mtf_insufficient' else 'mtf_' || lower(confluence) end, 'missing_evidence', case when disp is not null then 'displacement_present' else 'missing_evidence' end,
@@ -300,13 +335,7 @@ select f.symbol, f.i as bar_index, (sum(coalesce(b, 0) - coalesce(d, 0)) over w)
     "outcome_log": q(ALL + PUBLISHED, """, x as (select p.symbol, p.i, max(f.i) - p.i as step from pub p join f on f.symbol = p.symbol and f.i between p.i and p.i + 10 group by 1, 2)
 select case when step = 0 then 'created' when step = 10 then 'completed' else 'evaluated' end as version, count(*) as n, sum(step)::bigint as steps from x group by 1"""),
     "volume_ratio": q(B15, f"select symbol, i as bar_index, round(a, 6) as volume_average, round(volume / a, 6) as volume_ratio from (select *, case when i >= 19 then avg(volume::double) {PART} rows between 19 preceding and current row) end as a from f)"),
-    "ema_rsi": "with recursive " + q(B1H, f""", z as (select symbol, i, close::double as c, close::double - lag(close::double) {PART}) as ch from f),
- sd as (select symbol, avg(c) filter (where i < 20) as a20, avg(c) filter (where i < 50) as a50, sum(greatest(ch, 0)) filter (where i between 1 and 14) / 14 as g, sum(greatest(-ch, 0)) filter (where i between 1 and 14) / 14 as l from z group by 1),
- r as (select z.symbol, z.i, null::double as e20, null::double as e50, null::double as g, null::double as l from z where i = 0
-  union all select z.symbol, z.i, case when z.i = 19 then sd.a20 when z.i > 19 then r.e20 + (z.c - r.e20) * 2 / 21 end, case when z.i = 49 then sd.a50 when z.i > 49 then r.e50 + (z.c - r.e50) * 2 / 51 end,
-  case when z.i = 14 then sd.g when z.i > 14 then (r.g * 13 + greatest(z.ch, 0)) / 14 end, case when z.i = 14 then sd.l when z.i > 14 then (r.l * 13 + greatest(-z.ch, 0)) / 14 end
-  from r join z on z.symbol = r.symbol and z.i = r.i + 1 join sd on sd.symbol = r.symbol)
-select symbol, i as bar_index, round(e20, 6) as ema_20, round(e50, 6) as ema_50, round(case when g = 0 and l = 0 then 50 when l = 0 then 100 else 100 - 100 / (1 + g / l) end, 6) as rsi from r""")[len("with "):],
+    "ema_rsi": recursive(q(B1H + EMA, """select symbol, i as bar_index, round(e20, 6) as ema_20, round(e50, 6) as ema_50, round(case when g = 0 and l = 0 then 50 when l = 0 then 100 else 100 - 100 / (1 + g / l) end, 6) as rsi from r""")),
     "attribution": q(ALL + PUBLISHED, "select symbol, i as bar_index, combination, case when labels = '' then 0 else len(string_split(labels, '+')) end::bigint as n_labels from pub"),
     "performance": q(ALL + PUBLISHED, dimensions({"symbol": "symbol", "timeframe": "timeframe", "month": "month", "combination": "combination"}, "pub", f"{SUFFICIENT}, {STATS}, {RETURN}")
         + f"\nunion all select 'label', l, {SUFFICIENT}, {STATS}, {RETURN} from (select unnest(string_split(labels, '+')) as l, outcome, fr from pub where labels <> '') group by l"),
@@ -334,7 +363,14 @@ from base a full join cand b using (dimension, "group")""",
     "threshold_grid": q(ALL + SCORED, """, v as (select * from (values ('low', 30), ('middle', 40), ('high', 50)) t(variant, threshold))
 select variant, symbol, count(*) as n from (select distinct variant, symbol, bias, c1, c4, case when olo is not null then rlo end as a, case when olo is not null then rhi end as b, case when olo is not null then rcf end as c,
  case when blk is not null then i end as d, case when gap is not null then i end as e, case when disp is not null then i end as g from sig join v on sig.score >= v.threshold where status = 'HALAL' and bias = 'LONG_BIAS') group by 1, 2"""),
-    "chart_primitives": q(ALL + SCORED + OUTCOMES + PRIMITIVES + BOUGHT, f"select {KEY}, kind, name, i as bar_index, {r6('low')}, {r6('high')} from drawn"),
+    "chart_primitives": recursive(q(ALL + SCORED + OUTCOMES + PRIMITIVES + EMA + BOUGHT, f"select {KEY}, kind, name, i as bar_index, coalesce(e, -1) as end_index, {r6('low')}, {r6('high')} from drawn")),
+    "candle_metrics": q(ALL, "select symbol, i as bar_index, coalesce(candle, 'doji') as candle, round((close - low)::double / nullif(span, 0)::double, 6) as close_location, round(body::double / nullif(ptr::double / 14, 0), 6) as body_atr, round(span::double / nullif(ptr::double / 14, 0), 6) as span_atr from facts"),
+    "fingerprints": q(B15, f""", digests as (select symbol || ':15m' as series_key, sha256(format('{{{{"close":"{{}}","high":"{{}}","low":"{{}}","open":"{{}}","timestamp":"{{}}","volume":"{{}}"}}}}', close::varchar, high::varchar, low::varchar, open::varchar, strftime(opened_at, '%Y-%m-%dT%H:%M:%S.%gZ'), volume::decimal(18,8)::varchar)) as h from f),
+ parts as (select series_key, count(*) as n, {", ".join(f"sum(('0x' || substr(h, {8 * k + 1}, 8))::bigint)::hugeint as p{k}" for k in range(8))} from digests group by 1),
+ c7 as (select *, p7 // 4294967296 as o7 from parts), {", ".join(f"c{k} as (select *, (p{k} + o{k + 1}) // 4294967296 as o{k} from c{k + 1})" for k in reversed(range(7)))}
+select series_key, n, {" || ".join(f"format('{{:08x}}', ((p{k}{f' + o{k + 1}' if k < 7 else ''}) % 4294967296)::bigint)" for k in range(8))} as fingerprint from c0"""),
     "price_domain": q(ALL + POOLS + PRIMITIVES, f"select {KEY}, round(case when a = b then a - 1 else a end, 6) as low, round(case when a = b then b + 1 else b end, 6) as high from (select symbol, min(low) as a, max(high) as b from (select symbol, low::double as low, high::double as high from f union all select symbol, low, high from prim where kind <> 'overlay') group by 1)"),
     "ledger_stats": q(ALL + PUBLISHED, f"select 'all' as month, {STATS}, {RETURN} from pub\nunion all select month, {STATS}, {RETURN} from pub group by month"),
 }
+# the chunked chain gives the rows of the whole one
+ORACLES |= {f"chunked_{name}": ORACLES[plain] for name, plain in (("structure", "structure_rows"), ("blocks", "order_blocks"), ("signals", "signals"), ("outcomes", "outcome_rows"))}

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from barloom.functions.core import settled
 from barloom.operators import context, liquidity, outcomes, ranges, structure
+from barloom.operators import displacement as blocks
+from barloom.plans import chunked
 from barloom.plans import facts as P
 from barloom.plans import reports as R
 from barloom.plans.config import Config, varied
@@ -138,7 +140,11 @@ def sweep_context(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def atr(spark: SparkSession, sf: str) -> DataFrame:
-    return bar_facts(spark, sf).select("symbol", "bar_index", d("tr"), F.round(F.col("prior_tr").cast("double") / 14, 6).alias("prior_atr"))
+    return bar_facts(spark, sf).select("symbol", "bar_index", d("tr"), F.round(F.col("prior_tr").cast("double") / 14, 6).alias("prior_atr"), F.round(F.col("now_tr").cast("double") / 14, 6).alias("atr"))
+
+
+def candle_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return blocks.candle_metrics(bar_facts(spark, sf), CFG).select("symbol", "bar_index", F.coalesce("candle", F.lit("doji")).alias("candle"), d("close_location"), d("body_atr"), d("span_atr"))
 
 
 def displacement(spark: SparkSession, sf: str) -> DataFrame:
@@ -200,15 +206,43 @@ def full(spark: SparkSession, sf: str, cfg: Config = CFG) -> DataFrame:
     return P.signal_facts(P.event_bars(spark, sf, "15m"), higher, registry(spark), cfg)
 
 
+#: Series of 1,441 bars and more in chunks of this many, to hold the chunked chain against the same SQL.
+CHUNKED = Config(score_threshold=30, chunk_bars=200)
+
+
+def chunked_structure(spark: SparkSession, sf: str) -> DataFrame:
+    facts = P.structure_facts(P.event_bars(spark, sf, "15m", CHUNKED.chunk_bars), CHUNKED)
+    return structure.events(facts).select("symbol", "bar_index", "direction", "event", d("level"))
+
+
+def chunked_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    facts = P.bar_facts(P.event_bars(spark, sf, "15m", CHUNKED.chunk_bars), CHUNKED)
+    return facts.where("block IS NOT NULL").select("symbol", "bar_index", "block", d("block_low"), d("block_high"), "block_index")
+
+
+def chunked_signals(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole chain in chunks, from the numbering of bars to the as-of joins with higher timeframes."""
+    higher = {tf: P.event_bars(spark, sf, tf, CHUNKED.chunk_bars) for tf in CHUNKED.higher}
+    out = P.signal_facts(P.event_bars(spark, sf, "15m", CHUNKED.chunk_bars), higher, registry(spark), CHUNKED)
+    return out.select("symbol", "bar_index", "signal", F.array_join("reasons", ",").alias("reasons"))
+
+
+def chunked_outcomes(spark: SparkSession, sf: str) -> DataFrame:
+    out = chunked.outcome_facts(P.event_bars(spark, sf, "15m", CHUNKED.chunk_bars), CHUNKED)
+    return out.select("symbol", "bar_index", "outcome", d("mfe_price"), known("mfe_index"), d("mae_price"), known("mae_index"), d("final_return"))
+
+
 def mtf_confluence(spark: SparkSession, sf: str) -> DataFrame:
     higher = {tf: P.structure_facts(P.event_bars(spark, sf, tf), CFG) for tf in CFG.higher}
     return context.add_confluence(P.event_bars(spark, sf, "15m"), higher).select("symbol", "bar_index", "direction_1h", "direction_4h", known("cursor_1h"), known("cursor_4h"), "confluence")
 
 
 def htf_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    higher = P.structure_facts(P.event_bars(spark, sf, "4h"), CFG)
-    out = context.htf_evidence(context.add_confluence(P.event_bars(spark, sf, "1h"), {"4h": higher}), higher, "4h")
-    return out.groupBy("symbol", "bar_index").agg(F.count("*").alias("n"), F.max("htf_index").alias("newest"))
+    higher = settled(P.bar_facts(P.event_bars(spark, sf, "4h"), CFG))
+    life = liquidity.pools(higher, CFG)
+    evidence = context.published_evidence(higher, life, liquidity.pool_log(higher, CFG, life))
+    out = context.htf_evidence(P.event_bars(spark, sf, "1h"), evidence, "4h")
+    return out.select("symbol", "bar_index", known("cursor_4h"), *[F.col(f"{k}_4h").alias(k) for k in (*context.PUBLISHED, *context.STATE)])
 
 
 def registry_status(spark: SparkSession, sf: str) -> DataFrame:
@@ -356,7 +390,8 @@ def threshold_grid(spark: SparkSession, sf: str) -> DataFrame:
 
 def chart_primitives(spark: SparkSession, sf: str) -> DataFrame:
     f = settled(full(spark, sf))
-    return R.chart(f, liquidity.pools(f, CFG), CFG).select("series_key", "kind", "name", "bar_index", d("low"), d("high"))
+    shown = R.chart(f, liquidity.pools(f, CFG), CFG, outcomes.ema_rsi(f, CFG))
+    return shown.select("series_key", "kind", "name", "bar_index", known("end_index"), d("low"), d("high"))
 
 
 def price_domain(spark: SparkSession, sf: str) -> DataFrame:
@@ -373,13 +408,14 @@ def ledger_stats(spark: SparkSession, sf: str) -> DataFrame:
 def fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     from barloom.functions.core import dataset_fingerprint
 
-    return dataset_fingerprint(P.event_bars(spark, sf, "15m").select("series_key", "bar_index", "open", "high", "low", "close", "volume"))
+    bars = P.event_bars(spark, sf, "15m")
+    return dataset_fingerprint(candles.records(bars).withColumn("series_key", F.concat_ws(":", "symbol", "timeframe")), record=F.col("record"))
 
 
 NAMES = (
     bars_orders, candle_audit, candle_conflicts, latest_n_bars, gaps, intervals, freshness, condition_rollup, swings, trend, structure_events, structure_rows, pools, sweeps, active_pools, banded_pools, pool_log, sweep_context,
     atr, displacement, fvg, order_blocks, dealing_range, pd_class, pd_arrays, retracement, structure_shift, shift_context, breakers, mitigations, mtf_confluence, htf_evidence, registry_status, scores, eligibility, signals, outcome_rows, outcome_running,
     outcome_log, ema_rsi, volume_ratio, attribution, performance, performance_ranks, monthly_review, regimes, walk_forward_plan, walk_forward, stability, degradation, degradation_summary, out_of_sample, cells, findings, compare_variants, threshold_grid,
-    chart_primitives, price_domain, ledger_stats, fingerprints,
+    chart_primitives, price_domain, ledger_stats, fingerprints, candle_metrics, chunked_structure, chunked_blocks, chunked_signals, chunked_outcomes,
 )
 QUERIES = {"bars_15m": bars("15m"), "bars_1h": bars("1h"), **{f.__name__: f for f in NAMES}}

@@ -170,15 +170,16 @@ def threshold_grid(facts: DataFrame, grid: DataFrame) -> DataFrame:
 
 
 def chart(facts: DataFrame, life: DataFrame, cfg: Config, indicators: DataFrame | None = None) -> DataFrame:
-    """Primitives of a chart in one long table: levels, zones, markers, text and overlays.
+    """Primitives of a chart in one long table: levels, zones, markers, text and overlays; end_index where a zone has an end.
 
     Signals, their scores and outcomes are drawn where facts hold them; indicators (series_key,
     bar_index, ema_<period>) add overlays. A pool is one level, named as it was when it appeared.
     """
     key = [F.col("series_key")]
 
-    def rows(df: DataFrame, kind: str, name: Column | str, at: Column, low: Column, high: Column) -> DataFrame:
-        return df.select(*key, F.lit(kind).alias("kind"), (F.lit(name) if isinstance(name, str) else name).alias("name"), at.cast("long").alias("bar_index"), low.cast("double").alias("low"), high.cast("double").alias("high"))
+    def rows(df: DataFrame, kind: str, name: Column | str, at: Column, low: Column, high: Column, end: Column | None = None) -> DataFrame:
+        end = F.lit(None) if end is None else end
+        return df.select(*key, F.lit(kind).alias("kind"), (F.lit(name) if isinstance(name, str) else name).alias("name"), at.cast("long").alias("bar_index"), end.cast("long").alias("end_index"), low.cast("double").alias("low"), high.cast("double").alias("high"))
 
     at = F.col("bar_index")
     parts = [
@@ -191,10 +192,10 @@ def chart(facts: DataFrame, life: DataFrame, cfg: Config, indicators: DataFrame
     fresh = facts.where("range_confirm = bar_index")  # ranges are drawn by the bar that confirms them
     half = (F.col("range_low") + F.col("range_high")) / 2
     parts += [
-        rows(fresh, "zone", "dealing_range", F.least("last_low.pivot", "last_high.pivot"), F.col("range_low"), F.col("range_high")),
+        rows(fresh, "zone", "dealing_range", F.least("last_low.pivot", "last_high.pivot"), F.col("range_low"), F.col("range_high"), F.greatest("last_low.pivot", "last_high.pivot")),
         rows(fresh, "level", "equilibrium", at, half, half),
         rows(fresh, "zone", F.concat(F.lit("retracement_"), "range_direction"), at, F.col("ote_low"), F.col("ote_high")),
-        rows(facts.where("prior_tr IS NOT NULL"), "overlay", "atr", at, F.col("prior_tr").cast("double") / cfg.atr_period, F.col("prior_tr").cast("double") / cfg.atr_period),
+        rows(facts.where("now_tr IS NOT NULL"), "overlay", "atr", at, F.col("now_tr").cast("double") / cfg.atr_period, F.col("now_tr").cast("double") / cfg.atr_period),
     ]
     if "signal" in facts.columns:
         bought = facts.where("signal = 'BUY_SIGNAL'")
@@ -207,6 +208,13 @@ def chart(facts: DataFrame, life: DataFrame, cfg: Config, indicators: DataFrame
     return reduce(DataFrame.unionByName, parts)
 
 
+def drawing_order(primitives: DataFrame) -> DataFrame:
+    """Primitives of each series in the order in which they are drawn: levels by price, zones by start, markers and text by bar, overlays by bar and name."""
+    rank = F.array_position(F.array(*map(F.lit, ("level", "zone", "marker", "text", "overlay"))), F.col("kind"))
+    level, overlay = F.col("kind") == "level", F.col("kind") == "overlay"
+    return primitives.orderBy("series_key", rank, F.when(~level, F.col("bar_index")), F.when(overlay, F.col("name")), "low", "name", "bar_index", "high")
+
+
 def price_domain(facts: DataFrame, primitives: DataFrame) -> DataFrame:
     """Lowest and highest price of each series' bars and primitives, overlays and text apart; one apart if they are equal."""
     primitives = primitives.where("kind NOT IN ('overlay', 'text')")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from barloom.functions import chunks
 from barloom.functions.core import PRICE, TIMEFRAMES, close_time
 
 FIELDS = ("timestamp", "open", "high", "low", "close", "volume")
@@ -118,12 +119,17 @@ def bars_from_events(events: DataFrame, timeframe: str, symbol: Column, ts: Colu
     )
 
 
-def as_series(candles: DataFrame, timeframe: str, venue: str = "local", provider: str = "events", dataset: str = "default") -> DataFrame:
-    """Add the series' identity, bar_index, closed_at and available_at (the close, or a later arrival)."""
+def as_series(candles: DataFrame, timeframe: str, venue: str = "local", provider: str = "events", dataset: str = "default", chunk_bars: int | None = None) -> DataFrame:
+    """Add the series' identity, bar_index, closed_at and available_at (the close, or a later arrival).
+
+    chunk_bars: bars numbered in one task; without it a task numbers a whole series.
+    """
     closed = close_time(F.col("opened_at"), timeframe)
     out = candles.withColumn("series_key", F.concat_ws(":", "symbol", F.lit(timeframe), F.lit(venue), F.lit(provider), F.lit(dataset)))
     arrived = F.col("arrived_at") if "arrived_at" in candles.columns else F.lit(None).cast("timestamp")
     out = out.withColumn("closed_at", closed).withColumn("available_at", F.coalesce(F.greatest(arrived, closed), closed))
+    if chunk_bars:
+        return chunks.numbered(out, chunk_bars * TIMEFRAMES.get(timeframe, 30 * TIMEFRAMES["1d"]))
     return out.withColumn("bar_index", (F.row_number().over(Window.partitionBy("series_key").orderBy("opened_at")) - 1).cast("long"))
 
 

@@ -284,7 +284,7 @@ def test_chart_draws_ranges_and_indicators(spark):
     n = {(r.kind, r.name): r.n for r in shown.groupBy("kind", "name").agg(F.count("*").alias("n")).collect()}
     ranges_ = f.where("range_confirm = bar_index").count()
     assert ranges_ and n["zone", "dealing_range"] == n["level", "equilibrium"] == ranges_
-    assert n["overlay", "ema_20"] == f.where("bar_index >= 19").count() and n["overlay", "atr"] == f.where("prior_tr IS NOT NULL").count()
+    assert n["overlay", "ema_20"] == f.where("bar_index >= 19").count() and n["overlay", "atr"] == f.where("now_tr IS NOT NULL").count()
     assert shown.where("kind = 'zone' AND low > high").count() == 0
 
 
