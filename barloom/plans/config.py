@@ -62,18 +62,30 @@ class Config:
             raise ValueError("steps are at least as long as validation")
         if min(self.atr_period, self.horizon, self.candidate_lookback, self.validation_bars, self.development_bars) < 1:
             raise ValueError("periods start at 1")
+        if not 0 <= self.score_threshold <= 100:
+            raise ValueError("score_threshold lies in 0..100")
+        if not all(0 < x < float("inf") for x in (self.min_body_atr, self.min_range_atr)):
+            raise ValueError("bodies and ranges are measured by numbers above zero")
+        if not 0 < self.retracement[0] < self.retracement[1] < 1:
+            raise ValueError("retracements lie between 0 and 1, the lower one first")
         if self.chunk_bars is not None and self.chunk_bars < 1:
             raise ValueError("chunks have one bar at least")
 
 
+#: The settings that a candidate may change.
+SURFACES = ("score_threshold", "atr_period", "min_body_atr", "min_range_atr", "retracement")
+
+
 def varied(cfg: Config, deltas: dict[str, tuple[object, object]]) -> Config:
-    """A candidate: cfg with settings changed, {name: (old, new)}; every old value must be the one that cfg has."""
+    """A candidate: cfg with settings of SURFACES changed, {name: (old, new)}; every old value must be the one that cfg has."""
     if not deltas:
         raise ValueError("a candidate changes at least one setting")
     known = {f.name for f in fields(cfg)}
     for name, (old, _) in deltas.items():
         if name not in known:
             raise ValueError(f"{name} is no setting")
+        if name not in SURFACES:
+            raise ValueError(f"{name} is not among the settings that may change: {', '.join(SURFACES)}")
         if getattr(cfg, name) != old:
             raise ValueError(f"{name} is {getattr(cfg, name)!r}, not {old!r}")
     return replace(cfg, **{name: new for name, (_, new) in deltas.items()})

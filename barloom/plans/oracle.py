@@ -355,7 +355,7 @@ select month, coalesce(lag(month) over (order by month), '-') as previous, total
     "degradation": q(CHANGES, "select symbol, window_id, round(dw, 6) as win_rate_change, round(da, 5) as avg_return_change, sure as \"both\" from ch"),
     "degradation_summary": q(CHANGES, "select symbol, count(*) as windows, count(*) filter (where sure) as comparable, round(avg(dw) filter (where sure), 5) as mean_win_rate_change, round(avg(da) filter (where sure), 5) as mean_avg_return_change from ch group by 1"),
     "out_of_sample": q(WALKED, dimensions({"symbol": "symbol", "timeframe": "timeframe", "combination": "combination", "month": "month", "regime": "regime"}, "val", f"{SUFFICIENT}, {STATS}, {RETURN}")),
-    "cells": q(WALKED, dimensions(CELLS, "val", f"{CELL}, {STATS}")),
+    "cells": q(WALKED, f"select *, case pattern when 'WINNER' then 'STRENGTH' when 'LOSER' then 'WEAKNESS' else 'UNDETERMINED' end as diagnosis from ({dimensions(CELLS, 'val', f'{CELL}, {STATS}')})"),
     "findings": q(WALKED, f'select dimension, "group", finalized, win_rate from ({dimensions(CELLS, "val", f"{CELL}, {STATS}")}) where pattern = \'LOSER\''),
     "compare_variants": f"""with base as ({variant(30)}), cand as ({variant(45)})
 select dimension, "group", coalesce(a.n, 0) as base_sample, coalesce(b.n, 0) as cand_sample, round(a.wr, 6) as base, round(b.wr, 6) as cand, round(b.wr - a.wr, 6) as difference, coalesce(a.n, 0) >= 30 and coalesce(b.n, 0) >= 30 as conclusive
@@ -374,3 +374,21 @@ select series_key, n, {" || ".join(f"format('{{:08x}}', ((p{k}{f' + o{k + 1}' if
 }
 # the chunked chain gives the rows of the whole one
 ORACLES |= {f"chunked_{name}": ORACLES[plain] for name, plain in (("structure", "structure_rows"), ("blocks", "order_blocks"), ("signals", "signals"), ("outcomes", "outcome_rows"))}
+
+
+def daily(sql: str) -> str:
+    """The SQL of a query over events, over daily bars of order lines with their settings."""
+    lines = "select 'Maker' || substr(p_brand, 7, 1) as symbol, l_shipdate as ts, l_orderkey * 10 + l_linenumber as tie, round(l_extendedprice / l_quantity, 4)::decimal(18,8) as px from lineitem join part on l_partkey = p_partkey"
+    swaps = {
+        "select event_type as symbol, ts, event_id as tie, value::decimal(18,8) as px from events": lines, "interval '15 minutes'": "interval '1 day'", "interval '1 hour'": "interval '3 days'", "interval '4 hours'": "interval '7 days'",
+        "('click', 'view', 'purchase')": "('Maker1', 'Maker2', 'Maker3')", "'15m' as timeframe": "'1d' as timeframe", "score >= 30": "score >= 20", "score >= 45": "score >= 35", "finalized >= 10": "finalized >= 3",
+        ") < 20 then 'UNDERSAMPLED'": ") < 4 then 'UNDERSAMPLED'", "filter (where ok) < 3 then": "filter (where ok) < 2 then", "coalesce(a.n, 0) >= 30 and coalesce(b.n, 0) >= 30": "coalesce(a.n, 0) >= 4 and coalesce(b.n, 0) >= 4",
+        "max(finalized) filter (where segment = 'validation') >= 10": "max(finalized) filter (where segment = 'validation') >= 3", "max(finalized) filter (where segment = 'development') >= 10": "max(finalized) filter (where segment = 'development') >= 3",
+        "lag(finalized) over (order by month) >= 10": "lag(finalized) over (order by month) >= 3",
+    }
+    for old, new in swaps.items():
+        sql = sql.replace(old, new)
+    return sql
+
+
+ORACLES |= {f"{name}_daily": daily(ORACLES[name]) for name in ("monthly_review", "stability", "degradation", "degradation_summary", "cells", "findings", "compare_variants")}

@@ -19,6 +19,9 @@ from barloom.sources import candles, quality
 #: Low enough that signals are common: without higher timeframes of weeks few bars reach the default.
 CFG = Config(score_threshold=30)
 LISTED = ("click", "view", "purchase")
+#: Years of daily bars by maker, with minima that some windows, months and cells reach and others don't.
+DAILY = Config(score_threshold=20, higher=("3d", "1w"), minimum_finalized=3, minimum_windows=2, cell_minimum=4, compare_minimum=4)
+MAKERS = ("Maker1", "Maker2", "Maker3")
 #: A fixed time to judge freshness at.
 NOW = "2024-02-01 00:00:00"
 
@@ -197,13 +200,19 @@ def mitigations(spark: SparkSession, sf: str) -> DataFrame:
     return liquidity.mitigations(bar_facts(spark, sf)).select("symbol", "published_index", "direction", "hit_index", d("overlap_low"), d("overlap_high"), d("overlap_size"))
 
 
-def registry(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(s,) for s in LISTED], "symbol string")
+def registry(spark: SparkSession, listed: tuple[str, ...] = LISTED) -> DataFrame:
+    return spark.createDataFrame([(s,) for s in listed], "symbol string")
+
+
+def source(spark: SparkSession, sf: str, cfg: Config) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:
+    """(bars, higher bars, registry): those of events, or of order lines for settings with their timeframes."""
+    read, timeframe, listed = (P.line_bars, "1d", MAKERS) if cfg.higher == DAILY.higher else (P.event_bars, "15m", LISTED)
+    return read(spark, sf, timeframe), {tf: read(spark, sf, tf) for tf in cfg.higher}, registry(spark, listed)
 
 
 def full(spark: SparkSession, sf: str, cfg: Config = CFG) -> DataFrame:
-    higher = {tf: P.event_bars(spark, sf, tf) for tf in cfg.higher}
-    return P.signal_facts(P.event_bars(spark, sf, "15m"), higher, registry(spark), cfg)
+    bars, higher, listed = source(spark, sf, cfg)
+    return P.signal_facts(bars, higher, listed, cfg)
 
 
 #: Series of 1,441 bars and more in chunks of this many, to hold the chunked chain against the same SQL.
@@ -307,8 +316,8 @@ def performance_ranks(spark: SparkSession, sf: str) -> DataFrame:
     return R.ranked(R.performance(published(spark, sf), CFG), "combination")
 
 
-def monthly_review(spark: SparkSession, sf: str) -> DataFrame:
-    out = R.monthly_review(published(spark, sf), CFG)
+def monthly_review(spark: SparkSession, sf: str, cfg: Config = CFG) -> DataFrame:
+    out = R.monthly_review(published(spark, sf, cfg), cfg)
     return out.select("month", F.coalesce("previous", F.lit("-")).alias("previous"), "total", "finalized", d("win_rate"), F.round("avg_return", 5).alias("avg_return"), d("win_rate_change"))
 
 
@@ -320,46 +329,45 @@ def walk_forward_plan(spark: SparkSession, sf: str) -> DataFrame:
     return R.window_plan(P.event_bars(spark, sf, "15m"), CFG).select("series_key", "window_id", "first", "split", "last")
 
 
-def walked(spark: SparkSession, sf: str) -> DataFrame:
+def walked(spark: SparkSession, sf: str, cfg: Config = CFG) -> DataFrame:
     """The BUY signals of each window, by the whole chain over the window's own bars; regimes are those of the whole series."""
-    b = P.event_bars(spark, sf, "15m")
-    higher = {tf: P.event_bars(spark, sf, tf) for tf in CFG.higher}
-    f = P.signal_facts(R.window_bars(b, CFG), higher, registry(spark), CFG).where("signal = 'BUY_SIGNAL'")
-    regimes = b.transform(outcomes.add_regime, CFG).select(F.col("series_key").alias("parent_key"), "opened_at", "regime")
+    b, higher, listed = source(spark, sf, cfg)
+    f = P.signal_facts(R.window_bars(b, cfg), higher, listed, cfg).where("signal = 'BUY_SIGNAL'")
+    regimes = b.transform(outcomes.add_regime, cfg).select(F.col("series_key").alias("parent_key"), "opened_at", "regime")
     f = f.drop("regime").join(regimes, ["parent_key", "opened_at"], "left")
     return f.withColumn("month", F.date_format("opened_at", "yyyy-MM"))
 
 
-def walk_segments(spark: SparkSession, sf: str) -> DataFrame:
-    plan = R.window_plan(P.event_bars(spark, sf, "15m"), CFG).withColumn("symbol", F.element_at(F.split("series_key", ":"), 1))
-    return R.segments(walked(spark, sf), plan, CFG, "symbol", "window_id")
+def walk_segments(spark: SparkSession, sf: str, cfg: Config = CFG) -> DataFrame:
+    plan = R.window_plan(source(spark, sf, cfg)[0], cfg).withColumn("symbol", F.element_at(F.split("series_key", ":"), 1))
+    return R.segments(walked(spark, sf, cfg), plan, cfg, "symbol", "window_id")
 
 
 def walk_forward(spark: SparkSession, sf: str) -> DataFrame:
     return stats(walk_segments(spark, sf), "symbol", "window_id", "segment")
 
 
-def stability(spark: SparkSession, sf: str) -> DataFrame:
-    out = R.stability(walk_segments(spark, sf), CFG, "symbol")
+def stability(spark: SparkSession, sf: str, cfg: Config = CFG) -> DataFrame:
+    out = R.stability(walk_segments(spark, sf, cfg), cfg, "symbol")
     spreads = [F.round(f"{k}_spread", 5).alias(f"{k}_spread") for k in ("win", "return", "mfe", "mae")]
     return out.select("symbol", "windows", "sampled", "positive", "negative", *spreads, known("best"), known("worst"), "status")
 
 
-def walk_changes(spark: SparkSession, sf: str) -> DataFrame:
-    return R.degradation(walk_segments(spark, sf), CFG, "symbol", "window_id")
+def walk_changes(spark: SparkSession, sf: str, cfg: Config = CFG) -> DataFrame:
+    return R.degradation(walk_segments(spark, sf, cfg), cfg, "symbol", "window_id")
 
 
-def degradation(spark: SparkSession, sf: str) -> DataFrame:
-    return walk_changes(spark, sf).select("symbol", "window_id", d("win_rate_change"), F.round("avg_return_change", 5).alias("avg_return_change"), "both")
+def degradation(spark: SparkSession, sf: str, cfg: Config = CFG) -> DataFrame:
+    return walk_changes(spark, sf, cfg).select("symbol", "window_id", d("win_rate_change"), F.round("avg_return_change", 5).alias("avg_return_change"), "both")
 
 
-def degradation_summary(spark: SparkSession, sf: str) -> DataFrame:
-    out = R.degradation_summary(walk_changes(spark, sf), "symbol")
+def degradation_summary(spark: SparkSession, sf: str, cfg: Config = CFG) -> DataFrame:
+    out = R.degradation_summary(walk_changes(spark, sf, cfg), "symbol")
     return out.select("symbol", "windows", "comparable", F.round("mean_win_rate_change", 5).alias("mean_win_rate_change"), F.round("mean_avg_return_change", 5).alias("mean_avg_return_change"))
 
 
-def validated(spark: SparkSession, sf: str) -> DataFrame:
-    return walked(spark, sf).where(F.col("bar_index") >= CFG.development_bars)
+def validated(spark: SparkSession, sf: str, cfg: Config = CFG) -> DataFrame:
+    return walked(spark, sf, cfg).where(F.col("bar_index") >= cfg.development_bars)
 
 
 def out_of_sample(spark: SparkSession, sf: str) -> DataFrame:
@@ -367,22 +375,31 @@ def out_of_sample(spark: SparkSession, sf: str) -> DataFrame:
     return stats(R.buckets(validated(spark, sf), dims, CFG), "dimension", "group", "sufficient")
 
 
-def cells(spark: SparkSession, sf: str) -> DataFrame:
-    return stats(R.cells(validated(spark, sf), CFG), "dimension", "group", "pattern").drop("avg_return")
+def cells(spark: SparkSession, sf: str, cfg: Config = CFG) -> DataFrame:
+    return stats(R.cells(validated(spark, sf, cfg), cfg), "dimension", "group", "pattern", "diagnosis").drop("avg_return")
 
 
-def findings(spark: SparkSession, sf: str) -> DataFrame:
-    return R.findings(R.cells(validated(spark, sf), CFG)).select("dimension", "group", "finalized", d("win_rate"))
+def findings(spark: SparkSession, sf: str, cfg: Config = CFG) -> DataFrame:
+    return R.findings(R.cells(validated(spark, sf, cfg), cfg)).select("dimension", "group", "finalized", d("win_rate"))
 
 
-def compare_variants(spark: SparkSession, sf: str) -> DataFrame:
+def compare_variants(spark: SparkSession, sf: str, cfg: Config = CFG, higher_threshold: int = 45) -> DataFrame:
     """The signals of the settings against those of a candidate with a higher threshold, each by the whole chain."""
     dims = {"symbol": "symbol", "month": "month", "combination": "combination"}
-    candidate = varied(CFG, {"score_threshold": (30, 45)})
-    out = R.compare(R.buckets(published(spark, sf), dims, CFG), R.buckets(published(spark, sf, candidate), dims, candidate), CFG)
+    candidate = varied(cfg, {"score_threshold": (cfg.score_threshold, higher_threshold)})
+    out = R.compare(R.buckets(published(spark, sf, cfg), dims, cfg), R.buckets(published(spark, sf, candidate), dims, candidate), cfg)
     return out.where("metric = 'win_rate'").select("dimension", "group", "base_sample", "cand_sample", d("base"), d("cand"), d("difference"), "conclusive")
 
 
+def daily(query: Callable[..., DataFrame], *more: int) -> Callable[[SparkSession, str], DataFrame]:
+    """The query over daily bars of order lines."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return query(spark, sf, DAILY, *more)
+
+    return run
+
+
 def threshold_grid(spark: SparkSession, sf: str) -> DataFrame:
     grid = spark.createDataFrame([("low", 30), ("middle", 40), ("high", 50)], "variant string, threshold int")
     return R.threshold_grid(full(spark, sf), grid).groupBy("variant", "symbol").agg(F.count("*").alias("n"))
@@ -419,3 +436,4 @@ NAMES = (
     chart_primitives, price_domain, ledger_stats, fingerprints, candle_metrics, chunked_structure, chunked_blocks, chunked_signals, chunked_outcomes,
 )
 QUERIES = {"bars_15m": bars("15m"), "bars_1h": bars("1h"), **{f.__name__: f for f in NAMES}}
+QUERIES |= {f"{f.__name__}_daily": daily(f) for f in (monthly_review, stability, degradation, degradation_summary, cells, findings)} | {"compare_variants_daily": daily(compare_variants, 35)}

@@ -128,12 +128,13 @@ def stability(parts: DataFrame, cfg: Config, *keys: str) -> DataFrame:
 
 
 def cells(rows: DataFrame, cfg: Config) -> DataFrame:
-    """Cells by setup, symbol, timeframe, month and regime with a pattern, and their rank where sampled enough."""
+    """Cells by setup, symbol, timeframe, month and regime with a pattern, what it says, and their rank where sampled enough."""
     out = buckets(rows, {"setup": "combination", "symbol": "symbol", "timeframe": "timeframe", "month": "month", "regime": "regime"}, cfg)
     enough = F.col("finalized") >= cfg.cell_minimum
     pattern = F.when(~enough, "UNDERSAMPLED").when((F.col("win_rate") >= cfg.strong_win_rate) & (F.col("avg_return") > 0), "WINNER").when((F.col("win_rate") <= cfg.weak_win_rate) & (F.col("avg_return") < 0), "LOSER").otherwise("NEUTRAL")
     order = Window.partitionBy("dimension", enough).orderBy(F.desc("avg_return"), F.desc("win_rate"), "group")
-    return out.withColumn("pattern", pattern).withColumn("rank", F.when(enough, F.row_number().over(order)))
+    says = F.when(F.col("pattern") == "WINNER", "STRENGTH").when(F.col("pattern") == "LOSER", "WEAKNESS").otherwise("UNDETERMINED")
+    return out.withColumn("pattern", pattern).withColumn("diagnosis", says).withColumn("rank", F.when(enough, F.row_number().over(order)))
 
 
 def metrics(report: DataFrame) -> DataFrame:
@@ -141,11 +142,22 @@ def metrics(report: DataFrame) -> DataFrame:
     return report.select("dimension", "group", "win_rate", "avg_return", "avg_mfe", "avg_mae", F.col("finalized").alias("sample")).unpivot(["dimension", "group", "sample"], ["win_rate", "avg_return", "avg_mfe", "avg_mae"], "metric", "value")
 
 
+def scalars(table: DataFrame, dimension: str, group: str, sample: str) -> DataFrame:
+    """Like metrics, of a table of degradation or stability: its numbers, one row each; sample: the column of windows that count."""
+    numbers = [f.name for f in table.schema.fields if f.name not in (group, sample) and f.dataType.typeName() in ("double", "long", "integer")]
+    rows = table.select(F.lit(dimension).alias("dimension"), F.col(group).alias("group"), F.col(sample).alias("sample"), *[F.col(c).cast("double").alias(c) for c in numbers])
+    return rows.unpivot(["dimension", "group", "sample"], numbers, "metric", "value")
+
+
 def compare(baseline: DataFrame, candidate: DataFrame, cfg: Config) -> DataFrame:
-    """Metrics side by side; a difference is conclusive where both samples are large enough."""
+    """Metrics side by side; a difference is conclusive where both samples are large enough, and never of degradation or stability.
+
+    baseline and candidate: reports by dimension and group, or their metrics with scalars.
+    """
     keys = ["dimension", "group", "metric"]
-    a = metrics(baseline).withColumnsRenamed({"value": "base", "sample": "base_sample"})
-    b = metrics(candidate).withColumnsRenamed({"value": "cand", "sample": "cand_sample"})
+    a, b = (df if "metric" in df.columns else metrics(df) for df in (baseline, candidate))
+    a = a.withColumnsRenamed({"value": "base", "sample": "base_sample"})
+    b = b.withColumnsRenamed({"value": "cand", "sample": "cand_sample"})
     out = a.join(b, keys, "full_outer").withColumns({c: F.coalesce(F.col(c), F.lit(0)) for c in ("base_sample", "cand_sample")})
     sure = (F.col("base_sample") >= cfg.compare_minimum) & (F.col("cand_sample") >= cfg.compare_minimum) & ~F.col("dimension").isin("degradation", "stability")
     return out.withColumn("difference", F.col("cand") - F.col("base")).withColumn("conclusive", sure)

@@ -243,8 +243,9 @@ def test_gaps_and_rollup(spark):
 
 def test_candidates_declare_what_they_change():
     cfg = Config()
-    assert varied(cfg, {"score_threshold": (75, 60), "horizon": (10, 5)}) == Config(score_threshold=60, horizon=5)
-    for deltas in ({}, {"speed": (1, 2)}, {"horizon": (9, 5)}, {"fractal_length": (5, 4)}):
+    assert varied(cfg, {"score_threshold": (75, 60), "atr_period": (14, 5)}) == Config(score_threshold=60, atr_period=5)
+    bounds = [{"score_threshold": (75, 101)}, {"atr_period": (14, 0)}, {"min_body_atr": (1.0, 0.0)}, {"min_range_atr": (1.5, float("inf"))}, {"retracement": ((0.62, 0.79), (0.8, 0.79))}]
+    for deltas in ({}, {"speed": (1, 2)}, {"atr_period": (9, 5)}, {"horizon": (10, 5)}, *bounds):
         with pytest.raises(ValueError):
             varied(cfg, deltas)
 
