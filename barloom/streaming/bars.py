@@ -1,8 +1,7 @@
 """Candles and their facts on streams.
 
-Bars come from an event stream with a watermark, so events beyond it are left out (Spark counts
-them in the query's progress, numRowsDroppedByWatermark). Facts
-follow bar by bar with keyed state of bounded size: the last few bars, the swings in force and the
+Bars come from an event stream with a watermark; events beyond it are left out, and go to a table of
+their own where late_events runs ahead. Facts follow bar by bar with keyed state of bounded size: the last few bars, the swings in force and the
 open outcomes of a series. Whatever the micro-batches, the rows are those of the batch plan.
 """
 
@@ -12,7 +11,8 @@ import pickle
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -140,18 +140,75 @@ def late_counts(ignored: DataFrame) -> DataFrame:
 
 
 def publish_once(path: str):
-    """A foreachBatch sink that writes each delivery_id once: a batch that is run again writes nothing new."""
+    """A foreachBatch sink of rows with series_key and bar_index, each bar's published by one epoch alone.
+
+    An epoch's rows are one folder, replaced as a whole when its batch runs again. Beside them lies
+    an index written last: how far each series had been published after each epoch, a row for each
+    series. A batch looks at the index of the epoch before it, not at the rows, and leaves out bars
+    that lie within; so a batch that died between its two writes does both again with the same result.
+    ``published`` reads what epochs with an index hold.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.withColumn("delivery_id", F.sha2(F.to_json(F.struct("series_key", "bar_index")), 256)).dropDuplicates(["delivery_id"])
+        batch = batch.persist()
         try:
-            done = spark.read.parquet(path).select("delivery_id")
-        except Exception as e:  # the first batch finds no table
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-        else:
-            rows = rows.join(done, "delivery_id", "left_anti")
-        rows.write.mode("append").parquet(path)
+            known = _index(batch.sparkSession, path, epoch)
+            rows = batch.dropDuplicates(["series_key", "bar_index"])
+            if known is not None:
+                rows = rows.join(known, "series_key", "left").where("newest IS NULL OR bar_index > newest").drop("newest")
+            rows.write.mode("overwrite").parquet(f"{path}/rows/epoch={epoch}")
+            ends = batch.select("series_key", F.col("bar_index").alias("newest"))
+            ends = ends if known is None else ends.unionByName(known)
+            ends.groupBy("series_key").agg(F.max("newest").alias("newest")).write.mode("overwrite").parquet(f"{path}/index/epoch={epoch}")
+        finally:
+            batch.unpersist()
 
     return write
+
+
+def _read(spark: SparkSession, path: str) -> DataFrame | None:
+    """A table of epochs, or None before the first."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def _index(spark: SparkSession, path: str, epoch: int) -> DataFrame | None:
+    """(series_key, newest) after the last epoch before this one."""
+    index = _read(spark, f"{path}/index")
+    last = None if index is None else index.where(F.col("epoch") < epoch).agg(F.max("epoch")).first()[0]
+    return None if last is None else index.where(F.col("epoch") == last).select("series_key", "newest")
+
+
+def published(spark: SparkSession, path: str) -> DataFrame | None:
+    """All rows of the epochs that are complete, with their epoch; None before the first."""
+    index = _read(spark, f"{path}/index")
+    if index is None:
+        return None
+    done = index.select("epoch").distinct()
+    return spark.read.parquet(f"{path}/rows").join(F.broadcast(done), "epoch", "left_semi")  # a number for each epoch
+
+
+def late_events(spark: SparkSession, path: str, delay: str, name: str = "late"):
+    """A foreachBatch step for events (ts) ahead of stream_bars: those older than the watermark go to a table.
+
+    The watermark is the one that Spark keeps: the newest time of all batches before, less the delay. A
+    batch's own newest time is written for the next ones to read, by epoch, so a batch that runs again
+    splits its events alike. Returns split(batch, epoch), which gives the events still in time.
+    """
+    margin = F.expr(f"INTERVAL {delay}")
+
+    def split(batch: DataFrame, epoch: int) -> DataFrame:
+        marks = _read(spark, f"{path}/marks")
+        mark = None if marks is None else marks.where(F.col("epoch") < epoch).agg(F.max("newest")).first()[0]
+        batch.agg(F.max("ts").alias("newest")).where("newest IS NOT NULL").write.mode("overwrite").parquet(f"{path}/marks/epoch={epoch}")
+        if mark is None:
+            return batch
+        over = F.col("ts") < F.lit(mark) - margin
+        batch.where(over).write.mode("overwrite").parquet(f"{path}/{name}/epoch={epoch}")
+        return batch.where(~F.coalesce(over, F.lit(False)))
+
+    return split
