@@ -28,7 +28,7 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 #: Bytes of a word from which it takes a cryptographic hash.
 LONG = 64
 #: Bytes hashed at once; bounds a worker's arrays to about 40 times this.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -57,6 +57,10 @@ def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
+#: Settings of jobs that send texts to Python: batches of texts are as large as a worker's steps, no larger.
+BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(2 * CHUNK_BYTES)}
+
+
 def keep(df: DataFrame, name: str, more: dict[str, str] | None = None) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends here, one copy of the work.
 
@@ -64,7 +68,7 @@ def keep(df: DataFrame, name: str, more: dict[str, str] | None = None) -> DataFr
     that hold for this job alone.
     """
     spark, path = df.sparkSession, shared_folder(df.sparkSession, name)
-    with settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"} | (more or {})):
+    with settings(spark, {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"} | BATCHES | (more or {})):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

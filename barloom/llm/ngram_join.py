@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.common import WordHasher, bitmap_hits, components, fixed_bitmap, keep, mix64, pack, shards, squeeze, text_chunks, unpack, unsqueeze
+from barloom.llm.common import BATCHES, WordHasher, bitmap_hits, components, fixed_bitmap, keep, mix64, pack, settings, shards, squeeze, text_chunks, unpack, unsqueeze
 
 #: An n-gram in this many sets or more is frequent (a power of two).
 RARE = 16
@@ -166,7 +166,8 @@ def class_table(docs: DataFrame, n: int):
         return pa.table({"first": [first], "part": [squeeze(part)], "kinds": [np.bincount(kind, minlength=64).tolist()]})
 
     blobs = docs.mapInArrow(gather, "grp int, grams binary, more binary")
-    parts = blobs.groupBy("grp").applyInArrow(count, "first long, part binary, kinds array<long>").toArrow()  # the table in parts
+    with settings(spark, BATCHES):
+        parts = blobs.groupBy("grp").applyInArrow(count, "first long, part binary, kinds array<long>").toArrow()  # the table in parts
     table, kinds = np.zeros(1 << TABLE_BITS, np.uint8), np.zeros(64, np.int64)
     for first, part, k in zip(parts["first"].to_pylist(), parts["part"].to_pylist(), parts["kinds"].to_pylist(), strict=True):
         part = unsqueeze(part, np.uint8)

@@ -157,12 +157,12 @@ def encoder(path: str) -> PartEncoder:
     return PartEncoder(path)
 
 
-def steps(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch with at most STEP_BYTES of text, or one row."""
+def steps(batch: pa.RecordBatch, column: str, size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with at most `size` bytes of text, or one row."""
     sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)))
     i, base = 0, 0
     while i < batch.num_rows:
-        j = max(i + 1, int(np.searchsorted(sizes, base + STEP_BYTES, side="right")))
+        j = max(i + 1, int(np.searchsorted(sizes, base + size, side="right")))
         yield batch.slice(i, j - i)
         i, base = j, int(sizes[j - 1])
 

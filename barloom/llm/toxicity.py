@@ -30,6 +30,8 @@ WINDOW, STRIDE = 64, 32
 #: Sizes: word vector, n-gram vector, states of a direction, attention.
 WORD, GRAM, STATES, LOOK = 8, 6, 8, 8
 BUCKETS = 1 << 15
+#: Bytes of text scored at once; their words, windows and states are some 20 times as large.
+STEP = 1 << 20
 #: Words whose inputs a worker keeps.
 KNOWN = 200_000
 CUT = ".,;:!?\"'()[]{}«»…-"
@@ -346,7 +348,7 @@ def score(docs: DataFrame, model: Network | float, threshold: float = 0.3) -> Da
     def rows(batches):
         net = shared.value
         for batch in batches:
-            for part in steps(batch, "text"):
+            for part in steps(batch, "text", STEP):
                 s = net.score(part.column("text").to_pylist()) if isinstance(net, Network) else np.full(part.num_rows, net)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in others), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], [*others, "score", "predicted"])
 
