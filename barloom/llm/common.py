@@ -34,11 +34,14 @@ CHUNK_BYTES = 1 << 20
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Only where the session names none (tests, a laptop) a temporary folder is set.
+    Only where the session names none and driver and executors are one process (tests, a laptop) a
+    temporary folder is set; on a cluster that is an error.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if base is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="barloom-"))
         base = sc.getCheckpointDir()
     return f"{base}/{name}-{uuid.uuid4().hex}"

@@ -208,8 +208,10 @@ def listed(media: DataFrame, column: str, what: str) -> DataFrame:
         return pd.DataFrame({"rows": [None if f is None else [dict(zip(names, p, strict=True)) for p in f[what]] for f in found], "error": [f and f["error"] for f in found]})
 
     others = [c for c in media.columns if c not in (column, "error", *names)]
-    out = media.select(*others, table(column).alias("found")).select(*others, F.explode_outer("found.rows").alias("row"), F.col("found.error").alias("error"))
-    return out.select(*others, "row.*", "error")
+    # other columns go as one, so that none of them can have a name used here
+    out = media.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("others"), table(F.col(f"`{column}`")).alias("found"))
+    out = out.select("others", F.explode_outer("found.rows").alias("row"), F.col("found.error").alias("error"))
+    return out.select(*[F.col("others").getField(c).alias(c) for c in others], "row.*", "error")
 
 
 def packets(media: DataFrame, column: str = "media") -> DataFrame:

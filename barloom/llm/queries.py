@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm import backoff, hard_negatives, language, line_dedup, matroska, mixing, ngram_join, packing, periodic_runs, surrogates, tokens, toxicity, vector_dedup
 
 #: Tokenizer files are named here and read where they are.
-TOKENIZERS = "/opt/tokenizers"
+TOKENIZERS = str(Path(public_tokenizers.path("word_bpe_49k.json")).parent)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
