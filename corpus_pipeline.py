@@ -2,6 +2,12 @@
 
 STAGES run one after another; each gets what the one before kept, written as Parquet and read
 again, and all but the last return the columns of documents.
+
+Defined cases, by stage: a null text counts as empty (not toxic, one empty line, no duplicate, no
+words, one token of the pack); a null id is an id like others, after all others; rows that repeat an
+id are rows of their own to toxicity, lines and packing, stay or go together as duplicates, and are
+mixed alike if their texts are equal, too; a null source is one of its own; other columns pass
+through; empty tables give empty ones.
 """
 
 from __future__ import annotations
