@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.chunks import KEYS, before, latest, within
-from barloom.functions.core import ffill_prev, lag, windows_by
+from barloom.functions.core import ffill_prev, lag, settled, windows_by
 from barloom.operators import displacement, liquidity, outcomes, ranges, structure
 from barloom.plans.config import Config
 
@@ -15,7 +15,7 @@ SIDES = ("high", "low")
 
 def structure_facts(bars: DataFrame, cfg: Config) -> DataFrame:
     """Swings by overlaps; then the last two swings of each side, and the newest level crossed, carried into each chunk."""
-    swung = within(bars, cfg.chunk_bars, cfg.fractal_length - 1, 0, lambda b: structure.add_swings(b, cfg).withColumn("prev_close", lag("close")))
+    swung = settled(within(bars, cfg.chunk_bars, cfg.fractal_length - 1, 0, lambda b: structure.add_swings(b, cfg).withColumn("prev_close", lag("close"))))
     with windows_by(*KEYS):
         seen = swung.withColumns({f"prior_{s}": ffill_prev(F.col(f"swing_{s}")) for s in SIDES})
     ends = seen.groupBy(*KEYS).agg(*[F.max_by(F.struct(F.col(f"swing_{s}").alias("swing"), F.col(f"prior_{s}").alias("before")), F.when(F.col(f"swing_{s}").isNotNull(), F.col("bar_index"))).alias(f"end_{s}") for s in SIDES])
@@ -27,7 +27,7 @@ def structure_facts(bars: DataFrame, cfg: Config) -> DataFrame:
     high, low = F.col("carry_pair_high"), F.col("carry_pair_low")
     carry = carry.withColumn("carry_ready", structure.ready_of(high, low)).withColumn("carry_trend", F.when(F.col("carry_ready"), structure.trend_of(high, low)).otherwise("ranging"))
     with windows_by(*KEYS):
-        trended = structure.add_trend(swung.join(carry, list(KEYS)))
+        trended = settled(structure.add_trend(swung.join(carry, list(KEYS))))
     crossed = trended.groupBy(*KEYS).agg(*[F.max(F.when(structure.crosses(s), F.col(f"prior_{s}.confirm"))).alias(f"crossed_{s}") for s in SIDES])
     used = before(crossed, {f"carry_crossed_{s}": F.max(f"crossed_{s}") for s in SIDES})
     with windows_by(*KEYS):
