@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 PRICE = "decimal(18,8)"
@@ -84,6 +86,17 @@ def settled(df: DataFrame) -> DataFrame:
     return df.persist()
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder's name in the folder that driver and executors share; a local one only where both are one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if base is None:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='barloom-')}"
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
 def identity(*columns: str | Column) -> Column:
     """A content id: SHA-256 of the canonical JSON of natural keys."""
     return F.sha2(F.to_json(F.struct(*columns)), 256)

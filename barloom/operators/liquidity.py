@@ -23,14 +23,23 @@ def touches(facts: DataFrame) -> DataFrame:
     return out.select("series_key", "symbol", "k.side", "k.price", "confirm", "known_at")
 
 
-def exact_pools(facts: DataFrame) -> DataFrame:
+def touched(facts: DataFrame, carried: DataFrame | None) -> DataFrame:
+    """touches with since, touched_index and members, and each pool that is carried into these bars as one touch more, which they can breach from their first on."""
+    own = touches(facts).withColumns({"confirm": F.col("confirm").cast("long"), "since": F.col("confirm").cast("long"), "touched_index": F.col("confirm").cast("long"), "members": F.lit(1).cast("long")})
+    if carried is None:
+        return own
+    old = carried.select("series_key", "symbol", "side", "price", F.col("created_index").cast("long").alias("confirm"), "known_at", F.col("last_index").cast("long").alias("since"), F.col("touched_index").cast("long").alias("touched_index"), "members")
+    return own.unionByName(old)
+
+
+def exact_pools(facts: DataFrame, carried: DataFrame | None = None) -> DataFrame:
     """Pools without tolerance: swings of one price with no breach between them."""
-    swings = touches(facts).withColumn("zone_id", F.concat_ws("|", "series_key", "side", "confirm"))
-    zones = swings.select("series_key", "zone_id", F.col("confirm").alias("start_index"), F.col("price").alias("bound"), (F.col("side") == "buy_side").alias("above"))
+    swings = touched(facts, carried).withColumn("zone_id", F.concat_ws("|", "series_key", "side", "confirm"))
+    zones = swings.select("series_key", "zone_id", F.col("since").alias("start_index"), F.col("price").alias("bound"), (F.col("side") == "buy_side").alias("above"))
     hits = first_hit(zones, facts, "high", "low")
     swings = swings.join(hits, "zone_id", "left")
     return swings.groupBy("series_key", "symbol", "side", "price", F.col("hit_index").alias("breach_index")).agg(
-        F.min("confirm").alias("created_index"), F.max("confirm").alias("touched_index"), F.count("*").alias("members"), F.max_by("known_at", "confirm").alias("known_at")
+        F.min("confirm").alias("created_index"), F.max("touched_index").alias("touched_index"), F.sum("members").alias("members"), F.max_by("known_at", "touched_index").alias("known_at")
     ).withColumns({"lower": F.col("price"), "upper": F.col("price")})
 
 
@@ -81,27 +90,31 @@ def heads(swings: DataFrame) -> DataFrame:
     return rows.mapInArrow(walk, "series_key string, side string, confirm long, head long")
 
 
-def banded_pools(facts: DataFrame, cfg: Config) -> DataFrame:
+def banded_pools(facts: DataFrame, cfg: Config, carried: DataFrame | None = None) -> DataFrame:
     """Pools with tolerance: a swing joins the oldest active pool whose first band holds it.
 
-    Which swing founds a pool depends on the pools before it, but only on those of its own part.
+    Which swing founds a pool depends on the pools before it, but only on those of its own part. A
+    carried pool stands for its founder: carried ones were founded beside one another, so none joins another.
     """
     step = F.lit(str(cfg.pool_tolerance_bps)).cast("decimal(12,8)") * F.lit("0.0001").cast("decimal(4,4)")
     band = F.col("price") * step
-    swings = touches(facts).withColumns({"lower": F.bround(F.col("price") - band, 8).cast("decimal(18,8)"), "upper": F.bround(F.col("price") + band, 8).cast("decimal(18,8)"), "confirm": F.col("confirm").cast("long")})
+    swings = touched(facts, carried).withColumns({"lower": F.bround(F.col("price") - band, 8).cast("decimal(18,8)"), "upper": F.bround(F.col("price") + band, 8).cast("decimal(18,8)")})
     swings = swings.withColumn("zone_id", F.concat_ws("|", "series_key", "side", "confirm"))
-    zones = swings.select("series_key", "zone_id", F.col("confirm").alias("start_index"), F.when(F.col("side") == "buy_side", F.col("upper")).otherwise(F.col("lower")).alias("bound"), (F.col("side") == "buy_side").alias("above"))
+    zones = swings.select("series_key", "zone_id", F.col("since").alias("start_index"), F.when(F.col("side") == "buy_side", F.col("upper")).otherwise(F.col("lower")).alias("bound"), (F.col("side") == "buy_side").alias("above"))
     swings = settled(apart(swings.join(first_hit(zones, facts, "high", "low"), "zone_id", "left").drop("zone_id")))
     joined = swings.join(heads(swings), ["series_key", "side", "confirm"])
     own = F.col("confirm") == F.col("head")
     founder = F.max(F.when(own, F.struct("price", "hit_index", "lower", "upper")))
-    out = joined.groupBy("series_key", "symbol", "side", F.col("head").alias("created_index")).agg(founder.alias("f"), F.max("confirm").alias("touched_index"), F.count("*").alias("members"), F.max_by("known_at", "confirm").alias("known_at"))
+    out = joined.groupBy("series_key", "symbol", "side", F.col("head").alias("created_index")).agg(founder.alias("f"), F.max("touched_index").alias("touched_index"), F.sum("members").alias("members"), F.max_by("known_at", "touched_index").alias("known_at"))
     return out.select("series_key", "symbol", "side", "f.price", F.col("f.hit_index").alias("breach_index"), "created_index", "touched_index", "members", "known_at", "f.lower", "f.upper")
 
 
-def pools(facts: DataFrame, cfg: Config) -> DataFrame:
-    """One row per pool with its life: created, last touched, members, kind, band, first breach and what that was."""
-    out = banded_pools(facts, cfg) if cfg.pool_tolerance_bps else exact_pools(facts)
+def pools(facts: DataFrame, cfg: Config, carried: DataFrame | None = None) -> DataFrame:
+    """One row per pool with its life: created, last touched, members, kind, band, first breach and what that was.
+
+    carried: pools that were active after the bar last_index, where facts are the bars that follow it.
+    """
+    out = banded_pools(facts, cfg, carried) if cfg.pool_tolerance_bps else exact_pools(facts, carried)
     alone = F.when(F.col("side") == "buy_side", "swing_high").otherwise("swing_low")
     out = out.withColumn("kind", F.when(F.col("members") > 1, F.when(F.col("side") == "buy_side", "equal_highs").otherwise("equal_lows")).otherwise(alone))
     bars = facts.select("series_key", F.col("bar_index").alias("breach_index"), F.col("opened_at").alias("b_open_at"), F.col("prev_close").alias("b_prev"), F.col("open").alias("b_open"), F.col("high").alias("b_high"), F.col("low").alias("b_low"), F.col("close").alias("b_close"))
@@ -137,10 +150,17 @@ def active_at(life: DataFrame, at: int) -> DataFrame:
 
 def add_sweep_context(facts: DataFrame, life: DataFrame, cfg: Config) -> DataFrame:
     """sweeps (sides on this bar), sweep_context and sweep_index of the newest bar with sweeps within the lookback that was available when this one opened."""
+    return add_recent_sweeps(add_sweeps(facts, life), cfg)
+
+
+def add_sweeps(facts: DataFrame, life: DataFrame) -> DataFrame:
     swept = life.where("status = 'swept'").groupBy("series_key", F.col("breach_index").alias("bar_index")).agg(F.array_sort(F.collect_set("side")).alias("sweeps"))  # two sides at most
-    out = facts.join(swept, ["series_key", "bar_index"], "left")
+    return facts.join(swept, ["series_key", "bar_index"], "left")
+
+
+def add_recent_sweeps(facts: DataFrame, cfg: Config) -> DataFrame:
     swept = F.when(F.col("sweeps").isNotNull(), F.struct("bar_index", "sweeps", "available_at"))
-    out = out.withColumn("recent", F.collect_list(swept).over(rows(-cfg.sweep_lookback, -1)))  # sweep_lookback at most
+    out = facts.withColumn("recent", F.collect_list(swept).over(rows(-cfg.sweep_lookback, -1)))  # sweep_lookback at most
     out = out.withColumn("recent", F.try_element_at(F.filter("recent", lambda s: s["available_at"] <= F.col("opened_at")), F.lit(-1)))
     out = out.withColumns({"sweep_index": F.col("recent.bar_index"), "recent": F.col("recent.sweeps")})
     context = F.when(F.col("recent").isNull(), "none").when(F.size("recent") == 2, "after_both").when(F.col("recent")[0] == "buy_side", "after_buy_side").otherwise("after_sell_side")

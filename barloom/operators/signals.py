@@ -90,8 +90,11 @@ def add_votes(df: DataFrame) -> DataFrame:
     return out.withColumn("eligibility_reasons", F.when(listed, reasons).otherwise(gate))
 
 
-def add_signals(df: DataFrame, cfg: Config) -> DataFrame:
-    """signal, direction, setup_id and reasons; only the first BUY of a setup in a series is published."""
+def add_signals(df: DataFrame, cfg: Config, published: DataFrame | None = None) -> DataFrame:
+    """signal, direction, setup_id and reasons; only the first BUY of a setup in a series is published.
+
+    published: (series_key, setup_id) of setups that earlier bars than these have published.
+    """
     cursors = [F.col(f"cursor_{tf}") for tf in cfg.higher]
     ids = [
         *cursors, F.when(F.col("ote_low").isNotNull(), F.concat_ws("|", "range_low", "range_high", "range_confirm")).alias("ote"),
@@ -102,6 +105,9 @@ def add_signals(df: DataFrame, cfg: Config) -> DataFrame:
     out = df.withColumn("candidate", candidate).withColumn("setup_id", identity("symbol", "timeframe", "bias", *ids))
     order = Window.partitionBy("series_key", "candidate", "setup_id").orderBy("bar_index")
     out = out.withColumn("again", (F.col("candidate") == "BUY_SIGNAL") & (F.row_number().over(order) > 1))
+    if published is not None:
+        out = out.join(published.select("series_key", "setup_id", F.lit(True).alias("known")), ["series_key", "setup_id"], "left")
+        out = out.withColumn("again", F.col("again") | ((F.col("candidate") == "BUY_SIGNAL") & F.coalesce("known", F.lit(False)))).drop("known")
     out = out.withColumn("signal", F.when(F.col("again"), "NO_SIGNAL").otherwise(F.col("candidate")))
     buy = F.filter(F.array(
         F.lit("halal_asset"), F.lit("sqs_threshold_passed"), F.lit("long_bias"), F.when(F.col("confluence") == "BULLISH", "mtf_alignment"), F.when(F.col("displacement") == "bullish", "bullish_displacement"),

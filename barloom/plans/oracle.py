@@ -374,6 +374,7 @@ select series_key, n, {" || ".join(f"format('{{:08x}}', ((p{k}{f' + o{k + 1}' if
 }
 # the chunked chain gives the rows of the whole one
 ORACLES |= {f"chunked_{name}": ORACLES[plain] for name, plain in (("structure", "structure_rows"), ("blocks", "order_blocks"), ("signals", "signals"), ("outcomes", "outcome_rows"))}
+ORACLES["streamed_signals"] = ORACLES["signals"]
 
 
 def daily(sql: str) -> str:

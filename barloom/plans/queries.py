@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.functions.core import settled
+from barloom.functions.core import settled, shared_folder
 from barloom.operators import context, liquidity, outcomes, ranges, structure
 from barloom.operators import displacement as blocks
 from barloom.plans import chunked
@@ -15,6 +16,7 @@ from barloom.plans import facts as P
 from barloom.plans import reports as R
 from barloom.plans.config import Config, varied
 from barloom.sources import candles, quality
+from barloom.streaming import chain
 
 #: Low enough that signals are common: without higher timeframes of weeks few bars reach the default.
 CFG = Config(score_threshold=30)
@@ -236,6 +238,14 @@ def chunked_signals(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("symbol", "bar_index", "signal", F.array_join("reasons", ",").alias("reasons"))
 
 
+def streamed_signals(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole chain as a stream sees it: three batches, each with what the one before it carries."""
+    bars = reduce(DataFrame.unionByName, [P.event_bars(spark, sf, tf) for tf in ("15m", *CFG.higher)])
+    folder = shared_folder(spark, "chain")
+    chain.replay(bars, 3, folder, "15m", registry, CFG)
+    return chain.results(spark, folder, "facts").select("symbol", "bar_index", "signal", F.array_join("reasons", ",").alias("reasons"))
+
+
 def chunked_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     out = chunked.outcome_facts(P.event_bars(spark, sf, "15m", CHUNKED.chunk_bars), CHUNKED)
     return out.select("symbol", "bar_index", "outcome", d("mfe_price"), known("mfe_index"), d("mae_price"), known("mae_index"), d("final_return"))
@@ -433,7 +443,7 @@ NAMES = (
     bars_orders, candle_audit, candle_conflicts, latest_n_bars, gaps, intervals, freshness, condition_rollup, swings, trend, structure_events, structure_rows, pools, sweeps, active_pools, banded_pools, pool_log, sweep_context,
     atr, displacement, fvg, order_blocks, dealing_range, pd_class, pd_arrays, retracement, structure_shift, shift_context, breakers, mitigations, mtf_confluence, htf_evidence, registry_status, scores, eligibility, signals, outcome_rows, outcome_running,
     outcome_log, ema_rsi, volume_ratio, attribution, performance, performance_ranks, monthly_review, regimes, walk_forward_plan, walk_forward, stability, degradation, degradation_summary, out_of_sample, cells, findings, compare_variants, threshold_grid,
-    chart_primitives, price_domain, ledger_stats, fingerprints, candle_metrics, chunked_structure, chunked_blocks, chunked_signals, chunked_outcomes,
+    chart_primitives, price_domain, ledger_stats, fingerprints, candle_metrics, chunked_structure, chunked_blocks, chunked_signals, chunked_outcomes, streamed_signals,
 )
 QUERIES = {"bars_15m": bars("15m"), "bars_1h": bars("1h"), **{f.__name__: f for f in NAMES}}
 QUERIES |= {f"{f.__name__}_daily": daily(f) for f in (monthly_review, stability, degradation, degradation_summary, cells, findings)} | {"compare_variants_daily": daily(compare_variants, 35)}

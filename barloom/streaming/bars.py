@@ -166,7 +166,7 @@ def publish_once(path: str):
     return write
 
 
-def _read(spark: SparkSession, path: str) -> DataFrame | None:
+def read_epochs(spark: SparkSession, path: str) -> DataFrame | None:
     """A table of epochs, or None before the first."""
     try:
         return spark.read.parquet(path)
@@ -178,14 +178,14 @@ def _read(spark: SparkSession, path: str) -> DataFrame | None:
 
 def _index(spark: SparkSession, path: str, epoch: int) -> DataFrame | None:
     """(series_key, newest) after the last epoch before this one."""
-    index = _read(spark, f"{path}/index")
+    index = read_epochs(spark, f"{path}/index")
     last = None if index is None else index.where(F.col("epoch") < epoch).agg(F.max("epoch")).first()[0]
     return None if last is None else index.where(F.col("epoch") == last).select("series_key", "newest")
 
 
 def published(spark: SparkSession, path: str) -> DataFrame | None:
     """All rows of the epochs that are complete, with their epoch; None before the first."""
-    index = _read(spark, f"{path}/index")
+    index = read_epochs(spark, f"{path}/index")
     if index is None:
         return None
     done = index.select("epoch").distinct()
@@ -202,7 +202,7 @@ def late_events(spark: SparkSession, path: str, delay: str, name: str = "late"):
     margin = F.expr(f"INTERVAL {delay}")
 
     def split(batch: DataFrame, epoch: int) -> DataFrame:
-        marks = _read(spark, f"{path}/marks")
+        marks = read_epochs(spark, f"{path}/marks")
         mark = None if marks is None else marks.where(F.col("epoch") < epoch).agg(F.max("newest")).first()[0]
         batch.agg(F.max("ts").alias("newest")).where("newest IS NOT NULL").write.mode("overwrite").parquet(f"{path}/marks/epoch={epoch}")
         if mark is None:
