@@ -17,8 +17,8 @@ TIMEFRAMES = {
     "1s": 1, "1m": 60, "3m": 180, "5m": 300, "15m": 900, "30m": 1800, "1h": 3600, "2h": 7200, "4h": 14400,
     "6h": 21600, "8h": 28800, "12h": 43200, "1d": 86400, "3d": 259200, "1w": 604800,
 }
-#: Nodes of a block in first-hit joins, and levels of blocks.
-BLOCK, LEVELS = 256, 3
+#: Nodes of a block in first-hit joins, levels of blocks, and stretches of price that a node tells apart.
+BLOCK, LEVELS, STRETCHES = 256, 3, 32
 
 
 _KEYS: ContextVar[tuple[str, ...]] = ContextVar("window_keys", default=("series_key",))
@@ -121,17 +121,41 @@ def dataset_fingerprint(df: DataFrame, key: str = "series_key", record: Column |
     return out.select(key, "n", F.concat(*[F.lpad(F.lower(F.hex(F.col(f"part{k}").cast("long"))), 8, "0") for k in range(8)]).alias("fingerprint"))
 
 
-def _first(zones: DataFrame, bars: DataFrame, extremes: dict[str, tuple[str, str]], test: Callable[[Column], Column], block: int, levels: int) -> DataFrame:
+def stretches(spans: Column, most: int) -> Column:
+    """The union of spans (low, high) as at most `most` stretches in order; with more, the smallest gaps count as covered.
+
+    Spans that only touch stay apart, so a zone that reaches inside the union reaches inside a span,
+    zones without width included.
+    """
+
+    def joined(sorted_spans: Column, meets: Callable[[Column, Column], Column]) -> Column:
+        first = F.slice(sorted_spans, 1, 1)
+
+        def add(done: Column, x: Column) -> Column:
+            last = F.element_at(done, -1)
+            grown = F.struct(last["low"].alias("low"), F.greatest(last["high"], x["high"]).alias("high"))
+            return F.when(meets(last, x), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(grown))).otherwise(F.concat(done, F.array(x)))
+
+        return F.aggregate(F.slice(sorted_spans, F.lit(2), F.size(sorted_spans)), first, add)
+
+    union = joined(F.sort_array(spans), lambda last, x: x["low"] < last["high"])
+    gaps = F.zip_with(F.slice(union, F.lit(1), F.size(union) - 1), F.slice(union, F.lit(2), F.size(union)), lambda a, b: b["low"] - a["high"])
+    least = F.get(F.sort_array(gaps, asc=False), most - 1)
+    few = joined(union, lambda last, x: x["low"] - last["high"] <= least)
+    return F.when(F.size(union) > most, few).otherwise(union)
+
+
+def _first(zones: DataFrame, bars: DataFrame, extremes: dict[str, tuple[str | Column, str]], test: Callable[[Column], Column], block: int, levels: int, most: int = STRETCHES) -> DataFrame:
     """zones with c0, the first bar after start_index that passes test, and c1: the first block that seems to hold one.
 
     Bars lie in blocks, blocks in blocks of blocks, up to the last level, which holds all that is
     left. A zone looks at what comes after it in its own block, then in the block of that block,
     and so on, and goes down again where it finds a node. So it meets a few blocks, whatever the
     length of its series, and every step is an equality join of one row for each zone. Nodes hold
-    extremes (name: (column of bars, max or min)), which must pass test wherever a bar below does.
+    extremes (name: (column of bars, max, min or union)), which must pass test wherever a bar below does.
     """
-    peak = {"max": F.array_max, "min": F.array_min}
-    nodes = bars.select("series_key", F.col("bar_index").cast("long").alias("i"), *[F.col(c).alias(n) for n, (c, _) in extremes.items()])
+    peak = {"max": F.array_max, "min": F.array_min, "union": lambda x: stretches(F.flatten(x), most)}
+    nodes = bars.select("series_key", F.col("bar_index").cast("long").alias("i"), *[(F.col(c) if isinstance(c, str) else c).alias(n) for n, (c, _) in extremes.items()])
     chunks = []
     for k in range(levels):
         parent = F.floor(F.col("i") / block).cast("long") if k < levels - 1 else F.lit(0).cast("long")
@@ -167,28 +191,36 @@ def first_hit(zones: DataFrame, bars: DataFrame, over: str, under: str, block: i
     return out.where("c0 IS NOT NULL").select("zone_id", F.col("c0").alias("hit_index"))
 
 
-def first_overlap(zones: DataFrame, bars: DataFrame, block: int = BLOCK, levels: int = LEVELS) -> DataFrame:
-    """(zone_id, hit_index): the first bar after start_index that reaches inside (zone_low, zone_high), ends excluded.
-
-    Zones with a column known_at only meet bars that open at that time or later. A block that
-    reaches across a zone may hold no bar that does, where the price jumps over it; such zones
-    meet all later blocks.
-    """
+def overlapping(zones: DataFrame, bars: DataFrame, block: int, levels: int, most: int) -> tuple[DataFrame, DataFrame, Callable[[Column], Column]]:
+    """(zones with c0 and c1 as of _first, bars as nodes, the test): zones against the stretches of price that bars and blocks cover."""
     late = "known_at" in zones.columns
     zones = zones.select("series_key", "zone_id", "start_index", "zone_low", "zone_high", *(["known_at"] if late else []))
-    extremes = {"top": ("high", "max"), "bottom": ("low", "min"), **({"newest": ("opened_at", "max")} if late else {})}
+    span = F.array(F.struct(F.col("low").alias("low"), F.col("high").alias("high")))
+    extremes = {"spans": (span, "union"), **({"newest": ("opened_at", "max")} if late else {})}
 
     def inside(x: Column) -> Column:
-        within = (x["top"] > F.col("zone_low")) & (x["bottom"] < F.col("zone_high"))
+        within = F.exists(x["spans"], lambda s: (s["high"] > F.col("zone_low")) & (s["low"] < F.col("zone_high")))
         return within & (x["newest"] >= F.col("known_at")) if late else within
 
-    found = _first(zones, bars, extremes, inside, block, levels)
+    nodes = bars.select("series_key", F.col("bar_index").cast("long").alias("i"), span.alias("spans"), *(["opened_at"] if late else []))
+    nodes = nodes.withColumn("newest", F.col("opened_at") if late else F.lit(None).cast("timestamp"))
+    return _first(zones, bars, extremes, inside, block, levels, most), nodes, inside
+
+
+def first_overlap(zones: DataFrame, bars: DataFrame, block: int = BLOCK, levels: int = LEVELS, most: int = STRETCHES) -> DataFrame:
+    """(zone_id, hit_index): the first bar after start_index that reaches inside (zone_low, zone_high), ends excluded.
+
+    Zones with a column known_at only meet bars that open at that time or later. Blocks hold the
+    stretches of price that their bars cover, so a zone that the price jumps over passes them by. Only
+    where a block covers more than `most` stretches, or is the one in which a zone becomes known, may
+    it seem to hold a bar that it doesn't; such zones meet all later blocks.
+    """
+    found, nodes, inside = overlapping(zones, bars, block, levels, most)
     hits = found.where("c0 IS NOT NULL").select("zone_id", F.col("c0").alias("hit_index"))
-    unsure = found.where("c0 IS NULL AND c1 IS NOT NULL").select(*zones.columns)
-    nodes = bars.select("series_key", F.col("bar_index").cast("long").alias("i"), *[F.col(c).alias(n) for n, (c, _) in extremes.items()], F.floor(F.col("bar_index") / block).alias("block"))
-    pick = {"max": F.max, "min": F.min}
-    sums = nodes.groupBy("series_key", "block").agg(*[pick[m](n).alias(n) for n, (_, m) in extremes.items()])
-    row = F.struct(*extremes)
+    unsure = found.where("c0 IS NULL AND c1 IS NOT NULL").drop("c0", "c1")
+    nodes = nodes.withColumn("block", F.floor(F.col("i") / block))
+    sums = nodes.groupBy("series_key", "block").agg(stretches(F.flatten(F.collect_list("spans")), most).alias("spans"), F.max("newest").alias("newest"))  # a block's worth of bars
+    row = F.struct("spans", "newest")
     near = unsure.join(sums.select("series_key", "block", row.alias("b")), "series_key").where((F.col("block") >= F.floor(F.col("start_index") / block)) & inside(F.col("b"))).drop("b")
     rest = near.join(nodes.select("series_key", "block", "i", row.alias("b")), ["series_key", "block"]).where((F.col("i") > F.col("start_index")) & inside(F.col("b")))
     return hits.unionByName(rest.groupBy("zone_id").agg(F.min("i").alias("hit_index")))

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from barloom.functions.core import first_hit, first_overlap, require_higher_multiple
+from barloom.functions.core import first_hit, first_overlap, overlapping, require_higher_multiple, stretches
 from barloom.operators import context, liquidity, outcomes, ranges, signals, structure
 from barloom.plans import facts as P
 from barloom.plans import queries
@@ -96,16 +96,32 @@ def test_first_hit_across_blocks(spark, block, levels):
 
 @pytest.mark.parametrize(("block", "levels"), [(4, 3), (8, 2)])
 def test_first_overlap_where_the_price_jumps_over_a_zone(spark, block, levels):
-    """Bars that jump over a zone leave blocks that reach across it without a hit."""
+    """Bars that jump over a zone leave blocks that reach across it without a hit; by stretches of price none is met in vain."""
     rng = random.Random(9)
     rows = [(x, x + 1, x, x + 1) for x in (rng.choice((10, 20, 30, 40, 50)) + rng.randrange(3) for _ in range(150))]
     bars = make(spark, rows)
     zones = [("S:15m", str(i), i, float(lo), lo + 0.5) for i in range(0, 150, 3) for lo in (11, 16, 25, 32, 44)]
     key = bars.first().series_key
     df = spark.createDataFrame([(key, f"{z[1]}|{z[3]}", *z[2:]) for z in zones], "series_key string, zone_id string, start_index long, zone_low double, zone_high double")
-    got = {r.zone_id: r.hit_index for r in first_overlap(df, bars, block=block, levels=levels).collect()}
     want = {f"{z[1]}|{z[3]}": next((j for j in range(z[2] + 1, 150) if rows[j][1] > z[3] and rows[j][2] < z[4]), None) for z in zones}
-    assert got == {k: v for k, v in want.items() if v is not None} and len(got) < len(want)
+    want = {k: v for k, v in want.items() if v is not None}
+    assert 0 < len(want) < len(zones)
+    for most, sure in ((32, True), (2, False), (1, False)):
+        assert {r.zone_id: r.hit_index for r in first_overlap(df, bars, block=block, levels=levels, most=most).collect()} == want
+        unsure = overlapping(df, bars, block, levels, most)[0].where("c0 IS NULL AND c1 IS NOT NULL").count()
+        assert (unsure == 0) == sure
+
+
+def test_stretches_of_price(spark):
+    """The union of spans: touching ones stay apart, those inside others vanish, and the widest gaps are kept."""
+    cases = [[(1, 3), (2, 4), (4, 5)], [(1, 9), (2, 3), (2, 2)], [(2, 2), (2, 2)], [(1, 2), (3, 4), (9, 10), (4.5, 5), (20, 21)], [(7, 8)]]
+    df = spark.createDataFrame([(i, [(float(a), float(b)) for a, b in c]) for i, c in enumerate(cases)], "i int, spans array<struct<low:double,high:double>>")
+
+    def got(most):
+        return [[tuple(x) for x in r.u] for r in df.select("i", stretches(F.col("spans"), most).alias("u")).orderBy("i").collect()]
+
+    assert got(9) == [[(1, 4), (4, 5)], [(1, 9)], [(2, 2), (2, 2)], [(1, 2), (3, 4), (4.5, 5), (9, 10), (20, 21)], [(7, 8)]]
+    assert got(3)[3] == [(1, 5), (9, 10), (20, 21)] and got(1) == [[(1, 5)], [(1, 9)], [(2, 2)], [(1, 21)], [(7, 8)]]
 
 
 def test_breakers_and_mitigations_bar_by_bar(spark):
