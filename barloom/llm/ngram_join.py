@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import BATCHES, WordHasher, bitmap_hits, components, fixed_bitmap, keep, mix64, pack, settings, shards, squeeze, text_chunks, unpack, unsqueeze
+from barloom.llm.tokens import forget
 
 #: An n-gram in this many sets or more is frequent (a power of two).
 RARE = 16
@@ -49,12 +50,13 @@ CLASSED_MOST = 1 << 24
 SKETCH = [f"s{i}" for i in range(8)]
 #: Bits of the map of candidate sets.
 MAP_BITS = 26
-#: N-grams a task gathers before it writes them out.
-GATHER = 3 << 20
+#: N-grams a task gathers before it writes them out; sorting and packing them takes some 50 bytes for each.
+GATHER = 1 << 20
 
 
 def sets_of(batches: Iterator[pa.RecordBatch], n: int, column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
     """Slices of rows with the sorted distinct n-gram hashes of each."""
+    forget()
     hasher = WordHasher()
     for batch in batches:
         for i, j, data, offsets in text_chunks(batch.column(column)):
@@ -176,7 +178,9 @@ def class_table(docs: DataFrame, n: int):
     least = 0
     while kinds[least + 1 :].sum() > CLASSED_MOST:
         least += 1
-    return spark.sparkContext.broadcast(np.maximum(table, least) - np.uint8(least))
+    np.maximum(table, least, out=table)
+    table -= np.uint8(least)
+    return spark.sparkContext.broadcast(table)
 
 
 def prefixes(grams: np.ndarray, table: np.ndarray, percent: int, often: int) -> tuple[np.ndarray, np.ndarray]:

@@ -25,11 +25,11 @@ from pyspark.sql import functions as F
 from barloom.llm.common import NO_ID, shared_folder
 
 #: Parts whose ids a worker keeps; later ones are encoded each time.
-MEMO_PARTS = 800_000
+MEMO_PARTS = 400_000
 #: Longer parts are encoded each time.
 MEMO_CHARS = 48
 #: Bytes of text handled at once in a worker.
-STEP_BYTES = 8 << 20
+STEP_BYTES = 1 << 20
 # How the tokenizers cut printable ASCII words, and white space by Unicode without blank and line end.
 LOWER_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
 BYTE_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^A-Za-z0-9 ]+")
@@ -157,6 +157,13 @@ def encoder(path: str) -> PartEncoder:
     return PartEncoder(path)
 
 
+def forget() -> None:
+    """Free the tokenizers and words that this worker process keeps: Spark gives it tasks of other operators, too."""
+    if encoder.cache_info().currsize:
+        encoder.cache_clear()
+        pa.default_memory_pool().release_unused()
+
+
 def steps(batch: pa.RecordBatch, column: str, size: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with at most `size` bytes of text, or one row."""
     sizes = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0)))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.llm.tokens import steps
+from barloom.llm.tokens import forget, steps
 
 #: Labelled rows that train, at most.
 SAMPLE = 2500
@@ -168,13 +168,18 @@ def framed(index: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     """([time, row] word indexes, mask, document of each window)."""
     starts = [windows_of(len(x)) for x in index]
     owner = np.repeat(np.arange(len(index)), [len(s) for s in starts])
-    flat = np.concatenate([*index, np.zeros(WINDOW, np.int64)]).astype(np.int32)
+    flat = np.empty(sum(map(len, index)) + WINDOW, np.int32)
     base = np.concatenate([[0], np.cumsum([len(x) for x in index])])
+    for x, at in zip(index, base.tolist(), strict=False):
+        flat[at : at + len(x)] = x
+    flat[base[-1] :] = 0
     first = np.concatenate([np.array(s) + base[i] for i, s in enumerate(starts)])
     size = np.minimum(base[owner + 1] - first, WINDOW)
-    time = np.arange(WINDOW)[:, None]
-    mask = time < size[None, :]
-    return np.where(mask, flat[np.minimum(first[None, :] + time, len(flat) - 1)], 0), mask, owner
+    mask = np.arange(WINDOW)[:, None] < size[None, :]
+    frames = np.empty(mask.shape, np.int32)
+    for t in range(WINDOW):  # one place of all windows at a time: few copies of what may be a whole sample
+        frames[t] = np.where(mask[t], flat[np.minimum(first + t, len(flat) - 1)], 0)
+    return frames, mask, owner
 
 
 class Network:
@@ -194,7 +199,10 @@ class Network:
         self.table = np.zeros((KNOWN, 6 * STATES), np.float32)
 
     def project(self, rows: np.ndarray) -> np.ndarray:
-        return np.concatenate([rows @ self.p["wf"] + self.p["bf"], rows @ self.p["wb"] + self.p["bb"]], axis=1)
+        out = np.empty((len(rows), 6 * STATES), np.float32)
+        for side, place in (("f", out[:, : 3 * STATES]), ("b", out[:, 3 * STATES :])):
+            np.add(rows @ self.p["w" + side], self.p["b" + side], out=place)
+        return out
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         """Scores of whole texts."""
@@ -336,7 +344,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | f
     rows = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
     chosen = rows.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()  # `sample` rows at most
-    return train(texts["text"].to_pylist(), texts["toxic"].to_pylist())
+    rows = texts["text"].to_pylist(), texts["toxic"].to_pylist()
+    del texts
+    return train(*rows)
 
 
 def score(docs: DataFrame, model: Network | float, threshold: float = 0.3) -> DataFrame:
@@ -346,6 +356,7 @@ def score(docs: DataFrame, model: Network | float, threshold: float = 0.3) -> Da
     others = [c for c in docs.columns if c not in ("score", "predicted")]
 
     def rows(batches):
+        forget()
         net = shared.value
         for batch in batches:
             for part in steps(batch, "text", STEP):
