@@ -46,12 +46,18 @@ def event_bars(spark: SparkSession, sf_dir: str, timeframe: str, chunk_bars: int
 def line_bars(spark: SparkSession, sf_dir: str, timeframe: str, chunk_bars: int | None = None) -> DataFrame:
     """Candles of order lines: one symbol per maker of parts, the price of a unit as the price."""
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("l_partkey"), F.concat(F.lit("Maker"), F.substring("p_brand", 7, 1)).alias("maker"))
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").join(parts, "l_partkey")
     price = F.round(F.col("l_extendedprice") / F.col("l_quantity"), 4)
-    bars = candles.bars_from_events(lines, timeframe, F.col("maker"), F.col("l_shipdate"), price, F.lit(1), [F.col("l_orderkey"), F.col("l_linenumber")])
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey", "l_orderkey", "l_linenumber", "l_shipdate", price.alias("price")).join(parts, "l_partkey")
+    bars = candles.bars_from_events(lines, timeframe, F.col("maker"), F.col("l_shipdate"), F.col("price"), F.lit(1), [F.col("l_orderkey"), F.col("l_linenumber")])
     return candles.as_series(bars, timeframe, chunk_bars=chunk_bars)
 
 
+def with_higher(bars: DataFrame, higher: tuple[str, ...], chunk_bars: int | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """(bars, bars by higher timeframe): the table of events is read once, however many plans start from its bars."""
+    bars = settled(bars)
+    return bars, {tf: candles.as_series(candles.rolled(bars, tf), tf, chunk_bars=chunk_bars) for tf in higher}
+
+
 def order_bars(spark: SparkSession, sf_dir: str, timeframe: str) -> DataFrame:
     """Candles of the orders table: one symbol per priority, the total as the price."""
     orders = spark.read.parquet(f"{sf_dir}/orders.parquet")

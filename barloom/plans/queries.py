@@ -206,14 +206,17 @@ def registry(spark: SparkSession, listed: tuple[str, ...] = LISTED) -> DataFrame
     return spark.createDataFrame([(s,) for s in listed], "symbol string")
 
 
-def source(spark: SparkSession, sf: str, cfg: Config) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:
-    """(bars, higher bars, registry): those of events, or of order lines for settings with their timeframes."""
+Source = tuple[DataFrame, dict[str, DataFrame], DataFrame]
+
+
+def source(spark: SparkSession, sf: str, cfg: Config) -> Source:
+    """(bars, higher bars, registry): those of events, or of order lines for settings with their timeframes. Their table is read once."""
     read, timeframe, listed = (P.line_bars, "1d", MAKERS) if cfg.higher == DAILY.higher else (P.event_bars, "15m", LISTED)
-    return read(spark, sf, timeframe), {tf: read(spark, sf, tf) for tf in cfg.higher}, registry(spark, listed)
+    return *P.with_higher(read(spark, sf, timeframe), cfg.higher), registry(spark, listed)
 
 
-def full(spark: SparkSession, sf: str, cfg: Config = CFG) -> DataFrame:
-    bars, higher, listed = source(spark, sf, cfg)
+def full(spark: SparkSession, sf: str, cfg: Config = CFG, given: Source | None = None) -> DataFrame:
+    bars, higher, listed = given or source(spark, sf, cfg)
     return P.signal_facts(bars, higher, listed, cfg)
 
 
@@ -233,14 +236,15 @@ def chunked_blocks(spark: SparkSession, sf: str) -> DataFrame:
 
 def chunked_signals(spark: SparkSession, sf: str) -> DataFrame:
     """The whole chain in chunks, from the numbering of bars to the as-of joins with higher timeframes."""
-    higher = {tf: P.event_bars(spark, sf, tf, CHUNKED.chunk_bars) for tf in CHUNKED.higher}
-    out = P.signal_facts(P.event_bars(spark, sf, "15m", CHUNKED.chunk_bars), higher, registry(spark), CHUNKED)
+    bars, higher = P.with_higher(P.event_bars(spark, sf, "15m", CHUNKED.chunk_bars), CHUNKED.higher, CHUNKED.chunk_bars)
+    out = P.signal_facts(bars, higher, registry(spark), CHUNKED)
     return out.select("symbol", "bar_index", "signal", F.array_join("reasons", ",").alias("reasons"))
 
 
 def streamed_signals(spark: SparkSession, sf: str) -> DataFrame:
     """The whole chain as a stream sees it: three batches, each with what the one before it carries."""
-    bars = reduce(DataFrame.unionByName, [P.event_bars(spark, sf, tf) for tf in ("15m", *CFG.higher)])
+    own, higher = P.with_higher(P.event_bars(spark, sf, "15m"), CFG.higher)
+    bars = reduce(DataFrame.unionByName, [own, *higher.values()])
     folder = shared_folder(spark, "chain")
     chain.replay(bars, 3, folder, "15m", registry, CFG)
     return chain.results(spark, folder, "facts").select("symbol", "bar_index", "signal", F.array_join("reasons", ",").alias("reasons"))
@@ -252,15 +256,16 @@ def chunked_outcomes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def mtf_confluence(spark: SparkSession, sf: str) -> DataFrame:
-    higher = {tf: P.structure_facts(P.event_bars(spark, sf, tf), CFG) for tf in CFG.higher}
-    return context.add_confluence(P.event_bars(spark, sf, "15m"), higher).select("symbol", "bar_index", "direction_1h", "direction_4h", known("cursor_1h"), known("cursor_4h"), "confluence")
+    bars, higher = P.with_higher(P.event_bars(spark, sf, "15m"), CFG.higher)
+    return context.add_confluence(bars, {tf: P.structure_facts(b, CFG) for tf, b in higher.items()}).select("symbol", "bar_index", "direction_1h", "direction_4h", known("cursor_1h"), known("cursor_4h"), "confluence")
 
 
 def htf_evidence(spark: SparkSession, sf: str) -> DataFrame:
-    higher = settled(P.bar_facts(P.event_bars(spark, sf, "4h"), CFG))
+    bars, above = P.with_higher(P.event_bars(spark, sf, "1h"), ("4h",))
+    higher = settled(P.bar_facts(above["4h"], CFG))
     life = liquidity.pools(higher, CFG)
     evidence = context.published_evidence(higher, life, liquidity.pool_log(higher, CFG, life))
-    out = context.htf_evidence(P.event_bars(spark, sf, "1h"), evidence, "4h")
+    out = context.htf_evidence(bars, evidence, "4h")
     return out.select("symbol", "bar_index", known("cursor_4h"), *[F.col(f"{k}_4h").alias(k) for k in (*context.PUBLISHED, *context.STATE)])
 
 
@@ -280,8 +285,8 @@ def signals(spark: SparkSession, sf: str) -> DataFrame:
     return full(spark, sf).select("symbol", "bar_index", "signal", F.array_join("reasons", ",").alias("reasons"))
 
 
-def published(spark: SparkSession, sf: str, cfg: Config = CFG) -> DataFrame:
-    return R.signal_rows(full(spark, sf, cfg))
+def published(spark: SparkSession, sf: str, cfg: Config = CFG, given: Source | None = None) -> DataFrame:
+    return R.signal_rows(full(spark, sf, cfg, given))
 
 
 def outcome_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -290,11 +295,13 @@ def outcome_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def outcome_running(spark: SparkSession, sf: str) -> DataFrame:
-    return outcomes.running(published(spark, sf), P.event_bars(spark, sf, "15m"), CFG.horizon).withColumn("symbol", F.element_at(F.split("series_key", ":"), 1)).select("symbol", "bar_index", "open", "finalized", "win")
+    given = source(spark, sf, CFG)
+    return outcomes.running(published(spark, sf, CFG, given), given[0], CFG.horizon).withColumn("symbol", F.element_at(F.split("series_key", ":"), 1)).select("symbol", "bar_index", "open", "finalized", "win")
 
 
 def outcome_log(spark: SparkSession, sf: str) -> DataFrame:
-    log = outcomes.outcome_log(published(spark, sf), P.event_bars(spark, sf, "15m"), CFG.horizon)
+    given = source(spark, sf, CFG)
+    log = outcomes.outcome_log(published(spark, sf, CFG, given), given[0], CFG.horizon)
     return outcomes.latest_versions(log).groupBy("version").agg(F.count("*").alias("n"), F.sum("step").cast("long").alias("steps"))
 
 
@@ -339,9 +346,9 @@ def walk_forward_plan(spark: SparkSession, sf: str) -> DataFrame:
     return R.window_plan(P.event_bars(spark, sf, "15m"), CFG).select("series_key", "window_id", "first", "split", "last")
 
 
-def walked(spark: SparkSession, sf: str, cfg: Config = CFG) -> DataFrame:
+def walked(spark: SparkSession, sf: str, cfg: Config = CFG, given: Source | None = None) -> DataFrame:
     """The BUY signals of each window, by the whole chain over the window's own bars; regimes are those of the whole series."""
-    b, higher, listed = source(spark, sf, cfg)
+    b, higher, listed = given or source(spark, sf, cfg)
     f = P.signal_facts(R.window_bars(b, cfg), higher, listed, cfg).where("signal = 'BUY_SIGNAL'")
     regimes = b.transform(outcomes.add_regime, cfg).select(F.col("series_key").alias("parent_key"), "opened_at", "regime")
     f = f.drop("regime").join(regimes, ["parent_key", "opened_at"], "left")
@@ -349,8 +356,9 @@ def walked(spark: SparkSession, sf: str, cfg: Config = CFG) -> DataFrame:
 
 
 def walk_segments(spark: SparkSession, sf: str, cfg: Config = CFG) -> DataFrame:
-    plan = R.window_plan(source(spark, sf, cfg)[0], cfg).withColumn("symbol", F.element_at(F.split("series_key", ":"), 1))
-    return R.segments(walked(spark, sf, cfg), plan, cfg, "symbol", "window_id")
+    given = source(spark, sf, cfg)
+    plan = R.window_plan(given[0], cfg).withColumn("symbol", F.element_at(F.split("series_key", ":"), 1))
+    return R.segments(walked(spark, sf, cfg, given), plan, cfg, "symbol", "window_id")
 
 
 def walk_forward(spark: SparkSession, sf: str) -> DataFrame:
@@ -397,7 +405,8 @@ def compare_variants(spark: SparkSession, sf: str, cfg: Config = CFG, higher_thr
     """The signals of the settings against those of a candidate with a higher threshold, each by the whole chain."""
     dims = {"symbol": "symbol", "month": "month", "combination": "combination"}
     candidate = varied(cfg, {"score_threshold": (cfg.score_threshold, higher_threshold)})
-    out = R.compare(R.buckets(published(spark, sf, cfg), dims, cfg), R.buckets(published(spark, sf, candidate), dims, candidate), cfg)
+    given = source(spark, sf, cfg)  # candidates change no timeframe
+    out = R.compare(R.buckets(published(spark, sf, cfg, given), dims, cfg), R.buckets(published(spark, sf, candidate, given), dims, candidate), cfg)
     return out.where("metric = 'win_rate'").select("dimension", "group", "base_sample", "cand_sample", d("base"), d("cand"), d("difference"), "conclusive")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barloom.functions import chunks
-from barloom.functions.core import PRICE, TIMEFRAMES, close_time
+from barloom.functions.core import PRICE, TIMEFRAMES, close_time, require_higher_multiple
 
 FIELDS = ("timestamp", "open", "high", "low", "close", "volume")
 RAW = T.StructType([T.StructField(c, T.StringType()) for c in FIELDS])
@@ -108,12 +108,28 @@ def audit(rows: DataFrame, history_limit: int | None = None, order: str | None =
     return out.drop("sound", "distinct_times")
 
 
+def spans(time: str, timeframe: str) -> Column:
+    """The span of a timeframe that holds a time; weeks open on Mondays."""
+    return F.window(time, f"{TIMEFRAMES[timeframe]} seconds", startTime="-3 days" if timeframe == "1w" else "0 seconds")
+
+
+def rolled(bars: DataFrame, timeframe: str) -> DataFrame:
+    """Bars of a longer timeframe from those of a shorter one that divides it: the same as from the events, which need not be read again."""
+    own = bars.select("timeframe").first()
+    if own is not None:
+        require_higher_multiple(own[0], timeframe)
+    return (
+        bars.groupBy("symbol", spans("opened_at", timeframe).alias("w"))
+        .agg(F.min_by("open", "opened_at").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "opened_at").alias("close"), F.sum("volume").cast(PRICE).alias("volume"), F.sum("trades").alias("trades"))
+        .select("symbol", F.lit(timeframe).alias("timeframe"), F.col("w.start").alias("opened_at"), "open", "high", "low", "close", "volume", "trades")
+    )
+
+
 def bars_from_events(events: DataFrame, timeframe: str, symbol: Column, ts: Column, price: Column, volume: Column, order: list[Column]) -> DataFrame:
     """Open, high, low, close, volume and count of each symbol and time span that has events of a price above zero."""
     rows = events.select(symbol.alias("symbol"), ts.cast("timestamp").alias("ts"), price.cast(PRICE).alias("price"), volume.cast(PRICE).alias("volume"), F.struct(ts, *order).alias("o")).where("price > 0")
-    span = F.window("ts", f"{TIMEFRAMES[timeframe]} seconds", startTime="-3 days" if timeframe == "1w" else "0 seconds")
     return (
-        rows.groupBy("symbol", span.alias("w"))
+        rows.groupBy("symbol", spans("ts", timeframe).alias("w"))
         .agg(F.min_by("price", "o").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "o").alias("close"), F.sum("volume").cast(PRICE).alias("volume"), F.count("*").alias("trades"))
         .select("symbol", F.lit(timeframe).alias("timeframe"), F.col("w.start").alias("opened_at"), "open", "high", "low", "close", "volume", "trades")
     )
