@@ -17,11 +17,14 @@ are replaced; an empty table gives an empty table.
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.llm.common import BATCHES, settings
 from barloom.llm.tokens import forget, steps
 
 #: Labelled rows that train, at most.
@@ -149,18 +152,18 @@ def pooled(p: dict, forward: np.ndarray, mask: np.ndarray, backward: np.ndarray)
     return pool @ p["out"] + p["out0"][0], (tf, tb, states, seen, weight, pool)
 
 
-def logits(p: dict, x: np.ndarray, index: np.ndarray, mask: np.ndarray) -> np.ndarray:
+def logits(p: dict, x: np.ndarray, index: np.ndarray, mask: np.ndarray, step: int = 2048) -> np.ndarray:
     """Window logits without gradients; x holds each word's projections for both directions, index [time, row] its words."""
     out = np.empty(index.shape[1], np.float32)
-    for i in range(0, index.shape[1], 2048):
-        at, m = index[:, i : i + 2048], mask[:, i : i + 2048]
+    for i in range(0, index.shape[1], step):
+        at, m = index[:, i : i + step], mask[:, i : i + step]
         f, _ = layer(x[:, : 3 * STATES][at], m, p["uf"])
         b, _ = layer(x[:, 3 * STATES :][at[::-1]], m[::-1], p["ub"])
         states = np.concatenate([f, b[::-1]], axis=2)
         weight = np.where(m, np.tanh(states @ p["look"] + p["look0"]) @ p["ask"], -1e9)
         weight = np.exp(weight - weight.max(axis=0)) * m
         weight /= np.maximum(weight.sum(axis=0), 1e-9)
-        out[i : i + 2048] = np.einsum("tr,trs->rs", weight, states) @ p["out"] + p["out0"][0]
+        out[i : i + step] = np.einsum("tr,trs->rs", weight, states) @ p["out"] + p["out0"][0]
     return out
 
 
@@ -285,7 +288,7 @@ def train(texts: list[str], labels: list[int], passes: int = 6, seed: int = 3) -
         if not every:
             break
         rows = inputs.rows(p, encoded)
-        score = logits(p, net.project(rows), frames, mask)
+        score = logits(p, net.project(rows), frames, mask, 256)
         order = np.lexsort((-score, owner))
         top = order[np.concatenate([[True], owner[order][1:] != owner[order][:-1]])]
         extra = rng.permutation(len(owner))
@@ -339,14 +342,25 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def learned(batches):
+    """One row: the model that is trained on the rows of text and toxic, pickled."""
+    forget()
+    texts, marks = [], []
+    for batch in batches:
+        texts += batch.column("text").to_pylist()
+        marks += batch.column("toxic").to_pylist()
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, marks))], pa.binary())], ["model"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Network | float:
-    """Train on at most `sample` labelled rows that are not held out. Their texts are what the driver gets."""
+    """Train on at most `sample` labelled rows that are not held out, in one task; the driver gets the model alone."""
     rows = labels.where(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").cast("int").alias("toxic")).dropDuplicates(["doc_id"])
     chosen = rows.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(sample)
-    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toArrow()  # `sample` rows at most
-    rows = texts["text"].to_pylist(), texts["toxic"].to_pylist()
-    del texts
-    return train(*rows)
+    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    texts = texts.repartition(1).sortWithinPartitions("doc_id").select("text", "toxic")  # `sample` rows at most
+    with settings(docs.sparkSession, BATCHES):
+        models = texts.mapInArrow(learned, "model binary").collect()
+    return pickle.loads(models[0]["model"]) if models else train([], [])
 
 
 def score(docs: DataFrame, model: Network | float, threshold: float = 0.3) -> DataFrame:

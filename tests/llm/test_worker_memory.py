@@ -6,6 +6,7 @@ import tracemalloc
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from barloom.llm import ngram_join, tokens, toxicity
 from barloom.llm.queries import TOKENIZERS
@@ -53,3 +54,15 @@ def test_projections_of_both_directions():
     tracemalloc.stop()
     assert np.array_equal(got, want)
     assert peak < 1.6 * want.nbytes
+
+
+def test_training_takes_nothing_of_the_driver(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"{'bad' if i % 2 else 'fine'} words number {i}") for i in range(60)] + [(None, "no id"), (7, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(50)] + [(51, None), (52, 7)], "doc_id long, toxic int")
+    rows = [r for r in docs.join(labels.where("toxic < 2"), "doc_id").where(~toxicity.held_out(F.col("doc_id")) & F.col("text").isNotNull()).orderBy("doc_id").collect()]
+    want = toxicity.train([r["text"] for r in rows], [r["toxic"] for r in rows])
+    monkeypatch.setattr(toxicity, "words_of", None)  # what only training here would call
+    got = toxicity.fit(docs, labels)
+    assert got.inputs.vocabulary == want.inputs.vocabulary and all(np.array_equal(got.p[k], want.p[k]) for k in want.p)
+    assert toxicity.fit(docs, labels.where("doc_id < 0")) == 0.0
+    assert toxicity.fit(docs, labels.where("toxic = 1")) == 1.0
