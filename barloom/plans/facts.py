@@ -48,7 +48,7 @@ def line_bars(spark: SparkSession, sf_dir: str, timeframe: str, chunk_bars: int
     parts = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("l_partkey"), F.concat(F.lit("Maker"), F.substring("p_brand", 7, 1)).alias("maker"))
     price = F.round(F.col("l_extendedprice") / F.col("l_quantity"), 4)
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_partkey", "l_orderkey", "l_linenumber", "l_shipdate", price.alias("price")).join(parts, "l_partkey")
-    bars = candles.bars_from_events(lines, timeframe, F.col("maker"), F.col("l_shipdate"), F.col("price"), F.lit(1), [F.col("l_orderkey"), F.col("l_linenumber")])
+    bars = candles.bars_from_moments(lines, timeframe, F.col("maker"), F.col("l_shipdate"), F.col("price"), F.lit(1), candles.in_order("l_orderkey", "l_linenumber"))
     return candles.as_series(bars, timeframe, chunk_bars=chunk_bars)
 
 

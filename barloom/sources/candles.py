@@ -135,6 +135,23 @@ def bars_from_events(events: DataFrame, timeframe: str, symbol: Column, ts: Colu
     )
 
 
+def in_order(first: str, then: str) -> Column:
+    """A long and an int column as one number that sorts as they do, nulls first; unlike a struct of them it needs no sort in aggregates."""
+    long = F.coalesce(F.col(first).cast("decimal(20,0)"), F.lit("-9223372036854775809").cast("decimal(20,0)"))
+    return long * F.lit(10**10).cast("decimal(11,0)") + F.coalesce(F.col(then).cast("decimal(10,0)"), F.lit("-2147483649").cast("decimal(10,0)"))
+
+
+def bars_from_moments(events: DataFrame, timeframe: str, symbol: Column, ts: Column, price: Column, volume: Column, order: Column) -> DataFrame:
+    """bars_from_events of many events at few times, days for example: first by time, then by span; order: a number, by which events of one time are sorted."""
+    rows = events.select(symbol.alias("symbol"), ts.cast("timestamp").alias("ts"), price.cast(PRICE).alias("price"), volume.cast(PRICE).alias("volume"), order.alias("o")).where("price > 0")
+    times = rows.groupBy("symbol", "ts").agg(F.min_by("price", "o").alias("open"), F.max("price").alias("high"), F.min("price").alias("low"), F.max_by("price", "o").alias("close"), F.sum("volume").alias("volume"), F.count("*").alias("trades"))
+    return (
+        times.groupBy("symbol", spans("ts", timeframe).alias("w"))
+        .agg(F.min_by("open", "ts").alias("open"), F.max("high").alias("high"), F.min("low").alias("low"), F.max_by("close", "ts").alias("close"), F.sum("volume").cast(PRICE).alias("volume"), F.sum("trades").alias("trades"))
+        .select("symbol", F.lit(timeframe).alias("timeframe"), F.col("w.start").alias("opened_at"), "open", "high", "low", "close", "volume", "trades")
+    )
+
+
 def as_series(candles: DataFrame, timeframe: str, venue: str = "local", provider: str = "events", dataset: str = "default", chunk_bars: int | None = None) -> DataFrame:
     """Add the series' identity, bar_index, closed_at and available_at (the close, or a later arrival).
 
